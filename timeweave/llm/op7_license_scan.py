@@ -65,7 +65,7 @@ def _hash(k: int, words: list) -> F.Column:
     return F.xxhash64(F.lit(k), *words)
 
 
-def scan(docs: DataFrame, base=BASE, texts=TEXTS, least: float = 0.8, gap: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, base=BASE, texts=TEXTS, least: float = 0.9, gap: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
     score``."""
     spark = docs.sparkSession

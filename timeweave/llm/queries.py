@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import op1_token_counts, op2_chat_format, op5_token_records, op7_license_scan, op8_bpe_codec
+from timeweave.llm import op1_token_counts, op2_chat_format, op5_token_records, op7_license_scan, op8_bpe_codec, op10_jaccard_join
 from timeweave.llm.common import table
 
 
@@ -37,6 +37,11 @@ def op8_bpe_codec_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_bpe_codec.digests(op8_bpe_codec.decode(encoded, vocabulary, pattern))
 
 
+def op10_jaccard_join_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = op10_jaccard_join.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return linked.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts_,
@@ -44,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_records": op5_token_records_,
         "op7_license_scan": op7_license_scan_,
         "op8_bpe_codec": op8_bpe_codec_,
+        "op10_jaccard_join": op10_jaccard_join_,
     }
 
 

@@ -35,9 +35,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from timeweave.llm.common import Memo, Store
 from timeweave.llm.components import components
@@ -187,8 +186,8 @@ def linked(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: ``doc_id, text_hash, n_shingles, component_id``, and
-    ``n_links``, the links found with other sets (those within one component that the stars did
+    """A row for each row of ``docs``: ``doc_id, text_hash, n_shingles, component_id``, ``root`` (the
+    component's key, null for an empty set) and ``n_links``, the links found with other sets (those within one component that the stars did
     not need are not counted)."""
     store = Store(docs.sparkSession, "jaccard")
     sets = store.keep(shingle_sets(docs, k, num, den, id_col, text_col), "sets")
@@ -228,7 +227,20 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     least = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     of_key = by_key.join(least, "key")
     ids = of_key.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_key = of_key.join(ids, "root").select("key", "component_id", "links")
+    of_key = of_key.join(ids, "root").select("key", "component_id", "root", "links")
     return sets.select("doc_id", "text_hash", "n", "key").join(of_key, "key", "left").select(
-        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links")
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", F.coalesce("links", F.lit(0)).alias("n_links")
     )
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row of least id (then of
+    least text hash, then any of rows that repeat both). Rows without words all stay."""
+    blank = ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    of_rows = join(docs, k, num, den, id_col, text_col).where("root is not null")
+    chosen = of_rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select(F.col("row.doc_id").alias("_kept_id"), F.col("row.text_hash").alias("_kept_hash"))
+    marked = docs.where(~blank).withColumn("_row_id", F.col(id_col).cast("long")).withColumn("_row_hash", F.xxhash64(F.col(text_col)))
+    kept = marked.join(chosen, F.col("_row_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_hash") == F.col("_kept_hash")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_row_id", "_row_hash").orderBy(F.lit(1)))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.where(blank).unionByName(kept.withColumn("_row_place", first).where("_row_place = 1").select(*own))

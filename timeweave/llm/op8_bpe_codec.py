@@ -18,6 +18,7 @@ from array import array
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -118,6 +119,26 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     )
 
 
+def encode_rows(docs: DataFrame, vocabulary: str, pattern: str, to: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the ids of each text in the column ``to``."""
+
+    @F.pandas_udf("binary")
+    def ids(texts: pd.Series) -> pd.Series:
+        return texts.map(codec(vocabulary, pattern).encode)
+
+    return docs.withColumn(to, ids(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def decode_rows(docs: DataFrame, vocabulary: str, pattern: str, ids_col: str, to: str) -> DataFrame:
+    """``docs`` with the bytes that the ids stand for in the column ``to``."""
+
+    @F.pandas_udf("binary")
+    def data(ids: pd.Series) -> pd.Series:
+        return ids.map(codec(vocabulary, pattern).decode)
+
+    return docs.withColumn(to, data(F.col(ids_col)))
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     return decoded.select(
         "doc_id",

@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from timeweave.llm import op1_token_counts, op2_chat_format, op5_token_records, op7_license_scan, op8_bpe_codec, op10_jaccard_join
+from pyspark.sql import functions as F
+
+from timeweave.llm import (
+    op1_token_counts,
+    op2_chat_format,
+    op3_html_text,
+    op4_hamming_search,
+    op5_token_records,
+    op6_decontaminate,
+    op7_license_scan,
+    op8_bpe_codec,
+    op9_quality,
+    op10_jaccard_join,
+)
 from timeweave.llm.common import table
 
 
@@ -23,10 +35,24 @@ def op2_chat_format_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_chat_format.digests(op2_chat_format.read_back(formatted))
 
 
+def op3_html_text_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_hamming_search_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest by sign codes of every row whose id is divisible by 50, against all rows."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), op4_hamming_search.sign_code(F.col("embedding")).alias("code"))
+    return op4_hamming_search.search(rows, rows.where("id % 50 = 0"), k=10)
+
+
 def op5_token_records_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_token_records.digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_decontaminate_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_license_scan_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -37,6 +63,13 @@ def op8_bpe_codec_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_bpe_codec.digests(op8_bpe_codec.decode(encoded, vocabulary, pattern))
 
 
+def op9_quality_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rows = op9_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select(
+        "doc_id", F.col("quality_n_grams").alias("n_grams"), F.col("quality_score").alias("score"), F.col("quality_key").alias("gumbel_key"), F.col("quality_selected").alias("selected")
+    )
+
+
 def op10_jaccard_join_(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = op10_jaccard_join.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
     return linked.select("doc_id", "n_shingles", "component_id", "n_links")
@@ -46,12 +79,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts_,
         "op2_chat_format": op2_chat_format_,
+        "op3_html_text": op3_html_text_,
+        "op4_hamming_search": op4_hamming_search_,
         "op5_token_records": op5_token_records_,
+        "op6_decontaminate": op6_decontaminate_,
         "op7_license_scan": op7_license_scan_,
         "op8_bpe_codec": op8_bpe_codec_,
+        "op9_quality": op9_quality_,
         "op10_jaccard_join": op10_jaccard_join_,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": op2_chat_format.SQL}
+    return {"op2_chat_format": op2_chat_format.SQL, "op4_hamming_search": op4_hamming_search.SQL}

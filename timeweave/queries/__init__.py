@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tables"]
+MODULES = ["tables", "scalars"]
 
 
 def load():

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tables", "scalars"]
+MODULES = ["tables", "scalars", "filters"]
 
 
 def load():

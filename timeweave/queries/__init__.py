@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tables", "scalars", "filters"]
+MODULES = ["tables", "scalars", "filters", "windows"]
 
 
 def load():

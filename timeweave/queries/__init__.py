@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tables", "scalars", "filters", "windows"]
+MODULES = ["tables", "scalars", "filters", "windows", "joins"]
 
 
 def load():

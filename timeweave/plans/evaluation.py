@@ -74,3 +74,27 @@ def unsnapped(questions: DataFrame, parents: DataFrame) -> DataFrame:
     spans = questions.select("question_id", "video_id", F.inline("gold_spans")).select("question_id", "video_id", F.round("s", 1).alias("s"), F.round("e", 1).alias("e"))
     bounds = parents.select("video_id", F.round("start_s", 1).alias("s"), F.round("end_s", 1).alias("e"))
     return spans.join(bounds, ["video_id", "s", "e"], "left_anti")
+
+
+def start_error(first: DataFrame) -> DataFrame:
+    """The median distance of right first results from the anchor, by variant."""
+    right = first.where(F.col("anchor_s").isNotNull() & touches_gold(F.col("gold_spans"), F.col("start_s"), F.col("end_s")))
+    return right.groupBy("variant").agg(F.round(F.percentile(F.abs(F.col("start_s") - F.col("anchor_s")), F.lit(0.5)), 6).alias("error_s"))
+
+
+WEIGHTS, DAMPINGS = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0), (10.0, 30.0, 60.0, 120.0)
+
+
+def sweep(lists: DataFrame, chunks: DataFrame, questions: DataFrame, weights=WEIGHTS, dampings=DAMPINGS) -> DataFrame:
+    """Scores of each lexical weight and damping: lists are fused and judged as one table of cells."""
+    grid = lists.sparkSession.createDataFrame([(w, k) for w in weights for k in dampings], "weight double, damping double")
+    own = lambda r: F.min(F.when(F.col("retriever") == r, F.col("rank")))
+    ranks = lists.groupBy("query_id", "chunk_id").agg(own("semantic").alias("s"), own("lexical").alias("l"))
+    score = F.coalesce(1.0 / (F.col("damping") + F.col("s")), F.lit(0.0)) + F.coalesce(F.col("weight") / (F.col("damping") + F.col("l")), F.lit(0.0))
+    order = Window.partitionBy("weight", "damping", "query_id").orderBy(F.desc("score"), F.asc_nulls_last("s"), F.asc_nulls_last("l"), "chunk_id")
+    cells = ranks.join(F.broadcast(grid)).withColumn("score", score).withColumn("rank", F.row_number().over(order)).where("rank <= 10")  # a row a cell
+    day = 86400.0 * F.col("video_id")
+    spans = chunks.select("chunk_id", (F.col("start_s") + day).alias("start_s"), (F.col("end_s") + day).alias("end_s"))
+    named = cells.join(spans, "chunk_id").select(F.struct("weight", "damping").alias("variant"), F.col("query_id").alias("question_id"), "rank", "start_s", "end_s")
+    scored = per_question(relevance(named, questions))
+    return scored.groupBy("variant").agg(F.round(F.avg("mrr"), 9).alias("mrr"), F.round(F.avg("recall_5"), 9).alias("recall_5")).select("variant.*", "mrr", "recall_5")

@@ -111,3 +111,28 @@ def scan(docs: DataFrame, base=BASE, texts=TEXTS, least: float = 0.9, gap: int =
         F.coalesce(F.max(F.when(real, share)), F.lit(0.0)).alias("score"), F.max("copies").alias("rows"),
     )
     return found.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("of", "rows", "row")
+
+
+def sql(base=BASE, texts=TEXTS, least: float = 0.9, gap: int = 3) -> str:
+    """The same result for ``documents`` by SQL, for comparison."""
+    listed = [*((i, p, x, BASE_K, "true") for i, (p, x) in enumerate(base)), *((len(base) + i, t, x, TEXT_K, "false") for i, (t, x) in enumerate(texts))]
+    values = ", ".join(f"({i}, '{p}', '{x}', {k}, {b})" for i, p, x, k, b in listed)
+    return rf"""
+WITH templates AS (SELECT template, string_split(p, ' ') AS w, label, k, is_base FROM (VALUES {values}) t(template, p, label, k, is_base)),
+grams AS (SELECT template, label, k, is_base, len(w) AS n, unnest(range(len(w) - k + 1)) AS place, unnest(list_transform(range(len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS gram FROM templates),
+words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPLIT}'), lambda x: x <> '') AS w FROM documents),
+ks AS (SELECT unnest([{BASE_K}, {TEXT_K}]) AS k),
+places AS (SELECT doc_id, k, unnest(range(greatest(len(w) - k + 1, 0))) AS pos, unnest(list_transform(range(greatest(len(w) - k + 1, 0)), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS gram FROM words, ks),
+diagonals AS (SELECT doc_id, template, label, is_base, n, pos - place AS diagonal, bit_or(((1::BIGINT << g.k) - 1) << place) AS mask FROM places p JOIN grams g ON g.k = p.k AND g.gram = p.gram GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {gap} THEN 0 ELSE 1 END AS far FROM diagonals),
+numbered AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS copy FROM marked),
+copies AS (
+  SELECT doc_id, template, label, is_base, n, copy, bit_count(bit_or(mask)) / n::DOUBLE AS whole, max(bit_count(mask)) / n::DOUBLE AS one, count(*) FILTER (WHERE is_base AND bit_count(mask) = n) AS n_base,
+    min(diagonal) FILTER (WHERE is_base AND bit_count(mask) = n) AS first_word, max(diagonal) FILTER (WHERE is_base AND bit_count(mask) = n) AS last_word FROM numbered GROUP BY doc_id, template, label, is_base, n, copy),
+scored AS (SELECT *, CASE WHEN is_base THEN one ELSE whole END AS share, CASE WHEN is_base THEN n_base > 0 ELSE whole >= {least} END AS kept FROM copies),
+found AS (
+  SELECT doc_id, CAST(sum(n_base) AS BIGINT) AS n_base, CAST(min(first_word) AS BIGINT) AS first_word, CAST(max(last_word) AS BIGINT) AS last_word, max(share) AS score,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE kept AND is_base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE kept))), ',') AS labels FROM scored GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM words w LEFT JOIN found f USING (doc_id)
+"""

@@ -72,7 +72,7 @@ def op9_quality_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_jaccard_join_(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = op10_jaccard_join.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
-    return linked.select("doc_id", "n_shingles", "component_id", "n_links")
+    return linked.select("doc_id", "n_shingles", "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -91,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": op2_chat_format.SQL, "op4_hamming_search": op4_hamming_search.SQL}
+    return {"op2_chat_format": op2_chat_format.SQL, "op4_hamming_search": op4_hamming_search.SQL, "op7_license_scan": op7_license_scan.sql(), "op10_jaccard_join": op10_jaccard_join.SQL}

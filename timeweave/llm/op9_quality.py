@@ -5,8 +5,9 @@ repeats the one before it. The raw model counts every document of the corpus, th
 those that are labelled good. A document's score is the mean log ratio of the two models over its
 n-grams. Tempered to the weight of ``strength`` n-grams it is the log importance weight, and adding
 Gumbel noise and taking the k greatest samples k documents without replacement in proportion to
-their weights. k is the number of documents whose score is above a cut that at most ``loss`` of the
-good labelled documents fall below. So noise decides only near the cut.
+their weights. k is the number of documents whose score is above a cut. A third of the good labelled
+documents, which the target model does not count, sets it: at most ``loss`` of them lie less than
+``margin`` above it. So noise decides only near the cut.
 
 The noise is a hash of seed, id and text, so that a task that runs again draws the same. Counts are
 summed within tasks and then by bucket; only the models (``BUCKETS`` numbers) and the labelled
@@ -97,11 +98,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class Model:
     """A fitted model: scores and keys as columns, and the key from which on rows are selected."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, loss: float, strength: float, seed: int, max_labelled: int, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, labels: DataFrame, loss: float, margin: float, strength: float, seed: int, max_labelled: int, id_col: str, text_col: str):
         spark = docs.sparkSession
         self.id_col, self.text_col, self.strength, self.seed = id_col, text_col, strength, seed
         good, _ = labelled(labels, max_labelled)
-        ratio = spark.sparkContext.broadcast(fit(docs, good, id_col, text_col))
+        held = good[good.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32) <= np.uint64((1 << 32) // 3)]
+        shown = np.setdiff1d(good, held) if 0 < len(held) < len(good) else good
+        held = held if len(held) else good
+        ratio = spark.sparkContext.broadcast(fit(docs, shown, id_col, text_col))
 
         @F.pandas_udf("n_grams long, score double")
         def score(texts: pd.Series) -> pd.DataFrame:
@@ -119,9 +123,9 @@ class Model:
         store = Store(spark, "quality")
         rows = store.keep(self.scored(docs).select(F.col(id_col).cast("long").alias("doc_id"), "quality_score", "quality_key"), "scores")
         self.rows = rows
-        known = spark.createDataFrame([(int(i),) for i in good], "doc_id long")  # max_labelled rows at most
+        known = spark.createDataFrame([(int(i),) for i in held], "doc_id long")  # max_labelled rows at most
         own = rows.join(F.broadcast(known), "doc_id").select(F.expr("percentile(quality_score, array({}))".format(float(loss))).alias("cut")).first()["cut"]
-        self.cut = min(own[0], 0.0) if own else 0.0
+        self.cut = min(own[0], 0.0) - margin if own else -float("inf")
         self.selected = rows.where(F.col("quality_score") >= self.cut).count()
         self.least_key = kth_greatest(rows, "quality_key", self.selected)
 
@@ -163,9 +167,9 @@ def kth_greatest(rows: DataFrame, key: str, k: int, bins: int = 4096) -> float:
     return low
 
 
-def classify(docs: DataFrame, labels: DataFrame, loss: float = 0.002, strength: float = 400.0, seed: int = 7, max_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+def classify(docs: DataFrame, labels: DataFrame, loss: float = 0.002, margin: float = 0.05, strength: float = 400.0, seed: int = 7, max_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The fitted model, and the rows of ``docs`` with their scores and ``quality_selected``."""
-    model = Model(docs, labels, loss, strength, seed, max_labelled, id_col, text_col)
+    model = Model(docs, labels, loss, margin, strength, seed, max_labelled, id_col, text_col)
     return model, model.scored(docs).withColumn("quality_selected", F.col("quality_key") >= model.least_key)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,18 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="timeweave-")
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder under the one that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder takes its place and is set for the session.
+    local tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="timeweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

@@ -4,20 +4,23 @@ A document's set holds the 64-bit hashes of its distinct shingles. Two sets link
 their intersection is at least ``num`` times their union. The join never looks at pairs of all
 sets, yet loses no link:
 
-1. *Lists.* With t = ceil(num n / den), two linked sets of n and m shingles share t of each at
-   least. So of their q = n - t + s smallest hashes they share s, for any s. Each set lists its q
-   smallest with s as great as n - t + 1. Copies within a task list once.
+1. *Lists.* With t = ceil(num n / den), two linked sets share t shingles of the larger one at
+   least. Each set lists its q smallest hashes: about twice the n - t that it may have for itself,
+   and 160 at least (or all it has). So linked sets have s = q - n + t or more common in their
+   lists, with s of the larger one. Copies within a task list once.
 2. *Rare first.* A shingle's frequency is counted over all lists. As linked sets share at least s'
-   of their lists (s' for the least partner's size), each needs only its q - s' + c rarest to share
-   c of them. Shingles that occur once are among these and drop out, so a document of which most
-   is its own needs no key at all, however common its other passages are.
+   of their lists (s' the least s of the sizes from the own one up that could link), each needs
+   only its q - s' + c rarest to share c of them. Shingles that occur once are among these and drop
+   out, so a document of which most is its own needs no key, however common its other passages are.
 3. *Light sets: subsets.* Sets below a size boundary are keyed by all subsets of c = 2 of these
    shingles, which few unrelated sets share. *Heavy sets: inverted lists.* Sets above it (and those
    below that could link to one above) are keyed by single shingles. The boundary is that of the
-   least cost, subsets made plus list entries scanned, summed over all sets.
+   least cost, summed over all sets: a subset costs a row; a list entry a row too, and a share of
+   the comparison of whole sets that it is likelier to bring about.
 4. *Stars.* In each bucket every set is compared with the bucket's first one, not with all others.
    The links found give components; only sets of one bucket that are still in different components
-   are then compared, if their sizes allow a link. A group of near copies so costs a row a member.
+   are then compared, if their sizes and parities of shingle counts allow a link. A group of near
+   copies so costs a row a member.
 5. Every comparison is of whole sets.
 
 Defined results: null or empty text, or text without words, has an empty set and links with
@@ -41,8 +44,13 @@ from pyspark.sql import functions as F
 from timeweave.llm.common import Memo, Store
 from timeweave.llm.components import components
 
-SETS = "row long, doc_id long, text_hash long, n long, key binary, list array<long>"
-BOUNDARIES = [1, 16, 32, 64, 128, 256, 512]
+SETS = "row long, doc_id long, text_hash long, n long, key binary, list array<long>, sketch array<long>"
+#: Sizes that the boundary is chosen from: 1, and from 8 to 512 by steps of a fifth.
+BOUNDARIES = [1, *sorted({round(8 * 1.189207**i) for i in range(25)})]
+#: Shingles that a set lists at least, if it has as many.
+LISTED = 160
+#: Shingles that take the room of a row, as two exchanges hold it.
+COMPARED = 16
 MAX_WORDS, MAX_SEEN = 300_000, 300_000
 
 
@@ -67,14 +75,40 @@ class Shingler:
         return np.unique(h ^ (h >> np.uint64(32)))
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """For each of 512 classes of hashes, whether the set has an odd number: eight longs."""
+    odd = np.bincount((found & np.uint64(511)).astype(np.intp), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def could_link(a: Column, b: Column, n: Column, num: int, den: int) -> Column:
+    """False only for sets that differ in too many shingles, of which each changes one parity. ``n`` is
+    the sum of the sizes."""
+    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, 8)), F.bit_count(a[0].bitwiseXOR(b[0])))
+    return differ * (den + num) <= n * (den - num)
+
+
 def shared(n: int, num: int, den: int) -> int:
     """t: how many of its n shingles a set shares with any set it links to."""
     return -(-num * n // den)
 
 
-def _prefix(n: Column, num: int, den: int) -> Column:
-    """s = n - t + 1 as a column."""
-    return n - F.ceil(n * num / den).cast("long") + 1
+def listed(n: int, num: int, den: int) -> int:
+    """q: how many of its smallest hashes a set lists."""
+    return min(n, max(2 * (n - shared(n, num, den)) + 1, LISTED))
+
+
+def common(n: Column, num: int, den: int) -> Column:
+    """s' of a set of n: what its list has in common with that of any set it links to, at least."""
+
+    def s(m: Column) -> Column:
+        t = F.ceil(m * num / den).cast("long")
+        return F.least(m, F.greatest(2 * (m - t) + 1, F.lit(LISTED))) - m + t
+
+    # s rises up to LISTED, falls until 2 (n - t) + 1 passes it, and rises again
+    most = F.floor(n * den / num).cast("long")
+    low, high = (LISTED // 2 - 2) * den // (den - num), (LISTED // 2 + 2) * den // (den - num)
+    return F.least(s(n), s(most), F.when((n <= high) & (most >= low), F.lit(LISTED // 2)))
 
 
 def shingle_sets(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -84,7 +118,7 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_
         own, seen, row = Shingler(k), set(), TaskContext.get().partitionId() << 36
         for batch in batches:
             own.words.age()
-            rows, sizes, keys, lists = [], [], [], []
+            rows, sizes, keys, lists, sketches = [], [], [], [], []
             for text in batch.column(2):
                 found = own.shingles(text.as_py())
                 n = len(found)
@@ -97,11 +131,12 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_
                 rows.append(row)
                 sizes.append(n)
                 keys.append(key)
-                lists.append(found[: 2 * (n - shared(n, num, den)) + 1].view(np.int64) if new else None)
+                lists.append(found[: listed(n, num, den)].view(np.int64) if new else None)
+                sketches.append(parities(found) if new else None)
                 row += 1
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            made = [pa.array(c, t) for c, t in zip((rows, sizes, keys, lists), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([made[0], batch.column(0), batch.column(1), *made[1:]], ["row", "doc_id", "text_hash", "n", "key", "list"])
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            made = [pa.array(c, t) for c, t in zip((rows, sizes, keys, lists, sketches), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([made[0], batch.column(0), batch.column(1), *made[1:]], ["row", "doc_id", "text_hash", "n", "key", "list", "sketch"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, SETS)
 
@@ -117,8 +152,7 @@ def rare_entries(sets: DataFrame, num: int, den: int, store: Store) -> DataFrame
     lists = sets.where(F.col("list").isNotNull()).select("row", "n", F.explode("list").alias("token"))
     counted = lists.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
     entries = store.keep(counted, "entries")
-    n = F.col("n")
-    least = _prefix(F.ceil(n * num / den).cast("long"), num, den)
+    least = common(F.col("n"), num, den)
     own = Window.partitionBy("row")
     ranked = entries.withColumn("rank", F.row_number().over(own.orderBy("df", "token"))).withColumn("kept", F.count("*").over(own) - least + 1)
     return ranked.where("rank <= kept + 1 and kept > 0")
@@ -128,7 +162,7 @@ def boundary(entries: DataFrame, num: int, den: int) -> int:
     """The size below which sets are keyed by subsets, of the least cost over all sets."""
     size = F.coalesce(*[F.when(F.col("n") < b, F.lit(b)) for b in BOUNDARIES[1:]], F.lit(1 << 60))
     pairs = (F.col("kept") + 1) * F.col("kept") / 2
-    costs = entries.where("rank <= kept").groupBy(size.alias("below")).agg(F.sum("df").alias("scan"), F.sum(F.when(F.col("rank") == 1, pairs)).alias("subsets"))
+    costs = entries.where("rank <= kept").groupBy(size.alias("below")).agg(F.sum(1 + F.col("n") / COMPARED).alias("scan"), F.sum(F.when(F.col("rank") == 1, pairs)).alias("subsets"))
     found = [(r["below"], r["scan"], r["subsets"] or 0) for r in costs.collect()]  # a row a size class
     cost = lambda x: sum(s for b, _, s in found if b <= x) + sum(c for b, c, _ in found if b > shared(x, num, den))
     return min(BOUNDARIES, key=cost)
@@ -136,9 +170,9 @@ def boundary(entries: DataFrame, num: int, den: int) -> int:
 
 def keyed(entries: DataFrame, limit: int, num: int, den: int) -> DataFrame:
     """``bucket, row, n``: light sets by subsets of two, heavy ones by single shingles."""
-    tiny = next(n for n in range(1, 10_000) if (m := shared(n, num, den)) - shared(m, num, den) + 1 >= 2)
+    tiny = next(m for m in range(1, 10_000) if shared(m, num, den) >= 2)  # linked sets have two in common from here on
     n = F.col("n")
-    single = (n <= (tiny - 1) * den // num) | (n >= shared(limit, num, den))
+    single = (n < tiny) | (n >= shared(limit, num, den))
     lists = entries.where(single & (F.col("rank") <= F.col("kept"))).select(F.xxhash64(F.lit(1), "token").alias("bucket"), "row", "n")
     if limit <= tiny:
         return lists
@@ -178,8 +212,8 @@ def linked(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(den * common >= num * (len(a) + len(b) - common))
+                both_have = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(den * both_have >= num * (len(a) + len(b) - both_have))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -214,9 +248,10 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     # sets of one bucket that are still apart
     placed = buckets.join(early.withColumnRenamed("node", "row"), "row", "left").select("bucket", "row", "n", F.coalesce("root", "row").alias("root"))
     apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high and size > 2")
-    open_ = store.keep(placed.join(apart.select("bucket"), "bucket", "left_semi"), "open")
-    a, b = (open_.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "root")]) for s in "ab")
-    rest = a.join(b, "bucket").where((F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & fits(F.col("n_a"), F.col("n_b"), num, den))
+    open_ = store.keep(placed.join(apart.select("bucket"), "bucket", "left_semi").join(sets.select("row", "sketch"), "row"), "open")
+    a, b = (open_.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "root", "sketch")]) for s in "ab")
+    near = fits(F.col("n_a"), F.col("n_b"), num, den) & could_link(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a") + F.col("n_b"), num, den)
+    rest = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & near)
     rest = rest.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     late = store.keep(linked(rest, whole, num, den), "late")
     final = components(early.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late), store, "final")

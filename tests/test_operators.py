@@ -119,7 +119,8 @@ def test_planted_topic_boundary(spark):
     rows = [(1, i, 30.0 * i, 30.0 * i + 30, "alpha alpha beta" if i < 20 else "gamma gamma delta", [1.0, 0.0] if i < 20 else [0.0, 1.0]) for i in range(40)]
     chunks = spark.createDataFrame(rows, "video_id long, position long, start_s double, end_s double, text string, embedding array<float>")
     coarse = topics.build_topics(chunks).where("level = 'coarse'").orderBy("topic").collect()
-    assert [(r["start_s"], r["end_s"], r["title"]) for r in coarse] == [(0.0, 600.0, "Alpha"), (600.0, 1200.0, "Gamma")] or [r["start_s"] for r in coarse] == [0.0, 600.0]
+    assert [(r["start_s"], r["end_s"]) for r in coarse] == [(0.0, 600.0), (600.0, 1200.0)]
+    assert coarse[0]["title"].startswith("Alpha") and coarse[1]["title"].startswith("Gamma")
 
 
 def test_short_timelines_have_one_topic(spark):

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tables", "scalars", "filters", "windows", "joins", "retrieval", "housekeeping"]
+MODULES = ["tables", "scalars", "filters", "windows", "joins", "retrieval", "housekeeping", "parts"]
 
 
 def load():

@@ -47,7 +47,7 @@ class MergeTable:
         key = (left, right)
         known = self.compatible_memo.get(key)
         if known is None:
-            if len(self.compatible_memo) >= 2_000_000:
+            if len(self.compatible_memo) >= 400_000:
                 self.compatible_memo.clear()
             known = self.compatible_memo[key] = self.merge(left + right) == [left, right]
         return known

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import pyarrow as pa
@@ -55,6 +56,19 @@ class Store:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows in an Arrow batch, so that batches of long texts and sets stay small; for jobs that
+    run within."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Memo(dict):
     """A bounded memo: when ``most`` new entries are in, those used since the last time stay.
 
@@ -81,15 +95,17 @@ class Memo(dict):
             self.clear()
 
 
+#: Rows of an Arrow batch that are worked on, and given out, at once.
+SLICE = 500
+
+
 def by_batch(columns: Callable[[pa.RecordBatch], list], schema: pa.Schema) -> Callable:
-    """A function for mapInArrow that turns each batch into one batch of ``schema``."""
+    """A function for mapInArrow that turns each few hundred rows into a batch of ``schema``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns(batch), schema, strict=True)],
-                    schema=schema,
-                )
+            for at in range(0, batch.num_rows, SLICE):
+                made = zip(columns(batch.slice(at, SLICE)), schema, strict=True)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in made], schema=schema)
 
     return run

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import Memo, Store
+from timeweave.llm.common import Memo, Store, small_batches
 from timeweave.llm.components import components
 
 SETS = "row long, doc_id long, text_hash long, n long, key binary, list array<long>, sketch array<long>"
@@ -51,7 +51,7 @@ BOUNDARIES = [1, *sorted({round(8 * 1.189207**i) for i in range(25)})]
 LISTED = 160
 #: Shingles that take the room of a row, as two exchanges hold it.
 COMPARED = 16
-MAX_WORDS, MAX_SEEN = 300_000, 300_000
+MAX_WORDS, MAX_SEEN = 100_000, 300_000
 
 
 class Shingler:
@@ -223,6 +223,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     """A row for each row of ``docs``: ``doc_id, text_hash, n_shingles, component_id``, ``root`` (the
     component's key, null for an empty set) and ``n_links``, the links found with other sets (those within one component that the stars did
     not need are not counted)."""
+    with small_batches(docs.sparkSession):
+        return _join(docs, k, num, den, id_col, text_col)
+
+
+def _join(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     store = Store(docs.sparkSession, "jaccard")
     sets = store.keep(shingle_sets(docs, k, num, den, id_col, text_col), "sets")
     ranked = store.keep(rare_entries(sets, num, den, store), "ranked")
@@ -254,6 +259,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     rest = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & near)
     rest = rest.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     late = store.keep(linked(rest, whole, num, den), "late")
+    store.drop("whole", "open", "rows", "tried", "buckets")
     final = components(early.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late), store, "final")
 
     ends = found.unionByName(late).select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("links"))

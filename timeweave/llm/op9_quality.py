@@ -122,12 +122,12 @@ class Model:
         self.udf = score
         store = Store(spark, "quality")
         rows = store.keep(self.scored(docs).select(F.col(id_col).cast("long").alias("doc_id"), "quality_score", "quality_key"), "scores")
-        self.rows = rows
         known = spark.createDataFrame([(int(i),) for i in held], "doc_id long")  # max_labelled rows at most
         own = rows.join(F.broadcast(known), "doc_id").select(F.expr("percentile(quality_score, array({}))".format(float(loss))).alias("cut")).first()["cut"]
         self.cut = min(own[0], 0.0) - margin if own else -float("inf")
         self.selected = rows.where(F.col("quality_score") >= self.cut).count()
         self.least_key = kth_greatest(rows, "quality_key", self.selected)
+        store.drop("scores")
 
     def scored(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``quality_n_grams``, ``quality_score`` and ``quality_key``."""

@@ -26,6 +26,7 @@ from timeweave.llm import (  # noqa: E402
     op9_quality,
     op10_jaccard_join,
     queries,
+    toxicity,
 )
 from timeweave.llm.components import components  # noqa: E402
 from timeweave.llm.common import Store  # noqa: E402
@@ -271,6 +272,23 @@ def test_op9_tells_held_out_labels(spark):
     assert shares[1, 0] >= 0.98 and shares[0, 0] <= 0.15
 
 
+def test_op9_leaves_out_held_out_toxic_documents(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    _, rows = op9_quality.classify(docs, labels.where("doc_id % 2 = 0"))
+    held = rows.join(labels.where("doc_id % 2 = 1 and quality = 1"), "doc_id").groupBy("toxic").agg(F.avg(F.col("quality_selected").cast("int")).alias("s"))
+    shares = {r["toxic"]: r["s"] for r in held.collect()}
+    assert shares[1] <= 0.1 and shares[0] >= 0.99
+
+
+def test_op9_toxicity_reads_whole_texts():
+    found = np.concatenate([x[0] for x in toxicity.word_features("one Two « three »\n" * 100_000)])  # over several slices
+    words = np.concatenate([x[0] for x in toxicity.word_features("one two three")])
+    assert len(set(words)) == 3 and found.tolist() == words.tolist() * 100_000
+    evidence = toxicity.Evidence(words[[1]], np.array([2.0]))
+    assert evidence.toxicity("clean " * 500_000 + "(TWO)") == 2.0 and evidence.toxicity("two " + "clean " * 70 + "two") == 2.0 and evidence.toxicity("two " + "clean " * 62 + "two") == 4.0
+    assert evidence.toxicity("") == 0 and evidence.toxicity("twofold") == 0 and evidence.toxicity("x" * (toxicity.SLICE_BYTES * 2)) == 0
+
+
 def test_op9_edges(spark, edge, empty):
     labels = spark.createDataFrame([(0, 1, 0), (1, None, None), (None, 1, 0), (4, 0, 0), (4, 1, 0), (6, 1, None)], "doc_id long, quality int, toxic int")
     for own in (labels, labels.limit(0)):

@@ -9,6 +9,9 @@ their weights. k is the number of documents whose score is above a cut. A third
 documents, which the target model does not count, sets it: at most ``loss`` of them lie less than
 ``margin`` above it. So noise decides only near the cut.
 
+The target model cannot tell good prose that holds toxic words. ``timeweave.llm.toxicity`` learns
+these from labels; documents above its cut are set aside before k is counted and are never selected.
+
 The noise is a hash of seed, id and text, so that a task that runs again draws the same. Counts are
 summed within tasks and then by bucket; only the models (``BUCKETS`` numbers) and the labelled
 sample (at most ``max_labelled`` rows, those of least hash) come to the driver and go to tasks.
@@ -31,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timeweave.llm import toxicity
 from timeweave.llm.common import Store
 
 BUCKETS = 1 << 16  # of byte n-grams; two more count words that repeat and words that do not
@@ -51,12 +55,13 @@ def features(text: str) -> Iterator[np.ndarray]:
         yield np.repeat(np.array([BUCKETS, BUCKETS + 1], np.intp), [again, len(words) - again])
 
 
-def labelled(labels: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of good and of other labelled documents, ``most`` rows at most."""
+def labelled(labels: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of good, of other and of toxic labelled documents, ``most`` rows at most."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     rows = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
     good = {r["doc_id"] for r in rows if r["quality"] == 1 and not r["toxic"]}
-    return np.array(sorted(good), np.int64), np.array(sorted(r["doc_id"] for r in rows if r["doc_id"] not in good), np.int64)
+    others, toxic = ([r["doc_id"] for r in rows if r["doc_id"] not in good], [r["doc_id"] for r in rows if r["toxic"]])
+    return tuple(np.array(sorted(ids), np.int64) for ids in (good, others, toxic))
 
 
 def fit(docs: DataFrame, good: np.ndarray, id_col: str, text_col: str) -> np.ndarray:
@@ -98,18 +103,23 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class Model:
     """A fitted model: scores and keys as columns, and the key from which on rows are selected."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, loss: float, margin: float, strength: float, seed: int, max_labelled: int, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, labels: DataFrame, loss: float, margin: float, strength: float, seed: int, max_labelled: int, toxic_loss: float, id_col: str, text_col: str):
         spark = docs.sparkSession
         self.id_col, self.text_col, self.strength, self.seed = id_col, text_col, strength, seed
-        good, _ = labelled(labels, max_labelled)
+        good, others, toxic = labelled(labels, max_labelled)
         held = good[good.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32) <= np.uint64((1 << 32) // 3)]
         shown = np.setdiff1d(good, held) if 0 < len(held) < len(good) else good
         held = held if len(held) else good
         ratio = spark.sparkContext.broadcast(fit(docs, shown, id_col, text_col))
 
-        @F.pandas_udf("n_grams long, score double")
+        kinds = [(i, kind == "toxic", kind == "good") for kind, ids in (("good", good), ("toxic", toxic), ("other", np.setdiff1d(others, toxic))) for i in ids.tolist()]
+        sample = spark.createDataFrame(kinds, "doc_id long, toxic boolean, good boolean")  # max_labelled rows at most
+        marked, self.toxic_cut = toxicity.fit(_texts(docs, id_col, text_col).join(F.broadcast(sample), "doc_id"), toxic_loss)
+        evidence = spark.sparkContext.broadcast(marked)
+
+        @F.pandas_udf("n_grams long, score double, toxicity double")
         def score(texts: pd.Series) -> pd.DataFrame:
-            sizes, scores = [], []
+            sizes, scores, marks = [], [], []
             for text in texts:
                 n, total = 0, 0.0
                 for grams in features(text):
@@ -117,24 +127,26 @@ class Model:
                     total += float(ratio.value[grams].sum())
                 sizes.append(n)
                 scores.append(total / n if n else 0.0)
-            return pd.DataFrame({"n_grams": sizes, "score": scores})
+                marks.append(evidence.value.toxicity(text))
+            return pd.DataFrame({"n_grams": sizes, "score": scores, "toxicity": marks})
 
         self.udf = score
         store = Store(spark, "quality")
-        rows = store.keep(self.scored(docs).select(F.col(id_col).cast("long").alias("doc_id"), "quality_score", "quality_key"), "scores")
+        rows = store.keep(self.scored(docs).select(F.col(id_col).cast("long").alias("doc_id"), "quality_score", "quality_key", "quality_toxicity"), "scores")
         known = spark.createDataFrame([(int(i),) for i in held], "doc_id long")  # max_labelled rows at most
         own = rows.join(F.broadcast(known), "doc_id").select(F.expr("percentile(quality_score, array({}))".format(float(loss))).alias("cut")).first()["cut"]
         self.cut = min(own[0], 0.0) - margin if own else -float("inf")
+        rows = rows.where(F.col("quality_toxicity") <= self.toxic_cut)
         self.selected = rows.where(F.col("quality_score") >= self.cut).count()
         self.least_key = kth_greatest(rows, "quality_key", self.selected)
         store.drop("scores")
 
     def scored(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``quality_n_grams``, ``quality_score`` and ``quality_key``."""
+        """``docs`` with ``quality_n_grams``, ``quality_score``, ``quality_key`` and ``quality_toxicity``."""
         text = F.coalesce(F.col(self.text_col), F.lit(""))
         made = docs.withColumn("quality_of", self.udf(text))
         return made.withColumns({
-            "quality_n_grams": F.col("quality_of.n_grams"), "quality_score": F.col("quality_of.score"),
+            "quality_n_grams": F.col("quality_of.n_grams"), "quality_score": F.col("quality_of.score"), "quality_toxicity": F.col("quality_of.toxicity"),
             "quality_key": F.col("quality_of.score") * self.strength + gumbel(F.lit(self.seed), F.col(self.id_col).cast("long"), F.xxhash64(text)),
         }).drop("quality_of")
 
@@ -167,10 +179,10 @@ def kth_greatest(rows: DataFrame, key: str, k: int, bins: int = 4096) -> float:
     return low
 
 
-def classify(docs: DataFrame, labels: DataFrame, loss: float = 0.002, margin: float = 0.05, strength: float = 400.0, seed: int = 7, max_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+def classify(docs: DataFrame, labels: DataFrame, loss: float = 0.002, margin: float = 0.05, strength: float = 400.0, seed: int = 7, max_labelled: int = 20_000, toxic_loss: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The fitted model, and the rows of ``docs`` with their scores and ``quality_selected``."""
-    model = Model(docs, labels, loss, margin, strength, seed, max_labelled, id_col, text_col)
-    return model, model.scored(docs).withColumn("quality_selected", F.col("quality_key") >= model.least_key)
+    model = Model(docs, labels, loss, margin, strength, seed, max_labelled, toxic_loss, id_col, text_col)
+    return model, model.scored(docs).withColumn("quality_selected", (F.col("quality_key") >= model.least_key) & (F.col("quality_toxicity") <= model.toxic_cut))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

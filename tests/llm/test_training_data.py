@@ -232,6 +232,14 @@ def test_op6_finds_all_within_the_budget(spark):
     assert op6_decontaminate.contaminated(rows.limit(0), tests).count() == 0 and op6_decontaminate.clean(rows, tests.limit(0)).count() == len(docs)
 
 
+def test_op6_finds_exact_copies_of_short_items(spark):
+    docs = spark.createDataFrame([(1, "Ask: WHO am I? Then."), (2, "who am ill"), (3, "他说：我是谁？然后"), (4, "swho am i")], "doc_id long, text string")
+    tests = spark.createDataFrame([(7, "Who am I?"), (8, "我是谁"), (9, "?!"), (None, "who am i")], "item_id long, text string")
+    found = sorted(((r["doc_id"], r["item_id"], r["distance"], r["budget"], r["end"]) for r in op6_decontaminate.contaminated(docs, tests).collect()), key=str)
+    assert found == [(1, 7, 0, 0, 12), (1, None, 0, 0, 12), (3, 8, 0, 0, 18)]
+    assert {r["doc_id"] for r in op6_decontaminate.clean(docs, tests).collect()} == {2, 4}
+
+
 def test_op7_edges(spark, edge, empty):
     texts = ["The MIT  License and CC-BY 4.0", "gnu general gnu general public license", "this work is kindly licensed under the gnu general public license, version 3", None, "éMIT licensE", "mit license mit license"]
     rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] * 2, "doc_id long, text string, label string")

@@ -10,7 +10,9 @@ column) decides each window.
 Documents are not shuffled, and each text is read whole. Test items go to the tasks in blocks of a
 bounded size, one pass over the documents each.
 
-Defined results: an item that folds to fewer than ``shortest`` bytes, or is null, matches nothing. A
+Defined results: an item that folds to fewer than ``shortest`` bytes has no error budget and matches
+exact copies whose ends do not cut a word (signs of scripts without spaces are words of their own).
+An item that is null or folds to nothing matches nothing. A
 null or empty text has no hits. An item that occurs in a text several times gives one row, with the
 least distance and the first place that has it. Repeated rows and items are rows of their own.
 """
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timeweave.llm.toxicity import _UNSPACED
+
 BLOCK_BYTES = 4 << 20
 _SIGNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -75,7 +79,16 @@ class Item:
 
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float, shortest: int):
-        self.items = [Item(i, d, rate) for i, t in items if len(d := fold(t)) >= shortest]
+        folded = [(i, d) for i, t in items if (d := fold(t))]
+        self.items = [Item(i, d, rate) for i, d in folded if len(d) >= shortest]
+        self.short: dict[str, list[int]] = {}
+        for i, d in folded:
+            if len(d) < shortest:
+                self.short.setdefault(d.decode("latin-1"), []).append(i)
+        self.exact = ahocorasick.Automaton()
+        for data in self.short:
+            self.exact.add_word(data, data)
+        self.exact.make_automaton()
         places: dict[str, list[tuple[int, int]]] = {}
         for n, item in enumerate(self.items):
             for at, piece in item.pieces():
@@ -87,9 +100,12 @@ class Matcher:
 
     def hits(self, text: str) -> list[tuple[int, int, int, int]]:
         """``item_id, distance, budget, end`` of each item within its budget."""
-        if not self.items:
+        if not self.items and not self.short:
             return []
         data = fold(text)
+        found = self.copies(data) if self.short else []
+        if not self.items:
+            return sorted(found, key=_first_unknown)
         windows: dict[int, list[list[int]]] = {}
         for last, (length, where) in self.automaton.iter(data.decode("latin-1")):
             for n, at in where:
@@ -101,7 +117,6 @@ class Matcher:
                     own[-1] = [min(start, own[-1][0]), max(stop, own[-1][1])]
                 else:
                     own.append([start, stop])
-        found = []
         for n, own in windows.items():
             item, best = self.items[n], None
             for start, stop in own:
@@ -113,7 +128,27 @@ class Matcher:
                     best = (distance, start + end)
             if best:
                 found.append((item.item_id, best[0], item.budget, best[1]))
-        return sorted(found)
+        return sorted(found, key=_first_unknown)
+
+    def copies(self, data: bytes) -> list[tuple[int, int, int, int]]:
+        """The first exact copy of each short item, as ``hits`` has them."""
+        ends: dict[str, int] = {}
+        for last, item in self.exact.iter(data.decode("latin-1")):
+            if item not in ends and _apart(data, last + 1 - len(item)) and _apart(data, last + 1):
+                ends[item] = last + 1
+        return [(i, 0, 0, end) for item, end in ends.items() for i in self.short[item]]
+
+
+def _apart(data: bytes, at: int) -> bool:
+    """Whether no word goes on across this place."""
+    if not 0 < at < len(data):
+        return True
+    a, b = data[max(0, at - 4) : at].decode("utf-8", "ignore")[-1:], data[at : at + 4].decode("utf-8", "ignore")[:1]
+    return not (a.isalnum() and b.isalnum()) or bool(_UNSPACED.match(a) or _UNSPACED.match(b))
+
+
+def _first_unknown(hit: tuple) -> tuple:
+    return hit[0] is not None, hit[0] or 0, *hit[1:]
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:

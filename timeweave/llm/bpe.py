@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import base64
 import json
-from functools import cache
+
+#: Pairs of tokens whose compatibility is remembered.
+MAX_PAIRS = 200_000
 
 
 class MergeTable:
@@ -47,7 +49,7 @@ class MergeTable:
         key = (left, right)
         known = self.compatible_memo.get(key)
         if known is None:
-            if len(self.compatible_memo) >= 400_000:
+            if len(self.compatible_memo) >= MAX_PAIRS:
                 self.compatible_memo.clear()
             known = self.compatible_memo[key] = self.merge(left + right) == [left, right]
         return known
@@ -61,9 +63,8 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-@cache
 def load(path: str) -> MergeTable:
-    """Once per Python worker: a ``.json`` of the tokenizers library, or a ``.tiktoken`` of ranks."""
+    """A merge table from a ``.json`` of the tokenizers library, or a ``.tiktoken`` of ranks."""
     if path.endswith(".tiktoken"):
         with open(path, "rb") as f:
             ids = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -95,6 +96,22 @@ class Memo(dict):
             self.clear()
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What ``make()`` gives, kept by this Python worker until it needs something else.
+
+    Spark uses its workers again for other stages, so a worker keeps the tables of one operator
+    alone: those of the last one go before new ones are built.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 #: Rows of an Arrow batch that are worked on, and given out, at once.
 SLICE = 500
 

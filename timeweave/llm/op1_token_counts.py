@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timeweave.llm import bpe
-from timeweave.llm.common import Memo, by_batch
+from timeweave.llm.common import Memo, by_batch, held
 from timeweave.llm.pieces import cut
 
 MAX_STATES, MAX_PIECES = 250_000, 200_000
@@ -93,13 +93,8 @@ class CountingTransducer:
         return sum(map(self.counts.__getitem__, pieces))
 
 
-_compiled: dict[str, CountingTransducer] = {}
-
-
 def transducer(path: str) -> CountingTransducer:
-    if path not in _compiled:
-        _compiled[path] = CountingTransducer(bpe.load(path))
-    return _compiled[path]
+    return held(("counts", path), lambda: CountingTransducer(bpe.load(path)))
 
 
 def split_special(text: str, special: dict[str, int]) -> list[str]:

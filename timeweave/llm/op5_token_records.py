@@ -28,7 +28,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import Memo, by_batch, shared_folder
+from timeweave.llm.common import Memo, by_batch, held, shared_folder
 from timeweave.llm.op1_token_counts import split_special
 from timeweave.llm.pieces import cut
 
@@ -97,10 +96,8 @@ class LibraryEncoder:
         return [b"".join((*x, last)) for x in out]
 
 
-@cache
 def encoder(path: str) -> LibraryEncoder:
-    """Once per Python worker."""
-    return LibraryEncoder(path)
+    return held(("library", path), lambda: LibraryEncoder(path))
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timeweave.llm.common import held
 from timeweave.llm.toxicity import _UNSPACED
 
 BLOCK_BYTES = 4 << 20
@@ -159,16 +160,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == block).collect()]
 
 
-_matchers: dict = {}
-
-
 def matcher(items: tuple, rate: float, shortest: int) -> Matcher:
-    """Built once for the tasks of a worker; the last one only is kept."""
-    key = (items, rate, shortest)
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(list(items), rate, shortest)
-    return _matchers[key]
+    return held(("matcher", items, rate, shortest), lambda: Matcher(list(items), rate, shortest))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.07, shortest: int = 40, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

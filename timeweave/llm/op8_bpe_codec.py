@@ -9,7 +9,8 @@ visit: one bit for each byte makes the whole walk linear, and its result that of
 Compatibility of neighbours and the ids of short pieces are memoised, up to a bound.
 
 Defined results: null or empty text has no ids, and decodes to no bytes. Each input row gives one
-output row, whatever its id. Only the two named columns are read.
+output row, whatever its id (null and repeated ids included). Only the two named columns are read,
+so other columns may have any names; they are not in the result.
 """
 
 from __future__ import annotations
@@ -18,16 +19,15 @@ from array import array
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timeweave.llm import bpe
-from timeweave.llm.common import Memo, by_batch
+from timeweave.llm.common import Memo, by_batch, held
 
-MAX_PIECES = 120_000
+MAX_PIECES = 60_000
 
 
 class Codec:
@@ -86,14 +86,8 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    key = (path, pattern)
-    if key not in _codecs:
-        _codecs[key] = Codec(path, pattern)
-    return _codecs[key]
+    return held(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,8 +97,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         own = codec(vocabulary, pattern)
         return [batch.column(0), [own.encode(t.as_py()) for t in batch.column(1)]]
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(by_batch(columns, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])), "doc_id long, ids binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    return _texts(docs, id_col, text_col).mapInArrow(by_batch(columns, schema), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -119,24 +113,25 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     )
 
 
-def encode_rows(docs: DataFrame, vocabulary: str, pattern: str, to: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the ids of each text in the column ``to``."""
-
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
-        return texts.map(codec(vocabulary, pattern).encode)
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids, decoded``, and whether the decoded bytes are those of the text (``exact``).
 
-    return docs.withColumn(to, ids(F.coalesce(F.col(text_col), F.lit(""))))
+    The same rows as ``decode(encode(...))``, with one codec, in one Python worker for each task.
+    """
 
+    def columns(batch: pa.RecordBatch) -> list:
+        own = codec(vocabulary, pattern)
+        texts = batch.column(1).to_pylist()
+        ids = [own.encode(t) for t in texts]
+        decoded = [own.decode(x) for x in ids]
+        return [batch.column(0), ids, decoded, [d == t.encode("utf-8", "surrogatepass") for d, t in zip(decoded, texts, strict=True)]]
 
-def decode_rows(docs: DataFrame, vocabulary: str, pattern: str, ids_col: str, to: str) -> DataFrame:
-    """``docs`` with the bytes that the ids stand for in the column ``to``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary()), ("exact", pa.bool_())])
+    return _texts(docs, id_col, text_col).mapInArrow(by_batch(columns, schema), "doc_id long, ids binary, decoded binary, exact boolean")
 
-    @F.pandas_udf("binary")
-    def data(ids: pd.Series) -> pd.Series:
-        return ids.map(codec(vocabulary, pattern).decode)
 
-    return docs.withColumn(to, data(F.col(ids_col)))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def digests(decoded: DataFrame) -> DataFrame:

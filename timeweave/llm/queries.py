@@ -59,8 +59,7 @@ def op7_license_scan_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe_codec_(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = op8_bpe_codec.encode(table(spark, sf_dir, "documents"), vocabulary, pattern)
-    return op8_bpe_codec.digests(op8_bpe_codec.decode(encoded, vocabulary, pattern))
+    return op8_bpe_codec.digests(op8_bpe_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary, pattern))
 
 
 def op9_quality_(spark: SparkSession, sf_dir: str) -> DataFrame:

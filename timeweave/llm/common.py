@@ -43,16 +43,22 @@ class Store:
     """Tables that a job writes to the shared folder to cut lineage, and drops when done."""
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.root = spark, shared_folder(spark, what)
+        self.spark, self.root, self.names = spark, shared_folder(spark, what), set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def only(self, *names: str) -> None:
+        """Drops all tables but these."""
+        self.drop(*self.names - set(names))
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
+            self.names.discard(name)
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -17,10 +17,12 @@ sets, yet loses no link:
    below that could link to one above) are keyed by single shingles. The boundary is that of the
    least cost, summed over all sets: a subset costs a row; a list entry a row too, and a share of
    the comparison of whole sets that it is likelier to bring about.
-4. *Stars.* In each bucket every set is compared with the bucket's first one, not with all others.
-   The links found give components; only sets of one bucket that are still in different components
-   are then compared, if their sizes and parities of shingle counts allow a link. A group of near
-   copies so costs a row a member.
+4. *Stars.* In each bucket every set is compared with one of them, the pivot, not with all others.
+   The links found give components, and the pivot, which is done, leaves the bucket. Buckets whose
+   sets are still in different components get another pivot, for a few rounds; then only sets of one
+   bucket that are in different components are compared, if their sizes and parities of shingle
+   counts allow a link. A group of near copies so costs a row a member and round. Links are looked
+   at as links between the components known so far, so that no round hands on more of them.
 5. Every comparison is of whole sets.
 
 Defined results: null or empty text, or text without words, has an empty set and links with
@@ -51,6 +53,8 @@ BOUNDARIES = [1, *sorted({round(8 * 1.189207**i) for i in range(25)})]
 LISTED = 160
 #: Shingles that take the room of a row, as two exchanges hold it.
 COMPARED = 16
+#: Rounds of stars at most, and the pairs a row in the open buckets from which on another round is worth it.
+ROUNDS, FEW = 2, 8
 MAX_WORDS, MAX_SEEN = 100_000, 300_000
 
 
@@ -203,9 +207,9 @@ def whole_sets(docs: DataFrame, sets: DataFrame, rows: DataFrame, k: int, id_col
 
 
 def linked(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets link."""
+    """Those of the pairs (a, b, root_a, root_b) whose whole sets link: the distinct pairs of their roots."""
     left, right = whole.select(F.col("row").alias("a"), F.col("tokens").alias("x")), whole.select(F.col("row").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    both = pairs.join(left, "a").join(right, "b").select("root_a", "root_b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,75 +220,91 @@ def linked(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(den * both_have >= num * (len(a) + len(b) - both_have))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def _moved(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """``rows`` with each root that ``moved`` (node, root) has moved replaced."""
+    to = moved.select(F.col("node").alias("_from"), F.col("root").alias("_to"))
+    return rows.join(to, F.col("root") == F.col("_from"), "left").withColumn("root", F.coalesce("_to", "root")).drop("_from", "_to")
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: ``doc_id, text_hash, n_shingles, component_id``, ``root`` (the
-    component's key, null for an empty set) and ``n_links``, the links found with other sets (those within one component that the stars did
-    not need are not counted)."""
+    """A row for each row of ``docs``: ``doc_id, text_hash, n_shingles, component_id`` and ``root`` (the
+    component's key, null for an empty set). Links are not counted: those within one component that
+    were not needed to find it are never looked at."""
     with small_batches(docs.sparkSession):
         return _join(docs, k, num, den, id_col, text_col)
 
 
 def _join(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    store = Store(docs.sparkSession, "jaccard")
+    spark = docs.sparkSession
+    store = Store(spark, "jaccard")
     sets = store.keep(shingle_sets(docs, k, num, den, id_col, text_col), "sets")
     ranked = store.keep(rare_entries(sets, num, den, store), "ranked")
     store.drop("entries")
     buckets = store.keep(keyed(ranked, boundary(ranked, num, den), num, den), "buckets")
     store.drop("ranked")
 
-    star = Window.partitionBy("bucket")
-    first = F.min(F.struct("row", "n")).over(star)
-    stars = buckets.select("row", "n", first.alias("first")).where((F.col("row") != F.col("first.row")) & fits(F.col("n"), F.col("first.n"), num, den))
-    tried = store.keep(stars.select(F.col("first.row").alias("a"), F.col("row").alias("b")).distinct(), "tried")
     members = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    rows = store.keep(buckets.join(members, "bucket", "left_semi").select("row").distinct(), "rows")
-    whole = store.keep(whole_sets(docs, sets, rows, k, id_col, text_col), "whole")
-    found = store.keep(linked(tried, whole, num, den), "found")
+    placed = store.keep(buckets.join(members, "bucket", "left_semi").withColumn("root", F.col("row")), "placed-0")
+    store.drop("buckets")
+    whole = store.keep(whole_sets(docs, sets, placed.select("row").distinct(), k, id_col, text_col), "whole")
 
     # copies that different tasks have listed
     named = sets.where(F.col("list").isNotNull()).select("row", "key")
     copies = named.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most")
-    same = named.join(copies, "key").select(F.col("least").alias("a"), F.col("row").alias("b")).where("a <> b")
-    early = components(found.unionByName(same), store, "early")
+    links = named.join(copies, "key").select(F.col("least").alias("a"), F.col("row").alias("b")).where("a <> b")
+    roots = spark.createDataFrame([], "node long, root long")
+
+    for n in range(ROUNDS):
+        pivot = F.min(F.struct(F.xxhash64(F.lit(n), "row").alias("order"), "row", "n", "root")).alias("pivot")
+        dealt = placed.join(placed.groupBy("bucket").agg(pivot), "bucket").where("row <> pivot.row")
+        tried = dealt.where((F.col("root") != F.col("pivot.root")) & fits(F.col("n"), F.col("pivot.n"), num, den))
+        tried = tried.select(F.col("pivot.row").alias("a"), F.col("row").alias("b"), F.col("pivot.root").alias("root_a"), F.col("root").alias("root_b")).distinct()
+        found = store.keep(linked(tried, whole, num, den), f"found-{n}")
+        moved = components(links.unionByName(found), store, f"star-{n}")
+        roots, links = store.keep(_moved(roots, moved).unionByName(moved), f"roots-{n}"), links.limit(0)
+        dealt = _moved(dealt.select("bucket", "row", "n", "root"), moved)
+        apart = dealt.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        placed = store.keep(dealt.join(apart, "bucket", "left_semi"), f"placed-{n + 1}")
+        store.only("sets", "whole", f"placed-{n + 1}", f"roots-{n}")
+        sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
+        if not sizes[0] or sizes[1] <= FEW * sizes[0]:
+            break
 
     # sets of one bucket that are still apart
-    placed = buckets.join(early.withColumnRenamed("node", "row"), "row", "left").select("bucket", "row", "n", F.coalesce("root", "row").alias("root"))
-    apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high and size > 2")
-    open_ = store.keep(placed.join(apart.select("bucket"), "bucket", "left_semi").join(sets.select("row", "sketch"), "row"), "open")
+    open_ = store.keep(placed.join(sets.select("row", "sketch"), "row"), "open")
     a, b = (open_.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "root", "sketch")]) for s in "ab")
     near = fits(F.col("n_a"), F.col("n_b"), num, den) & could_link(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a") + F.col("n_b"), num, den)
     rest = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & near)
-    rest = rest.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    late = store.keep(linked(rest, whole, num, den), "late")
-    store.drop("whole", "open", "rows", "tried", "buckets")
-    final = components(early.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late), store, "final")
-
-    ends = found.unionByName(late).select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("links"))
-    roots = named.join(final.withColumnRenamed("node", "row"), "row", "left").join(ends, "row", "left")
-    by_key = roots.groupBy("key").agg(F.min(F.coalesce("root", "row")).alias("root"), F.sum("links").alias("links"))
+    rest = rest.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "root_a", "root_b").distinct()
+    moved = components(store.keep(linked(rest, whole, num, den), "late"), store, "last")
+    roots = _moved(roots, moved).unionByName(moved)
+
+    of_key = named.join(roots, F.col("row") == F.col("node"), "left").groupBy("key").agg(F.min(F.coalesce("root", "row")).alias("root"))
     least = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    of_key = by_key.join(least, "key")
+    of_key = of_key.join(least, "key")
     ids = of_key.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_key = of_key.join(ids, "root").select("key", "component_id", "root", "links")
+    of_key = store.keep(of_key.join(ids, "root").select("key", "component_id", "root"), "components")
+    store.only("sets", "components")  # which the result reads
     return sets.select("doc_id", "text_hash", "n", "key").join(of_key, "key", "left").select(
-        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", F.coalesce("links", F.lit(0)).alias("n_links")
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root"
     )
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row of least id (then of
-    least text hash, then any of rows that repeat both). Rows without words all stay."""
-    blank = ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    least text hash, then any of rows that repeat both). Rows without words all stay. Columns of
+    ``docs`` may have any names; all are given back."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"), own)
     of_rows = join(docs, k, num, den, id_col, text_col).where("root is not null")
-    chosen = of_rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select(F.col("row.doc_id").alias("_kept_id"), F.col("row.text_hash").alias("_kept_hash"))
-    marked = docs.where(~blank).withColumn("_row_id", F.col(id_col).cast("long")).withColumn("_row_hash", F.xxhash64(F.col(text_col)))
-    kept = marked.join(chosen, F.col("_row_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_hash") == F.col("_kept_hash")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_row_id", "_row_hash").orderBy(F.lit(1)))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.where(blank).unionByName(kept.withColumn("_row_place", first).where("_row_place = 1").select(*own))
+    chosen = of_rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select(F.col("row.doc_id").alias("kept_id"), F.col("row.text_hash").alias("kept_hash"))
+    kept = rows.where("words").join(chosen, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(1)))
+    once = kept.withColumn("place", first).where("place = 1").select("own")
+    return rows.where("not words").select("own").unionByName(once).select("own.*")
 
 
 #: The components of four-word shingle sets at a similarity of 0.85 by SQL, from all pairs that share

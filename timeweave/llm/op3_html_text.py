@@ -3,22 +3,34 @@
 A page becomes a tree of elements with text (raw text elements and comments left out; open
 paragraphs, list items, cells and the like end where HTML has them end). Elements that are page
 furniture by tag, role or name (menus, headers, footers, side bars, notices, adverts, forms, reader
-comments) are cut. Each paragraph then passes points to its parent, and half of them to its
-grandparent: one, one for each comma, and up to three for length. A container's score is discounted
-by its link density. The best container is kept with those siblings that score or read like it; a
-container inside an ``article`` or ``main`` element stands for that whole element.
+comments) are cut. A name is that of a whole class or id: ``no-sidebar`` or ``comments-enabled`` say
+how a page is laid out, and an element that holds an ``article`` or ``main`` is never furniture by
+name. Where all text lies in elements with such names, names do not count.
+
+Each paragraph (the text that stands directly in a block, or between line breaks in a container) has
+points: one, one for each comma, and up to three for length, less its share of link text. It passes
+them to its container, half of them one element up, and ever smaller shares further up. A
+container's score is discounted by the link density of all its text. The best container is kept with
+what stands beside it, elements and bare text, unless that is mostly links; a container inside an
+``article`` or ``main`` element stands for that whole element.
 
 The text is that of the blocks in page order: white space inside a block is one space, blocks are
 joined by one space, character references are decoded.
 
+A page takes time in proportion to its length: sizes, links and commas of all elements are summed in
+one walk from the leaves up, open elements are found by the places of their tags on the stack, and
+a tag that never ends makes the rest of its page be read with simpler tag ends.
+
 Defined results: null or empty html, or a page of furniture alone, has an empty text. A page without
-paragraphs gives what text its body has outside furniture. Rows are pages, also where ids repeat.
+scored containers gives what text its body has outside furniture. Rows are pages, also where ids
+repeat or are null. Columns but id, url and html are not read, and may have any names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,121 +41,296 @@ from timeweave.llm.common import by_batch
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object xmp noembed noframes".split())
+RAW = frozenset("script style noscript template iframe textarea title noembed noframes".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul xmp".split()
 )
 #: Start tags that end an open element, and the elements that it cannot be ended through.
 P_ENDERS = BLOCKS - frozenset("body html td th tr tbody thead tfoot li dd dt option optgroup caption legend".split())
-ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
-WALLS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
+ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
+WALLS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
+#: Blocks of which each is one paragraph; in other blocks text between line breaks is one.
+PARAGRAPHS = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th xmp".split())
 #: Page furniture.
-FURNITURE = frozenset("nav header footer aside form button select dialog menu fieldset".split())
+FURNITURE = frozenset("nav header footer aside form button select dialog menu fieldset search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|promotions?|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|paywall|comments?|commentlist|disqus|respond|replies|nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|footer|side-?bar|widgets?|related|recommended|recommendations|share|sharing|social|login|signup|search|toolbar|pagination|pager|skip-link|hidden)(?:$|[\s_-])",
-    re.I,
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion promotions banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription paywall comment comments commentlist disqus respond replies nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar widget widgets related recommended recommendations share sharing social login signup search toolbar pagination pager skiplink hidden".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Words that make a class say what a page has, allows or lacks.
+SETTINGS = frozenset("no not has have with without is enabled disabled open opened closed on off allow allowed fixed sticky layout".split())
+NEVER_NAMED = frozenset("html body article main p h1".split())
+
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"=\s*([\"'])|>")
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Shares of a paragraph's points that its container and the elements above it get.
+SHARES = (1.0, 1 / 2, 1 / 6, 1 / 9, 1 / 12)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "furniture", "score")
+    __slots__ = ("tag", "parent", "children", "named", "cut", "linked", "size", "links", "commas", "score")
 
-    def __init__(self, tag: str, parent: Node | None, furniture: bool):
-        self.tag, self.parent, self.furniture = tag, parent, furniture
+    def __init__(self, tag: str, parent: Node | None, cut: bool, named: bool):
+        self.tag, self.parent, self.cut, self.named = tag, parent, cut, named
+        self.linked = tag == "a" or parent is not None and parent.linked
         self.children: list[Node | str] = []
+        self.size = self.links = self.commas = 0
         self.score = 0.0
 
+    def density(self) -> float:
+        return self.links / self.size if self.size else 0.0
+
 
-def is_furniture(tag: str, attributes: str) -> bool:
-    if tag in FURNITURE:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main", "p", "h1"):
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and NAMES.search(value) or name == "role" and value.lower() in ROLES or name in ("hidden",) or name == "aria-hidden" and value == "true":
+def names_furniture(value: str) -> bool:
+    """Whether one of the names in a class or id is that of page furniture."""
+    for name in value.split():
+        words = {w.lower() for w in WORD.findall(name)}
+        if (words & NAMES or {"side", "bar"} <= words or {"skip", "link"} <= words) and not words & SETTINGS:
             return True
     return False
 
 
-def parse(page: str) -> Node:
-    root = at = Node("#root", None, False)
-    pos, size = 0, len(page)
-    while pos < size:
-        m = TOKEN.search(page, pos)
-        if m is None:
-            at.children.append(page[pos:])
-            break
-        if m.start() > pos:
-            at.children.append(page[pos : m.start()])
-        pos = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            node = at
-            while node.parent is not None and node.tag != tag:
-                node = node.parent
-            if node.parent is not None and not _walled(at, node):
-                at = node.parent
-            continue
-        if tag in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            pos = end.end() if end else size
-            continue
+def furniture(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is furniture by tag, role or state, and whether by its names."""
+    cut, named = tag in FURNITURE or tag == "annotation", False
+    if attributes and tag not in NEVER_NAMED:
+        for m in ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            named |= name in ("class", "id") and names_furniture(value)
+            cut |= name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true"
+    return cut, named
+
+
+class Parser:
+    """The elements of a page in page order; ``nodes[0]`` is the root."""
+
+    def __init__(self, page: str):
+        self.page, self.loose, self.gone = page, False, set()
+        self.nodes = [Node("#root", None, False, False)]
+        self.stack = [self.nodes[0]]
+        self.places: dict[str, list[int]] = {}  # of each tag on the stack
+        self.solid: list[int] = []  # of blocks other than p
+        self.blocks: list[int] = []
+        self.parse()
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` ends; -1 where no sign ends it."""
+        start = at
+        while not self.loose:
+            m = STOP.search(self.page, at)
+            if m is None:
+                self.loose = True
+                break
+            if m[1] is None:
+                return m.start()
+            close = -1 if m[1] in self.gone else self.page.find(m[1], m.end())
+            if close < 0:  # a quote that nothing closes is an ordinary sign
+                self.gone.add(m[1])
+            at = m.end() if close < 0 else close + 1
+        return self.page.find(">", start)
+
+    def push(self, node: Node) -> None:
+        for places in (self.places.setdefault(node.tag, []), self.solid if node.tag in BLOCKS and node.tag != "p" else None, self.blocks if node.tag in BLOCKS else None):
+            if places is not None:
+                places.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut_at(self, place: int) -> None:
+        """Ends the open elements from this place of the stack on."""
+        while len(self.stack) > place:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            for places in (self.solid, self.blocks):
+                if places and places[-1] == len(self.stack):
+                    places.pop()
+
+    def wall(self, tags: tuple) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, tags: tuple, wall: int) -> None:
+        """Ends the outermost open element of ``tags`` beyond a wall."""
+        firsts = [own[i] for t in tags if (own := self.places.get(t)) and (i := bisect_right(own, wall)) < len(own)]
+        if firsts:
+            self.cut_at(min(firsts))
+
+    def text(self, text: str) -> None:
+        if text:
+            self.stack[-1].children.append(text)
+
+    def parse(self) -> None:
+        page, pos, size, last = self.page, 0, len(self.page), self.page.rfind(">")
+        while pos < size:
+            at = page.find("<", pos)
+            if at < 0 or at > last:
+                self.text(page[pos:])
+                break
+            m = TAG.match(page, at)
+            if m is None and page[at + 1 : at + 2] not in ("!", "?", "/"):
+                self.text(page[pos : at + 1])  # a lone sign
+                pos = at + 1
+                continue
+            self.text(page[pos:at])
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                pos = size if end < 0 else end + 3
+                continue
+            if m is None:
+                pos = page.find(">", at) + 1
+                continue
+            end = self.tag_end(m.end())
+            pos, tag, attributes = end + 1, m[1].lower(), page[m.end() : end]
+            if page[at + 1] == "/":
+                self.end(tag)
+            elif tag in RAW and not attributes.rstrip().endswith("/"):
+                found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
+                pos = found.end() if found else size
+            else:
+                self.start(tag, attributes)
+                if tag == "xmp":  # its content is text as it stands
+                    stop = re.compile("</xmp", re.I).search(page, pos)
+                    stop = stop.start() if stop else size
+                    self.text(html.escape(page[pos:stop], False))
+                    pos = stop
+
+    def start(self, tag: str, attributes: str) -> None:
         if tag in P_ENDERS:
-            at = _close(at, {"p"}, BLOCKS - {"p"})
+            self.close(("p",), self.solid[-1] if self.solid else 0)
         if tag in ENDS:
-            at = _close(at, ENDS[tag], WALLS[tag])
-        node = Node(tag, at, is_furniture(tag, m[3]))
-        at.children.append(node)
-        if tag not in VOID and not (m[3].rstrip().endswith("/") and tag not in BLOCKS):
-            at = node
-    return root
-
-
-def _walled(at: Node, node: Node) -> bool:
-    """Whether an end tag of an inline element would close blocks that hold it open."""
-    if node.tag in BLOCKS:
-        return False
-    while at is not node:
-        if at.tag in BLOCKS:
-            return True
-        at = at.parent
-    return False
+            self.close(ENDS[tag], self.wall(WALLS[tag]))
+        cut, named = furniture(tag, attributes)
+        node = Node(tag, self.stack[-1], cut, named)
+        self.stack[-1].children.append(node)
+        self.nodes.append(node)
+        if tag not in VOID and not (attributes.rstrip().endswith("/") and tag not in BLOCKS):
+            self.push(node)
+
+    def end(self, tag: str) -> None:
+        own = self.places.get(tag)
+        if not own or own[-1] < self.wall(WALLS.get(tag, ())):
+            return
+        if tag not in BLOCKS and self.blocks and self.blocks[-1] > own[-1]:
+            return  # an inline element would close blocks that hold it open
+        self.cut_at(own[-1])
+
+
+def settle(nodes: list[Node], by_name: bool) -> None:
+    """Marks what is cut: furniture by tag, and by name what does not hold the article. An article's
+    own header with its title stays."""
+    holds: set[int] = set()
+    titled: set[int] = set()
+    for node in reversed(nodes):
+        if node.parent is not None:
+            if node.tag in ("article", "main") or id(node) in holds:
+                holds.add(id(node.parent))
+            if node.tag == "h1" or id(node) in titled:
+                titled.add(id(node.parent))
+    within = set()
+    for node in nodes:
+        if node.tag in ("article", "main") or node.parent is not None and id(node.parent) in within:
+            within.add(id(node))
+        if node.tag == "header" and id(node) in titled and id(node) in within:
+            node.cut = False
+        if by_name and node.named and id(node) not in holds:
+            node.cut = True
+
+
+def kept_nodes(nodes: list[Node]) -> list[Node]:
+    """All nodes, in page order, that are in no cut element."""
+    kept, gone = [], set()
+    for node in nodes:
+        if node.cut or node.parent is not None and id(node.parent) in gone:
+            gone.add(id(node))
+        else:
+            kept.append(node)
+    return kept
+
+
+def paragraphs(node: Node, owner: dict[int, Node]) -> None:
+    """Gives each inline element the block that its text stands in."""
+    owner[id(node)] = node if node.tag in BLOCKS or node.parent is None else owner[id(node.parent)]
 
 
-def _close(at: Node, tags: set, walls: set | frozenset) -> Node:
-    """The parent of the outermost open element of ``tags`` on this side of a wall, or ``at``."""
-    node, found = at, None
-    while node.parent is not None and node.tag not in walls:
-        if node.tag in tags:
-            found = node
+def score(nodes: list[Node]) -> list[Node]:
+    """Sums sizes, links and commas, and scores containers; returns those with a score."""
+    owner: dict[int, Node] = {}
+    runs: dict[int, list[list[int]]] = {}  # of each block: size, links and commas of each stretch of text
+    for node in nodes:
+        paragraphs(node, owner)
+        block = owner[id(node)]
+        if node.tag == "br" and block.tag not in PARAGRAPHS:
+            runs.setdefault(id(block), []).append([0, 0, 0])
+        elif block is node and node.parent is not None and node.tag not in PARAGRAPHS:
+            runs.setdefault(id(node), []).append([0, 0, 0])
+        for text in node.children:
+            if isinstance(text, str) and (n := len(text.strip())):
+                own = runs.setdefault(id(block), [])
+                if not own:
+                    own.append([0, 0, 0])
+                for i, x in enumerate((n, n if node.linked else 0, text.count(","))):
+                    own[-1][i] += x
+                node.size, node.links, node.commas = node.size + n, node.links + (n if node.linked else 0), node.commas + text.count(",")
+    scored: dict[int, Node] = {}
+    for node in nodes:
+        if owner[id(node)] is not node:
+            continue
+        container = node.parent if node.tag in PARAGRAPHS else node
+        for size, links, commas in runs.get(id(node), ()):
+            if size and container is not None:
+                points, at = (1 + commas + min(size / 100, 3)) * (1 - links / size), container
+                for share in SHARES:
+                    if at is None:
+                        break
+                    at.score += points * share
+                    scored[id(at)] = at
+                    at = at.parent
+    for node in reversed(nodes):
+        if node.parent is not None:
+            up = node.parent
+            up.size, up.links, up.commas = up.size + node.size, up.links + node.links, up.commas + node.commas
+    for node in scored.values():
+        node.score *= 1 - node.density()
+    return [n for n in nodes if id(n) in scored]
+
+
+def main_nodes(nodes: list[Node]) -> list[Node | str]:
+    """What of the tree is kept, in page order."""
+    scored = score(nodes)
+    if not scored:
+        return [nodes[0]]
+    best = max(scored, key=lambda n: n.score)  # the first in page order of the best
+    node = best
+    while node is not None:
+        if node.tag in ("article", "main"):
+            best = node
         node = node.parent
-    return found.parent if found else at
+    if best.parent is None or best.tag in ("article", "main", "body"):
+        return [best]
+    kept: list[Node | str] = []
+    for beside in best.parent.children:
+        if isinstance(beside, str) or beside is best or not beside.cut and (beside.tag == "br" or beside.density() < 0.5):
+            kept.append(beside)
+    return kept
 
 
-def walk(node: Node) -> Iterator[tuple[Node | str, bool]]:
-    """Elements and texts in page order without furniture; an element comes once more when it ends."""
+def walk(node: Node | str) -> Iterator[tuple[Node | str, bool]]:
+    """Elements and texts in page order without what is cut; an element comes once more when it ends."""
     stack: list[tuple[Node | str, bool]] = [(node, True)]
     while stack:
         item, begins = stack.pop()
         yield item, begins
         if begins and not isinstance(item, str):
             stack.append((item, False))
-            stack += [(c, True) for c in reversed(item.children) if isinstance(c, str) or not c.furniture]
+            stack += [(c, True) for c in reversed(item.children) if isinstance(c, str) or not c.cut]
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(kept: list[Node | str]) -> list[str]:
     """The text of each block, clean."""
     out: list[str] = []
     part: list[str] = []
-    for node in nodes:
-        for item, _ in walk(node):
+    for one in kept:
+        for item, _ in walk(one):
             if isinstance(item, str):
                 part.append(item)
             elif item.tag in BLOCKS:
@@ -151,67 +338,20 @@ def blocks(nodes: list[Node]) -> list[str]:
                 part = []
             elif item.tag == "br":
                 part.append(" ")
-        out.append("".join(part))
-        part = []
+    out.append("".join(part))
     return [t for t in (" ".join(html.unescape(b).split()) for b in out) if t]
 
 
-def measure(node: Node) -> tuple[int, int, int]:
-    """Characters of text, those inside links, and commas."""
-    size = links = commas = 0
-    depth = 0
-    for item, begins in walk(node):
-        if isinstance(item, str):
-            n = len(item.strip())
-            size += n
-            links += n if depth else 0
-            commas += item.count(",")
-        elif item.tag == "a":
-            depth += 1 if begins else -1
-    return size, links, commas
-
-
-def main_nodes(root: Node) -> list[Node]:
-    scored: dict[int, Node] = {}
-    for item, begins in walk(root):
-        if isinstance(item, str) or not begins or item.tag not in ("p", "pre", "blockquote", "td", "li"):
-            continue
-        size, links, commas = measure(item)
-        if not size:
-            continue
-        points = (1 + commas + min(size / 100, 3)) * (1 - links / size)
-        for share, node in ((1.0, item.parent), (0.5, item.parent.parent if item.parent else None)):
-            if node is not None:
-                scored[id(node)] = node
-                node.score += points * share
-    if not scored:
-        return [root]
-    for node in scored.values():
-        size, links, _ = measure(node)
-        node.score *= 1 - (links / size if size else 0)
-    best = max(scored.values(), key=lambda n: n.score)  # the first in page order of the best
-    node = best
-    while node is not None:
-        if node.tag in ("article", "main"):
-            best = node
-        node = node.parent
-    if best.parent is None or best.tag in ("article", "main", "body"):
-        return [best]
-    least, kept = max(2.0, best.score * 0.2), []
-    for sibling in best.parent.children:
-        if isinstance(sibling, str) or sibling.furniture:
-            continue
-        if sibling is best or sibling.score >= least or sibling.tag in ("h1", "h2", "h3"):
-            kept.append(sibling)
-        elif sibling.tag == "p":
-            size, links, _ = measure(sibling)
-            if size and links / size < 0.25:
-                kept.append(sibling)
-    return kept
-
-
 def main_text(page: str) -> str:
-    return " ".join(blocks(main_nodes(parse(page)))) if page else ""
+    if not page:
+        return ""
+    for by_name in (True, False):
+        nodes = Parser(page).nodes
+        settle(nodes, by_name)
+        text = " ".join(blocks(main_nodes(kept_nodes(nodes))))
+        if text or not any(n.named for n in nodes):
+            break
+    return text
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

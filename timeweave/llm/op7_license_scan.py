@@ -4,20 +4,23 @@ Every rolling k-gram of words of every document is hashed and joined to the k-gr
 templates. A hit of document place p and template place t lies on the diagonal p - t; hits that
 belong to one copy of a template share it, and words put in or left out move the rest of the copy
 to a neighbouring diagonal. Hits are verified word by word where they join (so that no hash
-collision counts), summed by diagonal into a bit mask of the template words seen, and neighbouring
-diagonals merged. A copy's score is the share of the template's words in its mask.
+collision counts), gathered by diagonal as the set of template places seen, and neighbouring
+diagonals merged. The merged span is then verified both ways: the share of the template's words that
+the span has, and the share of the span's words that the template has at their places. The lesser of
+the two is the copy's score.
 
-Templates are of two kinds. Base phrases count wherever all their words stand consecutively (a
-full mask on one diagonal). Texts give their label where at least ``least`` of their words are
-seen on neighbouring diagonals. A template has 60 words at most, so that a mask is one long; the
-table of k-grams is bounded by the templates and is broadcast.
+Templates are of two kinds. Base phrases count wherever all their words stand consecutively (all
+places on one diagonal). Texts, short notices and whole license texts of any length, give their label
+where the span's score is at least ``least``. The table of k-grams is bounded by the templates and is
+broadcast.
 
 The words array stays in the row that the generator reads, in one code-generated stage with the
 join, so only verified hits and one row a document ever leave it: text is not shuffled.
 
 Defined results: null or empty text has no words, null places, empty labels and score 0. Rows with
 the same id and text get the same result, one row each; a null id is an id of its own. A
-document's hits are aggregated before they are shuffled.
+document's hits are aggregated before they are shuffled. Columns but id and text are not read, and
+may have any names.
 """
 
 from __future__ import annotations
@@ -44,6 +47,15 @@ TEXTS = [
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit-text"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd-text"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl-text"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is "
+        "without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or "
+        "copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other "
+        "dealings in the software",
+        "mit-whole-text",
+    ),
 ]
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,12 +67,17 @@ def template_grams(spark: SparkSession, base: list[tuple[str, str]], texts: list
     rows = []
     for number, (words, label, is_base) in enumerate([*((p.split(), x, True) for p, x in base), *((t.split(), x, False) for t, x in texts)]):
         k = BASE_K if is_base else TEXT_K
-        if not k <= len(words) <= 60:
-            raise ValueError(f"a template has {k} to 60 words: {' '.join(words)}")
+        if len(words) < k:
+            raise ValueError(f"a template has {k} words or more: {' '.join(words)}")
         rows += [(k, words[i : i + k], i, number, len(words), label, is_base) for i in range(len(words) - k + 1)]
     return spark.createDataFrame(rows, "k int, gram array<string>, place int, template int, n int, label string, is_base boolean")
 
 
+def _words(places, k) -> F.Column:
+    """The template places of all words of the k-grams at ``places``."""
+    return F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + k - 1))))
+
+
 def _hash(k: int, words: list) -> F.Column:
     return F.xxhash64(F.lit(k), *words)
 
@@ -84,25 +101,29 @@ def scan(docs: DataFrame, base=BASE, texts=TEXTS, least: float = 0.9, gap: int =
     hits = placed.select("doc_id", "of", "words", "at", "word", F.explode(hashes).alias("hash")).join(F.broadcast(keyed), "hash")
     is_end = F.col("k") == 0
     hits = hits.where(F.when(is_end, F.col("word") == "").otherwise(F.slice("words", F.col("at") + 1, F.greatest(F.col("k"), F.lit(1))) == F.col("gram")))
-    mask = F.expr("shiftleft(shiftleft(1L, k) - 1L, place)")
     diagonals = hits.groupBy("doc_id", "of", "template", F.when(is_end, F.lit(0)).otherwise(F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.bit_or(mask).alias("mask"), F.max(F.when(is_end, F.col("at"))).alias("n_words"), F.sum(is_end.cast("long")).alias("copies"),
-        F.first("n").alias("n"), F.first("label").alias("label"), F.first("is_base").alias("is_base"),
+        F.collect_set("place").alias("places"), F.max(F.when(is_end, F.col("at"))).alias("n_words"), F.sum(is_end.cast("long")).alias("copies"),
+        F.max("k").alias("k"), F.max("n").alias("n"), F.max("label").alias("label"), F.max("is_base").alias("is_base"),
     )
     order = Window.partitionBy("doc_id", "of").orderBy("template", "diagonal")
     far = F.coalesce((F.lag("template").over(order) != F.col("template")) | (F.col("diagonal") - F.lag("diagonal").over(order) > gap), F.lit(True))
-    full = F.col("is_base") & (F.bit_count("mask") == F.col("n"))
+    full = F.col("is_base") & (F.size("places") == F.col("n") - F.col("k") + 1)
+    alone = F.when(F.col("is_base"), F.size(_words(F.col("places"), F.col("k"))) / F.col("n"))
     copies = (
-        diagonals.withColumn("far", far.cast("long"))
+        diagonals.withColumn("far", far.cast("long")).withColumn("alone", alone).withColumn("full", full)
         .withColumn("copy", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .groupBy("doc_id", "of", "copy")
         .agg(
-            F.bit_or("mask").alias("mask"), F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.max("n").alias("n"), F.max("label").alias("label"), F.max("is_base").alias("is_base"),
-            F.count_if(full).alias("n_base"), F.min(F.when(full, F.col("diagonal"))).alias("first_word"), F.max(F.when(full, F.col("diagonal"))).alias("last_word"),
-            F.max(F.when(F.col("is_base"), F.bit_count("mask") / F.col("n"))).alias("base_score"),
+            F.collect_list(F.struct("diagonal", "places")).alias("parts"), F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.max("k").alias("gram"), F.max("n").alias("n"), F.max("label").alias("label"),
+            F.max("is_base").alias("is_base"), F.count_if("full").alias("n_base"), F.min(F.when(F.col("full"), F.col("diagonal"))).alias("first_word"), F.max(F.when(F.col("full"), F.col("diagonal"))).alias("last_word"),
+            F.max("alone").alias("base_score"),
         )
     )
-    share = F.when(F.col("is_base"), F.col("base_score")).otherwise(F.bit_count("mask") / F.col("n"))
+    seen = F.size(F.array_distinct(F.flatten(F.transform("parts", lambda x: _words(x["places"], F.col("gram"))))))
+    span = F.array_distinct(F.flatten(F.transform("parts", lambda x: F.transform(_words(x["places"], F.col("gram")), lambda w: w + x["diagonal"]))))
+    share = F.when(F.col("is_base"), F.col("base_score")).otherwise(F.least(seen / F.col("n"), F.size(span) / (F.array_max(span) - F.array_min(span) + 1)))
+    copies = copies.withColumn("share", share)
+    share = F.col("share")
     kept = F.when(F.when(F.col("is_base"), F.col("n_base") > 0).otherwise(share >= least), F.col("label"))
     real = F.col("label").isNotNull()
     found = copies.groupBy("doc_id", "of").agg(
@@ -123,13 +144,16 @@ grams AS (SELECT template, label, k, is_base, len(w) AS n, unnest(range(len(w) -
 words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPLIT}'), lambda x: x <> '') AS w FROM documents),
 ks AS (SELECT unnest([{BASE_K}, {TEXT_K}]) AS k),
 places AS (SELECT doc_id, k, unnest(range(greatest(len(w) - k + 1, 0))) AS pos, unnest(list_transform(range(greatest(len(w) - k + 1, 0)), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS gram FROM words, ks),
-diagonals AS (SELECT doc_id, template, label, is_base, n, pos - place AS diagonal, bit_or(((1::BIGINT << g.k) - 1) << place) AS mask FROM places p JOIN grams g ON g.k = p.k AND g.gram = p.gram GROUP BY ALL),
+gathered AS (SELECT doc_id, template, label, is_base, n, g.k, pos - place AS diagonal, list(DISTINCT place) AS places FROM places p JOIN grams g ON g.k = p.k AND g.gram = p.gram GROUP BY ALL),
+diagonals AS (SELECT *, list_distinct(flatten(list_transform(places, lambda p: range(p, p + k)))) AS covered FROM gathered),
 marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {gap} THEN 0 ELSE 1 END AS far FROM diagonals),
 numbered AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS copy FROM marked),
 copies AS (
-  SELECT doc_id, template, label, is_base, n, copy, bit_count(bit_or(mask)) / n::DOUBLE AS whole, max(bit_count(mask)) / n::DOUBLE AS one, count(*) FILTER (WHERE is_base AND bit_count(mask) = n) AS n_base,
-    min(diagonal) FILTER (WHERE is_base AND bit_count(mask) = n) AS first_word, max(diagonal) FILTER (WHERE is_base AND bit_count(mask) = n) AS last_word FROM numbered GROUP BY doc_id, template, label, is_base, n, copy),
-scored AS (SELECT *, CASE WHEN is_base THEN one ELSE whole END AS share, CASE WHEN is_base THEN n_base > 0 ELSE whole >= {least} END AS kept FROM copies),
+  SELECT doc_id, template, label, is_base, n, copy, list_distinct(flatten(list(covered))) AS seen, list_distinct(flatten(list(list_transform(covered, lambda w: w + diagonal)))) AS span, max(len(covered)) / n::DOUBLE AS one,
+    count(*) FILTER (WHERE is_base AND len(places) = n - k + 1) AS n_base, min(diagonal) FILTER (WHERE is_base AND len(places) = n - k + 1) AS first_word, max(diagonal) FILTER (WHERE is_base AND len(places) = n - k + 1) AS last_word
+  FROM numbered GROUP BY doc_id, template, label, is_base, n, copy),
+verified AS (SELECT *, least(len(seen) / n::DOUBLE, len(span) / (list_max(span) - list_min(span) + 1)::DOUBLE) AS whole FROM copies),
+scored AS (SELECT *, CASE WHEN is_base THEN one ELSE whole END AS share, CASE WHEN is_base THEN n_base > 0 ELSE whole >= {least} END AS kept FROM verified),
 found AS (
   SELECT doc_id, CAST(sum(n_base) AS BIGINT) AS n_base, CAST(min(first_word) AS BIGINT) AS first_word, CAST(max(last_word) AS BIGINT) AS last_word, max(share) AS score,
     array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE kept AND is_base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE kept))), ',') AS labels FROM scored GROUP BY doc_id)

@@ -224,7 +224,7 @@ def test_op6_finds_all_within_the_budget(spark):
     docs += [(100, None), (None, item), (101, ""), (101, "other words " * 5000)]
     rows, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, None), (3, "short"), (1, item)], "item_id long, text string")
     found = op6_decontaminate.contaminated(rows, tests).collect()
-    budget = int(0.07 * len(op6_decontaminate.fold(item)))
+    budget = int(op6_decontaminate.RATE * len(op6_decontaminate.fold(item)))
     expected = {i for i, t in docs if t and plain_distance(op6_decontaminate.fold(item), op6_decontaminate.fold(t)[:400]) <= budget}
     assert {r["doc_id"] for r in found} == expected and len(found) == 2 * len(expected)
     kept = op6_decontaminate.clean(rows, tests)

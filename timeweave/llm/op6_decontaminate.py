@@ -3,9 +3,12 @@
 Texts and test items are folded alike: lower case, and each run of ASCII signs and white space one
 space, as UTF-8 bytes. An item of m bytes has an error budget of k = floor(rate m) edits. Cut into
 k + 1 pieces, any passage within k edits of it holds one piece unchanged, at its place give or take
-k bytes. An automaton over the pieces of all items finds these places in one walk over the text;
-windows around them are merged, and Myers' bit-parallel distance (one arbitrarily long integer a
-column) decides each window.
+k bytes. An automaton over the pieces of all items finds these places in one walk over the text. The
+same holds of groups of pieces: one of the groups of g pieces has g - 1 edits at most and an unchanged
+piece, and as an edit changes four of its four-byte grams at most, a place with fewer of them than
+that leaves is ruled out without loss. Windows around the other places are merged, the grams of the
+whole item are counted in the same way, and Myers' bit-parallel distance (one arbitrarily long
+integer a column) decides each window that is left.
 
 Documents are not shuffled, and each text is read whole. Test items go to the tasks in blocks of a
 bounded size, one pass over the documents each.
@@ -14,7 +17,8 @@ Defined results: an item that folds to fewer than ``shortest`` bytes has no erro
 exact copies whose ends do not cut a word (signs of scripts without spaces are words of their own).
 An item that is null or folds to nothing matches nothing. A
 null or empty text has no hits. An item that occurs in a text several times gives one row, with the
-least distance and the first place that has it. Repeated rows and items are rows of their own.
+least distance and the first place that has it. Repeated rows and items are rows of their own. Only
+the named columns are read; ``clean`` gives all columns back, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import held
+from timeweave.llm.common import Store, held
 from timeweave.llm.toxicity import _UNSPACED
 
 BLOCK_BYTES = 4 << 20
+#: Bytes of the grams that are counted before a distance is computed, and pieces of a group.
+GRAM, GROUP = 4, 4
+#: Errors for a byte of an item, and bytes below which an item has none.
+RATE, SHORTEST = 0.1, 40
 _SIGNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -45,12 +53,30 @@ class Item:
         for i, b in enumerate(data):
             self.masks[b] = self.masks.get(b, 0) | 1 << i
 
-    def pieces(self) -> Iterator[tuple[int, bytes]]:
-        """Offset and bytes of budget + 1 pieces that cover the item."""
+        self.grams = [data[i : i + GRAM] for i in range(len(data) - GRAM + 1)]
+
+    def pieces(self) -> Iterator[tuple[int, bytes, int, int, int]]:
+        """Offset and bytes of budget + 1 pieces that cover the item; start, end and budget of each
+        one's group. A group of g pieces has g - 1 errors: if every group had more, the item would
+        have more than its own."""
         n = self.budget + 1
         ends = [len(self.data) * i // n for i in range(n + 1)]
-        for a, b in zip(ends, ends[1:]):
-            yield a, self.data[a:b]
+        for first in range(0, n, GROUP):
+            if n - first < GROUP and first:
+                break
+            after = n if n - first < 2 * GROUP else first + GROUP
+            for i in range(first, after):
+                yield ends[i], self.data[ends[i] : ends[i + 1]], ends[first], ends[after], after - first - 1
+
+    def keeps_grams(self, start: int, end: int, budget: int, text: bytes) -> bool:
+        """False only where no part of ``text`` is within ``budget`` of this part of the item: an
+        error changes ``GRAM`` of its grams at most."""
+        grams = self.grams[start : max(start, end - GRAM + 1)]
+        least = len(grams) - GRAM * budget
+        if least <= 0:
+            return True
+        have = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+        return sum(map(have.__contains__, grams)) >= least
 
     def distance(self, text: bytes) -> tuple[int, int]:
         """The least edit distance of the item to any part of ``text``, and where that part ends."""
@@ -90,10 +116,10 @@ class Matcher:
         for data in self.short:
             self.exact.add_word(data, data)
         self.exact.make_automaton()
-        places: dict[str, list[tuple[int, int]]] = {}
+        places: dict[str, list[tuple]] = {}
         for n, item in enumerate(self.items):
-            for at, piece in item.pieces():
-                places.setdefault(piece.decode("latin-1"), []).append((n, at))
+            for at, piece, *group in item.pieces():
+                places.setdefault(piece.decode("latin-1"), []).append((n, at, *group))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -109,9 +135,11 @@ class Matcher:
             return sorted(found, key=_first_unknown)
         windows: dict[int, list[list[int]]] = {}
         for last, (length, where) in self.automaton.iter(data.decode("latin-1")):
-            for n, at in where:
-                item = self.items[n]
-                start = last + 1 - length - at - item.budget
+            for n, at, first, after, budget in where:
+                item, begin = self.items[n], last + 1 - length - at
+                if not item.keeps_grams(first, after, budget, data[max(0, begin + first - budget) : begin + after + budget]):
+                    continue
+                start = begin - item.budget
                 stop = start + len(item.data) + 2 * item.budget
                 own = windows.setdefault(n, [])
                 if own and start <= own[-1][1]:
@@ -124,6 +152,8 @@ class Matcher:
                 start = max(0, start)
                 part = data[start:stop]
                 at = part.find(item.data)
+                if at < 0 and not item.keeps_grams(0, len(item.data), item.budget, part):
+                    continue
                 distance, end = (0, at + len(item.data)) if at >= 0 else item.distance(part)
                 if distance <= item.budget and (best is None or distance < best[0]):
                     best = (distance, start + end)
@@ -164,7 +194,11 @@ def matcher(items: tuple, rate: float, shortest: int) -> Matcher:
     return held(("matcher", items, rate, shortest), lambda: Matcher(list(items), rate, shortest))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.07, shortest: int = 40, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def _ordered(block: list[tuple[int, str]]) -> tuple:
+    return tuple(sorted(block, key=lambda x: (x[0] is None, x[0], x[1])))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and test item it holds: ``doc_id, item_id, distance, budget, end``
     (the last in bytes of the folded text)."""
     spark = docs.sparkSession
@@ -172,7 +206,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.07, shor
     schema = "doc_id long, item_id long, distance long, budget long, end long"
     found = spark.createDataFrame([], schema)
     for block in _blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast(tuple(sorted(block, key=lambda x: (x[0] is None, x[0], x[1]))))
+        shared = spark.sparkContext.broadcast(_ordered(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = matcher(shared.value, rate, shortest)
@@ -185,16 +219,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.07, shor
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.07, shortest: int = 40, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no test item."""
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shortest: int = SHORTEST, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no test item, with all their columns.
+
+    Items beyond one block take a pass each, whose rows are kept in the shared folder, so that a task
+    has one automaton.
+    """
     spark = docs.sparkSession
-    for block in _blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast(tuple(sorted(block, key=lambda x: (x[0] is None, x[0], x[1]))))
+    blocks, store = _blocks(benchmark, item_col, item_text), Store(spark, "clean")
+    for n, block in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(_ordered(block))
 
         @F.pandas_udf("boolean")
         def dirty(texts, shared=shared):
             own = matcher(shared.value, rate, shortest)
             return texts.map(lambda t: bool(own.hits(t)))
 
-        docs = docs.where(~dirty(F.coalesce(F.col(text_col), F.lit(""))))
+        docs = (store.keep(docs, f"block-{n}") if n else docs).where(~dirty(F.coalesce(F.col(text_col), F.lit(""))))
     return docs

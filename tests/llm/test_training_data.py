@@ -157,21 +157,41 @@ def test_op3_articles_of_the_pages(spark):
         assert r["text"] == " ".join(b for b in blocks if b)
 
 
-def test_op4_equals_brute_force(spark):
+def nearest_codes(known, q, code, k):
+    return sorted((sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(code, c, strict=True)), i) for i, c in known if i != q)[:k]
+
+
+@pytest.mark.parametrize("words", [1, 2])
+def test_op4_equals_brute_force(spark, words):
     rnd = random.Random(3)
-    centres = [rnd.getrandbits(64) for _ in range(5)]
-    codes = [(i, np.int64(np.uint64(centres[i % 5] ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)))).item()) for i in range(200)] + [(i, 7) for i in range(200, 240)] + [(None, 5), (300, None), (3, 7)]
-    rows = spark.createDataFrame(codes, "id long, code long")
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    centres = [[rnd.getrandbits(64) for _ in range(words)] for _ in range(5)]
+    codes = [(i, [signed(c ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64))) for c in centres[i % 5]]) for i in range(200)] + [(i, [7] * words) for i in range(200, 240)]
+    codes += [(None, [5] * words), (300, None), (3, [7] * words)]
+    rows = spark.createDataFrame([(*c, "x", 1, 2) for c in codes], "id long, code array<long>, value string, n int, query int")
     got = {}
-    for r in op4_hamming_search.search(rows, rows.where("id % 50 = 0"), k=5).collect():
+    for r in op4_hamming_search.search(rows, rows.where("id % 50 = 0"), k=5, bits=64 * words).collect():
         got.setdefault(r["query_id"], []).append((r["distance"], r["neighbor_id"]))
-    known = sorted({c for c in codes if None not in c})
+    known = [c for c in codes if None not in c]
     for q, code in known:
         if q % 50 == 0:
-            near = sorted((((code ^ c) & (1 << 64) - 1).bit_count(), i) for i, c in known if i != q)
-            assert sorted(got[q]) == near[:5]
+            assert sorted(got[q]) == nearest_codes(known, q, code, 5)
     assert op4_hamming_search.search(rows.limit(0), rows.limit(0)).count() == 0
-    assert op4_hamming_search.search(rows.where("id < 3"), rows.where("id = 0")).count() == 2
+    assert op4_hamming_search.search(rows.where("id < 3"), rows.where("id = 0"), bits=64 * words).count() == 2
+
+
+def test_op4_codes_of_long_vectors_differ(spark):
+    rnd = random.Random(6)
+    vectors = [[rnd.choice((-1.0, 1.0)) for _ in range(100)] for _ in range(30)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)] + [(99, None)], "id long, v array<double>")
+    coded = rows.select("id", op4_hamming_search.sign_code(F.col("v"), 100).alias("code"))
+    bits = {r["id"]: r["code"] for r in coded.collect()}
+    assert len({tuple(c) for i, c in bits.items() if c}) == 30 and bits[99] is None
+    got = {}
+    for r in op4_hamming_search.search(coded, coded.where("id < 5"), k=3, bits=100).collect():
+        got.setdefault(r["query_id"], []).append((r["distance"], r["neighbor_id"]))
+    for q in range(5):
+        assert sorted(got[q]) == sorted((sum(a != b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in enumerate(vectors) if i != q)[:3]
 
 
 def test_op5_files_give_the_ids_back(edge, empty, library, spark):

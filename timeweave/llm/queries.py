@@ -41,8 +41,10 @@ def op3_html_text_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_hamming_search_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest by sign codes of every row whose id is divisible by 50, against all rows."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), op4_hamming_search.sign_code(F.col("embedding")).alias("code"))
-    return op4_hamming_search.search(rows, rows.where("id % 50 = 0"), k=10)
+    vectors = table(spark, sf_dir, "embeddings")
+    bits = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    rows = vectors.select(F.col("vec_id").alias("id"), op4_hamming_search.sign_code(F.col("embedding"), bits).alias("code"))
+    return op4_hamming_search.search(rows, rows.where("id % 50 = 0"), k=10, bits=bits)
 
 
 def op5_token_records_(spark: SparkSession, sf_dir: str) -> DataFrame:

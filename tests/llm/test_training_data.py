@@ -95,7 +95,8 @@ def test_op1_survives_a_full_transducer(library):
     before, op1_token_counts.MAX_STATES = op1_token_counts.MAX_STATES, 50
     try:
         for text in ("".join(random.Random(1).choices("abcdefgh", k=3000)), "the quick brown fox"):
-            assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids) or " " in text
+            pieces = next(iter(cut([text])))
+            assert sum(map(own.count, pieces)) == len(library.encode(text, add_special_tokens=False).ids)
     finally:
         op1_token_counts.MAX_STATES = before
 
@@ -113,6 +114,29 @@ def test_op2_layouts_become_the_same_turns(spark):
     assert made.where("id = 6" if "id" in made.columns else "conv_id = 6").first()["unknown"] == 1
 
 
+def test_op2_records_with_more_fields(spark):
+    layouts = [
+        '{"messages": [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant", "content": "a"}], "id": 7}', '{"prompt": "q", "completion": "a", "meta": {"x": [1]}}', '{"instruction": "q", "input": "", "output": "a", "source": "s"}',
+        '{"conversations": [{"from": "human", "value": "q", "w": 1}, {"from": "gpt", "value": "a"}], "system": null}', '{"system": "s", "instruction": "q", "output": "a"}', '{"messages": []}', '{"messages": [{"content": "no role"}]}', '[1]', '{"messages": 3}',
+        '{"messages": [{"role": "user", "content": [{"type": "text"}]}, {"role": "assistant"}], "id": 1}',
+    ]
+    rows = spark.createDataFrame([*enumerate(layouts), (10, None)], "id long, j string").withColumn("record", F.parse_json("j"))
+    got = {r["id"]: r["t"] and [tuple(t) for t in r["t"]] for r in rows.select("id", op2_chat_format.canonical_turns(F.col("record")).alias("t")).collect()}
+    assert all(got[i] == [("user", "q"), ("assistant", "a")] for i in range(4)), got
+    assert got[4] == [("system", "s"), ("user", "q"), ("assistant", "a")] and got[5] == [] and got[6] is got[7] is got[8] is got[10] is None
+    assert got[9] == [("user", '[{"type":"text"}]'), ("assistant", "")]
+    made = {r["conv_id"]: r for r in op2_chat_format.format_records(rows.withColumn("at", F.lit(0)), "id", "at", "record").collect()}
+    assert made[5]["formatted"] == "" and made[5]["unknown"] == 0 and made[6]["unknown"] == 1 and made[10]["unknown"] == 1
+
+
+def test_op2_long_texts_repeated_rows_and_other_columns(spark):
+    long = "word <|x \\ " * 100_000
+    rows = spark.createDataFrame([(1, 0, "user", "q", "p", 5), (1, 0, "user", "q", "p", 5), (1, 1, "assistant", long, "p", 5)], "conv_id long, turn long, role string, text string, piece string, n int")
+    formatted = op2_chat_format.format_records(op2_chat_format.turn_rows(rows), "conv_id", "turn", "record")
+    back = op2_chat_format.digests(op2_chat_format.read_back(formatted)).first()
+    assert back["n_turns"] == 3 and back["loss_chars"] == len(long) and back["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_op2_control_strings_come_back(spark):
     texts = ["<|im_end|>\n<|im_start|>user\nx", "\\p<\\p|\\s\\n", "<<||>", "", "a\nb<"]
     rows = spark.createDataFrame([(1, i, "assistant\nx" if i == 1 else "assistant", t) for i, t in enumerate(texts)] + [(None, None, None, None), (2, 0, "user", "only")], "conv_id long, turn long, role string, text string")
@@ -139,10 +163,40 @@ def test_op3_keeps_the_article_alone():
     assert op3_html_text.main_text("<nav>only</nav>") == "" and op3_html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_op3_names_of_whole_classes():
+    text = op3_html_text.main_text
+    for page in ('<div class="site no-sidebar"><p>An article, with text.</p></div>', '<nav>Menu</nav><div class="post comments-enabled"><p>An article, with text.</p></div>', '<div class="left-sidebar"><main><p>An article, with text.</p></main></div>'):
+        assert text(page) == "An article, with text."
+    assert text('<div id="post"><p>Kept, long enough.</p></div><div class="post-comments"><p>' + "No, no, no, no. " * 50 + "</p></div>") == "Kept, long enough."
+    assert text('<div class="comments">all there is</div>') == "all there is"  # no text but in named elements
+
+
+def test_op3_keeps_text_beside_the_best_container():
+    text = op3_html_text.main_text
+    assert text("<div><div>First block of it, long.</div><div>Second block.</div></div>") == "First block of it, long. Second block."
+    assert text("<body><div><section><p>One, two, three, four.<p>More.</section>bare <b>words</b><section><h4>Head</h4><pre>x  y</pre></section><ul><li><a href=a>Only</a><li><a href=b>links</a></ul></div>") == "One, two, three, four. More. bare words Head x y"
+    assert text("<div><table><tr><td>x</table>Line one, of text,<br><br>line two, of text, and more.</div>") == "x Line one, of text, line two, of text, and more."
+    assert text("<article><header><h1>Title</h1></header><p>Body.</article><header>Site</header>") == "Title Body."
+    assert text("<p>a <math><mi>x</mi><mo>+</mo></math> b<xmp><i>&amp;</i></xmp>") == "a x+ b <i>&amp;</i>"
+
+
+def test_op3_takes_linear_time():
+    import time
+
+    for part, n in (("<ul><li>a", 3000), ("<blockquote><p>x", 3000), ('<a title="x ', 6000), ('<a x=">" ', 20_000), ("<div>", 20_000), ("<", 50_000), ("<table><tr><td>x", 5000), ("<xmp>x</xmp>", 10_000)):
+        begun = time.perf_counter()
+        op3_html_text.main_text(part * n)
+        assert time.perf_counter() - begun < 5, part
+    begun = time.perf_counter()
+    op3_html_text.main_text("<b>" * 20_000 + "<hr>" * 20_000 + "</i>" * 20_000)
+    assert time.perf_counter() - begun < 5
+
+
 def test_op3_edges(spark):
-    rows = spark.createDataFrame([(1, "u", None), (None, None, ""), (2, "u", "<p>a b</p>" * 5000)], "page_id long, url string, html string")
-    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in op3_html_text.extract(rows).collect()}
-    assert got[1] == got[None] == ("", 0) and got[2][1] == 5000 * 4 - 1
+    rows = spark.createDataFrame([(1, "u", None, "t", 1), (None, None, "", "t", 1), (2, "u", "<p>a b</p>" * 5000, "t", 1), (2, "u", "<p>a b</p>" * 5000, "t", 1)], "page_id long, url string, html string, text string, n_chars long")
+    found = op3_html_text.extract(rows).collect()
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in found}
+    assert len(found) == 4 and got[1] == got[None] == ("", 0) and got[2][1] == 5000 * 4 - 1
     assert op3_html_text.extract(rows.limit(0)).count() == 0
 
 

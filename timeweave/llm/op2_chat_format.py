@@ -3,8 +3,9 @@
 Every record is a variant. Its fingerprint is the hash of its nested field names and their nesting,
 without value types, as ``schema_of_variant`` gives them. A declarative mapping for each known
 fingerprint names where roles and texts lie, and turns prompt, instruction, message and plain turn
-layouts into canonical turns ``array<struct<role, text>>``. All of it is built from column
-functions, so no Python runs on the executors.
+layouts into canonical turns ``array<struct<role, text>>``. A record of another fingerprint, with
+fields of its own beside those of a layout, has the first mapping whose paths it all has. All of it is
+built from column functions, so no Python runs on the executors.
 
 The template sets each turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts a
 backslash becomes ``\\s`` and ``<|`` becomes ``<\\p``, inside roles a line end becomes ``\\n`` in two
@@ -13,10 +14,11 @@ escape, and escaping is reversible. The loss mask is a list of spans of the form
 turn, that covers the texts of assistant turns.
 
 Defined results: a null role or text is empty. Turns of equal number (null first) follow role, then
-text. A record of unknown fingerprint has null turns and so adds none; ``unknown`` counts them. A
+text. A record that has the paths of no mapping has null turns and so adds none; ``unknown`` counts
+them. An empty list of messages has no turns. A text that is a list or an object is its JSON. A
 null conversation id is an id of its own. A conversation becomes one text in one row, as its digest
-needs; its rows are sorted by Spark, which spills. An empty table gives an empty result. Only the
-named columns are read.
+needs; its rows are sorted by Spark, which spills. Repeated rows are turns of their own. An empty
+table gives an empty result. Only the named columns are read; others may have any names.
 """
 
 from __future__ import annotations
@@ -70,10 +72,31 @@ def _turns(record: Column, mapping: dict) -> Column:
     return F.array(F.struct(_text(record, mapping["role"]).alias("role"), _text(record, mapping["text"]).alias("text")))
 
 
+def _has(record: Column, path: str) -> Column:
+    return F.variant_get(record, path, "variant").isNotNull()
+
+
+def _fits(record: Column, mapping: dict) -> Column:
+    """Whether a record has all paths that a mapping needs. Of several paths for one text the first
+    is needed; elements of a list need their role."""
+    if "each" in mapping:
+        items = F.try_variant_get(record, mapping["each"], "array<variant>")
+        roles = F.forall(items, lambda x: _has(x, f"$.{mapping['role']}"))
+        texts = (F.size(items) == 0) | F.exists(items, lambda x: _has(x, f"$.{mapping['text']}"))
+        return items.isNotNull() & roles & texts
+    paths = [p if isinstance(p, str) else p[0] for _, p in mapping["fixed"]] if "fixed" in mapping else [mapping["role"], mapping["text"]]
+    needed = _has(record, paths[0])
+    for path in paths[1:]:
+        needed = needed & _has(record, path)
+    return needed
+
+
 def canonical_turns(record: Column) -> Column:
-    """The turns of a variant record, null where no layout has its fingerprint."""
+    """The turns of a variant record, null where it has the paths of no layout."""
     own = fingerprint(record)
     cases = [F.when(own == F.xxhash64(F.lit(shape)), _turns(record, mapping).cast(TURNS)) for shape, mapping in LAYOUTS]
+    wider = [mapping for _, mapping in sorted(LAYOUTS, key=lambda x: -len(x[1].get("fixed", [0] * 9)))]  # lists first, then those of more turns
+    cases += [F.when(_fits(record, mapping), _turns(record, mapping).cast(TURNS)) for mapping in wider]
     return F.coalesce(*cases)
 
 

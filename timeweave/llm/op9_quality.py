@@ -101,11 +101,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class Model:
-    """A fitted model: scores and keys as columns, and the key from which on rows are selected."""
+    """A fitted model and the scored rows: ``own`` (the carried columns), ``doc_id, n_grams, score,
+    toxicity, key``, and the key from which on rows are selected."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, loss: float, margin: float, strength: float, seed: int, max_labelled: int, toxic_loss: float, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, labels: DataFrame, carry: list[str], loss: float, margin: float, strength: float, seed: int, max_labelled: int, toxic_loss: float, id_col: str, text_col: str):
         spark = docs.sparkSession
-        self.id_col, self.text_col, self.strength, self.seed = id_col, text_col, strength, seed
         good, others, toxic = labelled(labels, max_labelled)
         held = good[good.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32) <= np.uint64((1 << 32) // 3)]
         shown = np.setdiff1d(good, held) if 0 < len(held) < len(good) else good
@@ -118,7 +118,7 @@ class Model:
         evidence = spark.sparkContext.broadcast(marked)
 
         @F.pandas_udf("n_grams long, score double, toxicity double")
-        def score(texts: pd.Series) -> pd.DataFrame:
+        def measure(texts: pd.Series) -> pd.DataFrame:
             sizes, scores, marks = [], [], []
             for text in texts:
                 n, total = 0, 0.0
@@ -130,25 +130,20 @@ class Model:
                 marks.append(evidence.value.toxicity(text))
             return pd.DataFrame({"n_grams": sizes, "score": scores, "toxicity": marks})
 
-        self.udf = score
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        own = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("own"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), measure(text).alias("of"))
+        key = F.col("of.score") * strength + gumbel(F.lit(seed), F.col("doc_id"), F.col("hash"))
         store = Store(spark, "quality")
-        rows = store.keep(self.scored(docs).select(F.col(id_col).cast("long").alias("doc_id"), "quality_score", "quality_key", "quality_toxicity"), "scores")
+        self.rows = store.keep(own.select("own", "doc_id", "of.n_grams", "of.score", "of.toxicity", key.alias("key")), "scores")
         known = spark.createDataFrame([(int(i),) for i in held], "doc_id long")  # max_labelled rows at most
-        own = rows.join(F.broadcast(known), "doc_id").select(F.expr("percentile(quality_score, array({}))".format(float(loss))).alias("cut")).first()["cut"]
-        self.cut = min(own[0], 0.0) - margin if own else -float("inf")
-        rows = rows.where(F.col("quality_toxicity") <= self.toxic_cut)
-        self.selected = rows.where(F.col("quality_score") >= self.cut).count()
-        self.least_key = kth_greatest(rows, "quality_key", self.selected)
-        store.drop("scores")
-
-    def scored(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``quality_n_grams``, ``quality_score``, ``quality_key`` and ``quality_toxicity``."""
-        text = F.coalesce(F.col(self.text_col), F.lit(""))
-        made = docs.withColumn("quality_of", self.udf(text))
-        return made.withColumns({
-            "quality_n_grams": F.col("quality_of.n_grams"), "quality_score": F.col("quality_of.score"), "quality_toxicity": F.col("quality_of.toxicity"),
-            "quality_key": F.col("quality_of.score") * self.strength + gumbel(F.lit(self.seed), F.col(self.id_col).cast("long"), F.xxhash64(text)),
-        }).drop("quality_of")
+        least = self.rows.select("doc_id", "score").join(F.broadcast(known), "doc_id").select(F.expr(f"percentile(score, array({float(loss)}))").alias("cut")).first()["cut"]
+        self.cut = min(least[0], 0.0) - margin if least else -float("inf")
+        clean = self.rows.select("score", "key", "toxicity").where(F.col("toxicity") <= self.toxic_cut)
+        self.selected = clean.where(F.col("score") >= self.cut).count()
+        self.least_key = kth_greatest(clean, "key", self.selected)
+
+    def is_selected(self) -> Column:
+        return (F.col("key") >= self.least_key) & (F.col("toxicity") <= self.toxic_cut)
 
 
 def gumbel(*of: Column) -> Column:
@@ -179,13 +174,12 @@ def kth_greatest(rows: DataFrame, key: str, k: int, bins: int = 4096) -> float:
     return low
 
 
-def classify(docs: DataFrame, labels: DataFrame, loss: float = 0.002, margin: float = 0.05, strength: float = 400.0, seed: int = 7, max_labelled: int = 20_000, toxic_loss: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The fitted model, and the rows of ``docs`` with their scores and ``quality_selected``."""
-    model = Model(docs, labels, loss, margin, strength, seed, max_labelled, toxic_loss, id_col, text_col)
-    return model, model.scored(docs).withColumn("quality_selected", (F.col("quality_key") >= model.least_key) & (F.col("quality_toxicity") <= model.toxic_cut))
+def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, loss: float = 0.002, margin: float = 0.05, strength: float = 400.0, seed: int = 7, max_labelled: int = 20_000, toxic_loss: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The fitted model with its scored rows, which carry all columns of ``docs`` or those named."""
+    return Model(docs, labels, docs.columns if carry is None else carry, loss, margin, strength, seed, max_labelled, toxic_loss, id_col, text_col)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are sampled, with their own columns."""
-    _, rows = classify(docs, labels, **options)
-    return rows.where("quality_selected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = classify(docs, labels, **options)
+    return model.rows.where(model.is_selected()).select("own.*")

@@ -12,13 +12,15 @@ that a checksum of data that holds checksums stays meaningful. The index is a Pa
 row for each record (shard, file, position, byte offset and length, tokens before it in the
 shard), written by Spark beside the shards. A reader goes to any record by its offset.
 
-Documents are range-partitioned by id and sorted, so shards are in global order. A task writes its
+Documents are range-partitioned by id and the beginning of their text (so rows of one id are not one
+task), and sorted by id and text, so shards are in global order. A task writes its
 shard under a name of its own; only the index says which files count, and Spark commits the index
 rows of one attempt alone. A lost executor or a speculative copy leaves at most a file that no row
 names. The number of tokens before a shard comes from one row a shard.
 
 Defined results: null or empty text has the end id alone. Rows of equal ids (null ids first) stay
-separate records, in the order of their texts. An empty table has an empty index.
+separate records, in the order of their texts. An empty table has an empty index. Columns but id and
+text are not read, and may have any names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import Memo, by_batch, held, shared_folder
+from timeweave.llm.common import Memo, Store, by_batch, held
 from timeweave.llm.op1_token_counts import split_special
 from timeweave.llm.pieces import cut
 
@@ -104,7 +106,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
     """Writes the shards and the index of all documents into ``folder``; returns the index."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def write_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, own = TaskContext.get().partitionId(), encoder(vocabulary)
@@ -155,12 +157,17 @@ def read(index: DataFrame, folder: str, dtype: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
-    """Writes all documents, reads the files back, and returns a row for each from them."""
-    folder = shared_folder(spark, "records")
+    """Writes all documents, reads the files back, and returns a row for each from them; the files go
+    then."""
+    store = Store(spark, "records")
+    folder = f"{store.root}/files"
     index = write(docs, folder, vocabulary, end_id)
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row a shard
     bases = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
     records = read(index, folder, encoder(vocabulary).dtype)
-    return records.join(F.broadcast(bases), "shard").select(
+    rows = records.join(F.broadcast(bases), "shard").select(
         "doc_id", (F.col("base") + F.col("before")).alias("start"), F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+    result = store.keep(rows, "digests")
+    store.drop("files")
+    return result

@@ -260,6 +260,15 @@ def test_op5_files_give_the_ids_back(edge, empty, library, spark):
     assert op5_token_records.digests(spark, empty, JSON).count() == 0
 
 
+def test_op5_equals_the_library_on_the_whole_table(spark, documents, library):
+    got = queries.queries()["op5_token_records"](spark, SF).orderBy("start").collect()
+    rows, start = documents.orderBy("doc_id").collect(), 0
+    for own, row, coded in zip(got, rows, library.encode_batch([r["text"] or "" for r in rows], add_special_tokens=False), strict=True):
+        ids = [*coded.ids, 2]
+        assert (own["doc_id"], own["start"], own["n_tokens"], own["ids_crc32"]) == (row["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_op5_finds_damage():
     record = op5_token_records.frame(b"payload")
     assert op5_token_records.unframe(record) == b"payload"
@@ -327,6 +336,13 @@ def test_op7_edges(spark, edge, empty):
     assert op7_license_scan.scan(edge).count() == edge.count() and op7_license_scan.scan(empty).count() == 0
 
 
+def test_op8_round_trip_equals_encode_and_decode(edge, empty):
+    two = op8_bpe_codec.decode(op8_bpe_codec.encode(edge, RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
+    one = op8_bpe_codec.round_trip(edge.withColumns({"ids": F.lit(1), "decoded": F.lit(2)}), RANKS, P.PATTERN).collect()
+    assert sorted(map(str, two)) == sorted(str(r).replace(", exact=True", "") for r in one)
+    assert op8_bpe_codec.round_trip(empty, RANKS, P.PATTERN).count() == 0
+
+
 def test_op8_is_exact_and_reversible(edge, empty):
     import tiktoken
 
@@ -339,6 +355,21 @@ def test_op8_is_exact_and_reversible(edge, empty):
     assert op8_bpe_codec.encode(empty, RANKS, P.PATTERN).count() == 0
 
 
+def test_op8_equals_the_library_on_the_whole_table(spark, documents):
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    got = queries.queries()["op8_bpe_codec"](spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = own.encode_ordinary(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
 def test_op8_backtracks_as_the_merges():
     codec, rnd = op8_bpe_codec.codec(RANKS, P.PATTERN), random.Random(2)
     for _ in range(500):
@@ -346,17 +377,73 @@ def test_op8_backtracks_as_the_merges():
         assert codec.backtrack(data) == codec.merges.merge(data)
 
 
+def selected(model):
+    return model.rows.select("own.*", "n_grams", "score", "toxicity", "key", model.is_selected().alias("quality_selected"))
+
+
+def plain_grams(text):
+    """Byte four-grams and word repeats by the definition."""
+    data = text.encode()
+    grams = [int.from_bytes(data[i : i + 4], "big") * 0x9E3779B1 % (1 << 32) >> 16 for i in range(len(data) - 3)]
+    words = data.split()
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    return grams + [1 << 16] * again + [(1 << 16) + 1] * (len(words) - again)
+
+
+def test_op9_equals_brute_force(spark):
+    """Counts, models, scores, Gumbel keys, k and the sample, in plain Python over the whole table."""
+    import math
+    from collections import Counter
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = op9_quality.classify(docs, labels, carry=["doc_id"])
+    got = {r["doc_id"]: r for r in selected(model).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    good = sorted({r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]} - {r["doc_id"] for r in labels.collect() if r["quality"] == 0 or r["toxic"]})
+    held = [i for i in good if i * 0x9E3779B97F4A7C15 % (1 << 64) >> 32 <= (1 << 32) // 3]
+    grams = {i: plain_grams(t) for i, t in texts.items()}
+    raw, target = Counter(), Counter()
+    for i, own in grams.items():
+        raw.update(own)
+        if i in good and i not in held:
+            target.update(own)
+    size = 1 << 16
+    sums = [(sum(c[b] for b in range(size)) + size, c[size] + c[size + 1] + 2) for c in (raw, target)]
+    ratio = lambda b: math.log((target[b] + 1) / sums[1][b >= size]) - math.log((raw[b] + 1) / sums[0][b >= size])
+    table = {b: ratio(b) for b in raw}
+    scores = {i: sum(map(table.__getitem__, own)) / len(own) if own else 0.0 for i, own in grams.items()}
+    assert set(got) == set(texts) and all(got[i]["n_grams"] == len(grams[i]) and abs(got[i]["score"] - scores[i]) < 1e-9 for i in texts)
+    own = sorted(scores[i] for i in held if i in scores)
+    at = 0.002 * (len(own) - 1)
+    least = own[int(at)] + (own[min(int(at) + 1, len(own) - 1)] - own[int(at)]) * (at - int(at))
+    assert abs(model.cut - (min(least, 0.0) - 0.05)) < 1e-9
+    noise = {r["doc_id"]: r["u"] for r in docs.select("doc_id", F.xxhash64(F.lit(7), "doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).alias("u")).collect()}
+    keys = {i: scores[i] * 400 - math.log(-math.log((((noise[i] & (1 << 64) - 1) >> 11) + 0.5) / (1 << 53))) for i in texts}
+    assert all(abs(got[i]["key"] - keys[i]) < 1e-6 for i in texts)
+    clean = [i for i in texts if got[i]["toxicity"] <= model.toxic_cut]
+    k = sum(scores[i] >= model.cut for i in clean)
+    assert {i for i, r in got.items() if r["quality_selected"]} == set(sorted(clean, key=lambda i: -keys[i])[:k]) and k == model.selected
+
+
+def test_op9_carries_any_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    names = ["quality_score", "quality_of", "own", "key", "of", "score", "hash", "toxicity"]
+    wide = docs.select("*", *[F.lit(7.5).alias(n) for n in names])
+    kept = op9_quality.keep_good(wide, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert kept.columns == wide.columns and all(r[n] == 7.5 for r in kept.collect() for n in names)
+
+
 def test_op9_tells_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     shown, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
-    _, rows = op9_quality.classify(docs, shown)
+    rows = selected(op9_quality.classify(docs, shown, carry=["doc_id"]))
     shares = {(r["quality"], r["toxic"]): r["s"] for r in rows.join(held, "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("quality_selected").cast("int")).alias("s")).collect()}
     assert shares[1, 0] >= 0.98 and shares[0, 0] <= 0.15
 
 
 def test_op9_leaves_out_held_out_toxic_documents(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    _, rows = op9_quality.classify(docs, labels.where("doc_id % 2 = 0"))
+    rows = selected(op9_quality.classify(docs, labels.where("doc_id % 2 = 0"), carry=["doc_id"]))
     held = rows.join(labels.where("doc_id % 2 = 1 and quality = 1"), "doc_id").groupBy("toxic").agg(F.avg(F.col("quality_selected").cast("int")).alias("s"))
     shares = {r["toxic"]: r["s"] for r in held.collect()}
     assert shares[1] <= 0.1 and shares[0] >= 0.99
@@ -425,6 +512,7 @@ def test_op10_loses_no_link(spark, k, num, den, monkeypatch):
 
 
 def test_op10_keeps_one_of_each(spark, edge, empty):
+    edge = edge.withColumns({"_row_id": F.lit(1), "own": F.lit(2), "hash": F.lit(3), "place": F.lit(4)})
     kept = op10_jaccard_join.keep_one(edge)
     assert kept.columns == edge.columns
     got = [(r["doc_id"], r["text"]) for r in kept.collect()]

@@ -95,8 +95,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id",
     best_of = Window.partitionBy("query").orderBy("distance", "least")
     done: list[DataFrame] = []
     for radius in range(cut.widest + 1):
+        # the planner takes generated rows for as few as those they come from, and would broadcast them
         probes = within(active.select("query", cut.values(F.col("query"))), radius)
-        met = probes.join(postings.select("segment", "value", "code", "n", "least"), ["segment", "value"]).select("query", "code", "n", "least", distance.alias("distance"))
+        met = probes.hint("merge").join(postings.select("segment", "value", "code", "n", "least"), ["segment", "value"]).select("query", "code", "n", "least", distance.alias("distance"))
         own = best.join(active, "query", "left_semi") if radius else best
         ranked = own.unionByName(met).distinct().withColumn("place", F.row_number().over(best_of)).where(F.col("place") <= k + 1)
         best = store.keep(ranked.drop("place"), f"best-{radius}")

@@ -171,11 +171,6 @@ def test_lexical_phrases_and_exclusions(spark):
     assert [(r["chunk_id"], r["pass"]) for r in found] == [(1, 1), (2, 2)]
 
 
-def test_cover_density_counts_noise():
-    assert lexical.density([(0, 0), (1, 1)], 2) == pytest.approx(0.1)
-    assert lexical.density([(0, 0), (3, 1)], 2) == pytest.approx(0.1 / 3)
-
-
 def test_questions_round_trip(spark, tmp_path):
     path = str(tmp_path / "q")
     rows = spark.createDataFrame([("a", "ünïcode?", [(1.0, 2.0)])], "id string, question string, gold_spans array<struct<s:double,e:double>>")

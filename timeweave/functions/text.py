@@ -13,6 +13,17 @@ over re right say see so some something take than that thats the their them then
 this those to too up us use using ve want was we well were what when where which who why will with would yeah yes you
 your youre it's that's we're actually basically really very much more most also again
 """.split()
+# The words that English full-text search leaves out.
+ENGLISH_STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+itself they them their theirs themselves what which who whom this that these those am is are was were be been being
+have has had having do does did doing a an the and but if or because as until while of at by for with about against
+between into through during before after above below to from up down in out on off over under again further then once
+here there when where why how all any both each few more most other some such no nor not only own same so than too very
+s t can will just don should now
+""".split()
+#: White space at the ends of texts.
+WHITE = " \t\n\r\f\v"
 # Fixed value: signs that mark code.
 CODE_MARKS = "()[]{}.;:=_<>/\\-+*&|!#@$\"'"
 # Accepted suffixes and their content types.
@@ -29,8 +40,13 @@ CONTENT_TYPES = {
 RUN_ON, SHORTEST_BLOCK = 24, 3
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def word_count(text: Column) -> Column:
-    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
+    clean = strip(F.regexp_replace(text, r"\s+", " "))
     return F.when(clean == "", 0).otherwise(F.size(F.split(clean, " ")))
 
 
@@ -40,12 +56,12 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def ends_sentence(text: Column) -> Column:
-    return F.trim(text).rlike(r"[.!?]['\")\]]*$")
+    return strip(text).rlike(r"[.!?]['\")\]]*$")
 
 
 def normalise(text: Column) -> Column:
     """Lower case, and each run of other than a-z and 0-9 one space."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
+    return strip(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
 
 
 def topic_words(text: Column) -> Column:
@@ -60,32 +76,32 @@ def capitalise(word: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return strip(F.regexp_replace(text, r"\s+", " "))
 
 
 def is_indexable(text: Column) -> Column:
     """Whether a block on screen is worth an index entry: run-together prose is not, code is."""
-    clean = F.trim(text)
+    clean = strip(text)
     marks = "[" + "".join("\\" + c for c in CODE_MARKS) + "]"
     return (F.length(clean) >= SHORTEST_BLOCK) & (F.contains(clean, F.lit(" ")) | (F.length(clean) <= RUN_ON) | clean.rlike(marks))
 
 
 def caption(text: Column) -> Column:
     """The lines of a cue, trimmed, without blank ones; an ellipsis if none is left."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: strip(x)), lambda x: x != "")
     joined = F.array_join(lines, "\n")
     return F.when(joined == "", "…").otherwise(joined)
 
 
 def safe_filename(title: Column, suffix: str) -> Column:
     clean = F.regexp_replace(F.regexp_replace(title, r'[<>:"/\\|?*\x00-\x1f]', " "), r"\s+", " ")
-    clean = F.trim(F.substring(F.regexp_replace(clean, r"^[ .]+|[ .]+$", ""), 1, 80))
+    clean = strip(F.substring(F.regexp_replace(clean, r"^[ .]+|[ .]+$", ""), 1, 80))
     return F.concat(F.when(clean == "", "transcript").otherwise(clean), F.lit(f".{suffix}"))
 
 
 def split_sentences(text: Column) -> Column:
-    parts = F.split(F.trim(text), r"(?<=[.!?])\s+(?=[A-Z(\[])")
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
+    parts = F.split(strip(text), r"(?<=[.!?])\s+(?=[A-Z(\[])")
+    return F.filter(F.transform(parts, lambda s: strip(s)), lambda s: s != "")
 
 
 def looks_like_timestamp(text: Column) -> Column:
@@ -108,4 +124,4 @@ def content_type(name: Column) -> Column:
 
 def required(text: Column) -> Column:
     """The trimmed text, null if nothing is left."""
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(strip(text), F.lit(""))

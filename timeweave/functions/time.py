@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from timeweave.functions.text import strip
+
 
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Seconds that two intervals share."""
@@ -29,8 +31,8 @@ def stamp(seconds: Column) -> Column:
 
 def parse_stamp(text: Column) -> Column:
     """Seconds of one to three numbers with colons between, else null."""
-    parts = F.split(F.trim(text), ":")
-    numbers = F.transform(parts, lambda p: F.when(p.rlike(r"^\s*\d+(\.\d+)?\s*$"), F.trim(p).try_cast("double")))
+    parts = F.split(strip(text), ":")
+    numbers = F.transform(parts, lambda p: F.when(p.rlike(r"^\s*\d+(\.\d+)?\s*$"), strip(p).try_cast("double")))
     total = F.aggregate(numbers, F.lit(0.0), lambda a, x: a * 60 + x)
     return F.when(F.size(parts) <= 3, total)
 

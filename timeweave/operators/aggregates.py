@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeweave.functions.text import strip
+
 # Fixed value: of several events in a slot the first type of this list shows.
 PRIORITY = ["topic_change", "text_appeared", "silence", "scene_change", "slide_change"]
 SLOTS = 240
@@ -55,7 +57,7 @@ def job_progress(stages: DataFrame) -> DataFrame:
 
 def span_text(texts: Column) -> Column:
     """The texts of (position, text) structs, trimmed, without empty ones, in order."""
-    clean = F.transform(F.array_sort(texts), lambda x: F.trim(x["text"]))
+    clean = F.transform(F.array_sort(texts), lambda x: strip(x["text"]))
     return F.array_join(F.filter(clean, lambda t: t != ""), " ")
 
 

@@ -44,7 +44,7 @@ def resolve_scope(queries: DataFrame, collections: DataFrame, videos: DataFrame)
 
 def parse_kinds(listed: Column) -> tuple[Column, Column]:
     """The kinds of a comma list, and those among them that are unknown."""
-    kinds = F.filter(F.transform(F.split(listed, ","), lambda k: F.trim(k)), lambda k: k != "")
+    kinds = F.filter(F.transform(F.split(listed, ","), lambda k: X.strip(k)), lambda k: k != "")
     return kinds, F.array_except(kinds, F.array(*map(F.lit, KINDS)))
 
 
@@ -68,7 +68,7 @@ def list_events(events: DataFrame, types: list | None, least: float, limit: int)
 
 
 def block_gate(blocks: DataFrame, confidence: float = 0.60, shortest: int = 3) -> DataFrame:
-    return blocks.where((F.col("confidence") >= confidence) & (F.length(F.trim("text")) >= shortest))
+    return blocks.where((F.col("confidence") >= confidence) & (F.length(X.strip(F.col("text"))) >= shortest))
 
 
 def drop_repeats(segments: DataFrame) -> DataFrame:
@@ -86,5 +86,5 @@ def frame_texts(blocks: DataFrame, shortest: int = 8) -> DataFrame:
     """``frame_id, text``: the indexable blocks of a frame in reading order, one a line."""
     good = block_gate(blocks).where(X.is_indexable(F.col("text")))
     lines = good.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("y1", "x1", "n", "text"))).alias("b"))
-    joined = lines.select("frame_id", F.array_join(F.transform("b", lambda x: F.trim(x["text"])), "\n").alias("text"))
+    joined = lines.select("frame_id", F.array_join(F.transform("b", lambda x: X.strip(x["text"])), "\n").alias("text"))
     return joined.where(F.length("text") >= shortest)

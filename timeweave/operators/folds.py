@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.functions.text import ends_sentence, estimate_tokens
+from timeweave.functions.text import ends_sentence, estimate_tokens, strip
 from timeweave.operators.joins import as_of
 
 #: Target, longest and overlapping seconds of chunks at the two levels.
@@ -59,7 +59,7 @@ def chunk_fold(rows: Iterator[tuple], target: float, longest: float, overlap: fl
 
 def chunk(segments: DataFrame, target: float, longest: float, overlap: float) -> DataFrame:
     """Chunks of speech: ``video_id, position, start_s, end_s, text, first, last`` (of the segments)."""
-    rows = segments.where(F.trim("text") != "").select("video_id", "position", "start_s", "end_s", F.trim("text").alias("text"), ends_sentence(F.col("text")).alias("ends"))
+    rows = segments.where(strip(F.col("text")) != "").select("video_id", "position", "start_s", "end_s", strip(F.col("text")).alias("text"), ends_sentence(F.col("text")).alias("ends"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []

@@ -14,11 +14,6 @@ LEVELS = [("coarse", 1.5, 300.0), ("fine", 1.0, 120.0)]
 WIDTH = 4
 
 
-def _sum(arrays: Column) -> Column:
-    zero = F.transform(F.get(arrays, F.lit(0)), lambda x: F.lit(0.0))
-    return F.aggregate(arrays, zero, lambda total, v: F.zip_with(total, v, lambda a, b: a + b))
-
-
 def coherence(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
     """``video_id, position, next_start, n, coherence``: how alike the ``width`` chunks up to each
     place are to those after it; none at the last."""
@@ -27,7 +22,7 @@ def coherence(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
     left = F.collect_list("u").over(order.rowsBetween(1 - width, 0))
     right = F.collect_list("u").over(order.rowsBetween(1, width))
     both = rows.withColumns({"l": left, "r": right}).where(F.size("r") > 0)
-    mean = lambda c: F.transform(_sum(F.col(c)), lambda x: x / F.size(c))
+    mean = lambda c: F.transform(V.total(F.col(c)), lambda x: x / F.size(c))
     return both.select("video_id", "position", "next_start", "n", V.cosine(mean("l"), mean("r")).alias("coherence"))
 
 

@@ -1,35 +1,45 @@
 """Approximate nearest chunks: vectors are filed under their nearest centroid, and a query looks into
-the nearest few files only."""
+the nearest files only. ``search.nearest`` is the exact way; tests hold the recall of this one against it."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeweave.functions import vectors as V
 
 #: Vectors that centroids are fitted on at most: those of least hash.
 FITTED = 20_000
+#: The share of files that a query looks into.
+PROBED = 0.7
 
 
-def centroids(chunks: DataFrame, k: int, fitted: int = FITTED, seed: int = 1) -> list[list[float]]:
+def centroids(chunks: DataFrame, k: int, fitted: int = FITTED, seed: int = 1) -> np.ndarray:
     """k centroids of unit vectors, fitted on a bounded sample."""
     sample = chunks.where("embedding is not null").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(fitted).select(array_to_vector(V.unit(F.col("embedding"))).alias("features"))
-    return [c.tolist() for c in KMeans(k=k, seed=seed, maxIter=10).fit(sample).clusterCenters()]
+    return np.array(KMeans(k=k, seed=seed, maxIter=10).fit(sample).clusterCenters())
 
 
-def _files(unit: F.Column, centres: list[list[float]]) -> F.Column:
-    """Numbers of the centroids, the nearest first."""
-    near = F.array(*[F.struct((-V.dot(unit, F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)])
-    return F.transform(F.array_sort(near), lambda x: x["i"])
+def _files(unit: Column, centres, most: int) -> Column:
+    """Numbers of the nearest ``most`` of the broadcast centroids, the nearest first."""
 
+    @F.pandas_udf("array<int>")
+    def nearest(units: pd.Series) -> pd.Series:
+        near = np.argsort(-(np.stack(units.to_numpy()) @ centres.value.T), axis=1, kind="stable")[:, :most] if len(units) else np.empty((0, most))
+        return pd.Series(list(near.astype(np.int32)))
 
-def probe(queries: DataFrame, chunks: DataFrame, centres: list[list[float]], files: int, limit: int) -> DataFrame:
-    """``query_id, chunk_id, distance, rank`` of chunks in the query's nearest ``files``."""
-    filed = chunks.where("embedding is not null").select("chunk_id", V.unit(F.col("embedding")).alias("u")).withColumn("file", F.get(_files(F.col("u"), centres), F.lit(0)))
-    asked = queries.select("query_id", V.unit(F.col("embedding")).alias("q")).withColumn("file", F.explode(F.slice(_files(F.col("q"), centres), 1, files)))
+    return nearest(unit)
+
+
+def probe(queries: DataFrame, chunks: DataFrame, centres: np.ndarray, limit: int, probed: float = PROBED) -> DataFrame:
+    """``query_id, chunk_id, distance, rank`` of chunks in the files that are nearest to the query."""
+    sent, most = queries.sparkSession.sparkContext.broadcast(centres), max(1, round(probed * len(centres)))
+    filed = chunks.where("embedding is not null").select("chunk_id", V.unit(F.col("embedding")).alias("u")).withColumn("file", F.get(_files(F.col("u"), sent, 1), F.lit(0)))
+    asked = queries.where("embedding is not null").select("query_id", V.unit(F.col("embedding")).alias("q")).withColumn("file", F.explode(_files(F.col("q"), sent, most)))
     scored = filed.join(asked, "file").select("query_id", "chunk_id", (1 - V.dot(F.col("q"), F.col("u"))).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.functions.text import collapse
+from timeweave.functions.text import collapse, strip
 
 # Fixed value: stages whose failure degrades a run and does not fail it.
 VISUAL = ["keyframes", "ocr"]
@@ -36,7 +36,7 @@ def file_videos(videos: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def taken_names(collections: DataFrame) -> DataFrame:
-    return collections.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+    return collections.groupBy(F.lower(strip(F.col("name"))).alias("name")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def curate(questions: DataFrame, reviewed: DataFrame, dropped: DataFrame, rewritten: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def salvage(raw: Column, size: int) -> Column:
     """(index, question) pairs from a model's answer: the JSON array in it, with or without a fence,
     else whole objects of a broken one. Numbers count from one; skipped, short and strange ones go."""
     fence = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    text = F.trim(F.when(fence != "", fence).otherwise(raw))
+    text = strip(F.when(fence != "", fence).otherwise(raw))
     array = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
     kind = "array<struct<n:string,question:string>>"
     parsed = F.from_json(array, kind)

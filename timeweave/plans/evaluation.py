@@ -97,4 +97,5 @@ def sweep(lists: DataFrame, chunks: DataFrame, questions: DataFrame, weights=WEI
     spans = chunks.select("chunk_id", (F.col("start_s") + day).alias("start_s"), (F.col("end_s") + day).alias("end_s"))
     named = cells.join(spans, "chunk_id").select(F.struct("weight", "damping").alias("variant"), F.col("query_id").alias("question_id"), "rank", "start_s", "end_s")
     scored = per_question(relevance(named, questions))
-    return scored.groupBy("variant").agg(F.round(F.avg("mrr"), 9).alias("mrr"), F.round(F.avg("recall_5"), 9).alias("recall_5")).select("variant.*", "mrr", "recall_5")
+    shown = ["recall_1", "recall_5", "recall_10", "mrr", "ndcg"]
+    return scored.groupBy("variant").agg(*[F.round(F.avg(c), 9).alias(c) for c in shown]).select("variant.*", *shown)

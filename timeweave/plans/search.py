@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.functions.text import STOP_WORDS
+from timeweave.operators.filters import apply_filters
+from timeweave.plans import lexical
+from timeweave.plans.lexical import CANDIDATES
 
-#: Fixed values of the fusion: list weights, damping, candidates of a list, guaranteed lexical slots.
-SEMANTIC, LEXICAL, DAMPING, CANDIDATES, SLOTS = 1.0, 0.25, 60, 50, 5
+#: Fixed values of the fusion: list weights, damping, guaranteed lexical slots.
+SEMANTIC, LEXICAL, DAMPING, SLOTS = 1.0, 0.25, 60, 5
 #: Queries that go to the tasks at once; more are searched in further passes.
 BLOCK = 4096
 
@@ -24,31 +26,56 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[list]:
         yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).collect()
 
 
+class Best:
+    """The ``limit`` least distances of each query so far, ties by id."""
+
+    def __init__(self, queries: int, limit: int):
+        self.limit, self.reach = limit, np.full(queries, np.inf)
+        self.query, self.id, self.distance = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def add(self, distances: np.ndarray, ids: np.ndarray) -> None:
+        """Distances of each query (a row) to some chunks, infinite where a chunk is out of scope."""
+        rows, columns = np.nonzero((distances <= self.reach[:, None]) & np.isfinite(distances))
+        query, found, near = np.r_[self.query, rows], np.r_[self.id, ids[columns]], np.r_[self.distance, distances[rows, columns]]
+        order = np.lexsort((found, near, query))
+        query, found, near = query[order], found[order], near[order]
+        first = np.searchsorted(query, np.arange(len(self.reach)))
+        keep = np.arange(len(query)) - first[query] < self.limit
+        self.query, self.id, self.distance = query[keep], found[keep], near[keep]
+        full = np.bincount(self.query, minlength=len(self.reach)) >= self.limit
+        last = np.searchsorted(self.query, np.arange(len(self.reach)), "right") - 1
+        self.reach[full] = self.distance[last[full]]
+
+
 def nearest(queries: DataFrame, chunks: DataFrame, limit: int = CANDIDATES, block: int = BLOCK) -> DataFrame:
     """``query_id, chunk_id, distance, rank``: exact nearest chunks by cosine distance. Queries are
     (query_id, embedding), chunks (chunk_id, embedding); each task keeps its own best ``limit`` a
-    query, so what is shuffled is bounded by tasks times queries times limit."""
+    query, so what is shuffled is bounded by tasks times queries times limit. A stated query set goes
+    to the tasks in blocks, each a pass over the chunks. Queries with a column ``video_ids`` find
+    chunks of these videos alone, where it is not null."""
     schema = "query_id long, chunk_id long, distance double"
     found = queries.sparkSession.createDataFrame([], schema)
-    for rows in _blocks(queries.where("embedding is not null"), block):
+    scoped = "video_ids" in queries.columns
+    for rows in _blocks(queries.where("embedding is not null").select("query_id", "embedding", *["video_ids"] * scoped), block):
         if not rows:
             continue
         ids = np.array([r["query_id"] for r in rows], np.int64)
         asked = _unit(np.array([r["embedding"] for r in rows], np.float64))
+        scopes = [r["video_ids"] for r in rows] if scoped else []
 
-        def run(frames: Iterator[pd.DataFrame], ids=ids, asked=asked) -> Iterator[pd.DataFrame]:
-            best_ids, best = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+        def run(frames: Iterator[pd.DataFrame], ids=ids, asked=asked, scopes=scopes) -> Iterator[pd.DataFrame]:
+            best = Best(len(ids), limit)
             for frame in frames:
                 for at in range(0, len(frame), 2048):
                     part = frame.iloc[at : at + 2048]
-                    scores = 1.0 - asked @ _unit(np.stack(part["embedding"].to_numpy()).astype(np.float64)).T
-                    every = np.concatenate([best, scores], 1)
-                    every_ids = np.concatenate([best_ids, np.broadcast_to(part["chunk_id"].to_numpy(), scores.shape)], 1)
-                    order = np.lexsort((every_ids, every), axis=1)[:, :limit]
-                    best, best_ids = np.take_along_axis(every, order, 1), np.take_along_axis(every_ids, order, 1)
-            yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "chunk_id": best_ids.ravel(), "distance": best.ravel()})
-
-        found = found.unionByName(chunks.where("embedding is not null").select(F.col("chunk_id").cast("long"), "embedding").mapInPandas(run, schema))
+                    distances = 1.0 - asked @ _unit(np.stack(part["embedding"].to_numpy()).astype(np.float64)).T
+                    for i, allowed in enumerate(scopes):
+                        if allowed is not None:
+                            distances[i, ~part["video_id"].isin(allowed).to_numpy()] = np.inf
+                    best.add(distances, part["chunk_id"].to_numpy())
+            yield pd.DataFrame({"query_id": ids[best.query], "chunk_id": best.id, "distance": best.distance})
+
+        found = found.unionByName(chunks.where("embedding is not null").select(F.col("chunk_id").cast("long"), "embedding", *["video_id"] * scoped).mapInPandas(run, schema))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit)
 
@@ -58,21 +85,10 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norms == 0, 1, norms)
 
 
-def terms(rows: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """``id, term, position``: words in lower case without stop words, at their places."""
-    words = F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+"), F.lit(0))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return rows.select(id_col, F.posexplode(words).alias("position", "term")).where(~F.array_contains(stop, F.col("term")))
-
-
-def relaxed(queries: DataFrame, chunks: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """``query_id, chunk_id, score, rank``: chunks with any of a query's words. Each occurrence is a
-    cover of its own, so the score is a tenth of their number."""
-    asked = terms(queries, "query_id").select("query_id", "term").distinct()
-    counted = terms(chunks, "chunk_id").groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    scored = counted.join(asked, "term").groupBy("query_id", "chunk_id").agg((F.sum("tf") * 0.1).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
+def retrieve(queries: DataFrame, chunks: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """``retriever, query_id, chunk_id, rank``: what both retrievers find."""
+    near = nearest(queries, chunks, limit).select(F.lit("semantic").alias("retriever"), "query_id", "chunk_id", "rank")
+    return near.unionByName(lexical.search(queries, chunks, limit).select(F.lit("lexical").alias("retriever"), "query_id", "chunk_id", "rank"))
 
 
 def fuse(lists: DataFrame, weights: dict[str, float] | None = None, damping: int = DAMPING) -> DataFrame:
@@ -106,16 +122,35 @@ def rerank_score(query: F.Column, text: F.Column) -> F.Column:
     return F.round(F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, words(text))) / F.size(own)) * 20 - 10, 6)
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, videos: DataFrame, limit: int = 10, rerank: int | None = None, weights: dict | None = None, damping: int = DAMPING) -> DataFrame:
-    """Hits of each query: (query_id, text, embedding) against (chunk_id, video_id, start_s, end_s,
-    text, embedding). With ``rerank`` so many of the pool (and the guaranteed ones) are scored as
-    pairs with the query; else the fused order stands."""
-    near = nearest(queries, chunks).select(F.lit("semantic").alias("retriever"), "query_id", "chunk_id", "rank")
-    match = relaxed(queries, chunks).select(F.lit("lexical").alias("retriever"), "query_id", "chunk_id", "rank")
-    fused = pool(fuse(near.unionByName(match), weights, damping), max(rerank or 0, limit))
-    rows = fused.join(chunks.drop("embedding"), "chunk_id").join(videos.select("video_id", "title"), "video_id")
+def hybrid(
+    queries: DataFrame, chunks: DataFrame, videos: DataFrame, limit: int = 10, rerank: int | None = None, weights: dict | None = None, damping: int = DAMPING,
+    parents: DataFrame | None = None, video_ids: list | None = None, kinds: list | None = None, window: tuple | None = None, lists: DataFrame | None = None,
+) -> DataFrame:
+    """Hits of each query: (query_id, text, embedding, perhaps video_ids) against (chunk_id, video_id,
+    kind, parent_id, start_s, end_s, text, embedding).
+
+    Both retrievers see only what the filters let through: None filters nothing, an empty list matches
+    nothing; ``video_ids`` of a query is its own scope. With ``rerank`` so many of the pool (and the
+    guaranteed ones) are scored as pairs with the query; else the fused order stands. With ``parents``
+    (video_id, parent_id, parent_text, parent_start, parent_end) hits carry their parent passage.
+    ``lists`` are the retrieved lists, if they are there already."""
+    shown = apply_filters(chunks, video_ids, kinds, window)
+    fused = pool(fuse(retrieve(queries, shown) if lists is None else lists, weights, damping), max(rerank or 0, limit))
+    rows = fused.join(chunks.drop("embedding"), "chunk_id")
+    rows = rows.join(videos.select("video_id", "title"), "video_id") if parents is None else hydrate(rows, videos, parents)
     if rerank is None:
         return rows.where(F.col("fused_rank") <= limit).withColumn("rerank_score", F.lit(None).cast("double")).withColumn("rank", F.col("fused_rank"))
     asked = rows.join(queries.select("query_id", F.col("text").alias("question")), "query_id").withColumn("rerank_score", rerank_score(F.col("question"), F.col("text")))
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "fused_rank")
     return asked.drop("question").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def counters(queries: DataFrame, lists: DataFrame, hits: DataFrame) -> DataFrame:
+    """``query_id, semantic_candidates, lexical_candidates, fused_candidates, hits, reranked,
+    top_relevance``: what stands beside the hits of each query."""
+    own = lambda r: F.count_if(F.col("retriever") == r).alias(f"{r}_candidates")
+    found = lists.groupBy("query_id").agg(own("semantic"), own("lexical"), F.countDistinct("chunk_id").alias("fused_candidates"))
+    kept = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.min_by("rerank_score", "rank").alias("top_relevance"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    every = queries.select("query_id").join(found, "query_id", "left").join(kept, "query_id", "left")
+    return every.select("query_id", *map(zero, ["semantic_candidates", "lexical_candidates", "fused_candidates", "hits"]), F.col("top_relevance").isNotNull().alias("reranked"), "top_relevance")

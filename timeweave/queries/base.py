@@ -74,7 +74,7 @@ SEGMENTS = (
     + """,
 timed AS (SELECT video_id, position, text, CAST(c0 AS DOUBLE) / 15.0 + 25.0 * floor(position / 9.0) AS start_s FROM pieces),
 segments AS (
-  SELECT video_id, CAST(position AS BIGINT) AS position, start_s, start_s + CAST(length(text) AS DOUBLE) / 15.0 AS end_s, text FROM timed WHERE trim(text, ' ') <> '')"""
+  SELECT video_id, CAST(position AS BIGINT) AS position, start_s, start_s + CAST(length(text) AS DOUBLE) / 15.0 AS end_s, text FROM timed WHERE trim(text, ' \t\n\r\f\v') <> '')"""
 )
 SPOKEN = """turns AS (
   SELECT conv_id, turn, role, text, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / 15.0 AS start_s
@@ -87,20 +87,28 @@ FRAMES = """frames AS (
 EVENTS = """tl AS (
   SELECT event_id, user_id AS video_id, event_type AS type, (epoch_us(ts) - 1704067200000000) / 3.6e9 AS start_s,
     (epoch_us(ts) - 1704067200000000) / 3.6e9 + 5.0 AS end_s, least(value / 490, 1.0) AS confidence FROM events)"""
-BLOCKS = """words AS (SELECT doc_id AS frame_id, string_split(replace(text, chr(10), ' '), ' ')[1:60] AS w FROM documents),
+BLOCKS = """words AS (SELECT doc_id AS frame_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents),
 numbered AS (SELECT frame_id, unnest(range(len(w))) AS n, unnest(w) AS text FROM words),
 blocks AS (
   SELECT frame_id, CAST(n AS INTEGER) AS n, text, 0.5 + CAST(length(text) % 5 AS DOUBLE) / 10.0 AS confidence, CAST(n % 10 AS INTEGER) AS x1, CAST(n // 10 AS INTEGER) AS y1 FROM numbered)"""
 QUESTIONS = (
     SEGMENTS
     + """,
-items AS (SELECT item_id, text AS item, array_to_string(string_split(text, ' ')[1:8], ' ') AS question FROM benchmark),
+items AS (SELECT item_id, text AS item, text AS question FROM benchmark),
 held AS (SELECT item_id, doc_id, instr(text, item) - 1 AS at, length(item) AS size FROM documents JOIN items ON contains(text, item)),
 gold AS (
   SELECT h.item_id, p.video_id, min(s.start_s) AS s, max(s.end_s) AS e FROM held h JOIN pieces p ON p.video_id = h.doc_id
   JOIN segments s ON s.video_id = p.video_id AND s.position = p.position
   WHERE p.c0 < h.at + h.size AND p.c0 + length(p.text) > h.at GROUP BY ALL)"""
 )
+#: Stems of the words of ``raw (chunk_id, position, word)`` as ``post (chunk_id, position, term)``.
+STEMS = """w1 AS (SELECT w, CASE WHEN length(w) <= 3 THEN w WHEN right(w, 4) = 'sses' OR right(w, 3) = 'ies' THEN left(w, length(w) - 2) WHEN right(w, 1) = 's' AND right(w, 2) NOT IN ('ss', 'us') THEN left(w, length(w) - 1) ELSE w END AS a
+  FROM (SELECT DISTINCT word AS w FROM raw)),
+w2 AS (SELECT w, a, CASE WHEN length(a) > 3 AND right(a, 3) = 'ing' AND regexp_matches(left(a, length(a) - 3), '[aeiouy]') THEN left(a, length(a) - 3)
+  WHEN length(a) > 3 AND right(a, 2) = 'ed' AND regexp_matches(left(a, length(a) - 2), '[aeiouy]') THEN left(a, length(a) - 2) END AS b FROM w1),
+w3 AS (SELECT w, CASE WHEN b IS NULL THEN a WHEN right(b, 2) IN ('at', 'bl', 'iz') THEN b || 'e' WHEN length(b) > 2 AND right(b, 1) = substr(b, length(b) - 1, 1) AND right(b, 1) NOT IN ('l', 's', 'z') THEN left(b, length(b) - 1) ELSE b END AS c FROM w2),
+stems AS (SELECT w AS word, CASE WHEN length(c) > 3 AND right(c, 1) = 'y' AND regexp_matches(left(c, length(c) - 1), '[aeiou]') THEN left(c, length(c) - 1) || 'i' ELSE c END AS term FROM w3),
+post AS (SELECT chunk_id, position, term FROM raw JOIN stems USING (word))"""
 JOBS = """jobs AS (
   SELECT o_custkey AS video_id, o_orderkey AS seq, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'succeeded' ELSE 'queued' END AS status,
     o_orderdate AS created_at FROM orders)"""

@@ -7,7 +7,7 @@ from timeweave.operators import filters as f
 from timeweave.queries.base import BLOCKS, EVENTS, FRAMES, SEGMENTS, SPOKEN, VIDEOS, Data, query
 
 MARKS = "[" + "".join("\\" + c for c in X.CODE_MARKS).replace("'", "''") + "]"
-INDEXABLE = f"(length(trim(text, ' ')) >= 3 AND (contains(trim(text, ' '), ' ') OR length(trim(text, ' ')) <= 24 OR regexp_matches(trim(text, ' '), '{MARKS}')))"
+INDEXABLE = f"(length(trim(text, ' \t\n\r\f\v')) >= 3 AND (contains(trim(text, ' \t\n\r\f\v'), ' ') OR length(trim(text, ' \t\n\r\f\v')) <= 24 OR regexp_matches(trim(text, ' \t\n\r\f\v'), '{MARKS}')))"
 COLLECTIONS = "collections AS (SELECT CAST(unnest(range(1, 10)) AS BIGINT) AS collection_id)"
 #: A query for each customer: a video, a collection, or neither.
 SCOPES = """asked AS (
@@ -49,7 +49,7 @@ def f2(spark, folder):
 @query(
     "f3_parse_kinds",
     """WITH l AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'transcript, ocr' WHEN 1 THEN ',' WHEN 2 THEN ' event ,x' ELSE 'caption' END AS k FROM orders),
-    p AS (SELECT o_orderkey, list_filter(list_transform(string_split(k, ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS kinds FROM l)
+    p AS (SELECT o_orderkey, list_filter(list_transform(string_split(k, ','), lambda x: trim(x, ' \t\n\r\f\v')), lambda x: x <> '') AS kinds FROM l)
     SELECT o_orderkey, array_to_string(kinds, '|') AS kinds, array_to_string(list_filter(kinds, lambda x: x NOT IN ('transcript', 'ocr', 'caption', 'event')), '|') AS unknown FROM p""",
 )
 def f3(spark, folder):
@@ -92,7 +92,7 @@ def f8(spark, folder):
     return found.orderBy("time_s", "event_id").offset(20).limit(50).select("event_id", "time_s").join(found.agg(F.count("*").alias("total")))
 
 
-@query("f9_block_gate", f"WITH {BLOCKS} SELECT frame_id, n FROM blocks WHERE confidence >= 0.60 AND length(trim(text, ' ')) >= 3")
+@query("f9_block_gate", f"WITH {BLOCKS} SELECT frame_id, n FROM blocks WHERE confidence >= 0.60 AND length(trim(text, ' \t\n\r\f\v')) >= 3")
 def f9(spark, folder):
     return f.block_gate(Data(spark, folder).blocks()).select("frame_id", "n")
 
@@ -145,8 +145,8 @@ def f14(spark, folder):
 
 @query(
     "f15_frame_texts",
-    f"""WITH {BLOCKS}, good AS (SELECT * FROM blocks WHERE confidence >= 0.60 AND length(trim(text, ' ')) >= 3 AND {INDEXABLE}),
-    joined AS (SELECT frame_id, string_agg(trim(text, ' '), chr(10) ORDER BY y1, x1, n) AS text FROM good GROUP BY frame_id) SELECT * FROM joined WHERE length(text) >= 8""",
+    f"""WITH {BLOCKS}, good AS (SELECT * FROM blocks WHERE confidence >= 0.60 AND length(trim(text, ' \t\n\r\f\v')) >= 3 AND {INDEXABLE}),
+    joined AS (SELECT frame_id, string_agg(trim(text, ' \t\n\r\f\v'), chr(10) ORDER BY y1, x1, n) AS text FROM good GROUP BY frame_id) SELECT * FROM joined WHERE length(text) >= 8""",
 )
 def f15(spark, folder):
     return f.frame_texts(Data(spark, folder).blocks())

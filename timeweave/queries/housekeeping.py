@@ -1,8 +1,5 @@
 """Sources, sinks, indexing, run history, curation and streams."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from timeweave.plans import curation as cu
@@ -12,19 +9,10 @@ from timeweave.queries.joins import PARENTS, parents
 from timeweave.queries.scalars import CLOCK
 from timeweave.queries.windows import SELECTED
 from timeweave.sources import files
+from timeweave.sources.files import shared_folder
 from timeweave.streaming import streams
 
 
-def shared_folder(spark, what):
-    """A new folder that driver and executors share; a temporary one in local sessions without."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="timeweave-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 @query("src2_load_questions", "SELECT CAST(item_id AS VARCHAR) AS id, text AS question, CASE WHEN item_id % 3 <> 0 THEN CAST(item_id AS DOUBLE) END AS s, CASE WHEN item_id % 3 <> 0 THEN item_id + 60.0::DOUBLE END AS e, item_id % 2 = 0 AS verified FROM benchmark")
 def src2(spark, folder):
     """Questions written as JSON lines, a third without spans, a third in the old fields, and read."""
@@ -94,7 +82,7 @@ def src7(spark, folder):
     return files.reconcile_frames(old, frames.where("event_id % 4 <> 0").withColumnRenamed("event_id", "position")).select("frame_id", "new_position", "action")
 
 
-CAPTION = "CASE WHEN {0} = '' THEN '…' ELSE {0} END".format("array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10))")
+CAPTION = "CASE WHEN {0} = '' THEN '…' ELSE {0} END".format("array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' \t\n\r\f\v')), lambda x: x <> ''), chr(10))")
 CUES = (
     SPOKEN
     + f""",
@@ -190,7 +178,7 @@ def p6(spark, folder):
     return cu.file_videos(data.videos(), moves).select("video_id", "collection_id")
 
 
-@query("p6_taken_names", "SELECT lower(trim(source, ' ')) AS name, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
+@query("p6_taken_names", "SELECT lower(trim(source, ' \t\n\r\f\v')) AS name, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
 def p6b(spark, folder):
     return cu.taken_names(Data(spark, folder).table("documents").select(F.col("source").alias("name")))
 

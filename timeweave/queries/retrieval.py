@@ -1,63 +1,130 @@
-"""Retrieval, fusion, evaluation and answers. Chunks are vectors with the text of the document of the
-same number; the queries are every row whose id is divisible by 50, with its first eight words."""
+"""Retrieval, fusion, evaluation and answers.
 
+Chunks are all documents, fifty of fifteen seconds a video; those with a vector of the same number
+have it. Parents are each four of them. The queries are every row whose id is divisible by 50, with
+its vector and, as words, the eight that are most frequent in its whole text.
+"""
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from timeweave.functions import models
+from timeweave.functions import vectors as V
+from timeweave.functions.text import ENGLISH_STOP_WORDS
+from timeweave.operators.aggregates import chronology
+from timeweave.operators.filters import frame_texts
+from timeweave.operators.topics import build_topics
 from timeweave.plans import answer as an
+from timeweave.plans import context, lexical, search
 from timeweave.plans import evaluation as ev
-from timeweave.plans import lexical, search
-from timeweave.operators.aggregates import chronology
-from timeweave.queries.base import VECTORS, VIDEOS, Data, query
-from timeweave.queries.scalars import STOP
-from timeweave.queries.windows import vector_chunks
+from timeweave.queries.base import BLOCKS, EVENTS, STEMS, VECTORS, Data, query
+from timeweave.queries.filters import INDEXABLE
+from timeweave.queries.windows import TOPICS, vector_chunks
+from timeweave.sources.files import shared_folder
 
-CHUNKS = (
+STOP = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
+TABLES = (
     VECTORS
     + f""",
-chunks AS (SELECT v.vec_id AS chunk_id, v.video_id, v.start_s, v.end_s, v.embedding, d.text FROM vectors v JOIN documents d ON d.doc_id = v.vec_id),
-asked AS (SELECT chunk_id AS query_id, embedding, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:8], ' ') AS text, [start_s - 15, end_s + 15] AS gold, video_id % 3 AS category, start_s FROM chunks WHERE chunk_id % 50 = 0),
-near AS (SELECT q.query_id, c.chunk_id, 1 - list_cosine_similarity(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(c.embedding, lambda x: x::DOUBLE)) AS distance FROM asked q CROSS JOIN chunks c),
+chunks AS (SELECT doc_id AS chunk_id, doc_id // 50 AS video_id, 'c' || (doc_id % 50) // 4 AS parent_id, CASE WHEN doc_id % 3 = 0 THEN 'ocr' ELSE 'transcript' END AS kind, doc_id % 50 AS position,
+  15.0 * (doc_id % 50) AS start_s, 15.0 * (doc_id % 50) + 15.0 AS end_s, v.embedding, text FROM documents d LEFT JOIN vectors v ON v.vec_id = d.doc_id),
+raw AS (SELECT * FROM (SELECT chunk_id, unnest(range(len(w))) AS position, unnest(w) AS word FROM (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM chunks)) WHERE word NOT IN ({STOP})),
+{STEMS},
+often AS (SELECT chunk_id AS query_id, word, count(*) AS c FROM raw WHERE chunk_id % 50 = 0 GROUP BY chunk_id, word),
+said AS (SELECT query_id, word, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, word) AS n FROM often),
+queried AS (SELECT query_id, string_agg(word, ' ' ORDER BY n) AS q FROM said WHERE n <= 8 GROUP BY query_id),
+asked AS (SELECT chunk_id AS query_id, embedding, coalesce(q, '') AS text, [start_s - 15, end_s + 15] AS gold, video_id % 3 AS category, video_id, start_s FROM chunks LEFT JOIN queried ON query_id = chunk_id WHERE chunk_id % 50 = 0)"""
+)
+#: What both retrievers find among ``seen``.
+LISTS = f"""near AS (SELECT q.query_id, c.chunk_id, 1 - list_cosine_similarity(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(c.embedding, lambda x: x::DOUBLE)) AS distance FROM asked q JOIN seen c ON c.embedding IS NOT NULL WHERE q.embedding IS NOT NULL),
 semantic AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM near) WHERE rank <= 50),
-cw AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks),
-tf AS (SELECT term, chunk_id, count(*) AS tf FROM cw WHERE term NOT IN ({STOP}) GROUP BY ALL),
-qw AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM asked) WHERE term NOT IN ({STOP})),
-loose AS (SELECT query_id, chunk_id, sum(tf)::DOUBLE * 0.1::DOUBLE AS score FROM tf JOIN qw USING (term) GROUP BY ALL),
-lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM loose) WHERE rank <= 50),
+qw AS (SELECT query_id, n, term FROM said JOIN stems USING (word) WHERE n <= 8),
+met AS (SELECT q.query_id, q.n, p.chunk_id, count(*) AS tf FROM qw q JOIN post p ON p.term = q.term WHERE p.chunk_id IN (SELECT chunk_id FROM seen) GROUP BY q.query_id, q.n, p.chunk_id),
+loose AS (SELECT m.query_id, m.chunk_id, sum(m.tf)::DOUBLE * 0.1::DOUBLE AS score, CASE WHEN count(*) = any_value(k.need) THEN 1 ELSE 2 END AS pass FROM met m JOIN (SELECT query_id, count(*) AS need FROM qw GROUP BY query_id) k ON k.query_id = m.query_id GROUP BY m.query_id, m.chunk_id),
+lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pass, score DESC, chunk_id) AS rank FROM loose) WHERE rank <= 50),
 ranks AS (SELECT query_id, chunk_id, s.rank AS semantic_rank, l.rank AS lexical_rank FROM semantic s FULL JOIN lexical l USING (query_id, chunk_id)),
 fused AS (SELECT *, coalesce(1.0::DOUBLE / (60 + semantic_rank), 0.0) + coalesce(0.25::DOUBLE / (60 + lexical_rank), 0.0) AS score FROM ranks),
-placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, semantic_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id) AS fused_rank FROM fused)"""
-)
-PAIRS = """pooled AS (SELECT p.*, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')) AS qt, list_distinct(regexp_extract_all(lower(c.text), '[a-z0-9]+')) AS ct, c.video_id, c.start_s
-  FROM placed p JOIN asked q USING (query_id) JOIN chunks c USING (chunk_id) WHERE fused_rank <= {pool} OR lexical_rank <= 5),
+fused_order AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, semantic_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id) AS fused_rank FROM fused)"""
+CHUNKS = f"{TABLES}, seen AS (SELECT * FROM chunks), {LISTS}"
+#: The same with a scope: kinds and times for all queries, and their own videos for every second one.
+FILTERED = f"""{TABLES}, seen AS (SELECT * FROM chunks WHERE kind IN ('transcript') AND start_s <= 500.0 AND end_s >= 100.0),
+{LISTS.replace("WHERE q.embedding IS NOT NULL)", "WHERE q.embedding IS NOT NULL AND (q.query_id // 50 % 2 = 0 OR c.video_id IN (q.video_id, q.video_id + 1)))").replace("IN (SELECT chunk_id FROM seen)", "IN (SELECT chunk_id FROM seen WHERE q.query_id // 50 % 2 = 0 OR video_id IN (q.query_id // 50, q.query_id // 50 + 1))")}"""
+#: Parents: passages with their bounds, and vectors that are the means of their chunks' unit vectors.
+PARENT_TEXTS = "passages AS (SELECT video_id, parent_id, string_agg(text, ' ' ORDER BY position) AS parent_text, min(start_s) AS parent_start, max(end_s) AS parent_end FROM chunks GROUP BY ALL)"
+PARENT_VECTORS = """halves AS (SELECT video_id, parent_id, chunk_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM chunks WHERE embedding IS NOT NULL),
+listed_halves AS (SELECT min(chunk_id) AS chunk_id, list(u ORDER BY chunk_id) AS us FROM halves GROUP BY video_id, parent_id),
+parent_vectors AS (SELECT chunk_id, list_transform(range(64), lambda d: list_sum(list_transform(us, lambda v: v[d + 1]))) AS embedding FROM listed_halves),
+parent_near AS (SELECT q.query_id, p.chunk_id, 1 - list_cosine_similarity(list_transform(q.embedding, lambda x: x::DOUBLE), p.embedding) AS distance FROM asked q JOIN parent_vectors p ON q.embedding IS NOT NULL),
+parent_ranks AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS n FROM parent_near) WHERE n <= 10)"""
+PAIRS = """pooled AS (SELECT p.*, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')) AS qt, list_distinct(regexp_extract_all(lower(c.text), '[a-z0-9]+')) AS ct, c.video_id, c.parent_id, c.kind, c.start_s, c.end_s
+  FROM fused_order p JOIN asked q USING (query_id) JOIN chunks c USING (chunk_id) WHERE fused_rank <= {pool} OR lexical_rank <= 5),
 paired AS (SELECT *, round(CASE WHEN len(qt) = 0 THEN 0.0 ELSE len(list_intersect(qt, ct))::DOUBLE / len(qt) END * 20 - 10, 6) AS rerank_score FROM pooled),
 reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) AS rank FROM paired)"""
 #: What each variant returns, ten a question.
 RESULTS = """results AS (
   SELECT 'lexical' AS variant, query_id, chunk_id, rank FROM lexical WHERE rank <= 10 UNION ALL SELECT 'semantic', query_id, chunk_id, rank FROM semantic WHERE rank <= 10
-  UNION ALL SELECT 'hybrid', query_id, chunk_id, fused_rank FROM placed WHERE fused_rank <= 10 UNION ALL SELECT 'hybrid+rerank', query_id, chunk_id, rank FROM reranked WHERE rank <= 10
+  UNION ALL SELECT 'hybrid', query_id, chunk_id, fused_rank FROM fused_order WHERE fused_rank <= 10 UNION ALL SELECT 'hybrid+rerank', query_id, chunk_id, rank FROM reranked WHERE rank <= 10
   UNION ALL SELECT * FROM (SELECT 'hybrid-equal', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(1.0::DOUBLE / (60 + semantic_rank), 0.0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0.0) DESC, semantic_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id) AS n FROM ranks) WHERE n <= 10
-  UNION ALL SELECT * FROM (SELECT 'parent-direct', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS n FROM near WHERE chunk_id % 5 = 0) WHERE n <= 10),
-judged AS (SELECT r.variant, r.query_id, r.rank, c.video_id = q.query_id // 50 AND c.start_s <= q.gold[2] AND CASE WHEN r.variant = 'parent-direct' THEN c.start_s + 75 ELSE c.end_s END >= q.gold[1] AS hit,
-  CASE WHEN r.variant = 'parent-direct' THEN 75.0 ELSE c.end_s - c.start_s END AS width, c.start_s, q.start_s AS anchor FROM results r JOIN asked q USING (query_id) JOIN chunks c USING (chunk_id)),
-scored AS (SELECT variant, query_id, sum(width) AS widths, count(*) AS n, max(CASE WHEN hit AND rank <= 1 THEN 1.0 ELSE 0.0 END) AS recall_1, max(CASE WHEN hit AND rank <= 5 THEN 1.0 ELSE 0.0 END) AS recall_5, max(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS recall_10,
+  UNION ALL SELECT 'parent-direct', query_id, chunk_id, n FROM parent_ranks),
+judged AS (SELECT r.variant, r.query_id, r.rank, c.video_id = q.query_id // 50 AND c.start_s <= q.gold[2] AND CASE WHEN r.variant = 'parent-direct' THEN c.start_s + 60 ELSE c.end_s END >= q.gold[1] AS hit,
+  CASE WHEN r.variant = 'parent-direct' THEN 60.0 ELSE c.end_s - c.start_s END AS width, c.start_s, q.start_s AS anchor FROM results r JOIN asked q USING (query_id) JOIN chunks c USING (chunk_id)),
+met_only AS (SELECT variant, query_id, sum(width) AS widths, count(*) AS n, max(CASE WHEN hit AND rank <= 1 THEN 1.0 ELSE 0.0 END) AS recall_1, max(CASE WHEN hit AND rank <= 5 THEN 1.0 ELSE 0.0 END) AS recall_5, max(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS recall_10,
   count(*) FILTER (WHERE hit AND rank <= 1)::DOUBLE / least(count(*), 1) AS precision_1, count(*) FILTER (WHERE hit AND rank <= 5)::DOUBLE / least(count(*), 5) AS precision_5, count(*) FILTER (WHERE hit)::DOUBLE / count(*) AS precision_10,
   coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE hit), 0.0) AS mrr, coalesce(sum(1.0 / log2(rank + 1)) FILTER (WHERE hit), 0.0) AS gain, coalesce(list_sum(list_transform(range(count(*) FILTER (WHERE hit)), lambda i: 1.0 / log2(i + 2))), 0.0) AS ideal
-  FROM judged GROUP BY ALL)"""
+  FROM judged GROUP BY ALL),
+scored AS (SELECT v.variant, q.query_id, coalesce(widths, 0.0) AS widths, coalesce(n, 0) AS n, coalesce(recall_1, 0.0) AS recall_1, coalesce(recall_5, 0.0) AS recall_5, coalesce(recall_10, 0.0) AS recall_10, coalesce(precision_1, 0.0) AS precision_1,
+  coalesce(precision_5, 0.0) AS precision_5, coalesce(precision_10, 0.0) AS precision_10, coalesce(mrr, 0.0) AS mrr, coalesce(gain, 0.0) AS gain, coalesce(ideal, 0.0) AS ideal
+  FROM asked q CROSS JOIN (SELECT DISTINCT variant FROM results) v LEFT JOIN met_only m ON m.variant = v.variant AND m.query_id = q.query_id)"""
 
 
 def chunks(data):
-    return vector_chunks(data).withColumnRenamed("vec_id", "chunk_id").drop("position")
+    vectors = data.vectors().select(F.col("vec_id").alias("chunk_id"), "embedding")
+    place = F.col("doc_id") % 50
+    rows = data.table("documents").select(
+        F.col("doc_id").alias("chunk_id"), F.expr("doc_id div 50").alias("video_id"), F.concat(F.lit("c"), F.expr("doc_id % 50 div 4").cast("string")).alias("parent_id"), F.when(F.col("doc_id") % 3 == 0, "ocr").otherwise("transcript").alias("kind"),
+        place.alias("position"), (15.0 * place).alias("start_s"), (15.0 * place + 15.0).alias("end_s"), "text",
+    )
+    return rows.join(vectors, "chunk_id", "left")
+
+
+def passages(data):
+    """Parents with their text and bounds."""
+    own = chunks(data).groupBy("video_id", "parent_id").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("position", "text")))).alias("t"), F.min("start_s").alias("parent_start"), F.max("end_s").alias("parent_end"))
+    return own.select("video_id", "parent_id", F.array_join(F.col("t.text"), " ").alias("parent_text"), "parent_start", "parent_end")
+
+
+def parent_vectors(data):
+    """``chunk_id`` (the first of a parent's) and the sum of its chunks' unit vectors."""
+    own = chunks(data).where("embedding is not null").select("video_id", "parent_id", "chunk_id", V.unit(F.col("embedding")).alias("u"))
+    listed = own.groupBy("video_id", "parent_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "u"))).alias("all"))
+    return listed.select(F.col("all")[0]["chunk_id"].alias("chunk_id"), V.total(F.col("all.u")).alias("embedding"))
 
 
 def asked(data):
     """The stated query set."""
-    text = F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 8), " ")
-    return chunks(data).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding", text.alias("text"), "video_id", "start_s", "end_s")
+    own = chunks(data).where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    counted = lexical.words_of(own, "query_id").groupBy("query_id", "word").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "word"))
+    words = counted.withColumn("place", place).where("place <= 8").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"))
+    text = F.coalesce(F.array_join(F.col("w.word"), " "), F.lit("")).alias("text")
+    return own.drop("text").join(words, "query_id", "left").select("query_id", "embedding", text, "video_id", "start_s", "end_s")
+
+
+def scoped(data):
+    """The queries, every second one with its own video and the next as its scope."""
+    own = F.when(F.expr("query_id div 50") % 2 == 1, F.array("video_id", F.col("video_id") + 1))
+    return asked(data).withColumn("video_ids", own)
+
+
+SCOPE = {"kinds": ["transcript"], "window": (100.0, 500.0)}
 
 
 def video_titles(data):
-    return data.vectors().select("video_id").distinct().withColumn("title", F.format_string("video %d", "video_id"))
+    return chunks(data).select("video_id").distinct().withColumn("title", F.format_string("video %d", "video_id"))
+
+
+def lists(data):
+    return search.retrieve(asked(data), chunks(data))
 
 
 @query("t1_semantic_search", f"WITH {CHUNKS} SELECT query_id, chunk_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM semantic")
@@ -68,38 +135,51 @@ def t1(spark, folder):
 
 @query("t1b_centroid_search")
 def t1b(spark, folder):
-    """Approximate: chunks by their nearest of 16 centroids; a query looks into the 4 nearest ones."""
+    """Approximate: chunks by their nearest of 16 centroids; a query looks into the nearest ones."""
     from timeweave.plans.approximate import centroids, probe
 
     data = Data(spark, folder)
-    return probe(asked(data), chunks(data), centroids(chunks(data), 16), 4, 10)
+    return probe(asked(data), chunks(data), centroids(chunks(data), 16), 10)
 
 
-@query("t1c_parent_index", f"WITH {CHUNKS} SELECT query_id, chunk_id, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS n FROM near WHERE chunk_id % 5 = 0) WHERE n <= 10")
+@query("t1c_parent_index", f"WITH {CHUNKS}, {PARENT_VECTORS} SELECT query_id, chunk_id, CAST(n AS INTEGER) AS rank FROM parent_ranks")
 def t1c(spark, folder):
     data = Data(spark, folder)
-    return search.nearest(asked(data), chunks(data).where("chunk_id % 5 = 0"), 10).select("query_id", "chunk_id", "rank")
+    return search.nearest(asked(data), parent_vectors(data), 10).select("query_id", "chunk_id", "rank")
 
 
-@query("t2_lexical_relaxed", f"WITH {CHUNKS} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM lexical")
+@query("t2_lexical_relaxed", f"WITH {CHUNKS} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(pass AS INTEGER) AS pass, CAST(rank AS INTEGER) AS rank FROM lexical")
 def t2(spark, folder):
+    """Both passes over plain words."""
     data = Data(spark, folder)
-    return search.relaxed(asked(data), chunks(data)).withColumn("score", F.round("score", 6))
+    return lexical.search(asked(data), chunks(data)).withColumn("score", F.round("score", 6))
 
 
-@query("t2_lexical_search")
+@query(
+    "t2_lexical_search",
+    f"""WITH {TABLES}, q AS (SELECT query_id, max(CASE WHEN n = 1 THEN term END) AS a, max(CASE WHEN n = 2 THEN term END) AS b, max(CASE WHEN n = 3 THEN term END) AS c, max(CASE WHEN n = 4 THEN term END) AS d, max(CASE WHEN n = 8 THEN term END) AS h
+      FROM said JOIN stems USING (word) WHERE n <= 8 GROUP BY query_id HAVING count(*) = 8),
+    hits AS (SELECT q.query_id, p.chunk_id, 'ab' AS unit, count(*) AS tf FROM q JOIN post p ON p.term = q.a JOIN post p2 ON p2.chunk_id = p.chunk_id AND p2.position = p.position + 1 AND p2.term = q.b GROUP BY ALL
+      UNION ALL SELECT q.query_id, p.chunk_id, 'c', count(*) FROM q JOIN post p ON p.term = q.c GROUP BY ALL UNION ALL SELECT q.query_id, p.chunk_id, 'd', count(*) FROM q JOIN post p ON p.term = q.d GROUP BY ALL
+      UNION ALL SELECT q.query_id, p.chunk_id, 'h', count(*) FROM q JOIN post p ON p.term = q.h GROUP BY ALL),
+    wide AS (SELECT query_id, chunk_id, sum(CASE WHEN unit = 'ab' THEN tf END) AS ab, sum(CASE WHEN unit = 'c' THEN tf END) AS c, sum(CASE WHEN unit = 'd' THEN tf END) AS d, max(unit = 'h') AS h FROM hits GROUP BY ALL),
+    tried AS (SELECT *, greatest(CASE WHEN ab IS NOT NULL AND c IS NOT NULL THEN ab + c END, CASE WHEN d IS NOT NULL AND NOT h THEN d END) AS strict, coalesce(ab, 0) + coalesce(c, 0) + coalesce(d, 0) AS tf FROM wide),
+    found AS (SELECT query_id, chunk_id, CASE WHEN strict IS NULL THEN 2 ELSE 1 END AS pass, coalesce(strict, tf)::DOUBLE * 0.1::DOUBLE AS score FROM tried WHERE strict IS NOT NULL OR tf > 0 AND NOT h),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pass, score DESC, chunk_id) AS rank FROM found)
+    SELECT query_id, chunk_id, CAST(pass AS INTEGER) AS pass, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 50""",
+)
 def t2_full(spark, folder):
-    """Strict, then relaxed, stemmed, with phrases, alternatives and exclusions (x27, j9, u1)."""
+    """Strict, then relaxed, stemmed, with a phrase, an alternative and an exclusion (x27)."""
     data = Data(spark, folder)
-    words = F.split("text", " ")
-    text = F.concat(F.lit('"'), F.array_join(F.slice(words, 1, 2), " "), F.lit('" '), F.array_join(F.slice(words, 3, 2), " or "), F.lit(" -"), F.get(words, F.lit(7)))
-    return lexical.search(asked(data).withColumn("text", F.coalesce(text, F.col("text"))), chunks(data))
+    w = F.split("text", " ")
+    text = F.concat(F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" '), w[2], F.lit(" or "), w[3], F.lit(" -"), w[7])
+    return lexical.search(asked(data).where(F.size(w) == 8).withColumn("text", text), chunks(data)).withColumn("score", F.round("score", 6))
 
 
-@query("j9_relaxed_minus_strict")
+@query("j9_relaxed_minus_strict", f"WITH {CHUNKS} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM lexical WHERE pass = 2")
 def j9(spark, folder):
     data = Data(spark, folder)
-    return lexical.search(asked(data), chunks(data), stemmed=False).where("pass = 2").select("query_id", "chunk_id", "rank")
+    return lexical.search(asked(data), chunks(data)).where("pass = 2").select("query_id", "chunk_id", "rank")
 
 
 @query("c3_rank_fusion", f"WITH {CHUNKS} SELECT query_id, chunk_id, round(score, 12) AS score, CAST(semantic_rank AS INTEGER) AS semantic_rank, CAST(lexical_rank AS INTEGER) AS lexical_rank FROM fused")
@@ -107,25 +187,48 @@ def c3(spark, folder):
     return search.fuse(lists(Data(spark, folder))).withColumn("score", F.round("score", 12))
 
 
-def lists(data):
-    near = search.nearest(asked(data), chunks(data)).select(F.lit("semantic").alias("retriever"), "query_id", "chunk_id", "rank")
-    return near.unionByName(search.relaxed(asked(data), chunks(data)).select(F.lit("lexical").alias("retriever"), "query_id", "chunk_id", "rank"))
-
-
-@query("t3_pool", f"WITH {CHUNKS} SELECT query_id, chunk_id, CAST(fused_rank AS INTEGER) AS fused_rank, fused_rank > 30 AS guaranteed FROM placed WHERE fused_rank <= 30 OR lexical_rank <= 5")
+@query("t3_pool", f"WITH {CHUNKS} SELECT query_id, chunk_id, CAST(fused_rank AS INTEGER) AS fused_rank, fused_rank > 30 AS guaranteed FROM fused_order WHERE fused_rank <= 30 OR lexical_rank <= 5")
 def t3(spark, folder):
     """The fused pool with the guaranteed lexical slots (t4, w20)."""
     return search.pool(search.fuse(lists(Data(spark, folder))), 30).select("query_id", "chunk_id", "fused_rank", "guaranteed")
 
 
-@query("hybrid_search", f"WITH {CHUNKS}, {PAIRS.format(pool=30)} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, video_id, rerank_score, CAST(fused_rank AS INTEGER) AS fused_rank FROM reranked WHERE rank <= 10")
+HITS = """SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, r.video_id, 'video ' || r.video_id AS title, kind, rerank_score, CAST(fused_rank AS INTEGER) AS fused_rank, CAST(semantic_rank AS INTEGER) AS semantic_rank, CAST(lexical_rank AS INTEGER) AS lexical_rank,
+    parent_start::DOUBLE AS parent_start, parent_end::DOUBLE AS parent_end, md5(parent_text) AS parent_md5 FROM reranked r LEFT JOIN passages p ON p.video_id = r.video_id AND p.parent_id = r.parent_id WHERE rank <= 10"""
+
+
+def shown_hits(hits):
+    return hits.select("query_id", "rank", "chunk_id", "video_id", "title", "kind", "rerank_score", "fused_rank", "semantic_rank", "lexical_rank", "parent_start", "parent_end", F.md5(F.col("parent_text").cast("binary")).alias("parent_md5"))
+
+
+@query("hybrid_search", f"WITH {CHUNKS}, {PARENT_TEXTS}, {PAIRS.format(pool=30)} {HITS}")
 def hybrid(spark, folder):
-    """C4 with reranking (m3, t5)."""
+    """C4: strict and relaxed words, vectors, fusion, reranking (m3, t5) and parent passages (j1)."""
+    data = Data(spark, folder)
+    return shown_hits(search.hybrid(asked(data), chunks(data), video_titles(data), 10, 30, parents=passages(data)))
+
+
+@query("c4_filtered", f"WITH {FILTERED}, {PARENT_TEXTS}, {PAIRS.format(pool=30)} {HITS}")
+def c4_filtered(spark, folder):
+    """C4 within kinds and times (f1), and within the videos that each query names (f2)."""
     data = Data(spark, folder)
-    return search.hybrid(asked(data), chunks(data), video_titles(data), 10, 30).select("query_id", "rank", "chunk_id", "video_id", "rerank_score", "fused_rank")
+    return shown_hits(search.hybrid(scoped(data), chunks(data), video_titles(data), 10, 30, parents=passages(data), **SCOPE))
 
 
-@query("c4_hybrid_fused", f"WITH {CHUNKS} SELECT query_id, chunk_id, CAST(fused_rank AS INTEGER) AS rank FROM placed WHERE fused_rank <= 10")
+@query(
+    "c4_counters",
+    f"""WITH {CHUNKS}, {PAIRS.format(pool=30)}, top AS (SELECT query_id, least(count(*), 10) AS hits, max(CASE WHEN rank = 1 THEN rerank_score END) AS top_relevance FROM reranked GROUP BY ALL),
+    n AS (SELECT query_id, count(semantic_rank) AS s, count(lexical_rank) AS l, count(*) AS f FROM ranks GROUP BY ALL)
+    SELECT query_id, coalesce(s, 0) AS semantic_candidates, coalesce(l, 0) AS lexical_candidates, coalesce(f, 0) AS fused_candidates, coalesce(hits, 0) AS hits, top_relevance IS NOT NULL AS reranked, top_relevance FROM asked LEFT JOIN n USING (query_id) LEFT JOIN top USING (query_id)""",
+)
+def c4_counters(spark, folder):
+    """What stands beside the hits of each query."""
+    data = Data(spark, folder)
+    both = lists(data)
+    return search.counters(asked(data), both, search.hybrid(asked(data), chunks(data), video_titles(data), 10, 30, lists=both))
+
+
+@query("c4_hybrid_fused", f"WITH {CHUNKS} SELECT query_id, chunk_id, CAST(fused_rank AS INTEGER) AS rank FROM fused_order WHERE fused_rank <= 10")
 def c4(spark, folder):
     data = Data(spark, folder)
     return search.hybrid(asked(data), chunks(data), video_titles(data), 10).select("query_id", "chunk_id", "rank")
@@ -143,35 +246,52 @@ def c6(spark, folder):
     return chronology(hits, 8, -8.0)
 
 
-@query("c5_temporal_context")
-def c5(spark, folder):
-    """Hits with the frame, events and topic around them."""
-    from timeweave.operators import joins as j
-    from timeweave.operators import topics as tp
+#: What is around each hit, from the events' clock: frames, their text, events, topics.
+AROUND = """hits AS (SELECT *, query_id * 100 + rank AS hit_id FROM reranked WHERE rank <= 10),
+frames_near AS (SELECT h.hit_id, t.event_id, t.start_s, (h.start_s + h.end_s) / 2 AS mid, t.start_s + 2 AS time_s, greatest(0.0, least(h.end_s, t.end_s) - greatest(h.start_s, t.start_s)) AS share
+  FROM hits h JOIN tl t ON t.video_id = h.video_id AND t.end_s >= h.start_s - 5 AND t.start_s <= h.end_s + 5),
+framed AS (SELECT hit_id, event_id AS frame_id FROM (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY share DESC, CASE WHEN share > 0 THEN start_s ELSE abs(time_s - mid) END, start_s, event_id) AS n FROM frames_near) WHERE n = 1),
+events_near AS (SELECT hit_id, string_agg(event_id, '|' ORDER BY start_s, event_id) AS events FROM (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY start_s, event_id) AS n FROM frames_near) WHERE n <= 5 GROUP BY hit_id),
+in_topic AS (SELECT h.hit_id, arg_min(t.title, t.start_s) AS topic_title FROM hits h JOIN topics t ON t.level = 'coarse' AND t.video_id = h.video_id AND t.start_s <= h.start_s AND t.end_s >= h.start_s GROUP BY h.hit_id),
+screens AS (SELECT frame_id, string_agg(trim(text, ' \t\n\r\f\v'), chr(10) ORDER BY y1, x1, n) AS on_screen FROM blocks WHERE confidence >= 0.60 AND length(trim(text, ' \t\n\r\f\v')) >= 3 AND {indexable} GROUP BY frame_id HAVING length(on_screen) >= 8)"""
 
-    data = Data(spark, folder)
-    hits = search.hybrid(asked(data), chunks(data), video_titles(data), 10).select((F.col("query_id") * 100 + F.col("rank")).alias("hit_id"), "video_id", "start_s", "end_s")
+
+def around(data, hits):
+    """The context of hits, by ``hit_id``."""
     frames = data.events().select(F.col("event_id").alias("frame_id"), "video_id", "start_s", "end_s", (F.col("start_s") + 2).alias("time_s"))
-    near = j.nearby_events(hits, data.events()).groupBy("hit_id").agg(F.array_sort(F.collect_list("event_id")).alias("events"))
-    topics = tp.build_topics(vector_chunks(data)).where("level = 'coarse'").select("video_id", "start_s", "end_s", F.col("topic").alias("topic_id"))
-    return hits.join(j.best_frame(hits, frames), "hit_id", "left").join(near, "hit_id", "left").join(j.enclosing_topic(hits, topics), "hit_id", "left")
+    topics = build_topics(vector_chunks(data)).where("level = 'coarse'").select("video_id", "start_s", "end_s", F.col("topic").alias("topic_id"), "title")
+    return context.temporal_context(hits, frames, frame_texts(data.blocks()), data.events(), topics)
+
+
+@query(
+    "c5_temporal_context",
+    f"""WITH RECURSIVE {TOPICS}, {CHUNKS.removeprefix(VECTORS).lstrip(",")}, {PAIRS.format(pool=30)}, {EVENTS}, {BLOCKS}, {AROUND.format(indexable=INDEXABLE)}
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, frame_id, md5(on_screen) AS on_screen_md5, events, topic_title FROM hits LEFT JOIN framed USING (hit_id) LEFT JOIN screens USING (frame_id) LEFT JOIN events_near USING (hit_id) LEFT JOIN in_topic USING (hit_id)""",
+)
+def c5(spark, folder):
+    """Hits with the frame on screen and its text, events and the topic around them."""
+    data = Data(spark, folder)
+    hits = search.hybrid(asked(data), chunks(data), video_titles(data), 10, 30).withColumn("hit_id", F.col("query_id") * 100 + F.col("rank"))
+    found = hits.select("hit_id", "query_id", "rank").join(around(data, hits), "hit_id", "left")
+    return found.select("query_id", "rank", "frame_id", F.md5(F.col("on_screen").cast("binary")).alias("on_screen_md5"), F.array_join("events", "|").alias("events"), "topic_title")
 
 
 def judged(data):
-    """The results of all variants, ten a question."""
+    """The results of all variants, ten a question; both lists are retrieved once and kept."""
     top = lambda df, name: df.select(F.lit(name).alias("variant"), "query_id", "chunk_id", "rank").where("rank <= 10")
     q, c, v = asked(data), chunks(data), video_titles(data)
-    both = lists(data)
+    path = shared_folder(data.spark, "lists")
+    lists(data).write.parquet(path)
+    both = data.spark.read.schema("retriever string, query_id long, chunk_id long, rank int").parquet(path)
     fused = lambda w: search.pool(search.fuse(both, w), 10).withColumn("rank", F.col("fused_rank"))
-    parents = search.nearest(q, c.where("chunk_id % 5 = 0"), 10)
     parts = [
         top(both.where("retriever = 'lexical'"), "lexical"), top(both.where("retriever = 'semantic'"), "semantic"), top(fused({}), "hybrid-equal"), top(fused(None), "hybrid"),
-        top(search.hybrid(q, c, v, 10, 30), "hybrid+rerank"), top(parents, "parent-direct"),
+        top(search.hybrid(q, c, v, 10, 30, lists=both), "hybrid+rerank"), top(search.nearest(q, parent_vectors(data), 10), "parent-direct"),
     ]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    end = F.when(F.col("variant") == "parent-direct", F.col("start_s") + 75).otherwise(F.col("end_s"))
+    end = F.when(F.col("variant") == "parent-direct", F.col("start_s") + 60).otherwise(F.col("end_s"))
     # times of different videos are kept apart by a day each
     day = 86400.0 * F.col("video_id")
     rows = every.join(c.select("chunk_id", "video_id", "start_s", "end_s"), "chunk_id")
@@ -184,9 +304,15 @@ def questions(data):
     return asked(data).select(F.col("query_id").alias("question_id"), (F.col("video_id") % 3).alias("category"), gold.alias("gold_spans"), (F.col("start_s") + day).alias("anchor_s"))
 
 
+def questions_of_videos(data):
+    """Gold spans by the video that they are in; every second video's questions count as negatives."""
+    gold = F.array(F.struct("video_id", (F.col("start_s") - 15).alias("s"), (F.col("end_s") + 15).alias("e")))
+    return asked(data).select("query_id", gold.alias("gold_spans"), (F.col("video_id") % 2 == 0).alias("negative"))
+
+
 @query(
     "c8_benchmark",
-    f"""WITH {CHUNKS}, {PAIRS.format(pool=30)}, {RESULTS} SELECT variant, count(*) AS questions, round(avg(recall_1), 9) AS recall_1, round(avg(recall_5), 9) AS recall_5, round(avg(recall_10), 9) AS recall_10, round(avg(precision_1), 9) AS precision_1,
+    f"""WITH {CHUNKS}, {PAIRS.format(pool=30)}, {PARENT_VECTORS}, {RESULTS} SELECT variant, count(*) AS questions, round(avg(recall_1), 9) AS recall_1, round(avg(recall_5), 9) AS recall_5, round(avg(recall_10), 9) AS recall_10, round(avg(precision_1), 9) AS precision_1,
     round(avg(precision_5), 9) AS precision_5, round(avg(precision_10), 9) AS precision_10, round(avg(mrr), 9) AS mrr, round(avg(CASE WHEN ideal = 0 THEN 0.0 ELSE gain / ideal END), 9) AS ndcg, round(sum(widths)::DOUBLE / sum(n), 6) AS mean_span_s FROM scored GROUP BY variant""",
 )
 def c8(spark, folder):
@@ -195,13 +321,13 @@ def c8(spark, folder):
     return ev.summarise(ev.per_question(ev.relevance(judged(data), questions(data))))
 
 
-@query("a11_recall_by_category", f"WITH {CHUNKS}, {PAIRS.format(pool=30)}, {RESULTS} SELECT variant, q.category, round(avg(recall_5), 9) AS recall_5 FROM scored JOIN asked q USING (query_id) GROUP BY ALL")
+@query("a11_recall_by_category", f"WITH {CHUNKS}, {PAIRS.format(pool=30)}, {PARENT_VECTORS}, {RESULTS} SELECT variant, q.category, round(avg(recall_5), 9) AS recall_5 FROM scored JOIN asked q USING (query_id) GROUP BY ALL")
 def a11(spark, folder):
     data = Data(spark, folder)
     return ev.by_category(ev.per_question(ev.relevance(judged(data), questions(data))))
 
 
-@query("a13_median_start_error", f"WITH {CHUNKS}, {PAIRS.format(pool=30)}, {RESULTS} SELECT variant, round(median(abs(start_s - anchor))::DOUBLE, 6) AS error_s FROM judged WHERE rank = 1 AND hit GROUP BY variant")
+@query("a13_median_start_error", f"WITH {CHUNKS}, {PAIRS.format(pool=30)}, {PARENT_VECTORS}, {RESULTS} SELECT variant, round(median(abs(start_s - anchor))::DOUBLE, 6) AS error_s FROM judged WHERE rank = 1 AND hit GROUP BY variant")
 def a13(spark, folder):
     data = Data(spark, folder)
     first = judged(data).where("rank = 1").join(questions(data), "question_id")
@@ -213,8 +339,10 @@ def a13(spark, folder):
     f"""WITH {CHUNKS}, grid AS (SELECT w::DOUBLE AS w, k::DOUBLE AS k FROM (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]) AS w), (SELECT unnest([10, 30, 60, 120]) AS k)),
     cells AS (SELECT w, k, query_id, chunk_id, row_number() OVER (PARTITION BY w, k, query_id ORDER BY coalesce(1.0 / (k + semantic_rank), 0.0) + coalesce(w / (k + lexical_rank), 0.0) DESC, semantic_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id) AS n FROM ranks, grid),
     j AS (SELECT w, k, query_id, n, c.video_id = q.query_id // 50 AND c.start_s <= q.gold[2] AND c.end_s >= q.gold[1] AS hit FROM cells JOIN asked q USING (query_id) JOIN chunks c USING (chunk_id) WHERE n <= 10),
-    p AS (SELECT w, k, query_id, coalesce(1.0::DOUBLE / min(n) FILTER (WHERE hit), 0.0) AS mrr, max(CASE WHEN hit AND n <= 5 THEN 1.0 ELSE 0.0 END) AS r5 FROM j GROUP BY ALL)
-    SELECT w AS weight, k AS damping, round(avg(mrr), 9) AS mrr, round(avg(r5), 9) AS recall_5 FROM p GROUP BY w, k""",
+    p AS (SELECT w, k, query_id, coalesce(1.0::DOUBLE / min(n) FILTER (WHERE hit), 0.0) AS mrr, max(CASE WHEN hit AND n <= 1 THEN 1.0 ELSE 0.0 END) AS r1, max(CASE WHEN hit AND n <= 5 THEN 1.0 ELSE 0.0 END) AS r5, max(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS r10,
+      coalesce(sum(1.0 / log2(n + 1)) FILTER (WHERE hit), 0.0) AS gain, coalesce(list_sum(list_transform(range(count(*) FILTER (WHERE hit)), lambda i: 1.0 / log2(i + 2))), 0.0) AS ideal FROM j GROUP BY ALL)
+    SELECT g.w AS weight, g.k AS damping, round(avg(coalesce(r1, 0.0)), 9) AS recall_1, round(avg(coalesce(r5, 0.0)), 9) AS recall_5, round(avg(coalesce(r10, 0.0)), 9) AS recall_10, round(avg(coalesce(mrr, 0.0)), 9) AS mrr, round(avg(CASE WHEN coalesce(ideal, 0) = 0 THEN 0.0 ELSE gain / ideal END), 9) AS ndcg
+    FROM grid g CROSS JOIN asked q LEFT JOIN p ON p.w = g.w AND p.k = g.k AND p.query_id = q.query_id GROUP BY g.w, g.k""",
 )
 def a14(spark, folder):
     """Both lists are retrieved once; a grid of weights and dampings fuses them anew."""
@@ -240,12 +368,10 @@ def m3(spark, folder):
 
 
 def evidence_hits(data):
-    hits = search.hybrid(asked(data), chunks(data), video_titles(data), 12, 36)
-    parent = (F.floor(F.col("start_s") / 60) * 60).cast("double")
-    return hits.select(
-        "query_id", "rank", "chunk_id", "video_id", "title", "text", parent.alias("parent_start"), F.lit(None).cast("string").alias("parent_text"),
-        F.lit(None).cast("string").alias("on_screen"), F.lit(None).cast("string").alias("topic_title"), "rerank_score",
-    )
+    """Hits with parent passages, on-screen text and topics, as answers need them."""
+    hits = search.hybrid(asked(data), chunks(data), video_titles(data), 12, 36, parents=passages(data)).withColumn("hit_id", F.col("query_id") * 100 + F.col("rank"))
+    near = around(data, hits).select("hit_id", "on_screen", "topic_title")
+    return hits.join(near, "hit_id", "left").select("query_id", "rank", "chunk_id", "video_id", "title", "text", "start_s", "end_s", "parent_start", "parent_text", "on_screen", "topic_title", "rerank_score")
 
 
 @query("c7_answers")
@@ -255,10 +381,32 @@ def c7(spark, folder):
     return an.answer(evidence_hits(data), asked(data))
 
 
-@query("a16_answer_quality")
+@query(
+    "a16_answer_quality",
+    """WITH a AS (SELECT d.doc_id, toxic = 1 AS negative, quality = 0 AS refused, d.doc_id % 4 AS citations, least(d.doc_id % 4, d.doc_id % 3) AS on_target, d.doc_id % 5 // 4 AS fabricated, d.doc_id % 2 AS uncited, 1 + d.doc_id % 6 AS sentences, length(text) AS took_ms
+      FROM documents d JOIN labels USING (doc_id))
+    SELECT count(*) FILTER (WHERE NOT negative AND NOT refused) AS answered, count(*) FILTER (WHERE NOT negative AND refused) AS refused_wrongly, CAST(sum(fabricated) FILTER (WHERE NOT negative AND NOT refused) AS BIGINT) AS fabricated_citations,
+      CAST(sum(citations) FILTER (WHERE NOT negative AND NOT refused) AS BIGINT) AS citations, round(sum(on_target) FILTER (WHERE NOT negative AND NOT refused)::DOUBLE / sum(citations) FILTER (WHERE NOT negative AND NOT refused), 6) AS on_target_rate,
+      round(sum(uncited) FILTER (WHERE NOT negative AND NOT refused)::DOUBLE / sum(sentences) FILTER (WHERE NOT negative AND NOT refused), 6) AS uncited_rate, round(avg(refused::INTEGER) FILTER (WHERE negative), 6) AS negative_refusal_rate,
+      round(quantile_cont(took_ms, 0.5) FILTER (WHERE NOT negative AND NOT refused), 6) AS p50_ms FROM a""",
+)
 def a16(spark, folder):
+    """Labelled documents as judged answers: those of low quality were refused, toxic ones are the
+    questions that should be."""
+    data, n = Data(spark, folder), F.col("doc_id")
+    rows = data.table("documents").join(data.table("labels"), "doc_id")
+    return an.quality(rows.select(
+        (F.col("toxic") == 1).alias("negative"), (F.col("quality") == 0).alias("refused"), (n % 4).alias("citations"), F.least(n % 4, n % 3).alias("on_target"), F.floor(n % 5 / 4).alias("fabricated"),
+        (n % 2).alias("uncited"), (1 + n % 6).alias("sentences"), F.length("text").alias("took_ms"),
+    ))
+
+
+@query("a16_judged_answers")
+def a16_judged(spark, folder):
+    """The same over the answers of c7, with citations judged by the gold spans of their questions."""
     data = Data(spark, folder)
-    return an.quality(an.answer(evidence_hits(data), asked(data)), asked(data).where("video_id % 2 = 0"))
+    hits = evidence_hits(data)
+    return an.quality(an.judge(an.answer(hits, asked(data)), hits, questions_of_videos(data)))
 
 
 @query(

@@ -6,7 +6,7 @@ from timeweave.functions import bits, metrics, text, time, vectors
 from timeweave.queries.base import BLOCKS, FRAMES, SEGMENTS, SPOKEN, VECTORS, VIDEOS, Data, query
 
 STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in text.STOP_WORDS)
-WORDS_SQL = "len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> ''))"
+WORDS_SQL = "len(list_filter(regexp_split_to_array(trim(text, ' \t\n\r\f\v'), '\\s+'), lambda x: x <> ''))"
 
 
 @query("x1_estimate_tokens", f"WITH {SEGMENTS} SELECT video_id, position, CAST(greatest(1, floor({WORDS_SQL} / 0.75)) AS BIGINT) AS tokens FROM segments")
@@ -14,7 +14,7 @@ def x1(spark, folder):
     return Data(spark, folder).segments().select("video_id", "position", text.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("x2_ends_sentence", f"""WITH {SEGMENTS} SELECT video_id, position, regexp_matches(trim(text), '[.!?][''")\\]]*$') AS ends FROM segments""")
+@query("x2_ends_sentence", f"""WITH {SEGMENTS} SELECT video_id, position, regexp_matches(trim(text, ' \t\n\r\f\v'), '[.!?][''")\\]]*$') AS ends FROM segments""")
 def x2(spark, folder):
     return Data(spark, folder).segments().select("video_id", "position", text.ends_sentence(F.col("text")).alias("ends"))
 
@@ -74,7 +74,7 @@ def x10(spark, folder):
 
 @query(
     "x11_caption",
-    "WITH c AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)) AS t FROM documents) SELECT doc_id, CASE WHEN t = '' THEN '…' ELSE t END AS caption FROM c",
+    "WITH c AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' \t\n\r\f\v')), lambda x: x <> ''), chr(10)) AS t FROM documents) SELECT doc_id, CASE WHEN t = '' THEN '…' ELSE t END AS caption FROM c",
 )
 def x11(spark, folder):
     return Data(spark, folder).table("documents").select("doc_id", text.caption(F.col("text")).alias("caption"))
@@ -168,7 +168,7 @@ def x28(spark, folder):
     return rows.select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.round(vectors.cosine(F.col("embedding"), F.col("after")), 6).alias("cosine"))
 
 
-@query("x29_trim_or_reject", f"WITH {SPOKEN} SELECT video_id, position, nullif(trim(text, ' '), '') AS title FROM spoken WHERE trim(text, ' ') <> ''")
+@query("x29_trim_or_reject", f"WITH {SPOKEN} SELECT video_id, position, nullif(trim(text, ' \t\n\r\f\v'), '') AS title FROM spoken WHERE trim(text, ' \t\n\r\f\v') <> ''")
 def x29(spark, folder):
     title = text.required(F.col("text"))
     return Data(spark, folder).spoken().select("video_id", "position", title.alias("title")).where("title is not null")

@@ -12,7 +12,7 @@ CHANGES = FRAMES + ", shots AS (SELECT f.event_id AS frame_id, f.video_id, f.tim
 SILENCE = """silence AS (SELECT video_id, 'silence' AS type, end_s AS start_s, after AS end_s, 'Silence (' || CAST(floor(after - end_s) AS BIGINT) || 's)' AS title, CAST(1.0 AS DOUBLE) AS confidence
   FROM (SELECT *, lead(start_s) OVER (PARTITION BY video_id ORDER BY position) AS after FROM segments) WHERE after - end_s >= 20)"""
 APPEARED = """appeared AS (SELECT video_id, 'text_appeared' AS type, start_s, end_s, 'Text: ' || left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 60) AS title, CAST(0.8 AS DOUBLE) AS confidence
-  FROM (SELECT *, lag(trim(text, ' ') <> '', 1, false) OVER (PARTITION BY video_id ORDER BY position) AS before FROM shown) WHERE trim(text, ' ') <> '' AND NOT before)"""
+  FROM (SELECT *, lag(trim(text, ' \t\n\r\f\v') <> '', 1, false) OVER (PARTITION BY video_id ORDER BY position) AS before FROM shown) WHERE trim(text, ' \t\n\r\f\v') <> '' AND NOT before)"""
 SCENES = "scenes AS (SELECT video_id, 'scene_change' AS type, start_s, end_s, 'Scene change' AS title, round(least(change / 44, 1.0), 3) AS confidence, frame_id FROM shots WHERE change >= 22)"
 
 
@@ -238,7 +238,7 @@ def w19(spark, folder):
     return even_sample(Data(spark, folder).segments().select("video_id", "position"), 5)
 
 
-@query("a8_span_text", f"WITH {SEGMENTS} SELECT video_id, CAST(position // 10 AS BIGINT) AS span, string_agg(trim(text, ' '), ' ' ORDER BY position) AS text FROM segments GROUP BY ALL")
+@query("a8_span_text", f"WITH {SEGMENTS} SELECT video_id, CAST(position // 10 AS BIGINT) AS span, string_agg(trim(text, ' \t\n\r\f\v'), ' ' ORDER BY position) AS text FROM segments GROUP BY ALL")
 def a8(spark, folder):
     rows = Data(spark, folder).segments().groupBy("video_id", F.expr("position div 10").alias("span")).agg(F.collect_list(F.struct("position", "text")).alias("t"))
     return rows.select("video_id", "span", span_text(F.col("t")).alias("text"))

@@ -8,21 +8,13 @@ characters a second, and a pause of 25 seconds after each nine sentences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RATE, PAUSE, PAUSE_EACH = 15.0, 25.0, 9
+from timeweave.functions.text import strip
 
-SCHEMAS = {
-    "segments": "video_id long, position long, start_s double, end_s double, text string, speaker_id string",
-    "chunks": "chunk_id string, video_id long, parent_id string, kind string, level string, position long, start_s double, end_s double, text string, token_count long, embedding array<float>",
-    "frames": "video_id long, position long, start_s double, end_s double, time_s double, phash long, change double",
-    "blocks": "frame_id long, text string, confidence double, bbox struct<x1:int,y1:int,x2:int,y2:int>",
-    "events": "video_id long, type string, source string, start_s double, end_s double, title string, confidence double",
-    "topics": "topic_id string, video_id long, parent_id string, position long, depth int, start_s double, end_s double, title string, keywords array<string>, boundary_strength double",
-    "questions": "id string, question string, category string, video_id string, gold_spans array<struct<s:double,e:double>>, verified boolean, note string",
-}
+RATE, PAUSE, PAUSE_EACH = 15.0, 25.0, 9
 
 
 def read_table(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
@@ -51,7 +43,7 @@ def segments(documents: DataFrame) -> DataFrame:
     """Timed speech: the sentences that are not blank."""
     start = F.col("c0") / RATE + PAUSE * F.floor(F.col("position") / PAUSE_EACH)
     timed = pieces(documents).withColumn("start_s", start).withColumn("end_s", F.col("start_s") + F.length("text") / RATE)
-    return timed.where(F.trim("text") != "").select("video_id", F.col("position").cast("long").alias("position"), "start_s", "end_s", "text")
+    return timed.where(strip(F.col("text")) != "").select("video_id", F.col("position").cast("long").alias("position"), "start_s", "end_s", "text")
 
 
 def spoken(conversations: DataFrame) -> DataFrame:
@@ -81,38 +73,65 @@ def timeline_events(events: DataFrame) -> DataFrame:
 
 
 def blocks(documents: DataFrame) -> DataFrame:
-    """Text blocks on screen: the first sixty words of a document, ten a line."""
-    words = F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 60)
+    """Text blocks on screen: the words of a document, ten a line."""
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
     each = documents.select(F.col("doc_id").alias("frame_id"), F.posexplode(words).alias("n", "text"))
     return each.select("frame_id", "n", "text", (0.5 + (F.length("text") % 5) / 10.0).alias("confidence"), (F.col("n") % 10).alias("x1"), F.floor(F.col("n") / 10).cast("int").alias("y1"))
 
 
 def questions(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Questions from benchmark items: the first eight words; gold spans where documents hold the item.
+    """Questions from benchmark items, with gold spans where documents hold the item.
 
-    ``benchmark`` is a stated query set; which documents hold an item is found by the first four
-    words of both (an equi-join), then checked on the whole text.
+    ``benchmark`` is a stated query set; which documents hold an item is found by words of both (an
+    equi-join), then checked on the whole text.
     """
-    item = benchmark.select("item_id", F.col("text").alias("item"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question"))
+    item = benchmark.select("item_id", F.col("text").alias("item"))
     timed = pieces(documents).select("video_id", "position", "text", "c0").withColumn("c1", F.col("c0") + F.length("text"))
-    held = contained(documents.select("doc_id", "text"), item.select("item_id", "item"))
+    held = contained(documents.select("doc_id", "text"), item)
     start = F.col("c0") / RATE + PAUSE * F.floor(F.col("position") / PAUSE_EACH)
-    over = timed.join(held.withColumnRenamed("doc_id", "video_id"), "video_id").where((F.trim("text") != "") & (F.col("c0") < F.col("at") + F.col("size")) & (F.col("c1") > F.col("at")))
+    over = timed.join(held.withColumnRenamed("doc_id", "video_id"), "video_id").where((strip(F.col("text")) != "") & (F.col("c0") < F.col("at") + F.col("size")) & (F.col("c1") > F.col("at")))
     spans = over.groupBy("item_id", "video_id").agg(F.min(start).alias("s"), F.max(start + F.length("text") / RATE).alias("e"))
     gold = spans.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "video_id"))).alias("gold_spans"))
-    return item.join(gold, "item_id", "left").select("item_id", "question", F.coalesce("gold_spans", F.array().cast("array<struct<s:double,e:double,video_id:bigint>>")).alias("gold_spans"))
+    return item.join(gold, "item_id", "left").select("item_id", F.col("item").alias("question"), F.coalesce("gold_spans", F.array().cast("array<struct<s:double,e:double,video_id:bigint>>")).alias("gold_spans"))
+
+
+#: Words that key an item at most.
+KEYED = 4
+#: Bytes of items without an inner word that are sent to every task at once.
+SENT_BYTES = 1 << 20
+
+
+def _runs(k: int) -> Column:
+    """The keys of all runs of k of the words ``w``."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(k), F.array_join(F.slice("w", i, k), " ")))
 
 
 def contained(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``item_id, doc_id, at, size`` of the documents whose text contains an item as it stands; ``at``
-    counts characters from 0. Candidates share the item's second to fifth words."""
+    counts characters from 0.
+
+    An item may begin and end within words of a text, but the words inside it are words of the text.
+    So candidates share the item's second word and those after it, four at most, but not its last.
+    Items of one or two words have none inside; they are sought in every text, in blocks of a bounded
+    size, as are items of no text at all, which every text holds."""
     words = lambda c: F.split(F.col(c), r"[ \n]")
-    key = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3))
-    probes = items.withColumn("w", words("item")).select("item_id", "item", key(F.col("w"), F.lit(1)).alias("key"))
-    grams = documents.withColumn("w", words("text")).select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1)))).alias("i"))
-    hits = grams.select("doc_id", key(F.col("w"), F.col("i")).alias("key")).join(probes.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    whole = hits.join(documents, "doc_id").join(items, "item_id")
-    return whole.where(F.contains("text", "item")).select("item_id", "doc_id", F.instr("text", F.col("item")).cast("long").alias("found"), F.length("item").alias("size")).select("item_id", "doc_id", (F.col("found") - 1).alias("at"), "size")
+    listed = items.where("item is not null").withColumn("w", words("item"))
+    inside = F.least(F.size("w") - 2, F.lit(KEYED))
+    keyed = listed.where(F.size("w") > 2).select("item_id", inside.alias("k"), F.xxhash64(inside, F.array_join(F.slice("w", F.lit(2), inside), " ")).alias("key"))
+    sizes = sorted(r["k"] for r in keyed.select("k").distinct().collect())  # KEYED rows at most
+    texts = documents.where("text is not null").withColumn("w", words("text"))
+    found = documents.sparkSession.createDataFrame([], "doc_id long, item_id long")
+    if sizes:
+        each = texts.select("doc_id", F.explode(F.array_distinct(F.concat(*map(_runs, sizes)))).alias("key"))
+        found = found.unionByName(each.join(keyed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct())
+    short = listed.where(F.size("w") <= 2).select("item_id", "item")
+    total = short.agg(F.sum(F.octet_length("item") + 8)).first()[0] or 0
+    n = -(-total // SENT_BYTES)
+    for part in range(n):
+        own = short.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)) == part)
+        found = found.unionByName(texts.join(F.broadcast(own), F.contains("text", "item")).select("doc_id", "item_id"))
+    whole = found.join(documents.select("doc_id", "text"), "doc_id").join(items, "item_id")
+    return whole.where(F.contains("text", "item")).select("item_id", "doc_id", (F.instr("text", F.col("item")).cast("long") - 1).alias("at"), F.length("item").alias("size"))
 
 
 def jobs(orders: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def event_metrics(events: DataFrame, coarse: DataFrame) -> DataFrame:
     """Events by type and in all, with a change for each coarse topic but the first."""
     by_type = events.groupBy("video_id", "type").agg(F.count("*").alias("n"))
     topics = coarse.groupBy("video_id").agg(F.greatest(F.count("*") - 1, F.lit(0)).alias("n")).where("n > 0").select("video_id", F.lit("topic_change").alias("type"), "n")
-    return by_type.unionByName(topics)
+    return by_type.unionByName(topics).withColumn("total", F.sum("n").over(Window.partitionBy("video_id")))
 
 
 def job_progress(stages: DataFrame) -> DataFrame:
@@ -61,6 +61,11 @@ def span_text(texts: Column) -> Column:
     return F.array_join(F.filter(clean, lambda t: t != ""), " ")
 
 
+def speakers(ids: Column) -> Column:
+    """The distinct speakers of an array, sorted, without null."""
+    return F.array_sort(F.array_distinct(F.filter(ids, lambda x: x.isNotNull())))
+
+
 def upper_median(values: Column) -> Column:
     ordered = F.array_sort(values)
     return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))

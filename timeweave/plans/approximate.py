@@ -3,11 +3,13 @@ the nearest files only. ``search.nearest`` is the exact way; tests hold the reca
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeweave.functions import vectors as V
@@ -15,7 +17,7 @@ from timeweave.functions import vectors as V
 #: Vectors that centroids are fitted on at most: those of least hash.
 FITTED = 20_000
 #: The share of files that a query looks into.
-PROBED = 0.7
+PROBED = 0.75
 
 
 def centroids(chunks: DataFrame, k: int, fitted: int = FITTED, seed: int = 1) -> np.ndarray:
@@ -24,22 +26,25 @@ def centroids(chunks: DataFrame, k: int, fitted: int = FITTED, seed: int = 1) ->
     return np.array(KMeans(k=k, seed=seed, maxIter=10).fit(sample).clusterCenters())
 
 
-def _files(unit: Column, centres, most: int) -> Column:
-    """Numbers of the nearest ``most`` of the broadcast centroids, the nearest first."""
+def _filed(rows: DataFrame, key: str, centres, most: int) -> DataFrame:
+    """``key, u, file``: unit vectors, once for each of the nearest ``most`` of the broadcast centroids."""
 
-    @F.pandas_udf("array<int>")
-    def nearest(units: pd.Series) -> pd.Series:
-        near = np.argsort(-(np.stack(units.to_numpy()) @ centres.value.T), axis=1, kind="stable")[:, :most] if len(units) else np.empty((0, most))
-        return pd.Series(list(near.astype(np.int32)))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                units = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
+                norms = np.linalg.norm(units, axis=1, keepdims=True)
+                units = units / np.where(norms == 0, 1, norms)
+                near = np.argsort(-(units @ centres.value.T), axis=1, kind="stable")[:, :most].astype(np.int32)
+                yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), near.shape[1]), "u": list(np.repeat(units, near.shape[1], axis=0)), "file": near.ravel()})
 
-    return nearest(unit)
+    return rows.where("embedding is not null").select(F.col(key).cast("long").alias(key), "embedding").mapInPandas(run, f"{key} long, u array<double>, file int")
 
 
 def probe(queries: DataFrame, chunks: DataFrame, centres: np.ndarray, limit: int, probed: float = PROBED) -> DataFrame:
     """``query_id, chunk_id, distance, rank`` of chunks in the files that are nearest to the query."""
     sent, most = queries.sparkSession.sparkContext.broadcast(centres), max(1, round(probed * len(centres)))
-    filed = chunks.where("embedding is not null").select("chunk_id", V.unit(F.col("embedding")).alias("u")).withColumn("file", F.get(_files(F.col("u"), sent, 1), F.lit(0)))
-    asked = queries.where("embedding is not null").select("query_id", V.unit(F.col("embedding")).alias("q")).withColumn("file", F.explode(_files(F.col("q"), sent, most)))
-    scored = filed.join(asked, "file").select("query_id", "chunk_id", (1 - V.dot(F.col("q"), F.col("u"))).alias("distance"))
+    asked = _filed(queries, "query_id", sent, most).withColumnRenamed("u", "q")
+    scored = _filed(chunks, "chunk_id", sent, 1).join(asked, "file").select("query_id", "chunk_id", (1 - V.dot(F.col("q"), F.col("u"))).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from timeweave.operators.filters import drop_repeats
 from timeweave.plans import curation as cu
 from timeweave.plans.index import index_timeline
 from timeweave.queries.base import FRAMES, SEGMENTS, SPOKEN, VIDEOS, Data, query
@@ -229,17 +230,25 @@ def _drain(df, what, mode="append"):
 
 @query("st1_stream_catalogue", "SELECT sha256(html) AS checksum, CAST(strlen(any_value(html)) AS BIGINT) AS size_bytes FROM pages WHERE strlen(html) > 0 GROUP BY ALL")
 def st1(spark, folder):
-    rows = Data(spark, folder).table("pages").select(F.concat(F.lit("/in/"), F.col("page_id").cast("string"), F.lit(".mp4")).alias("path"), F.octet_length("html").cast("long").alias("length"), F.col("html").cast("binary").alias("content"))
-    good, _ = files.catalogue(_stream(spark, rows, "media"))
-    return _drain(good.dropDuplicates(["checksum"]).select("checksum", "size_bytes"), "catalogue")
+    """Pages written as media files and read as they arrive."""
+    arrived = F.lit("2024-01-01 00:00:00").cast("timestamp").alias("modificationTime")
+    rows = Data(spark, folder).table("pages").select(F.concat(F.lit("/in/"), F.col("page_id").cast("string"), F.lit(".mp4")).alias("path"), arrived, F.octet_length("html").cast("long").alias("length"), F.col("html").cast("binary").alias("content"))
+    return _drain(streams.catalogue_of(_stream(spark, rows, "media")).select("checksum", "size_bytes"), "catalogue")
 
 
-@query("st2_stream_reindex", f"WITH {SEGMENTS} SELECT DISTINCT video_id FROM segments")
+@query(
+    "st2_stream_reindex",
+    f"""WITH {SEGMENTS}, r AS (SELECT video_id, position, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm, lag(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) OVER (PARTITION BY video_id ORDER BY position) AS before FROM segments WHERE video_id % 4 = 1)
+    SELECT CAST(video_id AS BIGINT) AS video_id, count(*) AS segments FROM r WHERE norm = '' OR before IS NULL OR norm <> before GROUP BY video_id""",
+)
 def st2(spark, folder):
-    out = shared_folder(spark, "reindexed")
-    changes = _stream(spark, Data(spark, folder).segments().select("video_id", "position"), "changes")
-    streams.stream_reindex(changes, lambda videos: videos.write.mode("append").parquet(out), shared_folder(spark, "reindex-state")).awaitTermination()
-    return spark.read.schema("video_id long").parquet(out).distinct()
+    """Changes of every fourth video come as a stream; each batch rebuilds its videos from the stored
+    segments, without repeats, and replaces them in a table."""
+    out, segments = shared_folder(spark, "reindexed"), Data(spark, folder).segments()
+    changes = _stream(spark, segments.where("video_id % 4 = 1").select("video_id", "position"), "changes")
+    rebuild = lambda videos: drop_repeats(segments.join(videos, "video_id", "left_semi")).select("position", "start_s", "end_s", "text", "video_id")
+    streams.stream_reindex(changes, rebuild, out, shared_folder(spark, "reindex-state")).awaitTermination()
+    return spark.read.parquet(out).groupBy(F.col("video_id").cast("long").alias("video_id")).agg(F.count("*").alias("segments"))
 
 
 @query("st3_stream_sessions")

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from timeweave.operators import aggregates as a
 from timeweave.operators import joins as j
 from timeweave.operators.joins import as_of
+from timeweave.operators.topics import build_topics
 from timeweave.plans import evaluation as ev
 from timeweave.queries.base import BLOCKS, EVENTS, FRAMES, JOBS, QUESTIONS, SEGMENTS, VECTORS, VIDEOS, Data, query
 from timeweave.queries.filters import COLLECTIONS, collections
+from timeweave.queries.windows import TOPICS, vector_chunks
 
 #: Each tenth segment begins a stretch of ten, which stands for a parent passage here.
 PARENTS = """parents AS (SELECT video_id, position // 10 AS parent_id, min(start_s) AS start_s, max(end_s) AS end_s FROM segments GROUP BY ALL)"""
@@ -200,12 +202,12 @@ def a5(spark, folder):
 
 @query(
     "a6_event_metrics",
-    f"WITH {EVENTS}, {VECTORS}, t AS (SELECT video_id, CAST(greatest(count(*) - 1, 0) AS BIGINT) AS n FROM vectors WHERE vec_id % 10 = 0 GROUP BY video_id) SELECT video_id, type, count(*) AS n FROM tl GROUP BY ALL UNION ALL SELECT video_id, 'topic_change', n FROM t WHERE n > 0",
+    f"""WITH RECURSIVE {TOPICS}, {EVENTS}, t AS (SELECT video_id, CAST(greatest(count(*) - 1, 0) AS BIGINT) AS n FROM topics WHERE level = 'coarse' GROUP BY video_id),
+    every AS (SELECT video_id, type, count(*) AS n FROM tl GROUP BY ALL UNION ALL SELECT video_id, 'topic_change', n FROM t WHERE n > 0) SELECT video_id, type, n, CAST(sum(n) OVER (PARTITION BY video_id) AS BIGINT) AS total FROM every""",
 )
 def a6(spark, folder):
-    """Each tenth vector stands for a coarse topic here."""
     data = Data(spark, folder)
-    return a.event_metrics(data.events(), data.vectors().where("vec_id % 10 = 0"))
+    return a.event_metrics(data.events(), build_topics(vector_chunks(data)).where("level = 'coarse'"))
 
 
 @query("a7_job_progress", "SELECT l_orderkey AS seq, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE l_discount * 10 END), 6) AS progress FROM lineitem GROUP BY l_orderkey")

@@ -47,11 +47,18 @@ def x6(spark, folder):
     return Data(spark, folder).frames().withColumn("before", before).where("before is not null").select("event_id", bits.hamming(F.col("phash"), F.col("before")).alias("distance"))
 
 
-@query("x7_dhash")
+@query(
+    "x7_dhash",
+    """WITH t AS (SELECT doc_id, unnest(range(length(text) // 72)) AS n, text FROM documents), p AS (SELECT doc_id, n, list_transform(range(72), lambda i: ord(text[n * 72 + i + 1])) AS g FROM t),
+    b AS (SELECT doc_id, n, array_to_string(list_transform(range(64), lambda i: CASE WHEN g[i // 8 * 9 + i % 8 + 2] > g[i // 8 * 9 + i % 8 + 1] THEN '1' ELSE '0' END), '') AS bits FROM p)
+    SELECT doc_id, n, array_to_string(list_transform(range(16), lambda i: '0123456789abcdef'[8 * (bits[4 * i + 1] = '1')::INTEGER + 4 * (bits[4 * i + 2] = '1')::INTEGER + 2 * (bits[4 * i + 3] = '1')::INTEGER + (bits[4 * i + 4] = '1')::INTEGER + 1]), '') AS phash FROM b""",
+)
 def x7(spark, folder):
-    """Grey values from the first 72 characters of each document's text."""
-    pixels = F.transform(F.sequence(F.lit(1), F.lit(72)), lambda i: F.ascii(F.col("text").substr(i, F.lit(1))))
-    return Data(spark, folder).table("documents").select("doc_id", bits.hex16(bits.dhash(pixels)).alias("phash"))
+    """Grey values from the characters of each document's text, 72 a picture."""
+    each = Data(spark, folder).table("documents").where("length(text) >= 72").select("doc_id", "text", F.explode(F.expr("sequence(0L, length(text) div 72 - 1)")).alias("n"))
+    pixels = F.transform(F.sequence(F.lit(1), F.lit(72)), lambda i: F.ascii(F.col("part").substr(i, F.lit(1))))
+    own = each.select("doc_id", "n", F.expr("substring(text, int(n * 72 + 1), 72)").alias("part"))
+    return own.select("doc_id", "n", bits.hex16(bits.dhash(pixels)).alias("phash"))
 
 
 @query("x8_phash_hex", f"WITH {FRAMES} SELECT event_id, lpad(lower(to_hex(phash)), 16, '0') AS hex FROM frames")

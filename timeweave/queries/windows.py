@@ -238,7 +238,14 @@ def w19(spark, folder):
     return even_sample(Data(spark, folder).segments().select("video_id", "position"), 5)
 
 
-@query("a8_span_text", f"WITH {SEGMENTS} SELECT video_id, CAST(position // 10 AS BIGINT) AS span, string_agg(trim(text, ' \t\n\r\f\v'), ' ' ORDER BY position) AS text FROM segments GROUP BY ALL")
+@query(
+    "a8_span_text",
+    f"""WITH {SPOKEN} SELECT video_id, CAST(position // 3 AS BIGINT) AS span, coalesce(string_agg(trim(text, ' \t\n\r\f\v'), ' ' ORDER BY position) FILTER (WHERE trim(text, ' \t\n\r\f\v') <> ''), '') AS text,
+    array_to_string(list_sort(list_distinct(list(speaker_id))), '|') AS speakers FROM spoken GROUP BY ALL""",
+)
 def a8(spark, folder):
-    rows = Data(spark, folder).segments().groupBy("video_id", F.expr("position div 10").alias("span")).agg(F.collect_list(F.struct("position", "text")).alias("t"))
-    return rows.select("video_id", "span", span_text(F.col("t")).alias("text"))
+    """Each three turns of a conversation as a span."""
+    from timeweave.operators.aggregates import speakers
+
+    rows = Data(spark, folder).spoken().groupBy("video_id", F.expr("position div 3").alias("span")).agg(F.collect_list(F.struct("position", "text")).alias("t"), F.collect_set("speaker_id").alias("s"))
+    return rows.select("video_id", "span", span_text(F.col("t")).alias("text"), F.array_join(speakers(F.col("s")), "|").alias("speakers"))

@@ -56,11 +56,12 @@ def catalogue(files: DataFrame, most_bytes: int = 8 << 30) -> tuple[DataFrame, D
     """Accepted media (path, suffix, size, checksum, title, content type) and rejects with a reason,
     from ``binaryFile`` rows."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    marked = files.select("path", name.alias("name"), suffix_of(name).alias("suffix"), F.col("length").alias("size_bytes"), "content")
+    time = ["modificationTime"] * ("modificationTime" in files.columns)
+    marked = files.select("path", name.alias("name"), suffix_of(name).alias("suffix"), F.col("length").alias("size_bytes"), "content", *time)
     reason = F.when(~F.col("suffix").isin(list(CONTENT_TYPES)), "suffix").when(F.col("size_bytes") == 0, "empty").when(F.col("size_bytes") > most_bytes, "too large")
     marked = marked.withColumn("reason", reason)
     title = F.substring(F.regexp_replace("name", r"\.[^.]+$", ""), 1, 512)
-    good = marked.where("reason is null").select("path", "suffix", "size_bytes", F.sha2("content", 256).alias("checksum"), title.alias("title"), content_type(F.col("name")).alias("content_type"), F.lit("uploaded").alias("status"))
+    good = marked.where("reason is null").select("path", "suffix", "size_bytes", F.sha2("content", 256).alias("checksum"), title.alias("title"), content_type(F.col("name")).alias("content_type"), F.lit("uploaded").alias("status"), *time)
     return good, marked.where("reason is not null").select("path", "size_bytes", "reason")
 
 

@@ -9,21 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from timeweave.sources.files import catalogue
+from timeweave.sources.files import catalogue, replace_keys
+
+#: How long the catalogue remembers contents.
+KEPT = "30 days"
+
+
+def catalogue_of(arriving: DataFrame) -> DataFrame:
+    """Accepted media of a stream of (path, modificationTime, length, content), each content once within
+    the time that the watermark keeps: state holds the checksums of so long, and no longer."""
+    good, _ = catalogue(arriving.withWatermark("modificationTime", KEPT))
+    return good.dropDuplicatesWithinWatermark(["checksum"])
 
 
 def stream_catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """Media as they arrive, each content once."""
-    good, _ = catalogue(spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
-    return good.dropDuplicates(["checksum"])
+    """Media as they arrive in a folder. A copy that comes later than the watermark keeps checksums for
+    is a new row; a catalogue table keyed by checksum takes it as one."""
+    return catalogue_of(spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
 
 
-def stream_reindex(changes: DataFrame, rebuild: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Calls ``rebuild`` with the distinct videos of each batch of changes. As it replaces whole
-    videos, a batch that runs twice does no harm."""
+def stream_reindex(changes: DataFrame, rebuild: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Rebuilds the videos of each batch of changes and replaces their rows in the table at ``path``,
+    which is partitioned by video. As whole videos are replaced, a batch that runs twice does no harm."""
 
     def run(batch: DataFrame, _: int) -> None:
-        rebuild(batch.select("video_id").distinct())
+        videos = batch.select("video_id").distinct()
+        replace_keys(batch.sparkSession, rebuild(videos), videos, path)
 
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -62,10 +62,11 @@ def by_category(scored: DataFrame) -> DataFrame:
 def refusal(scores: DataFrame, floor: float) -> DataFrame:
     """Of (answerable, score): answers refused, off-corpus questions answered, and the margins."""
     yes, no = F.col("answerable"), ~F.col("answerable")
-    ordered = F.array_sort(F.collect_list(F.when(yes, F.col("score"))))
+    # the upper median: of an even number the greater of the two in the middle
+    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY score DESC) FILTER (WHERE answerable)")
     return scores.agg(
         F.count_if(yes & (F.col("score") < floor)).alias("false_refusals"), F.count_if(no & (F.col("score") >= floor)).alias("missed_refusals"), F.min(F.when(yes, F.col("score"))).alias("worst_positive"),
-        F.max(F.when(no, F.col("score"))).alias("best_negative"), F.get(ordered, F.floor(F.size(ordered) / 2).cast("int")).alias("median_positive"),
+        F.max(F.when(no, F.col("score"))).alias("best_negative"), median.alias("median_positive"),
     )
 
 

@@ -542,3 +542,62 @@ def test_pipeline_equals_its_stages(spark):
     tests = [op6_decontaminate.fold(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept -= {i for i in kept if any(t in op6_decontaminate.fold(texts[i]) for t in tests)}
     assert {r["doc_id"] for r in out} == kept
+
+
+def test_pipeline_tokens_edges(spark, edge, empty):
+    import corpus_pipeline
+
+    got = {(r["doc_id"], r["n_tokens"], r["round_trip"]) for r in corpus_pipeline.tokens(spark, edge.withColumn("ids", F.lit(1)), SF).collect()}
+    assert (99, 0, True) in got and (0, 0, True) in got and all(r[2] for r in got) and any(r[0] is None for r in got)
+    assert corpus_pipeline.tokens(spark, edge, SF).count() == edge.count() and corpus_pipeline.tokens(spark, empty, SF).count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{SF}/{name}.parquet")
+        (rows.limit(0) if name == "documents" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_op6_extra_columns_and_blocks(spark, monkeypatch):
+    """Items in several blocks, and columns whose names the operator uses."""
+    items = [(i, f"item number {i} of the whole set, with words {i * 7919} {i * 104729} of its own to find") for i in range(20)]
+    docs = [(i, f"Before. {items[i][1].upper()} After.") for i in range(20)] + [(50, "clean"), (51, None)]
+    rows = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, distance int, item string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(op6_decontaminate, "BLOCK_BYTES", 400)
+    assert {(r["doc_id"], r["item_id"]) for r in op6_decontaminate.contaminated(rows, tests).where("distance = 0").collect()} == {(i, i) for i in range(20)}
+    kept = op6_decontaminate.clean(rows, tests)
+    assert kept.columns == rows.columns and {r["doc_id"] for r in kept.collect()} == {50, 51}
+
+
+def test_op6_group_filter_loses_nothing(spark):
+    """Altered passages against plain distances, at the operator's own rate."""
+    rnd = random.Random(11)
+    for _ in range(60):
+        item = "".join(rnd.choices("abcdef ", k=rnd.randint(40, 160)))
+        folded = op6_decontaminate.fold(item)
+        if len(folded) < 40:
+            continue
+        own = op6_decontaminate.Matcher([(1, item)], op6_decontaminate.RATE, 40)
+        body = list(item)
+        for _ in range(rnd.randint(0, len(folded) // 8)):
+            at = rnd.randrange(len(body))
+            body[at : at + rnd.randint(0, 1)] = rnd.choice(["x", "y", ""])
+        text = "start " + "".join(body) + " end"
+        best = plain_distance(folded, op6_decontaminate.fold(text))
+        assert bool(own.hits(text)) == (best <= int(op6_decontaminate.RATE * len(folded)))
+
+
+def test_op7_templates_of_any_length_and_spans(spark):
+    whole = next(t for t, label in op7_license_scan.TEXTS if label == "mit-whole-text")
+    words = whole.split()
+    texts = [
+        "Copyright. " + whole.capitalize() + ". End.", " ".join(words[:60]), " ".join(w for i, w in enumerate(words) if i != 80), " ".join(words[:100] + ["really"] + words[100:]),
+        "licensed under cc " + "filler " * 30 + "under cc by 4 0",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in op7_license_scan.scan(rows).collect()}
+    assert all("mit-whole-text" in got[i] for i in (0, 2, 3)) and "mit-whole-text" not in got[1] and "cc-by-4.0" not in got[4]

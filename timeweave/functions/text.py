@@ -67,8 +67,7 @@ def normalise(text: Column) -> Column:
 def topic_words(text: Column) -> Column:
     """Words that may carry a topic, in order, with repeats."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z0-9'+#-]{1,}"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(found, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
 
 
 def capitalise(word: Column) -> Column:

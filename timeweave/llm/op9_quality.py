@@ -130,11 +130,14 @@ class Model:
                 marks.append(evidence.value.toxicity(text))
             return pd.DataFrame({"n_grams": sizes, "score": scores, "toxicity": marks})
 
-        text = F.coalesce(F.col(text_col), F.lit(""))
-        own = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("own"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), measure(text).alias("of"))
-        key = F.col("of.score") * strength + gumbel(F.lit(seed), F.col("doc_id"), F.col("hash"))
-        store = Store(spark, "quality")
-        self.rows = store.keep(own.select("own", "doc_id", "of.n_grams", "of.score", "of.toxicity", key.alias("key")), "scores")
+        def scored(rows: DataFrame, columns: list[str]) -> DataFrame:
+            text = F.coalesce(F.col(text_col), F.lit(""))
+            own = rows.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), measure(text).alias("of"))
+            key = F.col("of.score") * strength + gumbel(F.lit(seed), F.col("doc_id"), F.col("hash"))
+            return own.select("own", "doc_id", "of.n_grams", "of.score", "of.toxicity", key.alias("key"))
+
+        self.scored, self.store = scored, Store(spark, "quality")
+        self.rows = self.store.keep(scored(docs, carry), "scores")
         known = spark.createDataFrame([(int(i),) for i in held], "doc_id long")  # max_labelled rows at most
         least = self.rows.select("doc_id", "score").join(F.broadcast(known), "doc_id").select(F.expr(f"percentile(score, array({float(loss)}))").alias("cut")).first()["cut"]
         self.cut = min(least[0], 0.0) - margin if least else -float("inf")
@@ -180,6 +183,8 @@ def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are sampled, with their own columns."""
-    model = classify(docs, labels, **options)
-    return model.rows.where(model.is_selected()).select("own.*")
+    """The rows of ``docs`` that are sampled, with their own columns. Texts are scored once more as they
+    are kept, as their scored copies would stay on the shared disk for as long as the result is read."""
+    model = classify(docs, labels, carry=[options.get("id_col", "doc_id")], **options)
+    model.store.only()
+    return model.scored(docs, docs.columns).where(model.is_selected()).select("own.*")

@@ -11,6 +11,7 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that one vectorised step works on; longer texts carry their state over.
 STEP_CHARS = 1 << 20
@@ -33,14 +34,25 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_folder()
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def join_by_hot_key(rows: DataFrame, lookup: DataFrame, key: str, n: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``lookup``, which has each key once and in ``n`` how many rows hold
+    it. Keys of more than one row in ``share``, of which there are ``share`` at most, are broadcast; no
+    other key is hot. ``n`` is dropped."""
+    total = lookup.agg(F.sum(n)).first()[0] or 0
+    hot, cold = lookup.where(F.col(n) * share > total).drop(n), lookup.where(F.col(n) * share <= total).drop(n)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 class Store:
-    """Tables that a job writes to the shared folder to cut lineage, and drops when done."""
+    """Tables that a job writes to the shared folder to cut lineage, and drops when done. What is still
+    there when the driver's JVM ends goes then."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root, self.names = spark, shared_folder(spark, what), set()
@@ -48,6 +60,8 @@ class Store:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
+        if not self.names:
+            self._folder(self.root, lambda files, path: files.deleteOnExit(path))
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -56,11 +70,18 @@ class Store:
         self.drop(*self.names - set(names))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
             self.names.discard(name)
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._folder(f"{self.root}/{name}", lambda files, path: files.delete(path, True))
+
+    def close(self) -> None:
+        """Drops everything, when the caller has read what it wanted."""
+        self._folder(self.root, lambda files, path: files.delete(path, True))
+        self.names.clear()
+
+    def _folder(self, name: str, act: Callable) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        act(path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path)
 
 
 @contextmanager

@@ -30,6 +30,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct()
 
 
+def follow(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """``rows`` with each root that ``moved`` (node, root) has moved replaced."""
+    to = moved.select(F.col("node").alias("_from"), F.col("root").alias("_to"))
+    return rows.join(to, F.col("root") == F.col("_from"), "left").withColumn("root", F.coalesce("_to", "root")).drop("_from", "_to")
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20)")), F.bit_xor(F.xxhash64("v", "u"))).first())
 

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeweave.llm.common import Memo, Store, small_batches
-from timeweave.llm.components import components
+from timeweave.llm.components import components, follow
 
 SETS = "row long, doc_id long, text_hash long, n long, key binary, list array<long>, sketch array<long>"
 #: Sizes that the boundary is chosen from: 1, and from 8 to 512 by steps of a fifth.
@@ -223,12 +223,6 @@ def linked(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _moved(rows: DataFrame, moved: DataFrame) -> DataFrame:
-    """``rows`` with each root that ``moved`` (node, root) has moved replaced."""
-    to = moved.select(F.col("node").alias("_from"), F.col("root").alias("_to"))
-    return rows.join(to, F.col("root") == F.col("_from"), "left").withColumn("root", F.coalesce("_to", "root")).drop("_from", "_to")
-
-
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: ``doc_id, text_hash, n_shingles, component_id`` and ``root`` (the
     component's key, null for an empty set). Links are not counted: those within one component that
@@ -264,8 +258,8 @@ def _join(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: st
         tried = tried.select(F.col("pivot.row").alias("a"), F.col("row").alias("b"), F.col("pivot.root").alias("root_a"), F.col("root").alias("root_b")).distinct()
         found = store.keep(linked(tried, whole, num, den), f"found-{n}")
         moved = components(links.unionByName(found), store, f"star-{n}")
-        roots, links = store.keep(_moved(roots, moved).unionByName(moved), f"roots-{n}"), links.limit(0)
-        dealt = _moved(dealt.select("bucket", "row", "n", "root"), moved)
+        roots, links = store.keep(follow(roots, moved).unionByName(moved), f"roots-{n}"), links.limit(0)
+        dealt = follow(dealt.select("bucket", "row", "n", "root"), moved)
         apart = dealt.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         placed = store.keep(dealt.join(apart, "bucket", "left_semi"), f"placed-{n + 1}")
         store.only("sets", "whole", f"placed-{n + 1}", f"roots-{n}")
@@ -280,7 +274,7 @@ def _join(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: st
     rest = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & near)
     rest = rest.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "root_a", "root_b").distinct()
     moved = components(store.keep(linked(rest, whole, num, den), "late"), store, "last")
-    roots = _moved(roots, moved).unionByName(moved)
+    roots = follow(roots, moved).unionByName(moved)
 
     of_key = named.join(roots, F.col("row") == F.col("node"), "left").groupBy("key").agg(F.min(F.coalesce("root", "row")).alias("root"))
     least = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))

@@ -19,6 +19,9 @@ from timeweave.llm import (
     op8_bpe_codec,
     op9_quality,
     op10_jaccard_join,
+    op11_fill_in_middle,
+    op12_simhash_dedup,
+    op13_merkle_manifest,
 )
 from timeweave.llm.common import table
 
@@ -74,6 +77,18 @@ def op10_jaccard_join_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_fill_in_middle_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_dedup_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_simhash_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_merkle_manifest.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts_,
@@ -86,8 +101,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_codec": op8_bpe_codec_,
         "op9_quality": op9_quality_,
         "op10_jaccard_join": op10_jaccard_join_,
+        "op11_fill_in_middle": op11_fill_in_middle_,
+        "op12_simhash_dedup": op12_simhash_dedup_,
+        "op13_merkle_manifest": op13_merkle_manifest_,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": op2_chat_format.SQL, "op4_hamming_search": op4_hamming_search.SQL, "op7_license_scan": op7_license_scan.sql(), "op10_jaccard_join": op10_jaccard_join.SQL}
+    return {
+        "op2_chat_format": op2_chat_format.SQL,
+        "op4_hamming_search": op4_hamming_search.SQL,
+        "op7_license_scan": op7_license_scan.sql(),
+        "op10_jaccard_join": op10_jaccard_join.SQL,
+        "op11_fill_in_middle": op11_fill_in_middle.SQL,
+        "op13_merkle_manifest": op13_merkle_manifest.SQL,
+    }

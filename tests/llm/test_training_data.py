@@ -378,7 +378,7 @@ def test_op8_backtracks_as_the_merges():
 
 
 def selected(model):
-    return model.rows.select("own.*", "n_grams", "score", "toxicity", "key", model.is_selected().alias("quality_selected"))
+    return model.rows.select("doc_id", "n_grams", "score", "toxicity", "key", model.is_selected().alias("quality_selected"))
 
 
 def plain_grams(text):
@@ -396,7 +396,7 @@ def test_op9_equals_brute_force(spark):
     from collections import Counter
 
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    model = op9_quality.classify(docs, labels, carry=["doc_id"])
+    model = op9_quality.classify(docs, labels)
     got = {r["doc_id"]: r for r in selected(model).collect()}
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     good = sorted({r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]} - {r["doc_id"] for r in labels.collect() if r["quality"] == 0 or r["toxic"]})
@@ -436,14 +436,14 @@ def test_op9_carries_any_columns(spark):
 def test_op9_tells_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     shown, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
-    rows = selected(op9_quality.classify(docs, shown, carry=["doc_id"]))
+    rows = selected(op9_quality.classify(docs, shown))
     shares = {(r["quality"], r["toxic"]): r["s"] for r in rows.join(held, "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("quality_selected").cast("int")).alias("s")).collect()}
     assert shares[1, 0] >= 0.98 and shares[0, 0] <= 0.15
 
 
 def test_op9_leaves_out_held_out_toxic_documents(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    rows = selected(op9_quality.classify(docs, labels.where("doc_id % 2 = 0"), carry=["doc_id"]))
+    rows = selected(op9_quality.classify(docs, labels.where("doc_id % 2 = 0")))
     held = rows.join(labels.where("doc_id % 2 = 1 and quality = 1"), "doc_id").groupBy("toxic").agg(F.avg(F.col("quality_selected").cast("int")).alias("s"))
     shares = {r["toxic"]: r["s"] for r in held.collect()}
     assert shares[1] <= 0.1 and shares[0] >= 0.99
@@ -467,6 +467,56 @@ def test_op9_edges(spark, edge, empty):
     assert op9_quality.keep_good(empty, labels).count() == 0
 
 
+def test_op9_samples_in_proportion(spark):
+    """At a strength of 1 rows far below the cut are drawn in proportion to their weights: three kinds of
+    rows of weights 1, 3 and 9, a fiftieth of all."""
+    scores = F.log(F.lit(3.0)) * (F.col("id") % 3)
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("kind"), (scores + op9_quality.gumbel(F.lit(5), F.col("id"), F.lit(1))).alias("key"))
+    least = op9_quality.kth_greatest(rows, "key", 1200)
+    n = {r["kind"]: r["count"] for r in rows.where(F.col("key") >= least).groupBy("kind").count().collect()}
+    assert sum(n.values()) == 1200
+    assert all(abs(n[kind] - 1200 * weight / 13) < 4 * (1200 * weight / 13) ** 0.5 for kind, weight in enumerate((1, 3, 9)))
+
+
+def test_op9_samples_as_many_as_asked(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    sampled = lambda k: selected(op9_quality.classify(documents, labels, k=k, toxic_loss=0.0)).where("quality_selected").count()
+    assert sampled(20) == 20 and sampled(0.25) == round(0.25 * documents.count())
+
+
+def test_op9_toxicity_equals_brute_force(spark):
+    """Evidence, scores and cut from counts of plain features, over the labelled documents."""
+    import math
+    from collections import Counter
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = op9_quality.classify(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    toxic_of = {r["doc_id"]: bool(r["toxic"]) for r in labels.collect()}
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]}
+    words = {i: np.concatenate([f for f in toxicity.word_features(t)] or [np.zeros((5, 0), np.int64)], axis=1) for i, t in texts.items()}
+    seen = {i: set(w.ravel().tolist()) - {0} for i, w in words.items()}
+    known = [i for i in texts if i in toxic_of]
+    a, b = Counter(), Counter()
+    for i in known:
+        (a if toxic_of[i] else b).update(seen[i])
+    na, nb = sum(toxic_of[i] for i in known), sum(not toxic_of[i] for i in known)
+
+    def weight(f, less):
+        if a[f] < 2 or math.log((a[f] + 0.5) / (na + 1)) - math.log((max(b[f] - 1, 0) + 0.5) / nb) - 2 * math.sqrt(1 / (a[f] + 0.5) + 1 / (max(b[f] - 1, 0) + 0.5)) <= 0:
+            return 0.0
+        other, n = (max(b[f] - 1, 0), nb - 1) if less else (b[f], nb)
+        return max(0.0, math.log((a[f] + 0.5) / (na + 1)) - math.log((other + 0.5) / (n + 1)) - 2 * math.sqrt(1 / (a[f] + 0.5) + 1 / (other + 0.5)))
+
+    def score(i, less=False):
+        each = [sum(weight(f, less) for f in column.tolist() if f) for column in words[i].T]
+        return max((sum(each[max(0, j - 63) : j + 1]) for j in range(len(each))), default=0.0)
+
+    assert all(abs(r["toxicity"] - score(r["doc_id"])) < 1e-6 for r in model.rows.collect())
+    left = sorted(score(i, True) for i in texts if i in good)
+    assert abs(model.toxic_cut - left[math.ceil((len(left) - 1) * 0.998)]) < 1e-6
+
+
 def test_op9_kth_greatest(spark):
     values = [random.Random(4).gauss(0, 1) for _ in range(500)] + [0.5] * 50
     rows = spark.createDataFrame([(v,) for v in values], "x double")

@@ -68,8 +68,8 @@ def op8_bpe_codec_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = op9_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
-    return model.rows.select("own.doc_id", "n_grams", "score", F.col("key").alias("gumbel_key"), model.is_selected().alias("selected"))
+    model = op9_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return model.rows.select("doc_id", "n_grams", "score", F.col("key").alias("gumbel_key"), model.is_selected().alias("selected"))
 
 
 def op10_jaccard_join_(spark: SparkSession, sf_dir: str) -> DataFrame:

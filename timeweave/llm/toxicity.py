@@ -11,7 +11,8 @@ The cut is set on good labelled documents, each scored as if it had not been cou
 ``loss`` of them (rounded down to whole documents) lie above it. Texts above the cut are toxic.
 
 Features are 64-bit hashes. They are counted in the labelled sample only, within tasks and then by
-feature; at most ``MOST`` weights, the greatest, come to the driver and go to tasks.
+feature; a stated number of weights at most, the greatest, come to the driver and go to tasks. The
+cut is set where texts are scored.
 
 Defined results: null or empty text has toxicity 0. Without labelled documents of both kinds nothing
 is toxic. Words are runs of letters and digits in lower case; of scripts without spaces, signs.
@@ -23,13 +24,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 64
-MOST = 200_000
 SLICE_BYTES = 1 << 18
 KINDS = 5  # features of a word
 PREFIXES = (4, 6, 8)
@@ -86,15 +84,17 @@ def word_features(text: str) -> Iterator[np.ndarray]:
 
 
 class Evidence:
-    """Weights by feature."""
+    """Weights by feature, and those of texts that were counted themselves and are left out."""
 
-    def __init__(self, features: np.ndarray, weights: np.ndarray):
+    def __init__(self, features: np.ndarray, weights: np.ndarray, left_out: np.ndarray | None = None):
         order = np.argsort(features)
         self.features, self.weights = features[order], weights[order]
+        self.left_out = self.weights if left_out is None else left_out[order]
         self.seen = np.zeros(1 << 20, bool)  # rules most words out at once
         self.seen[features & 0xFFFFF] = True
 
-    def toxicity(self, text: str) -> float:
+    def toxicity(self, text: str, left_out: bool = False) -> float:
+        weights = self.left_out if left_out else self.weights
         most, carried = 0.0, np.zeros(0)
         if not len(self.features):
             return most
@@ -104,7 +104,7 @@ class Evidence:
             if len(row):
                 wanted = found[row, column]
                 place = np.minimum(np.searchsorted(self.features, wanted), len(self.features) - 1)
-                np.add.at(own, column, np.where(self.features[place] == wanted, self.weights[place], 0.0))
+                np.add.at(own, column, np.where(self.features[place] == wanted, weights[place], 0.0))
             elif not carried.any():
                 carried = own[-WINDOW + 1 :]
                 continue
@@ -120,61 +120,46 @@ def _weights(toxic, other, n_toxic: int, n_other: int, deviations: float):
     return np.maximum(0.0, ratio - deviations * np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5)))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``feature, toxic, other``: documents that hold a feature, from columns of text and toxic."""
+class Counts:
+    """Toxic and other documents that hold each feature, in arrays of bounded size."""
 
-    def summed(parts: list) -> list:
-        features, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    LIMIT = 1 << 18
+
+    def __init__(self):
+        self.parts: list = []
+        self.held = 0
+
+    def add(self, text: str, toxic: bool) -> None:
+        found = [np.unique(x) for x in word_features(text)]
+        if found:
+            own = np.unique(np.concatenate(found))
+            own = own[own != 0]
+            self.parts.append((own, toxic))
+            self.held += len(own)
+
+    def full(self) -> bool:
+        return self.held > self.LIMIT
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """The features and a row of two counts for each."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        features = np.concatenate([own for own, _ in self.parts])
+        toxic = np.repeat([t for _, t in self.parts], [len(own) for own, _ in self.parts])
+        self.parts, self.held = [], 0
         found, where = np.unique(features, return_inverse=True)
-        total = np.zeros((len(found), 2), np.int64)
-        np.add.at(total, where, counts)
-        return [(found, total)]
-
-    def given(parts: list) -> pa.RecordBatch:
-        (features, counts), = summed(parts)
-        return pa.RecordBatch.from_arrays([pa.array(features), pa.array(counts[:, 0].copy()), pa.array(counts[:, 1].copy())], ["feature", "toxic", "other"])
-
-    parts, held, limit = [], 0, 1 << 20
-    for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            found = [np.unique(x) for x in word_features(text.as_py())]
-            if found:
-                own = np.unique(np.concatenate(found))
-                own = own[own != 0]
-                parts.append((own, np.tile(np.array([[1, 0] if toxic else [0, 1]], np.int64), (len(own), 1))))
-                held += len(own)
-            if held > limit:
-                yield given(parts)
-                parts, held = [], 0
-    if parts:
-        yield given(parts)
-
-
-def scorer(evidence):
-    """A column's toxicity by broadcast evidence."""
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([evidence.value.toxicity(t) for t in texts], dtype="float64")
-
-    return score
-
-
-def fit(rows: DataFrame, loss: float, deviations: float = 2.0) -> tuple[Evidence, float]:
-    """The evidence, and the toxicity above which texts are toxic, from labelled ``text, toxic, good``."""
-    none = Evidence(np.zeros(0, np.int64), np.zeros(0)), float("inf")
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}  # two rows
-    n_toxic, n_other = n.get(True, 0), n.get(False, 0)
+        marked = np.bincount(where, weights=toxic, minlength=len(found)).astype(np.int64)
+        return found, np.stack([marked, np.bincount(where, minlength=len(found)) - marked], axis=1)
+
+
+def fit(counts: DataFrame, n_toxic: int, n_other: int, most: int, deviations: float = 2.0) -> Evidence:
+    """The evidence of ``feature, toxic, other``, from so many labelled documents."""
     if not n_toxic or not n_other:
-        return none
-    counts = rows.select("text", "toxic").mapInArrow(_counted, "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+        return Evidence(np.zeros(0, np.int64), np.zeros(0))
     fewer = F.greatest(F.col("other") - 1, F.lit(0)) + 0.5  # as for a document that was counted and is left out
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log(fewer / n_other) - deviations * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / fewer)
-    table = counts.where("toxic >= 2").withColumn("weight", weight).where("weight > 0").orderBy(F.desc("weight"), "feature").limit(MOST).toPandas()
+    table = counts.where("toxic >= 2").withColumn("weight", weight).where("weight > 0").orderBy(F.desc("weight"), "feature").limit(most).toPandas()
     features, toxic, other = (table[c].to_numpy(np.int64) for c in ("feature", "toxic", "other"))
     # A document only meets features that it holds, so all of them have counted it.
-    left_out = rows.sparkSession.sparkContext.broadcast(Evidence(features, _weights(toxic, np.maximum(other - 1, 0), n_toxic, n_other - 1, deviations)))
-    scores = [r["score"] for r in rows.where("good").select(scorer(left_out)("text").alias("score")).collect()]  # of the labelled sample
-    if not scores:
-        return none
-    return Evidence(features, _weights(toxic, other, n_toxic, n_other, deviations)), float(np.quantile(scores, 1 - loss, method="higher"))
+    left_out = _weights(toxic, np.maximum(other - 1, 0), n_toxic, n_other - 1, deviations)
+    return Evidence(features, _weights(toxic, other, n_toxic, n_other, deviations), left_out)

@@ -47,6 +47,29 @@ class Best:
         self.reach[full] = self.distance[last[full]]
 
 
+class Scopes:
+    """Which videos each query may see: sorted (query, video) pairs of those that have a scope."""
+
+    def __init__(self, scopes: list):
+        self.free = np.array([v is None for v in scopes], bool)
+        pairs = [(i, v) for i, own in enumerate(scopes) for v in own or []]
+        self.videos, place = np.unique(np.array([v for _, v in pairs], np.int64), return_inverse=True)
+        order = np.lexsort(([i for i, _ in pairs], place)) if pairs else np.empty(0, np.intp)
+        self.place, self.query = place[order], np.array([i for i, _ in pairs], np.intp)[order]
+
+    def allow(self, videos: np.ndarray) -> np.ndarray:
+        """A row for each query and a column for each video."""
+        out = np.repeat(self.free[:, None], len(videos), axis=1)
+        if len(self.videos):
+            at = np.minimum(np.searchsorted(self.videos, videos), len(self.videos) - 1)
+            known = np.flatnonzero(self.videos[at] == videos)
+            first, last = np.searchsorted(self.place, at[known]), np.searchsorted(self.place, at[known], "right")
+            column = np.repeat(known, last - first)
+            row = self.query[np.arange(len(column)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + np.repeat(first, last - first)]
+            out[row, column] = True
+        return out
+
+
 def nearest(queries: DataFrame, chunks: DataFrame, limit: int = CANDIDATES, block: int = BLOCK) -> DataFrame:
     """``query_id, chunk_id, distance, rank``: exact nearest chunks by cosine distance. Queries are
     (query_id, embedding), chunks (chunk_id, embedding); each task keeps its own best ``limit`` a
@@ -61,17 +84,17 @@ def nearest(queries: DataFrame, chunks: DataFrame, limit: int = CANDIDATES, bloc
             continue
         ids = np.array([r["query_id"] for r in rows], np.int64)
         asked = _unit(np.array([r["embedding"] for r in rows], np.float64))
-        scopes = [r["video_ids"] for r in rows] if scoped else []
+        sent = queries.sparkSession.sparkContext.broadcast((ids, asked, Scopes([r["video_ids"] for r in rows]) if scoped else None))
 
-        def run(frames: Iterator[pd.DataFrame], ids=ids, asked=asked, scopes=scopes) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, asked, scopes = sent.value
             best = Best(len(ids), limit)
             for frame in frames:
                 for at in range(0, len(frame), 2048):
                     part = frame.iloc[at : at + 2048]
                     distances = 1.0 - asked @ _unit(np.stack(part["embedding"].to_numpy()).astype(np.float64)).T
-                    for i, allowed in enumerate(scopes):
-                        if allowed is not None:
-                            distances[i, ~part["video_id"].isin(allowed).to_numpy()] = np.inf
+                    if scopes is not None:
+                        distances[~scopes.allow(part["video_id"].to_numpy())] = np.inf
                     best.add(distances, part["chunk_id"].to_numpy())
             yield pd.DataFrame({"query_id": ids[best.query], "chunk_id": best.id, "distance": best.distance})
 
@@ -85,10 +108,11 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norms == 0, 1, norms)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """``retriever, query_id, chunk_id, rank``: what both retrievers find."""
+def retrieve(queries: DataFrame, chunks: DataFrame, limit: int = CANDIDATES, index: lexical.Postings | None = None) -> DataFrame:
+    """``retriever, query_id, chunk_id, rank``: what both retrievers find; words are looked up in a stored
+    table, if there is one."""
     near = nearest(queries, chunks, limit).select(F.lit("semantic").alias("retriever"), "query_id", "chunk_id", "rank")
-    return near.unionByName(lexical.search(queries, chunks, limit).select(F.lit("lexical").alias("retriever"), "query_id", "chunk_id", "rank"))
+    return near.unionByName(lexical.search(queries, chunks, limit, index).select(F.lit("lexical").alias("retriever"), "query_id", "chunk_id", "rank"))
 
 
 def fuse(lists: DataFrame, weights: dict[str, float] | None = None, damping: int = DAMPING) -> DataFrame:
@@ -124,7 +148,7 @@ def rerank_score(query: F.Column, text: F.Column) -> F.Column:
 
 def hybrid(
     queries: DataFrame, chunks: DataFrame, videos: DataFrame, limit: int = 10, rerank: int | None = None, weights: dict | None = None, damping: int = DAMPING,
-    parents: DataFrame | None = None, video_ids: list | None = None, kinds: list | None = None, window: tuple | None = None, lists: DataFrame | None = None,
+    parents: DataFrame | None = None, video_ids: list | None = None, kinds: list | None = None, window: tuple | None = None, lists: DataFrame | None = None, index: lexical.Postings | None = None,
 ) -> DataFrame:
     """Hits of each query: (query_id, text, embedding, perhaps video_ids) against (chunk_id, video_id,
     kind, parent_id, start_s, end_s, text, embedding).
@@ -133,9 +157,9 @@ def hybrid(
     nothing; ``video_ids`` of a query is its own scope. With ``rerank`` so many of the pool (and the
     guaranteed ones) are scored as pairs with the query; else the fused order stands. With ``parents``
     (video_id, parent_id, parent_text, parent_start, parent_end) hits carry their parent passage.
-    ``lists`` are the retrieved lists, if they are there already."""
+    ``lists`` are the retrieved lists, if they are there already, and ``index`` a stored table of postings."""
     shown = apply_filters(chunks, video_ids, kinds, window)
-    fused = pool(fuse(retrieve(queries, shown) if lists is None else lists, weights, damping), max(rerank or 0, limit))
+    fused = pool(fuse(retrieve(queries, shown, index=index) if lists is None else lists, weights, damping), max(rerank or 0, limit))
     rows = fused.join(chunks.drop("embedding"), "chunk_id")
     rows = rows.join(videos.select("video_id", "title"), "video_id") if parents is None else hydrate(rows, videos, parents)
     if rerank is None:

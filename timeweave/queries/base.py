@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from timeweave.functions import stemmer as st
 from timeweave.sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,12 +103,35 @@ gold AS (
   WHERE p.c0 < h.at + h.size AND p.c0 + length(p.text) > h.at GROUP BY ALL)"""
 )
 #: Stems of the words of ``raw (chunk_id, position, word)`` as ``post (chunk_id, position, term)``.
-STEMS = """w1 AS (SELECT w, CASE WHEN length(w) <= 3 THEN w WHEN right(w, 4) = 'sses' OR right(w, 3) = 'ies' THEN left(w, length(w) - 2) WHEN right(w, 1) = 's' AND right(w, 2) NOT IN ('ss', 'us') THEN left(w, length(w) - 1) ELSE w END AS a
-  FROM (SELECT DISTINCT word AS w FROM raw)),
-w2 AS (SELECT w, a, CASE WHEN length(a) > 3 AND right(a, 3) = 'ing' AND regexp_matches(left(a, length(a) - 3), '[aeiouy]') THEN left(a, length(a) - 3)
-  WHEN length(a) > 3 AND right(a, 2) = 'ed' AND regexp_matches(left(a, length(a) - 2), '[aeiouy]') THEN left(a, length(a) - 2) END AS b FROM w1),
-w3 AS (SELECT w, CASE WHEN b IS NULL THEN a WHEN right(b, 2) IN ('at', 'bl', 'iz') THEN b || 'e' WHEN length(b) > 2 AND right(b, 1) = substr(b, length(b) - 1, 1) AND right(b, 1) NOT IN ('l', 's', 'z') THEN left(b, length(b) - 1) ELSE b END AS c FROM w2),
-stems AS (SELECT w AS word, CASE WHEN length(c) > 3 AND right(c, 1) = 'y' AND regexp_matches(left(c, length(c) - 1), '[aeiou]') THEN left(c, length(c) - 1) || 'i' ELSE c END AS term FROM w3),
+def _cases(word: str, rules: dict[str, str], region: str, conditions: dict[str, str] | None = None) -> str:
+    """A CASE that finds the longest ending of ``word`` and replaces it where it lies in ``region``."""
+    cases = []
+    for end in sorted(rules, key=len, reverse=True):
+        left = f"left({word}, length({word}) - {len(end)})"
+        more = f" AND {conditions[end].format(left=left)}" if end in (conditions or {}) else ""
+        cases.append(f"WHEN right({word}, {len(end)}) = '{end}' THEN CASE WHEN length({word}) - {len(end)} >= {region}{more} THEN {left} || '{rules[end]}' ELSE {word} END")
+    return f"CASE {' '.join(cases)} ELSE {word} END"
+
+
+_SHORT = "regexp_matches({0}, '(^|[^aeiouy])[aeiouy][^aeiouywxY]$|^[aeiouy][^aeiouy]$')"
+_SPECIAL = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in st.SPECIAL.items()) + " END"
+#: The English stemmer in SQL, over the words of ``raw``: regions as lengths, each step a table.
+STEMS = f"""t0 AS (SELECT w, regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS x FROM (SELECT DISTINCT word AS w FROM raw)),
+t1 AS (SELECT w, x, CASE WHEN regexp_matches(x, '^({"|".join(st.EARLY_R1)})') THEN length(regexp_extract(x, '^({"|".join(st.EARLY_R1)})')) WHEN regexp_matches(x, '[aeiouy][^aeiouy]') THEN length(regexp_extract(x, '^.*?[aeiouy][^aeiouy]')) ELSE length(x) END AS r1 FROM t0),
+t2 AS (SELECT w, x, r1, CASE WHEN regexp_matches(substr(x, r1 + 1), '[aeiouy][^aeiouy]') THEN r1 + length(regexp_extract(substr(x, r1 + 1), '^.*?[aeiouy][^aeiouy]')) ELSE length(x) END AS r2 FROM t1),
+t3 AS (SELECT w, r1, r2, CASE WHEN right(x, 4) = 'sses' THEN left(x, length(x) - 2) WHEN right(x, 3) IN ('ied', 'ies') THEN left(x, length(x) - CASE WHEN length(x) > 4 THEN 2 ELSE 1 END)
+  WHEN right(x, 2) NOT IN ('us', 'ss') AND regexp_matches(x, '[aeiouy].+s$') THEN left(x, length(x) - 1) ELSE x END AS x FROM t2),
+t4 AS (SELECT *, CASE WHEN regexp_matches(x, 'eed(ly)?$') THEN NULL WHEN regexp_matches(x, '[aeiouy].*(ed|edly|ing|ingly)$') AND regexp_matches(regexp_replace(x, '(ingly|edly|ing|ed)$', ''), '[aeiouy]') THEN regexp_replace(x, '(ingly|edly|ing|ed)$', '') END AS cut FROM t3),
+t5 AS (SELECT w, r1, r2, x AS plain, CASE WHEN regexp_matches(x, 'eed(ly)?$') THEN CASE WHEN length(regexp_replace(x, 'eed(ly)?$', '')) >= r1 THEN regexp_replace(x, 'eed(ly)?$', 'ee') ELSE x END
+  WHEN cut IS NULL THEN x WHEN right(cut, 2) IN ('at', 'bl', 'iz') THEN cut || 'e' WHEN right(cut, 2) IN ({", ".join(f"'{d}'" for d in st.DOUBLES)}) THEN left(cut, length(cut) - 1)
+  WHEN length(cut) <= r1 AND {_SHORT.format("cut")} THEN cut || 'e' ELSE cut END AS x FROM t4),
+t6 AS (SELECT w, r1, r2, plain, regexp_replace(x, '^(.+[^aeiouy])[yY]$', '\\1i') AS x FROM t5),
+t7 AS (SELECT w, r1, r2, plain, {_cases("x", st.DERIVED, "r1", {"ogi": "right({left}, 1) = 'l'", "li": f"regexp_matches({{left}}, '[{st.BEFORE_LI}]$')"})} AS x FROM t6),
+t8 AS (SELECT w, r1, r2, plain, {_cases("x", st.SHORTENED, "r1", {"ative": "length({left}) >= r2"})} AS x FROM t7),
+t9 AS (SELECT w, r1, r2, plain, {_cases("x", dict.fromkeys(st.DROPPED, ""), "r2", {"ion": "right({left}, 1) IN ('s', 't')"})} AS x FROM t8),
+t10 AS (SELECT w, plain, CASE WHEN right(x, 1) = 'e' AND (length(x) > r2 OR length(x) > r1 AND NOT {_SHORT.format("left(x, length(x) - 1)")}) THEN left(x, length(x) - 1)
+  WHEN right(x, 2) = 'll' AND length(x) > r2 THEN left(x, length(x) - 1) ELSE x END AS x FROM t9),
+stems AS (SELECT w AS word, CASE WHEN length(w) <= 2 THEN w ELSE coalesce({_SPECIAL}, CASE WHEN plain IN ({", ".join(f"'{x}'" for x in st.FINISHED)}) THEN plain ELSE replace(x, 'Y', 'y') END) END AS term FROM t10),
 post AS (SELECT chunk_id, position, term FROM raw JOIN stems USING (word))"""
 JOBS = """jobs AS (
   SELECT o_custkey AS video_id, o_orderkey AS seq, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'succeeded' ELSE 'queued' END AS status,

@@ -10,7 +10,7 @@ from timeweave.queries.joins import PARENTS, parents
 from timeweave.queries.scalars import CLOCK
 from timeweave.queries.windows import SELECTED
 from timeweave.sources import files
-from timeweave.sources.files import shared_folder
+from timeweave.sources.scratch import shared_folder
 from timeweave.streaming import streams
 
 

@@ -20,7 +20,7 @@ from timeweave.plans import evaluation as ev
 from timeweave.queries.base import BLOCKS, EVENTS, STEMS, VECTORS, Data, query
 from timeweave.queries.filters import INDEXABLE
 from timeweave.queries.windows import TOPICS, vector_chunks
-from timeweave.sources.files import shared_folder
+from timeweave.sources.scratch import Store, shared_folder
 
 STOP = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
 TABLES = (
@@ -123,8 +123,21 @@ def video_titles(data):
     return chunks(data).select("video_id").distinct().withColumn("title", F.format_string("video %d", "video_id"))
 
 
+_tables: dict[tuple, lexical.Postings] = {}
+
+
+def words(data):
+    """The stored postings of all chunks, written once for a session and a folder of tables."""
+    key = data.spark.sparkContext.applicationId, data.folder
+    if key not in _tables:
+        store = Store(data.spark, "postings")
+        _tables[key] = lexical.write_postings(chunks(data).select("chunk_id", "text"), store.root)
+        store.known("docs", _tables[key].docs)
+    return _tables[key]
+
+
 def lists(data):
-    return search.retrieve(asked(data), chunks(data))
+    return search.retrieve(asked(data), chunks(data), index=words(data))
 
 
 @query("t1_semantic_search", f"WITH {CHUNKS} SELECT query_id, chunk_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM semantic")
@@ -152,34 +165,49 @@ def t1c(spark, folder):
 def t2(spark, folder):
     """Both passes over plain words."""
     data = Data(spark, folder)
-    return lexical.search(asked(data), chunks(data)).withColumn("score", F.round("score", 6))
+    return lexical.search(asked(data), None, index=words(data)).withColumn("score", F.round("score", 6))
 
 
 @query(
     "t2_lexical_search",
     f"""WITH {TABLES}, q AS (SELECT query_id, max(CASE WHEN n = 1 THEN term END) AS a, max(CASE WHEN n = 2 THEN term END) AS b, max(CASE WHEN n = 3 THEN term END) AS c, max(CASE WHEN n = 4 THEN term END) AS d, max(CASE WHEN n = 8 THEN term END) AS h
-      FROM said JOIN stems USING (word) WHERE n <= 8 GROUP BY query_id HAVING count(*) = 8),
+      FROM said JOIN stems USING (word) WHERE n <= 8 GROUP BY query_id),
     hits AS (SELECT q.query_id, p.chunk_id, 'ab' AS unit, count(*) AS tf FROM q JOIN post p ON p.term = q.a JOIN post p2 ON p2.chunk_id = p.chunk_id AND p2.position = p.position + 1 AND p2.term = q.b GROUP BY ALL
+      UNION ALL SELECT q.query_id, p.chunk_id, 'ab', count(*) FROM q JOIN post p ON p.term = q.a WHERE q.b IS NULL GROUP BY ALL
       UNION ALL SELECT q.query_id, p.chunk_id, 'c', count(*) FROM q JOIN post p ON p.term = q.c GROUP BY ALL UNION ALL SELECT q.query_id, p.chunk_id, 'd', count(*) FROM q JOIN post p ON p.term = q.d GROUP BY ALL
       UNION ALL SELECT q.query_id, p.chunk_id, 'h', count(*) FROM q JOIN post p ON p.term = q.h GROUP BY ALL),
     wide AS (SELECT query_id, chunk_id, sum(CASE WHEN unit = 'ab' THEN tf END) AS ab, sum(CASE WHEN unit = 'c' THEN tf END) AS c, sum(CASE WHEN unit = 'd' THEN tf END) AS d, max(unit = 'h') AS h FROM hits GROUP BY ALL),
-    tried AS (SELECT *, greatest(CASE WHEN ab IS NOT NULL AND c IS NOT NULL THEN ab + c END, CASE WHEN d IS NOT NULL AND NOT h THEN d END) AS strict, coalesce(ab, 0) + coalesce(c, 0) + coalesce(d, 0) AS tf FROM wide),
+    tried AS (SELECT w.*, greatest(CASE WHEN w.ab IS NOT NULL AND (w.c IS NOT NULL OR q.c IS NULL) THEN w.ab + coalesce(w.c, 0) END, CASE WHEN w.d IS NOT NULL AND NOT w.h THEN w.d END) AS strict, coalesce(w.ab, 0) + coalesce(w.c, 0) + coalesce(w.d, 0) AS tf FROM wide w JOIN q USING (query_id)),
     found AS (SELECT query_id, chunk_id, CASE WHEN strict IS NULL THEN 2 ELSE 1 END AS pass, coalesce(strict, tf)::DOUBLE * 0.1::DOUBLE AS score FROM tried WHERE strict IS NOT NULL OR tf > 0 AND NOT h),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pass, score DESC, chunk_id) AS rank FROM found)
     SELECT query_id, chunk_id, CAST(pass AS INTEGER) AS pass, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 50""",
 )
 def t2_full(spark, folder):
-    """Strict, then relaxed, stemmed, with a phrase, an alternative and an exclusion (x27)."""
+    """Strict, then relaxed, stemmed, with a phrase, an alternative and an exclusion (x27), as far as a
+    query has words for them."""
     data = Data(spark, folder)
-    w = F.split("text", " ")
-    text = F.concat(F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" '), w[2], F.lit(" or "), w[3], F.lit(" -"), w[7])
-    return lexical.search(asked(data).where(F.size(w) == 8).withColumn("text", text), chunks(data)).withColumn("score", F.round("score", 6))
+    w, n = F.split("text", " "), F.size(F.split("text", " "))
+    part = lambda least, *of: F.when(n >= least, F.concat(*of)).otherwise("")
+    phrase = F.when(n >= 2, F.concat(F.lit('"'), F.get(w, F.lit(0)), F.lit(" "), F.get(w, F.lit(1)), F.lit('"'))).otherwise(F.col("text"))
+    text = F.concat(phrase, part(3, F.lit(" "), F.get(w, F.lit(2))), part(4, F.lit(" or "), F.get(w, F.lit(3))), part(8, F.lit(" -"), F.get(w, F.lit(7))))
+    return lexical.search(asked(data).withColumn("text", text), None, index=words(data)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "c2_postings",
+    f"""WITH {TABLES}, each AS (SELECT term, chunk_id, count(*) AS tf FROM post GROUP BY ALL) SELECT term, count(*) AS documents, CAST(sum(tf) AS BIGINT) AS occurrences, max(tf) AS most FROM each GROUP BY term""",
+)
+def c2_postings(spark, folder):
+    """The stored table by stem: how many documents hold it, how often, and how often at most."""
+    blocks = words(Data(spark, folder)).blocks
+    tf = F.aggregate("docs", F.lit(0).cast("long"), lambda a, d: a + d["tf"])
+    return blocks.groupBy("term").agg(F.sum("n").alias("documents"), F.sum(tf).alias("occurrences"), F.max("most").alias("most"))
 
 
 @query("j9_relaxed_minus_strict", f"WITH {CHUNKS} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM lexical WHERE pass = 2")
 def j9(spark, folder):
     data = Data(spark, folder)
-    return lexical.search(asked(data), chunks(data)).where("pass = 2").select("query_id", "chunk_id", "rank")
+    return lexical.search(asked(data), None, index=words(data)).where("pass = 2").select("query_id", "chunk_id", "rank")
 
 
 @query("c3_rank_fusion", f"WITH {CHUNKS} SELECT query_id, chunk_id, round(score, 12) AS score, CAST(semantic_rank AS INTEGER) AS semantic_rank, CAST(lexical_rank AS INTEGER) AS lexical_rank FROM fused")
@@ -205,14 +233,14 @@ def shown_hits(hits):
 def hybrid(spark, folder):
     """C4: strict and relaxed words, vectors, fusion, reranking (m3, t5) and parent passages (j1)."""
     data = Data(spark, folder)
-    return shown_hits(search.hybrid(asked(data), chunks(data), video_titles(data), 10, 30, parents=passages(data)))
+    return shown_hits(search.hybrid(asked(data), chunks(data), video_titles(data), 10, 30, parents=passages(data), index=words(data)))
 
 
 @query("c4_filtered", f"WITH {FILTERED}, {PARENT_TEXTS}, {PAIRS.format(pool=30)} {HITS}")
 def c4_filtered(spark, folder):
     """C4 within kinds and times (f1), and within the videos that each query names (f2)."""
     data = Data(spark, folder)
-    return shown_hits(search.hybrid(scoped(data), chunks(data), video_titles(data), 10, 30, parents=passages(data), **SCOPE))
+    return shown_hits(search.hybrid(scoped(data), chunks(data), video_titles(data), 10, 30, parents=passages(data), **SCOPE, index=words(data)))
 
 
 @query(
@@ -231,7 +259,7 @@ def c4_counters(spark, folder):
 @query("c4_hybrid_fused", f"WITH {CHUNKS} SELECT query_id, chunk_id, CAST(fused_rank AS INTEGER) AS rank FROM fused_order WHERE fused_rank <= 10")
 def c4(spark, folder):
     data = Data(spark, folder)
-    return search.hybrid(asked(data), chunks(data), video_titles(data), 10).select("query_id", "chunk_id", "rank")
+    return search.hybrid(asked(data), chunks(data), video_titles(data), 10, index=words(data)).select("query_id", "chunk_id", "rank")
 
 
 @query(
@@ -242,7 +270,7 @@ def c4(spark, folder):
 )
 def c6(spark, folder):
     data = Data(spark, folder)
-    hits = search.hybrid(asked(data), chunks(data), video_titles(data), 60, 120).select("query_id", "video_id", "chunk_id", "start_s", F.col("rerank_score").alias("score"), "rank")
+    hits = search.hybrid(asked(data), chunks(data), video_titles(data), 60, 120, index=words(data)).select("query_id", "video_id", "chunk_id", "start_s", F.col("rerank_score").alias("score"), "rank")
     return chronology(hits, 8, -8.0)
 
 
@@ -271,7 +299,7 @@ def around(data, hits):
 def c5(spark, folder):
     """Hits with the frame on screen and its text, events and the topic around them."""
     data = Data(spark, folder)
-    hits = search.hybrid(asked(data), chunks(data), video_titles(data), 10, 30).withColumn("hit_id", F.col("query_id") * 100 + F.col("rank"))
+    hits = search.hybrid(asked(data), chunks(data), video_titles(data), 10, 30, index=words(data)).withColumn("hit_id", F.col("query_id") * 100 + F.col("rank"))
     found = hits.select("hit_id", "query_id", "rank").join(around(data, hits), "hit_id", "left")
     return found.select("query_id", "rank", "frame_id", F.md5(F.col("on_screen").cast("binary")).alias("on_screen_md5"), F.array_join("events", "|").alias("events"), "topic_title")
 
@@ -369,7 +397,7 @@ def m3(spark, folder):
 
 def evidence_hits(data):
     """Hits with parent passages, on-screen text and topics, as answers need them."""
-    hits = search.hybrid(asked(data), chunks(data), video_titles(data), 12, 36, parents=passages(data)).withColumn("hit_id", F.col("query_id") * 100 + F.col("rank"))
+    hits = search.hybrid(asked(data), chunks(data), video_titles(data), 12, 36, parents=passages(data), index=words(data)).withColumn("hit_id", F.col("query_id") * 100 + F.col("rank"))
     near = around(data, hits).select("hit_id", "on_screen", "topic_title")
     return hits.join(near, "hit_id", "left").select("query_id", "rank", "chunk_id", "video_id", "title", "text", "start_s", "end_s", "parent_start", "parent_text", "on_screen", "topic_title", "rerank_score")
 

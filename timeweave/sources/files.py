@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timeweave.functions.text import CONTENT_TYPES, caption, content_type, suffix_of
 from timeweave.functions.time import clock
-
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder that driver and executors share; a temporary one in local sessions without."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="timeweave-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
+from timeweave.sources.scratch import shared_folder
 
 SPANS = "array<struct<s:double,e:double>>"
 QUESTION = f"id string, question string, category string, video_id string, gold_spans array<array<double>>, gold_start_s double, gold_end_s double, kind string, source_chunk_id string, anchor_s double, verified boolean, note string"

@@ -142,7 +142,7 @@ def test_op12_long_texts_carry_their_counts():
     assert op12_simhash_dedup.fingerprint(text.encode()) % (1 << 64) == plain_print(text)
 
 
-@pytest.mark.parametrize(("most", "segments"), [(3, 2), (3, 4), (5, 2), (2, 1)])
+@pytest.mark.parametrize(("most", "segments"), [(3, 2), (5, 2)])
 def test_op12_groups_of_codes_equal_all_pairs(spark, most, segments):
     """Dense clusters around a few centres: chains of links, large buckets, several rounds of pivots."""
     draw = random.Random(most * 10 + segments)

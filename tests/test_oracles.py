@@ -19,15 +19,3 @@ def test_query_without_sql_gives_its_rows(spark, name):
     from tests.conftest import SF
 
     assert BASE.QUERIES[name](spark, SF).collect()
-
-
-def test_centroid_search_finds_nine_tenths(spark):
-    """Recall of the ten nearest against the exact search, over the whole query set."""
-    from timeweave.plans import search
-    from timeweave.queries.base import Data
-    from timeweave.queries.retrieval import asked, chunks
-
-    folder = "/root/testdata/sf0.01"
-    near = BASE.QUERIES["t1b_centroid_search"](spark, folder).select("query_id", "chunk_id")
-    exact = search.nearest(asked(Data(spark, folder)), chunks(Data(spark, folder)), 10).select("query_id", "chunk_id")
-    assert near.intersect(exact).count() >= 0.9 * exact.count()

@@ -1,77 +1,188 @@
 """Folds over the rows of a video in order: chunks of speech, and frames worth keeping.
 
-Rows are dealt by video and sorted by Spark; a fold then walks each partition and keeps only the
-rows that the next decision can depend on, so a long video needs no memory of its own.
+What a fold does with a row depends on all before it, yet a video need not be one task. Videos are cut
+in stretches, and each is folded on its own, as if the fold began with it. Then each stretch is told
+the state in which the stretch before ended. Folded from there it soon meets a state that it had
+reached on its own as well; from there on both folds are the same, and only what lies before is folded
+again. A stretch whose end changes by this is told to the next, until nothing changes: a table with a
+row a stretch settles that. Results are those of one fold over the whole video.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby, islice
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from math import inf, nextafter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeweave.functions.text import ends_sentence, estimate_tokens, strip
 from timeweave.operators.joins import as_of
+from timeweave.sources.scratch import Store
 
 #: Target, longest and overlapping seconds of chunks at the two levels.
 PARENT, CHILD = (60.0, 90.0, 0.0), (15.0, 22.0, 3.0)
-CHUNKS = "video_id long, position long, start_s double, end_s double, text string, first long, last long"
-
-
-def sorted_rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    for frame in frames:
-        yield from frame.itertuples(index=False, name=None)
-
-
-def chunk_fold(rows: Iterator[tuple], target: float, longest: float, overlap: float) -> Iterator[list[tuple]]:
-    """Lists of (position, start, end, text, ends a sentence) rows that make up one video's chunks."""
-    ahead: list[tuple] = []
-
-    def at(i: int) -> tuple | None:
-        if i >= len(ahead):
-            ahead.extend(islice(rows, i - len(ahead) + 1))
-        return ahead[i] if i < len(ahead) else None
-
-    while (first := at(0)) is not None:
-        n = 0
-        while (row := at(n)) is not None:
-            length = row[2] - first[1]
-            if n and length > longest:
-                break
-            n += 1
-            if length >= target and (row[4] or length >= longest):
-                break
-        if n > 1 and not ahead[n - 1][4]:  # go back to the last sentence end that leaves enough
-            n = next((k + 1 for k in range(n - 2, 0, -1) if ahead[k][4] and ahead[k][2] - first[1] >= 0.6 * target), n)
-        yield ahead[:n]
-        if at(n) is None:
-            return
-        resume = n
-        if overlap:
-            edge = ahead[n - 1][2] - overlap
-            while resume > 1 and ahead[resume - 1][2] > edge:
-                resume -= 1
-        del ahead[:resume]
-
-
-def chunk(segments: DataFrame, target: float, longest: float, overlap: float) -> DataFrame:
-    """Chunks of speech: ``video_id, position, start_s, end_s, text, first, last`` (of the segments)."""
-    rows = segments.where(strip(F.col("text")) != "").select("video_id", "position", "start_s", "end_s", strip(F.col("text")).alias("text"), ends_sentence(F.col("text")).alias("ends"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
-        for video_id, own in groupby(sorted_rows(frames), key=lambda r: r[0]):
-            for n, part in enumerate(chunk_fold((r[1:] for r in own), target, longest, overlap)):
-                out.append((video_id, n, part[0][1], part[-1][2], " ".join(p[3] for p in part), part[0][0], part[-1][0]))
-                if len(out) >= 2000:
-                    yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
-                    out = []
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
-
-    return rows.repartition("video_id").sortWithinPartitions("video_id", "position").mapInPandas(run, CHUNKS)
+#: Positions of segments in a stretch, and its seconds of frames.
+SEGMENTS, SECONDS = 2048, 7200.0
+
+
+def sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+
+def by_stretch(fold: Callable[[list[tuple]], tuple], schema: pa.Schema, at_once: int = 20_000) -> Callable:
+    """For mapInArrow over rows sorted by video and stretch: ``fold`` of each stretch's rows as a row,
+    given out after so many rows that were read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple] = []
+        read = 0
+
+        def given() -> pa.RecordBatch:
+            columns = zip(*made, strict=True) if made else [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        for (video, stretch), own in groupby(sorted_rows(batches), key=lambda r: r[:2]):
+            rows = [r[2:] for r in own]
+            made.append((video, stretch, *fold(rows)))
+            read += len(rows)
+            if read >= at_once:
+                yield given()
+                made, read = [], 0
+        yield given()
+
+    return run
+
+
+def dealt(rows: DataFrame, order: list[str]) -> DataFrame:
+    return rows.repartition("video_id", "stretch").sortWithinPartitions("video_id", "stretch", *order)
+
+
+def settle(first: DataFrame, again: Callable[[DataFrame, int], DataFrame], store: Store) -> DataFrame:
+    """``video_id, stretch, items`` of all stretches. ``first`` has (video_id, stretch, exit, items) of
+    each folded on its own; ``again`` gives for some (video_id, stretch, entry), and the number of the
+    pass, a stored table of the same for those folded from that state, and in ``met`` the key from which
+    on their own items hold, null if none does. Items are structs whose first field is their key."""
+    order = Window.partitionBy("video_id").orderBy("stretch")
+    now, redone, n = first.select("video_id", "stretch", "exit", F.lit(None).cast(first.schema["exit"].dataType).alias("entry")), None, 0
+    while True:
+        told = now.withColumn("told", F.lag("exit").over(order)).where("told is not null and not (told <=> entry)")
+        changed = store.keep(told.select("video_id", "stretch", F.col("told").alias("entry")), f"changed-{n}")
+        if changed.isEmpty():
+            break
+        new = again(changed, n)
+        redone = new if redone is None else new.unionByName(redone.join(new, ["video_id", "stretch"], "left_anti"))
+        last = new.select("video_id", "stretch", F.col("entry").alias("_entry"), F.col("exit").alias("_exit"))
+        joined = now.join(last, ["video_id", "stretch"], "left").select("video_id", "stretch", F.coalesce("_exit", "exit").alias("exit"), F.coalesce("_entry", "entry").alias("entry"))
+        now, n = store.keep(joined, f"now-{n}"), n + 1
+    if redone is None:
+        return first.select("video_id", "stretch", "items")
+    key = first.schema["items"].dataType.elementType.fields[0].name
+    fixed = redone.select("video_id", "stretch", "met", F.col("items").alias("_items"))
+    rest = F.filter("items", lambda x: F.coalesce(x[key] >= F.col("met"), F.lit(False)))
+    return first.select("video_id", "stretch", "items").join(fixed, ["video_id", "stretch"], "left").select("video_id", "stretch", F.when(F.col("_items").isNull(), F.col("items")).otherwise(F.concat("_items", rest)).alias("items"))
+
+
+# Chunks of speech: the state between two stretches is the position at which the next chunk begins.
+
+_CHUNK = "struct<first:long,last:long,start_s:double,end_s:double,text:string,speakers:array<string>>"
+_ITEMS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("text", pa.string()), ("speakers", pa.list_(pa.string()))]))
+_CHUNKED = pa.schema([("video_id", pa.int64()), ("stretch", pa.int64()), ("entry", pa.int64()), ("exit", pa.int64()), ("met", pa.int64()), ("short", pa.bool_()), ("items", _ITEMS)])
+#: The position after the end of a video.
+END = (1 << 63) - 1
+
+
+def take(rows: list[tuple], i: int, target: float, longest: float, overlap: float) -> tuple[int, int, bool]:
+    """The end of the chunk that begins at ``i`` (of position, start, end, text, speaker, ends a
+    sentence), where the next one begins, and whether the rows' end was felt. The next of the last chunk
+    lies at the rows' end."""
+    begin, n = rows[i][1], i
+    while n < len(rows):
+        length = rows[n][2] - begin
+        if n > i and length > longest:
+            break
+        n += 1
+        if length >= target and (rows[n - 1][5] or length >= longest):
+            break
+    felt = n == len(rows)
+    if n - i > 1 and not rows[n - 1][5]:  # go back to the last sentence end that leaves enough
+        n = next((k + 1 for k in range(n - 2, i, -1) if rows[k][5] and rows[k][2] - begin >= 0.6 * target), n)
+    resume = n
+    if overlap and n < len(rows):
+        edge = rows[n - 1][2] - overlap
+        while resume > i + 1 and rows[resume - 1][2] > edge:
+            resume -= 1
+    return n, resume, felt
+
+
+def fold_chunks(rows: list[tuple], target: float, longest: float, overlap: float) -> tuple:
+    """``entry, exit, met, short, items`` of a stretch: rows are (position, start, end, text, speaker, ends
+    a sentence, ahead, own chunk begins, entry), those of the next stretch after its own."""
+    own = sum(not r[6] for r in rows)
+    entry, items, met, short, i = rows[0][8], [], None, False, 0
+    if entry is not None:
+        i = next((n for n, r in enumerate(rows) if r[0] >= entry), len(rows))
+    exit_ = entry if entry is not None else END
+    while i < own:
+        if entry is not None and rows[i][7]:
+            met = rows[i][0]
+            break
+        n, resume, felt = take(rows, i, target, longest, overlap)
+        part, short = rows[i:n], short or felt
+        speakers = sorted({r[4] for r in part if r[4]})
+        items.append({"first": part[0][0], "last": part[-1][0], "start_s": part[0][1], "end_s": part[-1][2], "text": " ".join(r[3] for r in part), "speakers": speakers})
+        i, exit_ = resume, rows[resume][0] if resume < len(rows) else END
+    return entry, None if met is not None else exit_, met, short, items
+
+
+def chunk(segments: DataFrame, target: float, longest: float, overlap: float, stretch: int = SEGMENTS) -> DataFrame:
+    """Chunks of speech: ``video_id, position, start_s, end_s, text, first, last`` (of the segments)``,
+    speakers``. Segments may have a ``speaker_id``."""
+    speaker = F.col("speaker_id") if "speaker_id" in segments.columns else F.lit(None).cast("string")
+    rows = segments.where(strip(F.col("text")) != "").select("video_id", F.floor(F.col("position") / stretch).alias("stretch"), F.col("position").cast("long"), "start_s", "end_s", strip(F.col("text")).alias("text"), speaker.cast("string").alias("speaker"), ends_sentence(F.col("text")).alias("ends"))
+    both = rows.withColumn("ahead", F.lit(False)).unionByName(rows.withColumns({"ahead": F.lit(True), "stretch": F.col("stretch") - 1}))
+    store = Store(segments.sparkSession, "chunks")
+    shape = f"video_id long, stretch long, entry long, exit long, met long, short boolean, items array<{_CHUNK}>"
+    order = ["video_id", "stretch", "position", "start_s", "end_s", "text", "speaker", "ends", "ahead", "begins", "entry"]
+
+    def folded(rows: DataFrame) -> DataFrame:
+        fold = by_stretch(lambda own: fold_chunks(own, target, longest, overlap), _CHUNKED)
+        return dealt(rows.select(*order), ["position"]).mapInArrow(fold, shape)
+
+    none = {"begins": F.lit(False), "entry": F.lit(None).cast("long")}
+    first = store.keep(folded(both.withColumns(none)).where(F.size("items") > 0), "first")
+    begins = first.select("video_id", "stretch", F.explode("items.first").alias("position")).withColumn("begins", F.lit(True))
+    passes = [first]
+
+    def again(changed: DataFrame, n: int) -> DataFrame:
+        marked = both.join(changed, ["video_id", "stretch"]).join(begins, ["video_id", "stretch", "position"], "left")
+        own = first.select("video_id", "stretch", F.col("exit").alias("_exit"))
+        of = folded(marked.withColumn("begins", F.coalesce("begins", F.lit(False)))).join(own, ["video_id", "stretch"])
+        passes.append(store.keep(of.withColumn("exit", F.coalesce("exit", "_exit")).drop("_exit"), f"redone-{n}"))
+        return passes[-1]
+
+    settled = settle(first, again, store).select("video_id", F.inline("items"))
+    # a chunk that felt the end of the next stretch needs longer ones, if the video goes on
+    last = first.groupBy("video_id").agg(F.max("stretch").alias("last"))
+    if any(not p.where("short").select("video_id", "stretch").join(last, "video_id").where("stretch + 1 < last").isEmpty() for p in passes):
+        store.close()
+        return chunk(segments, target, longest, overlap, stretch * 8)
+    result = store.keep(numbered(settled, "first", stretch), "result")
+    store.only("result")
+    return result.select("video_id", "position", "start_s", "end_s", "text", "first", "last", "speakers")
+
+
+def numbered(rows: DataFrame, by: str, width: float) -> DataFrame:
+    """``rows`` with ``position``, their number in the video by ``by``: numbers within bins of it are added
+    to the counts of earlier bins, a row each."""
+    marked = rows.withColumn("_bin", F.floor(F.col(by) / width))
+    sizes = marked.groupBy("video_id", "_bin").agg(F.count("*").alias("_n"))
+    before = sizes.select("video_id", "_bin", (F.sum("_n").over(Window.partitionBy("video_id").orderBy("_bin")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("video_id", "_bin").orderBy(by)) - 1
+    return marked.withColumn("_own", own).join(before, ["video_id", "_bin"]).withColumn("position", (F.col("_own") + F.col("_before")).cast("long")).drop("_bin", "_own", "_before")
 
 
 def two_levels(segments: DataFrame) -> DataFrame:
@@ -82,35 +193,59 @@ def two_levels(segments: DataFrame) -> DataFrame:
     return both.withColumn("token_count", estimate_tokens(F.col("text"))).withColumn("kind", F.lit("transcript"))
 
 
-FRAMES = "video_id long, position long, time_s double, phash long, change long"
+# Frames: the state between two stretches is the time and the hash of the last frame kept.
+
+_STATE = pa.struct([("time_s", pa.float64()), ("phash", pa.int64())])
+_FRAMED = pa.schema([("video_id", pa.int64()), ("stretch", pa.int64()), ("entry", _STATE), ("exit", _STATE), ("met", pa.float64()), ("items", pa.list_(pa.struct([("time_s", pa.float64()), ("phash", pa.int64()), ("change", pa.int64())])))])
+
 
+def fold_frames(rows: list[tuple], least_s: float, most_s: float, threshold: int) -> tuple:
+    """``entry, exit, met, items`` of a stretch: rows are (time, hash, kept by itself, entry). The frame at
+    which both folds meet is given out with its change from here; what follows it holds."""
+    entry = rows[0][3]
+    last, items = (entry["time_s"], entry["phash"]) if entry else None, []
+    for time, code, kept, _ in rows:
+        change = 0
+        if last is not None:
+            change = ((code ^ last[1]) & (1 << 64) - 1).bit_count()
+            if time - last[0] < least_s or (change < threshold and time - last[0] < most_s):
+                continue
+        last = (time, code)
+        items.append({"time_s": time, "phash": code, "change": change})
+        if entry and kept:
+            return entry, None, nextafter(time, inf), items
+    return entry, {"time_s": last[0], "phash": last[1]}, None, items
 
-def select_frames(samples: DataFrame, least_s: float = 4.0, most_s: float = 90.0, threshold: int = 10) -> DataFrame:
+
+def select_frames(samples: DataFrame, least_s: float = 4.0, most_s: float = 90.0, threshold: int = 10, stretch: float = SECONDS) -> DataFrame:
     """Frames (video_id, time_s, phash) that differ enough from the last one kept, or come long after
     it: ``video_id, position, start_s, end_s, phash, change``. The spans have no gaps; the last ends
     with the samples."""
+    store = Store(samples.sparkSession, "frames")
+    rows = samples.select("video_id", F.floor(F.col("time_s") / stretch).alias("stretch"), F.col("time_s").cast("double"), F.col("phash").cast("long"))
+    state = "struct<time_s:double,phash:long>"
+    shape = f"video_id long, stretch long, entry {state}, exit {state}, met double, items array<struct<time_s:double,phash:long,change:long>>"
+
+    def folded(rows: DataFrame) -> DataFrame:
+        fold = by_stretch(lambda own: fold_frames(own, least_s, most_s, threshold), _FRAMED)
+        return dealt(rows.select("video_id", "stretch", "time_s", "phash", "kept", "entry"), ["time_s", "phash"]).mapInArrow(fold, shape)
+
+    first = store.keep(folded(rows.withColumns({"kept": F.lit(False), "entry": F.lit(None).cast(state)})), "first")
+    kept = first.select("video_id", "stretch", F.inline("items")).select("video_id", "stretch", "time_s", "phash", F.lit(True).alias("kept"))
+
+    def again(changed: DataFrame, n: int) -> DataFrame:
+        marked = rows.join(changed, ["video_id", "stretch"]).join(kept, ["video_id", "stretch", "time_s", "phash"], "left")
+        own = first.select("video_id", "stretch", F.col("exit").alias("_exit"))
+        of = folded(marked.withColumn("kept", F.coalesce("kept", F.lit(False)))).join(own, ["video_id", "stretch"])
+        return store.keep(of.withColumn("exit", F.coalesce("exit", "_exit")).drop("_exit"), f"redone-{n}")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in FRAMES.split(", ")]
-        video, time, code, n = None, 0.0, 0, 0
-        for frame in frames:
-            out = []
-            for v, t, h in frame.itertuples(index=False, name=None):
-                if v != video:
-                    video, time, code, n = v, t, h, 0
-                    out.append((v, 0, t, h, 0))
-                    continue
-                change = ((h ^ code) & (1 << 64) - 1).bit_count()
-                if t - time >= least_s and (change >= threshold or t - time >= most_s):
-                    time, code, n = t, h, n + 1
-                    out.append((v, n, t, h, change))
-            yield pd.DataFrame(out, columns=names)
-
-    rows = samples.select("video_id", "time_s", "phash")
-    kept = rows.repartition("video_id").sortWithinPartitions("video_id", "time_s", "phash").mapInPandas(run, FRAMES)
+    settled = settle(first, again, store).select("video_id", F.inline("items"))
+    chosen = store.keep(numbered(settled, "time_s", stretch), "result")
+    store.only("result")
     ends = samples.groupBy("video_id").agg(F.max("time_s").alias("end_s"))
-    after = F.lead("time_s").over(Window.partitionBy("video_id").orderBy("position"))
-    return kept.join(ends, "video_id").select("video_id", "position", F.col("time_s").alias("start_s"), F.coalesce(after, F.greatest("end_s", "time_s")).alias("end_s"), "phash", "change")
+    following = chosen.select("video_id", (F.col("position") - 1).alias("position"), F.col("time_s").alias("_next"))
+    spans = chosen.join(following, ["video_id", "position"], "left").join(ends, "video_id")
+    return spans.select("video_id", "position", F.col("time_s").alias("start_s"), F.coalesce("_next", F.greatest("end_s", "time_s")).alias("end_s"), "phash", "change")
 
 
 def thin(kept: DataFrame, most: int) -> DataFrame:

@@ -1,5 +1,5 @@
 """Temporal joins. Each has an equality on ``video_id`` (or a key of the caller), so that none is a
-nested loop, and as-of joins are unions read in order, which sort once and do not pair rows up."""
+nested loop, and all deal long videos to bins of time."""
 
 from __future__ import annotations
 
@@ -9,18 +9,35 @@ from pyspark.sql import functions as F
 from timeweave.functions.time import overlap
 
 
-def as_of(left: DataFrame, right: DataFrame, at: Column, right_id: str = "topic_id", right_at: str = "start_s", key: str = "video_id", clamp: bool = True, to: str = "found") -> DataFrame:
-    """``left`` with the id of the last row of ``right`` that starts at or before ``at``. With
-    ``clamp`` the first one stands for earlier times, else null does."""
+def as_of(
+    left: DataFrame, right: DataFrame, at: Column, right_id: str = "topic_id", right_at: str = "start_s", key: str = "video_id", clamp: bool = True, to: str = "found", bin_s: float = 600.0,
+) -> DataFrame:
+    """``left`` with the id of the last row of ``right`` that starts at or before ``at`` (of several at
+    one time the greatest id). With ``clamp`` the first one stands for earlier times, else null does.
+
+    A segmented scan: the times that are asked for and the starts are dealt to bins of time, so a long
+    video is many sorts of ids and times alone. Each bin's last and first start are carried over the
+    bins, a row each, and fill in what a bin does not know itself. Other columns of ``left`` join the
+    result by key and time. A null time finds nothing."""
     names = left.columns
-    ours = left.select(*names, at.alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[right_id].dataType).alias("_id"))
-    theirs = right.select(*[F.col(key) if c == key else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names], F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.col(right_id).alias("_id"))
-    both = theirs.unionByName(ours)
-    order = Window.partitionBy(key).orderBy("_at", "_side", "_id")
-    last = F.last("_id", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    point = F.struct(F.col(right_at).cast("double").alias("t"), F.col(right_id).alias("id"))
+    theirs = right.where(F.col(right_at).isNotNull()).select(key, F.col(right_at).cast("double").alias("_at"), point.alias("_p"))
+    asked = left.select(key, at.cast("double").alias("_at")).where("_at is not null").distinct()
+    both = theirs.unionByName(asked.withColumn("_p", F.lit(None).cast(theirs.schema["_p"].dataType))).withColumn("_bin", F.floor(F.col("_at") / bin_s))
+
+    bins = Window.partitionBy(key).orderBy("_bin")
+    before = F.last("_last", ignorenulls=True).over(bins.rowsBetween(Window.unboundedPreceding, -1)).alias("_before")
+    after = F.first("_first", ignorenulls=True).over(bins.rowsBetween(1, Window.unboundedFollowing)).alias("_after")
+    carried = both.groupBy(key, "_bin").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last")).select(key, "_bin", before, after)
+
+    own = Window.partitionBy(key, "_bin").orderBy("_at", F.col("_p").isNull(), "_p")
+    found = {"_in": F.last("_p", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))}
     if clamp:
-        last = F.coalesce(last, F.first("_id", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    return both.withColumn(to, last).where("_side = 1").select(*names, to)
+        found["_next"] = F.first("_p", ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing))
+    placed = both.withColumns(found).where("_p is null").join(carried, [key, "_bin"])
+    order = ["_in", "_before", "_next", "_after"] if clamp else ["_in", "_before"]
+    of = placed.select(key, "_at", F.coalesce(*order)["id"].alias(to))
+    return left.withColumn("_at", at.cast("double")).join(of, [key, "_at"], "left").select(*names, to)
 
 
 def overlapping(hits: DataFrame, rows: DataFrame, padding: float, bin_s: float = 60.0) -> DataFrame:

@@ -15,7 +15,7 @@ from timeweave.operators.aggregates import chronology
 from timeweave.operators.filters import frame_texts
 from timeweave.operators.topics import build_topics
 from timeweave.plans import answer as an
-from timeweave.plans import context, lexical, search
+from timeweave.plans import approximate, context, lexical, search
 from timeweave.plans import evaluation as ev
 from timeweave.queries.base import BLOCKS, EVENTS, STEMS, VECTORS, Data, query
 from timeweave.queries.filters import INDEXABLE
@@ -123,7 +123,7 @@ def video_titles(data):
     return chunks(data).select("video_id").distinct().withColumn("title", F.format_string("video %d", "video_id"))
 
 
-_tables: dict[tuple, lexical.Postings] = {}
+_tables: dict[tuple, lexical.Postings | approximate.Index] = {}
 
 
 def words(data):
@@ -146,13 +146,28 @@ def t1(spark, folder):
     return search.nearest(asked(data), chunks(data)).withColumn("distance", F.round("distance", 6))
 
 
+def vector_index(data):
+    """The stored index of all vectors, written once for a session and a folder of tables."""
+    key = data.spark.sparkContext.applicationId, data.folder, "vectors"
+    if key not in _tables:
+        store, rows = Store(data.spark, "vectors"), chunks(data).select("chunk_id", "embedding")
+        _tables[key] = approximate.write_index(rows, f"{store.root}/rows")
+        store.known("rows", _tables[key].rows)
+    return _tables[key]
+
+
 @query("t1b_centroid_search")
 def t1b(spark, folder):
-    """Approximate: chunks by their nearest of 16 centroids; a query looks into the nearest ones."""
-    from timeweave.plans.approximate import centroids, probe
-
+    """Approximate: codes in the files of the nearest centroids, then whole vectors of the best."""
     data = Data(spark, folder)
-    return probe(asked(data), chunks(data), centroids(chunks(data), 16), 10)
+    return approximate.search(asked(data), vector_index(data), 10)
+
+
+@query("t1b_index", f"WITH {VECTORS} SELECT vec_id AS chunk_id, 16 AS code_bytes, true AS filed FROM vectors WHERE vec_id IN (SELECT doc_id FROM documents)")
+def t1b_index(spark, folder):
+    """Every vector is in the index, with its code and its file."""
+    rows = vector_index(Data(spark, folder)).rows
+    return rows.select("chunk_id", F.octet_length("code").alias("code_bytes"), (F.col("file") >= 0).alias("filed"))
 
 
 @query("t1c_parent_index", f"WITH {CHUNKS}, {PARENT_VECTORS} SELECT query_id, chunk_id, CAST(n AS INTEGER) AS rank FROM parent_ranks")

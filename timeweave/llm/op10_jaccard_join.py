@@ -19,9 +19,9 @@ sets, yet loses no link:
    the comparison of whole sets that it is likelier to bring about.
 4. *Stars.* In each bucket every set is compared with one of them, the pivot, not with all others.
    The links found give components, and the pivot, which is done, leaves the bucket. Buckets whose
-   sets are still in different components get another pivot, for a few rounds; then only sets of one
-   bucket that are in different components are compared, if their sizes and parities of shingle
-   counts allow a link. A group of near copies so costs a row a member and round. Links are looked
+   sets are still in different components get another pivot, while all pairs in them would be many
+   and for ``ROUNDS`` rounds at most; then only sets of one bucket that are in different components
+   are compared, if their sizes and parities of shingle counts allow a link. A group of near copies so costs a row a member and round. Links are looked
    at as links between the components known so far, so that no round hands on more of them.
 5. Every comparison is of whole sets.
 
@@ -54,7 +54,7 @@ LISTED = 160
 #: Shingles that take the room of a row, as two exchanges hold it.
 COMPARED = 16
 #: Rounds of stars at most, and the pairs a row in the open buckets from which on another round is worth it.
-ROUNDS, FEW = 2, 8
+ROUNDS, FEW = 8, 8
 MAX_WORDS, MAX_SEEN = 100_000, 300_000
 
 

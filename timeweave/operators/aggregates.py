@@ -28,7 +28,14 @@ def collection_summary(collections: DataFrame, videos: DataFrame, indexed: DataF
 
 
 def transcript_summary(segments: DataFrame) -> DataFrame:
-    return segments.groupBy("video_id").agg(F.count("*").alias("segments"), F.round(F.sum(F.col("end_s") - F.col("start_s")), 2).alias("speech_s"))
+    """Segments, seconds of speech, and the model that made the first segment."""
+    model = F.min_by("model", "position") if "model" in segments.columns else F.lit(None).cast("string")
+    return segments.groupBy("video_id").agg(F.count("*").alias("segments"), F.round(F.sum(F.col("end_s") - F.col("start_s")), 2).alias("speech_s"), model.alias("model"))
+
+
+def library_totals(videos: DataFrame) -> DataFrame:
+    """Hours of all videos, and how many of them are ready."""
+    return videos.agg(F.round(F.coalesce(F.sum("duration_s"), F.lit(0.0)) / 3600, 6).alias("hours"), F.count_if(F.col("status") == "ready").alias("ready"))
 
 
 def block_metrics(frames: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -66,11 +73,6 @@ def speakers(ids: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(ids, lambda x: x.isNotNull())))
 
 
-def upper_median(values: Column) -> Column:
-    ordered = F.array_sort(values)
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
-
-
 def timeline_slots(events: DataFrame, videos: DataFrame, slots: int = SLOTS) -> DataFrame:
     """``video_id, slot, event_id``: what each slot of a time line shows."""
     rank = F.coalesce(*[F.when(F.col("type") == kind, F.lit(i)) for i, kind in enumerate(PRIORITY)], F.lit(len(PRIORITY)))

@@ -1,19 +1,26 @@
 """Sources, sinks, indexing, run history, curation and streams."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from timeweave.operators.filters import drop_repeats
 from timeweave.plans import curation as cu
-from timeweave.plans.index import index_timeline
+from timeweave.plans.index import index_timeline, index_videos
 from timeweave.queries.base import FRAMES, SEGMENTS, SPOKEN, VIDEOS, Data, query
 from timeweave.queries.joins import PARENTS, parents
 from timeweave.queries.scalars import CLOCK
-from timeweave.queries.windows import SELECTED
+from timeweave.queries.retrieval import CHUNKS, PAIRS, PARENT_VECTORS, RESULTS
+from timeweave.queries.windows import SELECTED, SILENCE
 from timeweave.sources import files
-from timeweave.sources.scratch import shared_folder
+from timeweave.sources.scratch import Store, shared_folder
 from timeweave.streaming import streams
 
 
+REPORTED = """asked_means AS (SELECT variant, query_id, recall_1, recall_5, recall_10, mrr, CASE WHEN ideal = 0 THEN 0.0 ELSE gain / ideal END AS ndcg FROM scored),
+means AS (SELECT variant, round(avg(recall_1), 9) AS r1, round(avg(recall_5), 9) AS r5, round(avg(recall_10), 9) AS r10, round(avg(mrr), 9) AS mrr, round(avg(ndcg), 9) AS ndcg FROM asked_means GROUP BY variant)"""
+
+
 @query("src2_load_questions", "SELECT CAST(item_id AS VARCHAR) AS id, text AS question, CASE WHEN item_id % 3 <> 0 THEN CAST(item_id AS DOUBLE) END AS s, CASE WHEN item_id % 3 <> 0 THEN item_id + 60.0::DOUBLE END AS e, item_id % 2 = 0 AS verified FROM benchmark")
 def src2(spark, folder):
     """Questions written as JSON lines, a third without spans, a third in the old fields, and read."""
@@ -62,14 +69,31 @@ def src5(spark, folder):
     return files.copy_new(data.table("documents"), data.table("labels"), "doc_id").select("doc_id", "source")
 
 
-@query("src6_replace_videos", f"WITH {SPOKEN} SELECT video_id % 20 AS video_id, count(*) AS n FROM spoken WHERE video_id % 20 <> 3 GROUP BY ALL UNION ALL SELECT video_id % 20, count(*) FROM spoken WHERE false GROUP BY ALL")
+@query(
+    "src5_copy_counts",
+    """WITH t AS (SELECT 'labels' AS name, count(*) FILTER (WHERE doc_id % 3 <> 0) AS added, count(*) AS total FROM labels UNION ALL SELECT 'benchmark', count(*) FILTER (WHERE item_id % 3 <> 0), count(*) FROM benchmark
+      UNION ALL SELECT 'orders', count(*) FILTER (WHERE o_orderkey % 3 <> 0), count(*) FROM orders UNION ALL SELECT 'customer', count(*) FILTER (WHERE c_custkey % 3 <> 0), count(*) FROM customer),
+    runs AS (SELECT 1 AS run, * FROM t UNION ALL SELECT 2, name, 0, total FROM t) SELECT CAST(run AS INTEGER) AS run, name, CAST(added AS BIGINT) AS added, CAST(total AS BIGINT) AS total FROM runs""",
+)
+def src5_counts(spark, folder):
+    """Four tables are copied to where a third of each is already, twice: the second time nothing is added."""
+    data, target = Data(spark, folder), shared_folder(spark, "copied")
+    keys = {"labels": "doc_id", "benchmark": "item_id", "orders": "o_orderkey", "customer": "c_custkey"}
+    tables = {name: data.table(name) for name in keys}
+    for name, key in keys.items():
+        tables[name].where(F.col(key) % 3 == 0).write.parquet(f"{target}/{name}")
+    first, second = (files.copy_tables(tables, target, keys).withColumn("run", F.lit(n)) for n in (1, 2))
+    return first.unionByName(second)
+
+
+@query("src6_replace_videos", f"WITH {SPOKEN} SELECT video_id, count(*) AS n FROM spoken WHERE video_id % 20 <> 3 GROUP BY ALL")
 def src6(spark, folder):
-    """Writes all, then replaces videos 3 (now empty) and 4: twenty partitions by video number."""
-    rows = Data(spark, folder).spoken().withColumn("video_id", F.col("video_id") % 20)
-    path = shared_folder(spark, "segments")
-    rows.write.partitionBy("video_id").parquet(path)
-    files.replace_keys(spark, rows.where("video_id = 4"), spark.createDataFrame([(3,), (4,)], "video_id long"), path)
-    return spark.read.parquet(path).groupBy(F.col("video_id").cast("long").alias("video_id")).agg(F.count("*").alias("n"))
+    """Writes all, then replaces every twentieth video by nothing and every other twentieth by itself."""
+    rows = Data(spark, folder).spoken()
+    path, touched = shared_folder(spark, "segments"), (F.col("video_id") % 20).isin(3, 4)
+    files.replace_keys(spark, rows, rows, path)
+    files.replace_keys(spark, rows.where("video_id % 20 = 4"), rows.where(touched), path)
+    return files.read_keyed(spark, path).groupBy("video_id").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -116,16 +140,28 @@ def src8_md(spark, folder):
     return files.cues(Data(spark, folder).spoken(), "md", "https://example.org/watch")
 
 
-@query("src9_report")
-def src9(spark, folder):
+def _reported(spark, folder):
     from timeweave.plans import evaluation as ev
     from timeweave.queries.retrieval import judged, questions
 
-    data = Data(spark, folder)
-    summary = ev.summarise(ev.per_question(ev.relevance(judged(data), questions(data))))
-    path = shared_folder(spark, "report")
-    summary.write.json(path)
-    return spark.read.schema(summary.schema).json(path).select("variant", files.report_line(summary).alias("line"))
+    data, path = Data(spark, folder), shared_folder(spark, "report")
+    scored = Store(spark, "scored").keep(ev.per_question(ev.relevance(judged(data), questions(data))), "scored")
+    by_question = scored.select("variant", "question_id", "first_rank", F.round("mrr", 9).alias("mrr"), F.round("ndcg", 9).alias("ndcg"))
+    return path, by_question.schema, files.report(ev.summarise(scored), by_question, path)
+
+
+@query("src9_report", f"""WITH {CHUNKS}, {PAIRS.format(pool=30)}, {PARENT_VECTORS}, {RESULTS}, {REPORTED}
+    SELECT variant, '| ' || variant || ' | ' || format('{{:.3f}}', r1) || ' | ' || format('{{:.3f}}', r5) || ' | ' || format('{{:.3f}}', r10) || ' | ' || format('{{:.3f}}', mrr) || ' | ' || format('{{:.3f}}', ndcg) || ' |' AS line FROM means""")
+def src9(spark, folder):
+    """The lines of a run's report."""
+    return _reported(spark, folder)[2]
+
+
+@query("src9_questions", f"WITH {CHUNKS}, {PAIRS.format(pool=30)}, {PARENT_VECTORS}, {RESULTS}, {REPORTED} SELECT variant, query_id AS question_id, round(mrr, 9) AS mrr, round(ndcg, 9) AS ndcg FROM asked_means")
+def src9_questions(spark, folder):
+    """The report's rows by question, read back."""
+    path, schema, _ = _reported(spark, folder)
+    return spark.read.schema(schema).json(f"{path}/questions").select("variant", "question_id", "mrr", "ndcg")
 
 
 @query("src10_backfill", f"WITH {VIDEOS}, {SEGMENTS} SELECT video_id FROM videos WHERE video_id IN (SELECT video_id FROM segments) AND video_id NOT IN (SELECT doc_id FROM labels)")
@@ -150,6 +186,17 @@ def c1(spark, folder):
     return index_timeline(data.segments(), frames, data.blocks())
 
 
+@query("c1_replaced_index", f"WITH {SEGMENTS}, g AS (SELECT DISTINCT video_id FROM segments WHERE trim(text, ' \t\n\r\f\v') <> '') SELECT video_id, CAST(2 AS BIGINT) AS levels FROM g WHERE video_id % 7 <> 2")
+def c1_replaced(spark, folder):
+    """C1 with its write: all videos are indexed; then every seventh has lost its speech and every other
+    seventh is indexed again."""
+    data, path = Data(spark, folder), shared_folder(spark, "index")
+    frames = data.videos().select(F.col("video_id").alias("frame_id"), "video_id", (F.col("duration_s") / 2).alias("start_s"), (F.col("duration_s") / 2 + 5).alias("end_s"))
+    index_videos(data.videos(), data.segments(), frames, data.blocks(), path)
+    index_videos(data.videos().where("video_id % 7 in (2, 3)"), data.segments().where("video_id % 7 <> 2"), frames, data.blocks(), path)
+    return files.read_keyed(spark, path).groupBy("video_id").agg(F.countDistinct("level").alias("levels"))
+
+
 STAGES = "stages AS (SELECT l_orderkey AS seq, CASE l_linenumber % 3 WHEN 0 THEN 'ocr' WHEN 1 THEN 'transcribe' ELSE 'keyframes' END AS name, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'succeeded' END AS status FROM lineitem)"
 
 
@@ -213,11 +260,24 @@ def c9(spark, folder):
     return cu.question_candidates(rows, parents(data), 10).select("video_id", "position", "gold_s", "gold_e", "batch")
 
 
-def _stream(spark, rows, what):
-    """A table as a stream of files."""
+@query("c9_questions")
+def c9_questions(spark, folder):
+    """The whole builder, with the stand-in model."""
+    from timeweave.functions.models import asking
+
+    data = Data(spark, folder)
+    rows = data.segments().withColumns({"parent_id": F.expr("position div 10"), "chunk_id": F.col("video_id") * 1000 + F.col("position")})
+    made = cu.build_questions(rows, parents(data), 10, asking)
+    return made.select("id", "question", "video_id", F.col("gold_spans")[0]["s"].alias("gold_s"), F.col("gold_spans")[0]["e"].alias("gold_e"), "source_chunk_id", "anchor_s", "verified")
+
+
+def _stream(spark, rows, what, last=None, **options):
+    """A table as a stream of files; the rows of ``last`` come after all others."""
     path = shared_folder(spark, what)
     rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    if last is not None:
+        last.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).options(**options).parquet(path)
 
 
 def _drain(df, what, mode="append"):
@@ -228,12 +288,26 @@ def _drain(df, what, mode="append"):
     return spark.read.schema(df.schema).parquet(out)
 
 
+@contextmanager
+def _with_state(spark):
+    """State that timers and lists need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @query("st1_stream_catalogue", "SELECT sha256(html) AS checksum, CAST(strlen(any_value(html)) AS BIGINT) AS size_bytes FROM pages WHERE strlen(html) > 0 GROUP BY ALL")
 def st1(spark, folder):
-    """Pages written as media files and read as they arrive."""
+    """Pages written as media files and read as they arrive, a file of them a batch."""
     arrived = F.lit("2024-01-01 00:00:00").cast("timestamp").alias("modificationTime")
     rows = Data(spark, folder).table("pages").select(F.concat(F.lit("/in/"), F.col("page_id").cast("string"), F.lit(".mp4")).alias("path"), arrived, F.octet_length("html").cast("long").alias("length"), F.col("html").cast("binary").alias("content"))
-    return _drain(streams.catalogue_of(_stream(spark, rows, "media")).select("checksum", "size_bytes"), "catalogue")
+    path, check = shared_folder(spark, "catalogue"), shared_folder(spark, "catalogue-state")
+    streams.stream_catalogue(_stream(spark, rows.repartition(3), "media", maxFilesPerTrigger=1), path, check).awaitTermination()
+    return spark.read.parquet(path).select("checksum", "size_bytes")
 
 
 @query(
@@ -248,7 +322,18 @@ def st2(spark, folder):
     changes = _stream(spark, segments.where("video_id % 4 = 1").select("video_id", "position"), "changes")
     rebuild = lambda videos: drop_repeats(segments.join(videos, "video_id", "left_semi")).select("position", "start_s", "end_s", "text", "video_id")
     streams.stream_reindex(changes, rebuild, out, shared_folder(spark, "reindex-state")).awaitTermination()
-    return spark.read.parquet(out).groupBy(F.col("video_id").cast("long").alias("video_id")).agg(F.count("*").alias("segments"))
+    return files.read_keyed(spark, out).groupBy(F.col("video_id").cast("long").alias("video_id")).agg(F.count("*").alias("segments"))
+
+
+@query("st2_stream_index", f"WITH {SEGMENTS} SELECT DISTINCT video_id FROM segments WHERE video_id % 4 = 1 AND trim(text, ' \t\n\r\f\v') <> ''")
+def st2_index(spark, folder):
+    """The same with the whole of C1: chunks of both levels, on-screen text, vectors."""
+    data, out = Data(spark, folder), shared_folder(spark, "index")
+    segments, frames = data.segments(), data.videos().select(F.col("video_id").alias("frame_id"), "video_id", (F.col("duration_s") / 2).alias("start_s"), (F.col("duration_s") / 2 + 5).alias("end_s"))
+    changes = _stream(spark, segments.where("video_id % 4 = 1").select("video_id", "position"), "changes")
+    rebuild = lambda videos: index_timeline(segments.join(videos, "video_id", "left_semi"), frames, data.blocks())
+    streams.stream_reindex(changes, rebuild, out, shared_folder(spark, "index-state")).awaitTermination()
+    return files.read_keyed(spark, out).select("video_id").distinct()
 
 
 @query("st3_stream_sessions")
@@ -257,13 +342,25 @@ def st3(spark, folder):
     return _drain(streams.stream_sessions(_stream(spark, events, "events"), "6 hours"), "sessions")
 
 
+#: Later than all rows of a stream: its watermark lets all of them go.
+LATEST = 4e8
+
+
+@query("st3_stream_silences", f"WITH {SEGMENTS}, {SILENCE} SELECT video_id, start_s, end_s FROM silence")
+def st3_silences(spark, folder):
+    """Segments in any order over several batches; silences come once the watermark has passed."""
+    rows = Data(spark, folder).segments().select("video_id", F.col("position").cast("long").alias("position"), "start_s", "end_s")
+    end = spark.createDataFrame([(-1, 0, LATEST, LATEST)], rows.schema)
+    arriving = _stream(spark, rows.repartition(3, F.xxhash64("position")), "segments", end.coalesce(1), maxFilesPerTrigger=1)
+    with _with_state(spark):
+        return _drain(streams.stream_silences(arriving, late="3000 days"), "silences")
+
+
 @query("st4_stream_frames", f"WITH RECURSIVE {SELECTED} SELECT video_id, start_s AS time_s, phash, change FROM selected")
 def st4(spark, folder):
+    """Samples in any order over several batches."""
     samples = Data(spark, folder).frames().select("video_id", "time_s", "phash")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return _drain(streams.stream_frames(_stream(spark, samples, "samples"), threshold=3), "frames")
-    finally:
-        spark.conf.set(key, before)
+    end = spark.createDataFrame([(-1, LATEST, 0)], samples.schema)
+    arriving = _stream(spark, samples.repartition(3, F.xxhash64("phash")), "samples", end.coalesce(1), maxFilesPerTrigger=1)
+    with _with_state(spark):
+        return _drain(streams.stream_frames(arriving, late="3000 days", threshold=3), "frames")

@@ -8,6 +8,7 @@ from timeweave.operators import joins as j
 from timeweave.operators.joins import as_of
 from timeweave.operators.topics import build_topics
 from timeweave.plans import evaluation as ev
+from timeweave.plans.curation import anchors
 from timeweave.queries.base import BLOCKS, EVENTS, FRAMES, JOBS, QUESTIONS, SEGMENTS, VECTORS, VIDEOS, Data, query
 from timeweave.queries.filters import COLLECTIONS, collections
 from timeweave.queries.windows import TOPICS, vector_chunks
@@ -124,6 +125,15 @@ def j12(spark, folder):
     return asked.select("item_id").join(anchors, "item_id", "left")
 
 
+@query("j12_source_chunk", f"WITH {SEGMENTS}, q AS (SELECT item_id, item_id * 1000 + item_id % 4 AS chunk FROM benchmark) SELECT item_id, s.start_s AS anchor_s FROM q LEFT JOIN segments s ON s.video_id * 1000 + s.position = q.chunk")
+def j12_source(spark, folder):
+    """Anchors of questions by the chunk that each was made of, where it is still there."""
+    data = Data(spark, folder)
+    asked = data.table("benchmark").select("item_id", (F.col("item_id") * 1000 + F.col("item_id") % 4).alias("source_chunk_id"))
+    chunks = data.segments().select((F.col("video_id") * 1000 + F.col("position")).alias("chunk_id"), "start_s")
+    return anchors(asked, chunks).select("item_id", "anchor_s")
+
+
 @query(
     "j13_snap",
     f"""WITH {SEGMENTS}, {PARENTS}, pts AS (SELECT video_id * 1000 + position AS pid, video_id, start_s + 7 AS mid FROM segments),
@@ -184,9 +194,10 @@ def a2(spark, folder):
     return a.collection_summary(collections(data), data.videos(), data.vectors())
 
 
-@query("a3_transcript_summary", f"WITH {SEGMENTS} SELECT video_id, count(*) AS segments, round(sum(end_s - start_s), 2) AS speech_s FROM segments GROUP BY video_id")
+@query("a3_transcript_summary", f"WITH {SEGMENTS} SELECT video_id, count(*) AS segments, round(sum(end_s - start_s), 2) AS speech_s, arg_min('model ' || video_id % 3 || '.' || position, position) AS model FROM segments GROUP BY video_id")
 def a3(spark, folder):
-    return a.transcript_summary(Data(spark, folder).segments())
+    model = F.format_string("model %d.%d", F.col("video_id") % 3, "position")
+    return a.transcript_summary(Data(spark, folder).segments().withColumn("model", model))
 
 
 @query("a4_block_metrics", f"WITH {FRAMES}, {BLOCKS} SELECT (SELECT count(*) FROM frames) AS frames, count(DISTINCT frame_id) AS frames_with_text, count(*) AS blocks, coalesce(round(avg(confidence), 3), 0.0) AS confidence FROM blocks")
@@ -242,9 +253,12 @@ def a17(spark, folder):
     return a.timeline_slots(data.events().withColumn("type", kind), lengths)
 
 
-@query("a18_library_totals", f"WITH {VIDEOS} SELECT round(sum(duration_s) / 3600, 6) AS hours, count(*) AS ready FROM videos")
+@query("a18_library_totals", f"WITH {VIDEOS} SELECT round(sum(duration_s) / 3600, 6) AS hours, count(*) FILTER (WHERE video_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS ready FROM videos")
 def a18(spark, folder):
-    return Data(spark, folder).videos().agg(F.round(F.sum("duration_s") / 3600, 6).alias("hours"), F.count("*").alias("ready"))
+    """Videos of toxic documents are not ready."""
+    data = Data(spark, folder)
+    held = data.table("labels").where("toxic = 1").select(F.col("doc_id").alias("video_id")).distinct().withColumn("held", F.lit("processing"))
+    return a.library_totals(data.videos().join(held, "video_id", "left").withColumn("status", F.coalesce("held", F.lit("ready"))))
 
 
 @query(

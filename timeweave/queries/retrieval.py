@@ -15,7 +15,7 @@ from timeweave.operators.aggregates import chronology
 from timeweave.operators.filters import frame_texts
 from timeweave.operators.topics import build_topics
 from timeweave.plans import answer as an
-from timeweave.plans import approximate, context, lexical, search
+from timeweave.plans import approximate, context, factors, lexical, search
 from timeweave.plans import evaluation as ev
 from timeweave.queries.base import BLOCKS, EVENTS, STEMS, VECTORS, Data, query
 from timeweave.queries.filters import INDEXABLE
@@ -319,6 +319,23 @@ def c5(spark, folder):
     return found.select("query_id", "rank", "frame_id", F.md5(F.col("on_screen").cast("binary")).alias("on_screen_md5"), F.array_join("events", "|").alias("events"), "topic_title")
 
 
+@query(
+    "c6_concept_context",
+    f"""WITH RECURSIVE {TOPICS}, {CHUNKS.removeprefix(VECTORS).lstrip(",")}, {PAIRS.format(pool=120)}, hits AS (SELECT *, query_id * 100 + rank AS hit_id FROM reranked WHERE rank <= 60),
+    in_topic AS (SELECT h.hit_id, arg_min(t.title, t.start_s) AS topic_title FROM hits h JOIN topics t ON t.level = 'coarse' AND t.video_id = h.video_id AND t.start_s <= h.start_s AND t.end_s >= h.start_s GROUP BY h.hit_id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY start_s, rank) AS place FROM hits WHERE rerank_score >= -8.0)
+    SELECT query_id, video_id, CAST(place AS INTEGER) AS place, chunk_id, topic_title FROM k LEFT JOIN in_topic USING (hit_id) WHERE place <= 8""",
+)
+def c6_context(spark, folder):
+    """The occurrences of a concept with the topic that each lies in."""
+    data = Data(spark, folder)
+    hits = search.hybrid(asked(data), chunks(data), video_titles(data), 60, 120, index=words(data)).withColumn("hit_id", F.col("query_id") * 100 + F.col("rank"))
+    kept = Store(spark, "concepts").keep(hits.select("hit_id", "query_id", "video_id", "chunk_id", "start_s", "end_s", F.col("rerank_score").alias("score"), "rank"), "hits")
+    topics = around(data, kept).select(F.floor(F.col("hit_id") / 100).alias("query_id"), "hit_id", "topic_title").join(kept.select("hit_id", "chunk_id"), "hit_id").drop("hit_id")
+    tracks = chronology(kept.select("query_id", "video_id", "chunk_id", "start_s", "score", "rank"), 8, -8.0)
+    return tracks.join(topics, ["query_id", "chunk_id"]).select("query_id", "video_id", "place", "chunk_id", "topic_title")
+
+
 def judged(data):
     """The results of all variants, ten a question; both lists are retrieved once and kept."""
     top = lambda df, name: df.select(F.lit(name).alias("variant"), "query_id", "chunk_id", "rank").where("rank <= 10")
@@ -398,6 +415,13 @@ def m1(spark, folder):
     return Data(spark, folder).segments().select("video_id", "position", models.embed_documents(F.col("text")).alias("embedding"))
 
 
+@query("m1_fitted_documents")
+def m1_fitted(spark, folder):
+    """Vectors of an embedder that is fitted on the corpus itself."""
+    rows = Data(spark, folder).table("documents").select("doc_id", "text")
+    return rows.select("doc_id", models.embed_documents(F.col("text"), factors.fit(rows)).alias("embedding"))
+
+
 @query("m2_embed_queries")
 def m2(spark, folder):
     return asked(Data(spark, folder)).select("query_id", models.embed_queries(F.col("text")).alias("embedding"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import hashlib
+import uuid
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timeweave.functions.text import CONTENT_TYPES, caption, content_type, suffix_of
 from timeweave.functions.time import clock
-from timeweave.sources.scratch import shared_folder
+from timeweave.sources.scratch import Store, exists
 
 SPANS = "array<struct<s:double,e:double>>"
 QUESTION = f"id string, question string, category string, video_id string, gold_spans array<array<double>>, gold_start_s double, gold_end_s double, kind string, source_chunk_id string, anchor_s double, verified boolean, note string"
@@ -39,16 +45,52 @@ def save_questions(questions: DataFrame, path: str) -> None:
     questions.withColumn("gold_spans", pairs).write.mode("overwrite").json(path)
 
 
-def catalogue(files: DataFrame, most_bytes: int = 8 << 30) -> tuple[DataFrame, DataFrame]:
-    """Accepted media (path, suffix, size, checksum, title, content type) and rejects with a reason,
-    from ``binaryFile`` rows."""
+#: Bytes that a digest reads at once.
+STEP = 4 << 20
+
+
+def open_file(path: str):
+    """A file to read from, wherever it is stored."""
+    from pyarrow import fs
+
+    if ":" not in path.partition("/")[0] or path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"))
+    system, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_stream(name)
+
+
+def digests(files: DataFrame, opener: Callable = open_file, step: int = STEP) -> DataFrame:
+    """``path, checksum`` (sha256) of files: executors read each path in steps, so a file may have any
+    size, and no row holds its content."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sums = []
+            for path in frame["path"]:
+                digest = hashlib.sha256()
+                with opener(path) as file:
+                    while part := file.read(step):
+                        digest.update(part)
+                sums.append(digest.hexdigest())
+            yield pd.DataFrame({"path": frame["path"], "checksum": sums})
+
+    return files.select("path").mapInPandas(run, "path string, checksum string")
+
+
+def catalogue(files: DataFrame, most_bytes: int = 8 << 30, opener: Callable = open_file) -> tuple[DataFrame, DataFrame]:
+    """Accepted media (path, suffix, size, checksum, title, content type) and rejects with a reason, from
+    (path, length) rows. With a column ``content`` its digest is taken; without, the files are read where
+    they lie, accepted ones alone."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    time = ["modificationTime"] * ("modificationTime" in files.columns)
-    marked = files.select("path", name.alias("name"), suffix_of(name).alias("suffix"), F.col("length").alias("size_bytes"), "content", *time)
+    own = [c for c in ("modificationTime", "content") if c in files.columns]
+    time = ["modificationTime"] * ("modificationTime" in own)
+    marked = files.select("path", name.alias("name"), suffix_of(name).alias("suffix"), F.col("length").alias("size_bytes"), *own)
     reason = F.when(~F.col("suffix").isin(list(CONTENT_TYPES)), "suffix").when(F.col("size_bytes") == 0, "empty").when(F.col("size_bytes") > most_bytes, "too large")
     marked = marked.withColumn("reason", reason)
     title = F.substring(F.regexp_replace("name", r"\.[^.]+$", ""), 1, 512)
-    good = marked.where("reason is null").select("path", "suffix", "size_bytes", F.sha2("content", 256).alias("checksum"), title.alias("title"), content_type(F.col("name")).alias("content_type"), F.lit("uploaded").alias("status"), *time)
+    good = marked.where("reason is null")
+    good = good.withColumn("checksum", F.sha2("content", 256)) if "content" in own else good.join(digests(good, opener), "path")
+    good = good.select("path", "suffix", "size_bytes", "checksum", title.alias("title"), content_type(F.col("name")).alias("content_type"), F.lit("uploaded").alias("status"), *time)
     return good, marked.where("reason is not null").select("path", "size_bytes", "reason")
 
 
@@ -57,15 +99,48 @@ def copy_new(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
     return source.join(target.select(key), key, "left_anti")
 
 
-def replace_keys(spark: SparkSession, new: DataFrame, keys: DataFrame, path: str, key: str = "video_id") -> None:
-    """Replaces all rows of ``keys`` in a table partitioned by ``key``: partitions that have new rows
-    are overwritten, those that have none any more are deleted."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-    gone = keys.select(key).distinct().join(new.select(key), key, "left_anti")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for row in gone.toLocalIterator():  # a file system call each, and no more than one row at once
-        store.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{key}={row[0]}"), True)
+def copy_tables(sources: dict[str, DataFrame], target: str, keys: dict[str, str]) -> DataFrame:
+    """Appends to each table under ``target`` the rows whose key it lacks, and gives ``name, added, total``:
+    both numbers are observed as the rows are written. A second run adds nothing."""
+    spark, counts = next(iter(sources.values())).sparkSession, []
+    for name, source in sources.items():
+        key, path = keys[name], f"{target}/{name}"
+        known = spark.read.parquet(path).select(key) if exists(spark, path) else source.select(key).limit(0)
+        marked = source.join(known.distinct().withColumn("_known", F.lit(True)), key, "left")
+        seen = Observation(f"copy-{name}-{uuid.uuid4().hex}")
+        watched = marked.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(F.col("_known").isNull()).alias("added"))
+        watched.where("_known is null").drop("_known").select(*source.columns).write.mode("append").parquet(path)
+        counts.append((name, int(seen.get["added"]), int(seen.get["total"])))
+    return spark.createDataFrame(counts, "name string, added long, total long")
+
+
+#: Folders of a table whose rows are replaced by key.
+BUCKETS = 64
+
+
+def replace_keys(spark: SparkSession, new: DataFrame, keys: DataFrame, path: str, key: str = "video_id", buckets: int = BUCKETS) -> None:
+    """Replaces all rows of ``keys`` in the table at ``path``, whose rows lie in folders by a hash of their
+    key. The folders of these keys are read, their rows of other keys kept, and all are overwritten in
+    one write; a row without key stands in each, so that a folder which has lost all others is
+    overwritten too. ``read_keyed`` leaves these out. No file is deleted by name."""
+    store = Store(spark, "replace")
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(buckets)).cast("int")
+    touched = store.keep(keys.select(key).distinct().withColumn("bucket", bucket), "keys")
+    marks = touched.select("bucket").distinct()
+    rows = new.withColumn("bucket", bucket)
+    if exists(spark, path):
+        folders = [r["bucket"] for r in marks.collect()]  # ``buckets`` at most
+        old = spark.read.parquet(path).where(F.col("bucket").isin(folders)).where(F.col(key).isNotNull())
+        rows = old.join(touched.select(key), key, "left_anti").unionByName(rows)
+    empty = marks.select(*[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in new.columns], "bucket")
+    united = store.keep(rows.select(*new.columns, "bucket").unionByName(empty), "rows")
+    united.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    store.close()
+
+
+def read_keyed(spark: SparkSession, path: str, key: str = "video_id") -> DataFrame:
+    """The rows of a table that ``replace_keys`` keeps."""
+    return spark.read.parquet(path).where(F.col(key).isNotNull()).drop("bucket")
 
 
 def reconcile_frames(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -109,6 +184,14 @@ def report_line(summary: DataFrame) -> Column:
     return F.concat(F.lit("| "), F.col("variant"), *[F.concat(F.lit(" | "), F.format_string("%.3f", c)) for c in shown], F.lit(" |"))
 
 
+def report(summary: DataFrame, by_question: DataFrame, path: str) -> DataFrame:
+    """Writes the report of a run under ``path``: a row a variant and a row a question and variant, as JSON
+    lines, and gives the table's lines."""
+    summary.write.mode("overwrite").json(f"{path}/variants")
+    by_question.write.mode("overwrite").json(f"{path}/questions")
+    return summary.select("variant", report_line(summary).alias("line"))
+
+
 def to_backfill(videos: DataFrame, segments: DataFrame, chunks: DataFrame, force: bool = False) -> DataFrame:
     """Videos that have speech and no chunks; with ``force`` all that have speech."""
     spoken = videos.join(segments.select("video_id"), "video_id", "left_semi")

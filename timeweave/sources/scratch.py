@@ -35,6 +35,12 @@ def with_folder(spark: SparkSession, name: str, act: Callable) -> None:
     act(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    found: list[bool] = []
+    with_folder(spark, name, lambda files, path: found.append(files.exists(path)))
+    return found[0]
+
+
 class Store:
     """Tables that a job writes to the shared folder to cut lineage, and drops when done. What is still
     there when the driver's JVM ends goes then."""

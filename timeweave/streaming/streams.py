@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from timeweave.sources.files import catalogue, replace_keys
+from timeweave.sources.scratch import exists
 
-#: How long the catalogue remembers contents.
+#: How long a stream without a table remembers contents.
 KEPT = "30 days"
 
 
@@ -22,15 +24,31 @@ def catalogue_of(arriving: DataFrame) -> DataFrame:
     return good.dropDuplicatesWithinWatermark(["checksum"])
 
 
-def stream_catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """Media as they arrive in a folder. A copy that comes later than the watermark keeps checksums for
-    is a new row; a catalogue table keyed by checksum takes it as one."""
-    return catalogue_of(spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+def arriving_files(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """The files of a folder as they arrive, without their content: (path, modificationTime, length)."""
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return rows.option("recursiveFileLookup", "true").options(**options).load(folder).drop("content")
+
+
+def stream_catalogue(arriving: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the catalogue table at ``path``: accepted media, each content once, ever. The table itself is
+    the memory: a batch adds what no other batch has added, under its own number, and takes its own
+    place when it runs twice, so a restart adds nothing twice and no state grows."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        first = catalogue(batch)[0].groupBy("checksum").agg(F.min(F.struct("path", "suffix", "size_bytes", "title", "content_type", "status")).alias("m")).select("checksum", "m.*")
+        if exists(spark, path):
+            others = spark.read.parquet(path).where(F.col("batch") != number)
+            first = first.join(others.select("checksum"), "checksum", "left_anti")
+        first.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return arriving.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_reindex(changes: DataFrame, rebuild: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Rebuilds the videos of each batch of changes and replaces their rows in the table at ``path``,
-    which is partitioned by video. As whole videos are replaced, a batch that runs twice does no harm."""
+    """Rebuilds the videos of each batch of changes and replaces their rows in the table at ``path``
+    (``files.replace_keys``). As whole videos are replaced, a batch that runs twice does no harm."""
 
     def run(batch: DataFrame, _: int) -> None:
         videos = batch.select("video_id").distinct()
@@ -46,38 +64,97 @@ def stream_sessions(events: DataFrame, gap: str = "20 seconds", late: str = "10
     )
 
 
-class FrameSelector(StatefulProcessor):
-    """Keeps a frame where it differs enough from the last one kept or comes long after it; the state
-    of a video is that frame's time and hash."""
+class InOrder(StatefulProcessor):
+    """Holds a video's rows back until the watermark has passed them, and then takes them in order: rows
+    may come in any order within the time that is allowed. The state is the rows that wait, and what
+    ``step`` returns for the next ones. Rows are (time_s, ...); a timer wakes a video whose rows wait."""
 
-    def __init__(self, least_s: float = 4.0, most_s: float = 90.0, threshold: int = 10):
-        self.least_s, self.most_s, self.threshold = least_s, most_s, threshold
+    #: Columns of rows, of the state that ``step`` keeps, and of the results.
+    ROWS: str
+    STATE: str
+    RESULTS: list[str]
 
     def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "time_s double, phash long")
+        self.handle = handle
+        self.waiting, self.kept = handle.getListState("waiting", self.ROWS), handle.getValueState("kept", self.STATE)
+
+    def step(self, key, state: tuple | None, row: tuple, out: list) -> tuple:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get() if self.last.exists() else None
-        out = []
-        batch = pd.concat(rows, ignore_index=True).sort_values(["time_s", "phash"])  # a video's rows of one micro-batch
-        for r in batch.itertuples():
-            if last is None:
-                change = 0
-            elif r.time_s - last[0] < self.least_s:
-                continue
-            else:
-                change = ((int(r.phash) ^ int(last[1])) & (1 << 64) - 1).bit_count()
-                if change < self.threshold and r.time_s - last[0] < self.most_s:
-                    continue
-            last = (float(r.time_s), int(r.phash))
-            out.append((key[0], *last, change))
-        if last is not None:
-            self.last.update(last)
-        yield pd.DataFrame(out, columns=["video_id", "time_s", "phash", "change"])
+        names = [c.split()[0] for c in self.ROWS.split(", ")]
+        self.waiting.appendList([tuple(x) for frame in rows for x in frame[names].itertuples(index=False, name=None)])
+        yield self._due(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._due(key, timerValues)
+
+    def _due(self, key, timerValues) -> pd.DataFrame:
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due, later = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
+        state, out = tuple(self.kept.get()) if self.kept.exists() else None, []
+        for row in due:
+            state = self.step(key, state, row, out)
+        if due:
+            self.kept.update(state)
+            self.waiting.clear()
+            if later:
+                self.waiting.put(later)
+        if later:
+            self.handle.registerTimer(ceil(later[0][0] * 1000) + 1)
+        return pd.DataFrame(out, columns=self.RESULTS)
 
     def close(self) -> None:
         pass
 
 
-def stream_frames(samples: DataFrame, **options) -> DataFrame:
-    return samples.groupBy("video_id").transformWithStateInPandas(FrameSelector(**options), "video_id long, time_s double, phash long, change long", "Append", "none")
+class FrameSelector(InOrder):
+    """Keeps a frame where it differs enough from the last one kept or comes long after it; the state
+    of a video is that frame's time and hash."""
+
+    ROWS, STATE, RESULTS = "time_s double, phash long", "time_s double, phash long", ["video_id", "time_s", "phash", "change"]
+
+    def __init__(self, least_s: float = 4.0, most_s: float = 90.0, threshold: int = 10):
+        self.least_s, self.most_s, self.threshold = least_s, most_s, threshold
+
+    def step(self, key, state, row, out):
+        change = 0
+        if state is not None:
+            change = ((int(row[1]) ^ int(state[1])) & (1 << 64) - 1).bit_count()
+            if row[0] - state[0] < self.least_s or (change < self.threshold and row[0] - state[0] < self.most_s):
+                return state
+        out.append((key[0], float(row[0]), int(row[1]), change))
+        return float(row[0]), int(row[1])
+
+
+class SilenceFinder(InOrder):
+    """The silences between a video's segments: from the end of one to the start of the next, if so many
+    seconds lie between; the state is the end of the last segment."""
+
+    ROWS, STATE, RESULTS = "time_s double, position long, end_s double", "end_s double", ["video_id", "start_s", "end_s"]
+
+    def __init__(self, least_s: float = 20.0):
+        self.least_s = least_s
+
+    def step(self, key, state, row, out):
+        if state is not None and row[0] - state[0] >= self.least_s:
+            out.append((key[0], float(state[0]), float(row[0])))
+        return (float(row[2]),)
+
+
+def _in_order(rows: DataFrame, late: str, processor: InOrder, schema: str) -> DataFrame:
+    timed = rows.withColumn("ts", F.timestamp_micros((F.col("time_s") * 1_000_000).cast("long"))).withWatermark("ts", late)
+    return timed.groupBy("video_id").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def stream_frames(samples: DataFrame, late: str = "10 minutes", **options) -> DataFrame:
+    """Frames worth keeping of samples (video_id, time_s, phash) that come at most ``late`` behind others."""
+    return _in_order(samples, late, FrameSelector(**options), "video_id long, time_s double, phash long, change long")
+
+
+def stream_silences(segments: DataFrame, late: str = "10 minutes", least_s: float = 20.0) -> DataFrame:
+    """``video_id, start_s, end_s`` of silences between segments (video_id, position, start_s, end_s) that
+    come at most ``late`` behind others."""
+    rows = segments.select("video_id", F.col("start_s").alias("time_s"), "position", "end_s")
+    return _in_order(rows, late, SilenceFinder(least_s), "video_id long, start_s double, end_s double")

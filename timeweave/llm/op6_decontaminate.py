@@ -1,29 +1,34 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are folded alike: lower case, and each run of ASCII signs and white space one
-space, as UTF-8 bytes. An item of m bytes has an error budget of k = floor(rate m) edits. Cut into
-k + 1 pieces, any passage within k edits of it holds one piece unchanged, at its place give or take
+Texts and test items are folded alike: lower case, each run of signs and white space of any script one
+space, signs of scripts without spaces words of their own, as UTF-8 bytes, with a space at both ends; so
+an end of a match that cuts a word is an edit like others. An item of m bytes (without these ends) has
+an error budget of k = floor(rate m) edits, whatever m. Cut into k + 1 pieces, any passage within k edits of it holds one piece unchanged, at its place give or take
 k bytes. An automaton over the pieces of all items finds these places in one walk over the text. The
 same holds of groups of pieces: one of the groups of g pieces has g - 1 edits at most and an unchanged
 piece, and as an edit changes four of its four-byte grams at most, a place with fewer of them than
-that leaves is ruled out without loss. Windows around the other places are merged, the grams of the
+that leaves is ruled out without loss. The grams around a hit are collected once for all items that
+list its piece; where these are many, only items that share grams with the place are looked at, by an
+index of the piece's own. Windows around the other places are merged, the grams of the
 whole item are counted in the same way, and Myers' bit-parallel distance (one arbitrarily long
 integer a column) decides each window that is left.
 
 Documents are not shuffled, and each text is read whole. Test items go to the tasks in blocks of a
 bounded size, one pass over the documents each.
 
-Defined results: an item that folds to fewer than ``shortest`` bytes has no error budget and matches
-exact copies whose ends do not cut a word (signs of scripts without spaces are words of their own).
-An item that is null or folds to nothing matches nothing. A
-null or empty text has no hits. An item that occurs in a text several times gives one row, with the
+Defined results: an item whose budget is 0 matches exact copies whose ends do not cut a word. An item
+that is null or folds to nothing matches nothing. A null or empty text has no hits. An item that occurs in a text several times gives one row, with the
 least distance and the first place that has it. Repeated rows and items are rows of their own. Only
 the named columns are read; ``clean`` gives all columns back, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -36,19 +41,29 @@ from timeweave.llm.toxicity import _UNSPACED
 BLOCK_BYTES = 4 << 20
 #: Bytes of the grams that are counted before a distance is computed, and pieces of a group.
 GRAM, GROUP = 4, 4
-#: Errors for a byte of an item, and bytes below which an item has none.
-RATE, SHORTEST = 0.1, 40
+#: Errors for a byte of an item.
+RATE = 0.1
+#: Items that list a piece from which on the piece has an index of grams.
+MANY = 16
 _SIGNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+_OTHER_SIGNS = re.compile(r"[^\w]+")
 
 
 def fold(text: str) -> bytes:
-    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_SIGNS).split())
+    text = text.lower()
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \g<0> ", _OTHER_SIGNS.sub(" ", text))
+    return b" ".join(text.encode("utf-8", "surrogatepass").translate(_SIGNS).split())
+
+
+def framed(folded: bytes) -> bytes:
+    return b" " + folded + b" "
 
 
 class Item:
     def __init__(self, item_id: int, data: bytes, rate: float):
         self.item_id, self.data = item_id, data
-        self.budget = int(rate * len(data))
+        self.budget = int(rate * (len(data) - 2))  # the frame does not count
         self.masks: dict[int, int] = {}
         for i, b in enumerate(data):
             self.masks[b] = self.masks.get(b, 0) | 1 << i
@@ -68,15 +83,16 @@ class Item:
             for i in range(first, after):
                 yield ends[i], self.data[ends[i] : ends[i + 1]], ends[first], ends[after], after - first - 1
 
-    def keeps_grams(self, start: int, end: int, budget: int, text: bytes) -> bool:
-        """False only where no part of ``text`` is within ``budget`` of this part of the item: an
-        error changes ``GRAM`` of its grams at most."""
+    def needed(self, start: int, end: int, budget: int) -> tuple[list[bytes], int]:
+        """The grams of a part of the item, and how many of them any text within ``budget`` of it holds: an
+        error changes ``GRAM`` of them at most."""
         grams = self.grams[start : max(start, end - GRAM + 1)]
-        least = len(grams) - GRAM * budget
-        if least <= 0:
-            return True
-        have = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
-        return sum(map(have.__contains__, grams)) >= least
+        return grams, len(grams) - GRAM * budget
+
+    def keeps_grams(self, text: bytes) -> bool:
+        """False only where no part of ``text`` is within the budget of the item."""
+        grams, least = self.needed(0, len(self.data), self.budget)
+        return least <= 0 or sum(map(grams_of(text).__contains__, grams)) >= least
 
     def distance(self, text: bytes) -> tuple[int, int]:
         """The least edit distance of the item to any part of ``text``, and where that part ends."""
@@ -104,42 +120,73 @@ class Item:
         return best, end
 
 
+def grams_of(text: bytes) -> set[bytes]:
+    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+
+
+class Piece:
+    """The places of a piece: items that list it, where, and what its group needs. ``reach`` is how far
+    before and after the piece any of the groups may lie."""
+
+    def __init__(self, data: bytes):
+        self.data, self.places, self.reach = data, [], [0, 0]
+        self.index: dict[bytes, list[int]] | None = None
+
+    def add(self, n: int, item: Item, at: int, start: int, end: int, budget: int) -> None:
+        self.places.append((n, at, *item.needed(start, end, budget)))
+        self.reach[0] = max(self.reach[0], at - start + budget)
+        self.reach[1] = max(self.reach[1], end - at - len(self.data) + budget)
+
+    def close(self) -> None:
+        if len(self.places) >= MANY:
+            self.index = {}
+            for p, (_, _, grams, _) in enumerate(self.places):
+                for gram in grams:
+                    self.index.setdefault(gram, []).append(p)
+
+    def kept(self, text: bytes, begin: int) -> Iterator[tuple[int, int]]:
+        """Items, and their offset of the piece, whose group can be at this place of ``text``."""
+        have = grams_of(text[max(0, begin - self.reach[0]) : begin + len(self.data) + self.reach[1]])
+        if self.index is None:
+            for n, at, grams, least in self.places:
+                if least <= 0 or sum(map(have.__contains__, grams)) >= least:
+                    yield n, at
+            return
+        counts = Counter(chain.from_iterable(self.index[g] for g in have if g in self.index))
+        for p, (n, at, _, least) in enumerate(self.places) if self.loose else ((p, self.places[p]) for p in counts):
+            if counts[p] >= least:
+                yield n, at
+
+    @cached_property
+    def loose(self) -> bool:
+        """Whether an item may need no gram at all."""
+        return any(least <= 0 for *_, least in self.places)
+
+
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], rate: float, shortest: int):
-        folded = [(i, d) for i, t in items if (d := fold(t))]
-        self.items = [Item(i, d, rate) for i, d in folded if len(d) >= shortest]
-        self.short: dict[str, list[int]] = {}
-        for i, d in folded:
-            if len(d) < shortest:
-                self.short.setdefault(d.decode("latin-1"), []).append(i)
-        self.exact = ahocorasick.Automaton()
-        for data in self.short:
-            self.exact.add_word(data, data)
-        self.exact.make_automaton()
-        places: dict[str, list[tuple]] = {}
+    def __init__(self, items: list[tuple[int, str]], rate: float):
+        self.items = [Item(i, framed(d), rate) for i, t in items if (d := fold(t))]
+        pieces: dict[bytes, Piece] = {}
         for n, item in enumerate(self.items):
-            for at, piece, *group in item.pieces():
-                places.setdefault(piece.decode("latin-1"), []).append((n, at, *group))
+            for at, data, *group in item.pieces():
+                pieces.setdefault(data, Piece(data)).add(n, item, at, *group)
         self.automaton = ahocorasick.Automaton()
-        for piece, where in places.items():
-            self.automaton.add_word(piece, (len(piece), where))
+        for data, piece in pieces.items():
+            piece.close()
+            self.automaton.add_word(data.decode("latin-1"), piece)
         self.automaton.make_automaton()
 
     def hits(self, text: str) -> list[tuple[int, int, int, int]]:
         """``item_id, distance, budget, end`` of each item within its budget."""
-        if not self.items and not self.short:
-            return []
-        data = fold(text)
-        found = self.copies(data) if self.short else []
         if not self.items:
-            return sorted(found, key=_first_unknown)
+            return []
+        data, found = framed(fold(text)), []
         windows: dict[int, list[list[int]]] = {}
-        for last, (length, where) in self.automaton.iter(data.decode("latin-1")):
-            for n, at, first, after, budget in where:
-                item, begin = self.items[n], last + 1 - length - at
-                if not item.keeps_grams(first, after, budget, data[max(0, begin + first - budget) : begin + after + budget]):
-                    continue
-                start = begin - item.budget
+        for last, piece in self.automaton.iter(data.decode("latin-1")):
+            place = last + 1 - len(piece.data)
+            for n, at in piece.kept(data, place):
+                item = self.items[n]
+                start = place - at - item.budget
                 stop = start + len(item.data) + 2 * item.budget
                 own = windows.setdefault(n, [])
                 if own and start <= own[-1][1]:
@@ -152,31 +199,15 @@ class Matcher:
                 start = max(0, start)
                 part = data[start:stop]
                 at = part.find(item.data)
-                if at < 0 and not item.keeps_grams(0, len(item.data), item.budget, part):
+                if at < 0 and not item.keeps_grams(part):
                     continue
                 distance, end = (0, at + len(item.data)) if at >= 0 else item.distance(part)
                 if distance <= item.budget and (best is None or distance < best[0]):
                     best = (distance, start + end)
             if best:
-                found.append((item.item_id, best[0], item.budget, best[1]))
+                found.append((item.item_id, best[0], item.budget, min(max(best[1] - 2, 0), len(data) - 2)))
         return sorted(found, key=_first_unknown)
 
-    def copies(self, data: bytes) -> list[tuple[int, int, int, int]]:
-        """The first exact copy of each short item, as ``hits`` has them."""
-        ends: dict[str, int] = {}
-        for last, item in self.exact.iter(data.decode("latin-1")):
-            if item not in ends and _apart(data, last + 1 - len(item)) and _apart(data, last + 1):
-                ends[item] = last + 1
-        return [(i, 0, 0, end) for item, end in ends.items() for i in self.short[item]]
-
-
-def _apart(data: bytes, at: int) -> bool:
-    """Whether no word goes on across this place."""
-    if not 0 < at < len(data):
-        return True
-    a, b = data[max(0, at - 4) : at].decode("utf-8", "ignore")[-1:], data[at : at + 4].decode("utf-8", "ignore")[:1]
-    return not (a.isalnum() and b.isalnum()) or bool(_UNSPACED.match(a) or _UNSPACED.match(b))
-
 
 def _first_unknown(hit: tuple) -> tuple:
     return hit[0] is not None, hit[0] or 0, *hit[1:]
@@ -190,15 +221,15 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == block).collect()]
 
 
-def matcher(items: tuple, rate: float, shortest: int) -> Matcher:
-    return held(("matcher", items, rate, shortest), lambda: Matcher(list(items), rate, shortest))
+def matcher(items: tuple, rate: float) -> Matcher:
+    return held(("matcher", items, rate), lambda: Matcher(list(items), rate))
 
 
 def _ordered(block: list[tuple[int, str]]) -> tuple:
     return tuple(sorted(block, key=lambda x: (x[0] is None, x[0], x[1])))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and test item it holds: ``doc_id, item_id, distance, budget, end``
     (the last in bytes of the folded text)."""
     spark = docs.sparkSession
@@ -209,7 +240,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shor
         shared = spark.sparkContext.broadcast(_ordered(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = matcher(shared.value, rate, shortest)
+            own = matcher(shared.value, rate)
             for batch in batches:
                 made = [(doc_id, *hit) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in own.hits(text.as_py())]
                 if made:
@@ -219,7 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shor
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shortest: int = SHORTEST, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no test item, with all their columns.
 
     Items beyond one block take a pass each, whose rows are kept in the shared folder, so that a task
@@ -232,7 +263,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shortest: i
 
         @F.pandas_udf("boolean")
         def dirty(texts, shared=shared):
-            own = matcher(shared.value, rate, shortest)
+            own = matcher(shared.value, rate)
             return texts.map(lambda t: bool(own.hits(t)))
 
         docs = (store.keep(docs, f"block-{n}") if n else docs).where(~dirty(F.coalesce(F.col(text_col), F.lit(""))))

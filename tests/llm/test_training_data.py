@@ -163,6 +163,19 @@ def test_op3_keeps_the_article_alone():
     assert op3_html_text.main_text("<nav>only</nav>") == "" and op3_html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_op3_scores_forms_and_doubtful_names_before_cutting():
+    """A page that is one form, a text that is one notice, rows of columns, and articles side by side."""
+    text = op3_html_text.main_text
+    long = "<p>" + "A paragraph of some length, with commas, of the text itself here. " * 5 + "</p>"
+    words = len(" ".join(["A paragraph of some length, with commas, of the text itself here."] * 5))
+    assert len(text(f"<body><form action=x><div>{long * 3}</div></form></body>")) == 3 * words + 2
+    assert text(f"<body><div class=notice>{long * 3}</div><p>Short.</p></body>").startswith("A paragraph")
+    assert "Cookies" not in text(f"<body><div class=notice><p>Cookies, here.</p></div><article>{long}</article></body>") and "Name" not in text(f"<body><article>{long}</article><form>Name, please: <input></form></body>")
+    row = f"<div class=row><div class=col>{long * 3}</div></div>"
+    assert len(text(f"<body>{row * 2}</body>")) == 6 * words + 5
+    assert len(text(f"<body><article>{long * 3}</article><article>{long * 2}</article></body>")) == 5 * words + 4
+
+
 def test_op3_names_of_whole_classes():
     text = op3_html_text.main_text
     for page in ('<div class="site no-sidebar"><p>An article, with text.</p></div>', '<nav>Menu</nav><div class="post comments-enabled"><p>An article, with text.</p></div>', '<div class="left-sidebar"><main><p>An article, with text.</p></main></div>'):

@@ -5,14 +5,17 @@ paragraphs, list items, cells and the like end where HTML has them end). Element
 furniture by tag, role or name (menus, headers, footers, side bars, notices, adverts, forms, reader
 comments) are cut. A name is that of a whole class or id: ``no-sidebar`` or ``comments-enabled`` say
 how a page is laid out, and an element that holds an ``article`` or ``main`` is never furniture by
-name. Where all text lies in elements with such names, names do not count.
+name. Neither is a form that holds over half of the page's text that is not link text, nor a block of
+such size whose name is doubtful (notice, alert, header, ...; comments and menus are never in doubt).
 
 Each paragraph (the text that stands directly in a block, or between line breaks in a container) has
 points: one, one for each comma, and up to three for length, less its share of link text. It passes
 them to its container, half of them one element up, and ever smaller shares further up. A
 container's score is discounted by the link density of all its text. The best container is kept with
 what stands beside it, elements and bare text, unless that is mostly links; a container inside an
-``article`` or ``main`` element stands for that whole element.
+``article`` or ``main`` element stands for that whole element. Containers elsewhere that have at least
+half of its score are parts of the same text (rows of columns, several articles): what is kept then
+stands below the element that holds them all.
 
 The text is that of the blocks in page order: white space inside a block is one space, blocks are
 joined by one space, character references are decoded.
@@ -57,6 +60,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion promotions banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription paywall comment comments commentlist disqus respond replies nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar widget widgets related recommended recommendations share sharing social login signup search toolbar pagination pager skiplink hidden".split()
 )
+#: Names among these that others give to what a page is about.
+DOUBTFUL = frozenset("notice notices alert alerts banner header masthead hidden overlay modal popup widget widgets promo promos promotion promotions".split())
 #: Words that make a class say what a page has, allows or lacks.
 SETTINGS = frozenset("no not has have with without is enabled disabled open opened closed on off allow allowed fixed sticky layout".split())
 NEVER_NAMED = frozenset("html body article main p h1".split())
@@ -72,7 +77,7 @@ SHARES = (1.0, 1 / 2, 1 / 6, 1 / 9, 1 / 12)
 class Node:
     __slots__ = ("tag", "parent", "children", "named", "cut", "linked", "size", "links", "commas", "score")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool, named: bool):
+    def __init__(self, tag: str, parent: Node | None, cut: bool, named: int):
         self.tag, self.parent, self.cut, self.named = tag, parent, cut, named
         self.linked = tag == "a" or parent is not None and parent.linked
         self.children: list[Node | str] = []
@@ -83,22 +88,24 @@ class Node:
         return self.links / self.size if self.size else 0.0
 
 
-def names_furniture(value: str) -> bool:
-    """Whether one of the names in a class or id is that of page furniture."""
+def names_furniture(value: str) -> int:
+    """Whether one of the names in a class or id is that of page furniture: 1 if only in doubt, 2 if so."""
+    found = 0
     for name in value.split():
         words = {w.lower() for w in WORD.findall(name)}
         if (words & NAMES or {"side", "bar"} <= words or {"skip", "link"} <= words) and not words & SETTINGS:
-            return True
-    return False
+            found = max(found, 1 if words & NAMES and words & NAMES <= DOUBTFUL else 2)
+    return found
 
 
-def furniture(tag: str, attributes: str) -> tuple[bool, bool]:
+def furniture(tag: str, attributes: str) -> tuple[bool, int]:
     """Whether an element is furniture by tag, role or state, and whether by its names."""
-    cut, named = tag in FURNITURE or tag == "annotation", False
+    cut, named = tag in FURNITURE or tag == "annotation", 0
     if attributes and tag not in NEVER_NAMED:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            named |= name in ("class", "id") and names_furniture(value)
+            if name in ("class", "id"):
+                named = max(named, names_furniture(value))
             cut |= name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true"
     return cut, named
 
@@ -108,7 +115,7 @@ class Parser:
 
     def __init__(self, page: str):
         self.page, self.loose, self.gone = page, False, set()
-        self.nodes = [Node("#root", None, False, False)]
+        self.nodes = [Node("#root", None, False, 0)]
         self.stack = [self.nodes[0]]
         self.places: dict[str, list[int]] = {}  # of each tag on the stack
         self.solid: list[int] = []  # of blocks other than p
@@ -215,9 +222,24 @@ class Parser:
         self.cut_at(own[-1])
 
 
+#: Elements that hold whole pages now and then, though they are furniture by tag.
+WHOLE = frozenset("form fieldset".split())
+
+
+def holds_most(nodes: list[Node]) -> set[int]:
+    """Nodes that hold over half of the page's text that is not link text."""
+    sizes: dict[int, int] = {}
+    for node in reversed(nodes):
+        own = 0 if node.linked else sum(len(t.strip()) for t in node.children if isinstance(t, str))
+        sizes[id(node)] = sizes.get(id(node), 0) + own
+        if node.parent is not None:
+            sizes[id(node.parent)] = sizes.get(id(node.parent), 0) + sizes[id(node)]
+    return {n for n, size in sizes.items() if 2 * size > sizes[id(nodes[0])]}
+
+
 def settle(nodes: list[Node], by_name: bool) -> None:
-    """Marks what is cut: furniture by tag, and by name what does not hold the article. An article's
-    own header with its title stays."""
+    """Marks what is cut: furniture by tag, and by name what does not hold the article, or most of the
+    page. An article's own header with its title stays."""
     holds: set[int] = set()
     titled: set[int] = set()
     for node in reversed(nodes):
@@ -226,13 +248,13 @@ def settle(nodes: list[Node], by_name: bool) -> None:
                 holds.add(id(node.parent))
             if node.tag == "h1" or id(node) in titled:
                 titled.add(id(node.parent))
-    within = set()
+    within, most = set(), holds_most(nodes)
     for node in nodes:
         if node.tag in ("article", "main") or node.parent is not None and id(node.parent) in within:
             within.add(id(node))
-        if node.tag == "header" and id(node) in titled and id(node) in within:
+        if node.tag == "header" and id(node) in titled and id(node) in within or node.tag in WHOLE and (id(node) in most or id(node) in holds):
             node.cut = False
-        if by_name and node.named and id(node) not in holds:
+        if by_name and node.named and id(node) not in holds and not (node.named == 1 and id(node) in most):
             node.cut = True
 
 
@@ -294,17 +316,39 @@ def score(nodes: list[Node]) -> list[Node]:
     return [n for n in nodes if id(n) in scored]
 
 
+def path_of(node: Node) -> list[Node]:
+    """The node and all above it, from the root down."""
+    path = []
+    while node is not None:
+        path.append(node)
+        node = node.parent
+    return path[::-1]
+
+
+def whole_article(best: Node) -> Node:
+    """The outermost ``article`` or ``main`` that a container is in, or itself."""
+    return next((n for n in path_of(best) if n.tag in ("article", "main")), best)
+
+
 def main_nodes(nodes: list[Node]) -> list[Node | str]:
     """What of the tree is kept, in page order."""
     scored = score(nodes)
     if not scored:
         return [nodes[0]]
-    best = max(scored, key=lambda n: n.score)  # the first in page order of the best
-    node = best
-    while node is not None:
-        if node.tag in ("article", "main"):
-            best = node
-        node = node.parent
+    first = max(scored, key=lambda n: n.score)  # the first in page order of the best
+    best = whole_article(first)
+    # containers apart from the best one that score at least half as much: parts of the same text
+    above, within = {id(n) for n in path_of(best)}, {id(best)}
+    common = path_of(best)
+    for node in nodes:
+        if node.parent is not None and id(node.parent) in within:
+            within.add(id(node))
+    for node in scored:
+        if 2 * node.score >= first.score and id(node) not in above and id(node) not in within:
+            other = {id(n) for n in path_of(node)}
+            common = [n for n in common if id(n) in other]
+    if common[-1] is not best:
+        return [c for c in common[-1].children if isinstance(c, str) or not c.cut and (c.tag == "br" or c.density() < 0.5)]
     if best.parent is None or best.tag in ("article", "main", "body"):
         return [best]
     kept: list[Node | str] = []

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from timeweave.operators import folds
+from timeweave.operators import folds, topics
 from timeweave.operators.joins import as_of
 
 SEGMENTS = "video_id long, position long, start_s double, end_s double, text string, speaker_id string"
@@ -117,3 +118,34 @@ def test_as_of_equals_a_plain_search(spark, clamp):
 
     key = lambda x: tuple((a is None, a or 0) for a in x)
     assert sorted(((r["video_id"], r["t"], r["found"]) for r in got), key=key) == sorted(((v, t, plain(v, t)) for v, t in left), key=key)
+
+
+@pytest.mark.parametrize("stretch", [3, 7, 1000])
+def test_coherence_of_stretches_equals_a_plain_pass(spark, stretch):
+    draw = np.random.default_rng(stretch)
+    rows = [(v, 10 * n, float(n), draw.normal(size=5).tolist() if n % 5 else [0.0] * 5) for v, many in ((1, 1), (2, 4), (3, 30)) for n in range(many)]
+    got = topics.coherence(spark.createDataFrame(rows, "video_id long, position long, start_s double, embedding array<double>"), stretch=stretch).collect()
+    expected = {}
+    for v in (1, 2, 3):
+        units = [np.array(e) / (np.linalg.norm(e) or 1) for w, _, _, e in rows if w == v]
+        for i in range(len(units) - 1):
+            a, b = np.mean(units[max(0, i - 3) : i + 1], axis=0), np.mean(units[i + 1 : i + 5], axis=0)
+            expected[v, 10 * i] = (i + 1.0, len(units), float(a @ b) / ((np.linalg.norm(a) or 1) * (np.linalg.norm(b) or 1)))
+    assert {(r["video_id"], r["position"]) for r in got} == set(expected) and len(got) == len(expected)
+    assert all(np.allclose((r["next_start"], r["n"], r["coherence"]), expected[r["video_id"], r["position"]]) for r in got)
+
+
+def test_spacing_by_chains_equals_one_greedy_pass(spark):
+    draw = random.Random(8)
+    rows, expected = [], set()
+    for v in range(4):
+        times = sorted(draw.sample(range(0, 20_000, 7), 120))
+        found = [(draw.choice([0.5, 0.7, 0.9, 1.1]), n, float(t)) for n, t in enumerate(times)]
+        rows += [("fine", 120.0, v, n, t, d) for d, n, t in found]
+        kept = []
+        for d, n, t in sorted(found, key=lambda x: (-x[0], x[1])):
+            if all(abs(t - o) >= 120 for _, o in kept):
+                kept.append((n, t))
+        expected |= {(v, n) for n, _ in kept}
+    frame = spark.createDataFrame(rows, "level string, least_s double, video_id long, position long, next_start double, depth double")
+    assert {(r["video_id"], r["position"]) for r in topics.spaced(frame).collect()} == expected

@@ -33,9 +33,9 @@ def sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
 
-def by_stretch(fold: Callable[[list[tuple]], tuple], schema: pa.Schema, at_once: int = 20_000) -> Callable:
-    """For mapInArrow over rows sorted by video and stretch: ``fold`` of each stretch's rows as a row,
-    given out after so many rows that were read."""
+def by_stretch(fold: Callable[[list[tuple]], tuple], schema: pa.Schema, keys: int = 2, at_once: int = 20_000) -> Callable:
+    """For mapInArrow over rows sorted by their first ``keys`` columns (video and stretch): these and the
+    ``fold`` of each group's rows as a row, given out after so many rows that were read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple] = []
@@ -45,9 +45,9 @@ def by_stretch(fold: Callable[[list[tuple]], tuple], schema: pa.Schema, at_once:
             columns = zip(*made, strict=True) if made else [()] * len(schema)
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        for (video, stretch), own in groupby(sorted_rows(batches), key=lambda r: r[:2]):
-            rows = [r[2:] for r in own]
-            made.append((video, stretch, *fold(rows)))
+        for key, own in groupby(sorted_rows(batches), key=lambda r: r[:keys]):
+            rows = [r[keys:] for r in own]
+            made.append((*key, *fold(rows)))
             read += len(rows)
             if read >= at_once:
                 yield given()

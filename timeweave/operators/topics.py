@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.functions import vectors as V
 from timeweave.functions.text import capitalise, topic_words
+from timeweave.operators.folds import by_stretch, dealt, numbered
 from timeweave.operators.joins import as_of
 
 #: Level, strictness of a boundary, and the least seconds between two.
@@ -14,16 +18,49 @@ LEVELS = [("coarse", 1.5, 300.0), ("fine", 1.0, 120.0)]
 WIDTH = 4
 
 
-def coherence(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
+#: Places of a stretch of vectors.
+STRETCH = 1024
+
+
+def coherences(units: np.ndarray, width: int) -> np.ndarray:
+    """For rows of unit vectors in order: how alike the mean of ``width`` rows up to each place and the
+    mean of those after it are; with fewer rows at the ends, of these. Sums run in row order."""
+    n = len(units)
+    left, right, before, after = np.zeros_like(units), np.zeros_like(units), np.zeros(n), np.zeros(n)
+    for back in reversed(range(width)):
+        left[back:] += units[: n - back]
+        before[back:] += 1
+    for ahead in range(1, width + 1):
+        right[: max(n - ahead, 0)] += units[ahead:]
+        after[: max(n - ahead, 0)] += 1
+    left, right = left / before[:, None], right / np.maximum(after, 1)[:, None]
+    lengths = [np.where(x == 0, 1, x) for x in (np.sqrt((left**2).sum(axis=1)), np.sqrt((right**2).sum(axis=1)))]
+    return (left * right).sum(axis=1) / (lengths[0] * lengths[1])
+
+
+def coherence(chunks: DataFrame, width: int = WIDTH, stretch: int = STRETCH) -> DataFrame:
     """``video_id, position, next_start, n, coherence``: how alike the ``width`` chunks up to each
-    place are to those after it; none at the last."""
-    order = Window.partitionBy("video_id").orderBy("position")
-    rows = chunks.select("video_id", "position", F.lead("start_s").over(order).alias("next_start"), F.count("*").over(Window.partitionBy("video_id")).alias("n"), V.unit(F.col("embedding")).alias("u"))
-    left = F.collect_list("u").over(order.rowsBetween(1 - width, 0))
-    right = F.collect_list("u").over(order.rowsBetween(1, width))
-    both = rows.withColumns({"l": left, "r": right}).where(F.size("r") > 0)
-    mean = lambda c: F.transform(V.total(F.col(c)), lambda x: x / F.size(c))
-    return both.select("video_id", "position", "next_start", "n", V.cosine(mean("l"), mean("r")).alias("coherence"))
+    place are to those after it; none at the last.
+
+    Places are numbered within bins, and dealt to stretches with ``width`` places of each neighbour, so
+    a long video is several tasks and no row carries its neighbours' vectors."""
+    rows = numbered(chunks.select("video_id", F.col("position").alias("_place"), "start_s", "embedding"), "_place", stretch).withColumnRenamed("position", "i")
+    first, last = F.floor((F.col("i") - width) / stretch), F.floor((F.col("i") + width) / stretch)
+    dealt_ = rows.withColumn("stretch", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    made = pa.schema([("video_id", pa.int64()), ("stretch", pa.int64()), ("rows", pa.list_(pa.struct([("i", pa.int64()), ("position", pa.int64()), ("next_start", pa.float64()), ("coherence", pa.float64())])))])
+
+    def fold(own: list[tuple]) -> tuple:
+        units = np.array([r[4] for r in own], np.float64)
+        norms = np.sqrt((units**2).sum(axis=1, keepdims=True))
+        found = coherences(units / np.where(norms == 0, 1, norms), width).tolist()
+        mine = own[0][0]
+        return ([{"i": r[1], "position": r[2], "next_start": after[3], "coherence": c} for r, after, c in zip(own, own[1:], found, strict=False) if r[1] // stretch == mine],)
+
+    # each row has its stretch twice: as the key, and for the fold to know its own places
+    sorted_ = dealt(dealt_.select("video_id", "stretch", F.col("stretch").alias("mine"), "i", F.col("_place").alias("position"), F.col("start_s").cast("double"), F.col("embedding").cast("array<double>")), ["i"])
+    found = sorted_.mapInArrow(by_stretch(fold, made), "video_id long, stretch long, rows array<struct<i:long,position:long,next_start:double,coherence:double>>")
+    sizes = rows.groupBy("video_id").agg(F.count("*").alias("n"))
+    return found.select("video_id", F.inline("rows")).join(sizes, "video_id").select("video_id", "position", "next_start", "n", "coherence")
 
 
 def depth(coherent: DataFrame) -> DataFrame:
@@ -52,13 +89,26 @@ def candidates(deep: DataFrame, levels: list = LEVELS, width: int = WIDTH) -> Da
 
 
 def spaced(found: DataFrame) -> DataFrame:
-    """The strongest boundaries that lie far enough from all stronger ones."""
-    item = F.struct((-F.col("depth")).alias("d"), F.col("position").alias("p"), F.col("next_start").alias("t"))
-    listed = found.groupBy("level", "least_s", "video_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    none = F.array().cast("array<struct<d:double,p:bigint,t:double>>")
-    typed = F.col("all").cast("array<struct<d:double,p:bigint,t:double>>")
-    kept = F.aggregate(typed, none, lambda acc, x: F.when(F.exists(acc, lambda a: F.abs(a["t"] - x["t"]) < F.col("least_s")), acc).otherwise(F.concat(acc, F.array(x))))
-    return listed.select("level", "video_id", F.inline(kept)).select("level", "video_id", F.col("p").alias("position"), (-F.col("d")).alias("strength"))
+    """The strongest boundaries that lie far enough from all stronger ones. Boundaries decide on each
+    other only where a chain of them has no gap, so each such chain is a group of its own."""
+    order = Window.partitionBy("level", "video_id").orderBy("next_start", "position")
+    gap = F.col("next_start") - F.lag("next_start").over(order)
+    chain = F.sum(F.when(gap < F.col("least_s"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = found.withColumn("chain", chain).select("level", "video_id", "chain", "depth", "position", "next_start", "least_s")
+    made = pa.schema([("level", pa.string()), ("video_id", pa.int64()), ("chain", pa.int64()), ("kept", pa.list_(pa.struct([("position", pa.int64()), ("strength", pa.float64())])))])
+
+    def fold(own: list[tuple]) -> tuple:
+        times: list[float] = []
+        kept = []
+        for depth, position, at, least in sorted(own, key=lambda r: (-r[0], r[1])):
+            place = bisect_left(times, at)
+            if all(abs(t - at) >= least for t in times[max(place - 1, 0) : place + 1]):
+                times.insert(place, at)
+                kept.append({"position": position, "strength": depth})
+        return (kept,)
+
+    grouped = rows.repartition("level", "video_id", "chain").sortWithinPartitions("level", "video_id", "chain")
+    return grouped.mapInArrow(by_stretch(fold, made, keys=3), "level string, video_id long, chain long, kept array<struct<position:long,strength:double>>").select("level", "video_id", F.inline("kept"))
 
 
 def spans(chunks: DataFrame, boundaries: DataFrame, levels: list = LEVELS) -> DataFrame:

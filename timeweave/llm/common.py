@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timeweave.sources.scratch import Store, shared_folder
+
+__all__ = ["Memo", "STEP_CHARS", "Store", "by_batch", "held", "join_by_hot_key", "shared_folder", "small_batches", "table"]
+
 #: Characters that one vectorised step works on; longer texts carry their state over.
 STEP_CHARS = 1 << 20
 
@@ -21,25 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@cache
-def _local_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="timeweave-")
-
-
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder under the one that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_folder()
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def join_by_hot_key(rows: DataFrame, lookup: DataFrame, key: str, n: str, share: int = 1000) -> DataFrame:
     """``rows`` with the columns of ``lookup``, which has each key once and in ``n`` how many rows hold
     it. Keys of more than one row in ``share``, of which there are ``share`` at most, are broadcast; no
@@ -50,40 +32,6 @@ def join_by_hot_key(rows: DataFrame, lookup: DataFrame, key: str, n: str, share:
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
-class Store:
-    """Tables that a job writes to the shared folder to cut lineage, and drops when done. What is still
-    there when the driver's JVM ends goes then."""
-
-    def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.root, self.names = spark, shared_folder(spark, what), set()
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        if not self.names:
-            self._folder(self.root, lambda files, path: files.deleteOnExit(path))
-        self.names.add(name)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def only(self, *names: str) -> None:
-        """Drops all tables but these."""
-        self.drop(*self.names - set(names))
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self.names.discard(name)
-            self._folder(f"{self.root}/{name}", lambda files, path: files.delete(path, True))
-
-    def close(self) -> None:
-        """Drops everything, when the caller has read what it wanted."""
-        self._folder(self.root, lambda files, path: files.delete(path, True))
-        self.names.clear()
-
-    def _folder(self, name: str, act: Callable) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        act(path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path)
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Fewer rows in an Arrow batch, so that batches of long texts and sets stay small; for jobs that
@@ -97,11 +45,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Keys of a memo that are kept at most so long: what is longer is made anew each time.
+LONGEST = 512
+
+
 class Memo(dict):
     """A bounded memo: when ``most`` new entries are in, those used since the last time stay.
 
     Entries that were found again move to the young generation, the dictionary itself; ``age()``,
-    called between batches, lets the young ones take the place of the old.
+    called between batches, lets the young ones take the place of the old. Long keys, which hardly
+    ever come again, are not kept, so the bound on entries is one on bytes: four times ``most``
+    entries of ``LONGEST``, and what is made of them.
     """
 
     def __init__(self, make: Callable, most: int):
@@ -109,6 +63,8 @@ class Memo(dict):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

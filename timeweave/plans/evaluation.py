@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timeweave.functions import metrics as m
 from timeweave.functions.text import word_count
 from timeweave.operators.joins import touches_gold
+from timeweave.operators.selection import at_places, percentiles
 
 KS = (1, 5, 10)
 
@@ -63,11 +64,12 @@ def refusal(scores: DataFrame, floor: float) -> DataFrame:
     """Of (answerable, score): answers refused, off-corpus questions answered, and the margins."""
     yes, no = F.col("answerable"), ~F.col("answerable")
     # the upper median: of an even number the greater of the two in the middle
-    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY score DESC) FILTER (WHERE answerable)")
-    return scores.agg(
+    middle = at_places(scores.where(yes), "answerable", "score", {"median_positive": F.floor(F.col("n") / 2)})
+    counted = scores.agg(
         F.count_if(yes & (F.col("score") < floor)).alias("false_refusals"), F.count_if(no & (F.col("score") >= floor)).alias("missed_refusals"), F.min(F.when(yes, F.col("score"))).alias("worst_positive"),
-        F.max(F.when(no, F.col("score"))).alias("best_negative"), median.alias("median_positive"),
+        F.max(F.when(no, F.col("score"))).alias("best_negative"),
     )
+    return counted.join(F.broadcast(middle.select("median_positive")), F.lit(True), "left")  # one row each
 
 
 def unsnapped(questions: DataFrame, parents: DataFrame) -> DataFrame:
@@ -80,7 +82,8 @@ def unsnapped(questions: DataFrame, parents: DataFrame) -> DataFrame:
 def start_error(first: DataFrame) -> DataFrame:
     """The median distance of right first results from the anchor, by variant."""
     right = first.where(F.col("anchor_s").isNotNull() & touches_gold(F.col("gold_spans"), F.col("start_s"), F.col("end_s")))
-    return right.groupBy("variant").agg(F.round(F.percentile(F.abs(F.col("start_s") - F.col("anchor_s")), F.lit(0.5)), 6).alias("error_s"))
+    errors = right.select("variant", F.abs(F.col("start_s") - F.col("anchor_s")).alias("error"))
+    return percentiles(errors, "variant", "error", {"error_s": 0.5}).withColumn("error_s", F.round("error_s", 6))
 
 
 WEIGHTS, DAMPINGS = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0), (10.0, 30.0, 60.0, 120.0)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from timeweave.operators import aggregates as a
 from timeweave.operators import joins as j
 from timeweave.operators.joins import as_of
+from timeweave.operators.selection import percentiles
 from timeweave.operators.topics import build_topics
 from timeweave.plans import evaluation as ev
 from timeweave.plans.curation import anchors
@@ -230,7 +231,8 @@ def a7(spark, folder):
 
 @query("a12_percentile", f"WITH {EVENTS} SELECT type, round(quantile_cont(confidence, 0.95), 9) AS p95, round(quantile_cont(confidence, 0.5), 9) AS p50 FROM tl GROUP BY type")
 def a12(spark, folder):
-    return Data(spark, folder).events().groupBy("type").agg(F.round(F.expr("percentile(confidence, 0.95)"), 9).alias("p95"), F.round(F.expr("percentile(confidence, 0.5)"), 9).alias("p50"))
+    found = percentiles(Data(spark, folder).events(), "type", "confidence", {"p95": 0.95, "p50": 0.5})
+    return found.select("type", F.round("p95", 9).alias("p95"), F.round("p50", 9).alias("p50"))
 
 
 @query("a15_refusal", "WITH s AS (SELECT o_orderstatus <> 'F' AS answerable, o_totalprice / 100000 - 2 AS score FROM orders) SELECT count(*) FILTER (WHERE answerable AND score < -1) AS false_refusals, count(*) FILTER (WHERE NOT answerable AND score >= -1) AS missed_refusals, min(score) FILTER (WHERE answerable) AS worst_positive, max(score) FILTER (WHERE NOT answerable) AS best_negative, list(score ORDER BY score) FILTER (WHERE answerable)[CAST(count(*) FILTER (WHERE answerable) // 2 AS BIGINT) + 1] AS median_positive FROM s")

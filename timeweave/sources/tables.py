@@ -8,6 +8,9 @@ characters a second, and a pause of 25 seconds after each nine sentences.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,6 +109,34 @@ def _runs(k: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(k), F.array_join(F.slice("w", i, k), " ")))
 
 
+def _met(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, item_id`` of a bounded number of items and the texts that hold them, by one walk over each
+    text with an automaton of all items."""
+    listed: dict[str, list[int]] = {}
+    for r in items.collect():  # SENT_BYTES of items at most
+        listed.setdefault(r["item"], []).append(r["item_id"])
+    sent = documents.sparkSession.sparkContext.broadcast(listed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton, every = ahocorasick.Automaton(), sent.value.get("", [])
+        for item in sent.value:
+            if item:
+                automaton.add_word(item, item)
+        automaton.make_automaton()
+        for batch in batches:
+            pairs = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = {item for _, item in automaton.iter(text)} if len(automaton) else set()
+                pairs += [(doc_id, i) for item in held for i in sent.value[item]] + [(doc_id, i) for i in every]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["doc_id", "item_id"])
+
+    rows = documents.where("text is not null").select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(run, "doc_id long, item_id long")
+
+
 def contained(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``item_id, doc_id, at, size`` of the documents whose text contains an item as it stands; ``at``
     counts characters from 0.
@@ -129,7 +160,7 @@ def contained(documents: DataFrame, items: DataFrame) -> DataFrame:
     n = -(-total // SENT_BYTES)
     for part in range(n):
         own = short.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)) == part)
-        found = found.unionByName(texts.join(F.broadcast(own), F.contains("text", "item")).select("doc_id", "item_id"))
+        found = found.unionByName(_met(documents, own))
     whole = found.join(documents.select("doc_id", "text"), "doc_id").join(items, "item_id")
     return whole.where(F.contains("text", "item")).select("item_id", "doc_id", (F.instr("text", F.col("item")).cast("long") - 1).alias("at"), F.length("item").alias("size"))
 

@@ -218,3 +218,82 @@ def test_index_of_a_stream_is_that_of_a_batch(spark):
             starts = sorted((p["start_s"], n) for (v, n), p in parents.items() if v == r["video_id"])
             before = [n for s, n in starts if s <= middle]
             assert (own["source_id"] if own else None) == (before[-1] if before else None if r["kind"] == "ocr" else starts[0][1])
+
+
+SAID = [
+    "First claim [c_1]. A guess without anything. Second claim [c_2, c_9; c_1] .",
+    "Only made up [c_99].",
+    "One sentence alone",
+    "Guess. Another guess.",
+    "(Aside [c_3].) Then more [ c_2 ]. [c_1] starts one.",
+]
+
+
+def plain_answer(hits, said, floor=-3.0, most=12):
+    import re
+
+    if not hits:
+        return "", True, "no results", [], [], 0
+    hits = sorted(hits, key=lambda h: h["rank"])
+    if hits[0]["rerank_score"] < floor:
+        return "", True, "not relevant", [], [], 0
+    passages = []
+    for h in hits:
+        key = (h["video_id"], round(h["parent_start"], 2)) if h["parent_text"] else h["chunk_id"]
+        if key not in passages:
+            passages.append(key)
+    known = set(range(1, min(len(passages), most) + 1))
+    numbers = lambda g: [int(n) for n in re.findall(r"c_(\d+)", g)]
+    group = r"\[\s*c_\d+(?:\s*[,;]\s*c_\d+)*\s*\]"
+    made_up = [n for g in re.findall(group, said) for n in numbers(g) if n not in known]
+    text = re.sub(group, lambda m: "".join(f"[c_{n}]" for n in numbers(m[0]) if n in known), said)
+    text = re.sub(r"\s+([.,;:!?])", r"\1", re.sub(" {2,}", " ", text)).strip()
+    parts = [p.strip() for p in re.split(r"(?<=[.!?])\s+(?=[A-Z(\[])", text) if p.strip()]
+    cited = [p for p in parts if re.search(r"\[c_\d+\]", p)]
+    body, gone = (text, 0) if len(parts) <= 1 else (" ".join(cited), len(parts) - len(cited))
+    return body, body == "", "unsupported" if body == "" else None, sorted({int(n) for n in re.findall(r"\[c_(\d+)\]", body)}), made_up, gone
+
+
+def test_answers_equal_a_plain_version(spark):
+    """Refusals, passages that repeat, citations in groups and made up, sentences without any."""
+    from timeweave.plans import answer as an
+
+    draw, rows = random.Random(6), []
+    for q in range(40):
+        for rank in range(1, draw.choice([0, 1, 4, 15]) + 1):
+            parent = draw.choice([None, 0.0, 60.0, 120.001])
+            rows.append((q, rank, draw.randrange(50), draw.randrange(2), "t", f"text {rank}", parent, None if parent is None else f"passage {parent}", None, None, draw.choice([-5.0, -1.0, 3.0, 3.0])))
+    hits = spark.createDataFrame(rows, "query_id long, rank long, chunk_id long, video_id long, title string, text string, parent_start double, parent_text string, on_screen string, topic_title string, rerank_score double")
+    asked = spark.createDataFrame([(q, f"question {q}.") for q in range(40)], "query_id long, text string")
+    said = lambda n: SAID[n % len(SAID)]
+    texts = list(SAID)
+
+    def model(system, prompt):
+        n = int(prompt.split("question ")[1].split(".")[0])
+        return texts[n % len(texts)]
+
+    got = {r["query_id"]: (r["answer"], r["refused"], r["reason"], r["citations"], sorted(r["fabricated"]), r["uncited"]) for r in an.answer(hits, asked, model).collect()}
+    for q in range(40):
+        body, refused, reason, citations, made_up, gone = plain_answer([r.asDict() for r in hits.where(f"query_id = {q}").collect()], said(q)) if q < 12 else (None,) * 6
+        if q < 12:
+            assert got[q] == (body, refused, reason, citations, sorted(made_up), gone), q
+    assert {r[2] for r in got.values()} >= {"no results", "not relevant", "unsupported", None}
+
+
+def test_sessions_equal_plain_stretches(spark):
+    """Every stretch that the watermark has passed, and no other."""
+    got = {(r["video_id"], r["start"], r["end"], r["n"]) for r in BASE.QUERIES["st3_stream_sessions"](spark, SF).collect()}
+    from datetime import timedelta
+
+    gap, rows = timedelta(hours=6), spark.read.parquet(f"{SF}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts")).collect()
+    expected = set()
+    for user in {r["user_id"] for r in rows}:
+        times = sorted(r["ts"] for r in rows if r["user_id"] == user)
+        begin, n = times[0], 0
+        for t, after in zip(times, [*times[1:], None], strict=True):
+            n += 1
+            if after is None or after >= t + gap:
+                expected.add((user, begin, t + gap, n))
+                begin, n = after, 0
+    last = max(r["ts"] for r in rows) - timedelta(minutes=10)
+    assert got == {e for e in expected if e[2] <= last}

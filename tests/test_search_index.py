@@ -101,7 +101,7 @@ def test_blocks_are_bounded(stored):
     assert max(r["n"] for r in sizes) > 100 and max(r["largest"] for r in sizes) <= 4 * 8
 
 
-@pytest.mark.parametrize("folder", [SF, "/root/testdata/sf0.1"])
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.1"])
 def test_coded_search_finds_nine_tenths_with_a_quarter_of_the_vectors(spark, folder, tmp_path):
     """Recall of the ten nearest against the exact search, over the whole query set."""
     data = Data(spark, folder)

@@ -51,7 +51,7 @@ def random_segments(seed, videos=3, step=1):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "stretch", "step"), [(1, 5, 1), (2, 16, 1), (3, 64, 7)])
+@pytest.mark.parametrize(("seed", "stretch", "step"), [(1, 5, 1), (3, 64, 7)])
 @pytest.mark.parametrize("level", [folds.PARENT, folds.CHILD])
 def test_chunks_of_stretches_equal_one_fold(spark, seed, stretch, step, level):
     rows = random_segments(seed, step=step)
@@ -120,7 +120,7 @@ def test_as_of_equals_a_plain_search(spark, clamp):
     assert sorted(((r["video_id"], r["t"], r["found"]) for r in got), key=key) == sorted(((v, t, plain(v, t)) for v, t in left), key=key)
 
 
-@pytest.mark.parametrize("stretch", [3, 7, 1000])
+@pytest.mark.parametrize("stretch", [3, 1000])
 def test_coherence_of_stretches_equals_a_plain_pass(spark, stretch):
     draw = np.random.default_rng(stretch)
     rows = [(v, 10 * n, float(n), draw.normal(size=5).tolist() if n % 5 else [0.0] * 5) for v, many in ((1, 1), (2, 4), (3, 30)) for n in range(many)]

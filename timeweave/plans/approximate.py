@@ -117,7 +117,7 @@ class Index:
     """A stored index: ``rows`` (file, chunk_id, code, embedding), its model, and how many rows a file has."""
 
     def __init__(self, spark: SparkSession, path: str, model: Model):
-        self.spark, self.model = spark, model
+        self.spark, self.path, self.model = spark, path, model
         self.rows = spark.read.schema("file int, chunk_id long, code binary, embedding array<float>").parquet(path)
 
 

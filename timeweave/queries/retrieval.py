@@ -20,7 +20,7 @@ from timeweave.plans import evaluation as ev
 from timeweave.queries.base import BLOCKS, EVENTS, STEMS, VECTORS, Data, query
 from timeweave.queries.filters import INDEXABLE
 from timeweave.queries.windows import TOPICS, vector_chunks
-from timeweave.sources.scratch import Store, shared_folder
+from timeweave.sources.scratch import Store, exists, shared_folder
 
 STOP = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
 TABLES = (
@@ -129,7 +129,7 @@ _tables: dict[tuple, lexical.Postings | approximate.Index] = {}
 def words(data):
     """The stored postings of all chunks, written once for a session and a folder of tables."""
     key = data.spark.sparkContext.applicationId, data.folder
-    if key not in _tables:
+    if key not in _tables or not exists(data.spark, f"{_tables[key].path}/blocks"):
         store = Store(data.spark, "postings")
         _tables[key] = lexical.write_postings(chunks(data).select("chunk_id", "text"), store.root)
         store.known("docs", _tables[key].docs)
@@ -149,7 +149,7 @@ def t1(spark, folder):
 def vector_index(data):
     """The stored index of all vectors, written once for a session and a folder of tables."""
     key = data.spark.sparkContext.applicationId, data.folder, "vectors"
-    if key not in _tables:
+    if key not in _tables or not exists(data.spark, _tables[key].path):
         store, rows = Store(data.spark, "vectors"), chunks(data).select("chunk_id", "embedding")
         _tables[key] = approximate.write_index(rows, f"{store.root}/rows")
         store.known("rows", _tables[key].rows)

@@ -90,6 +90,26 @@ def test_op1_counts_whole_table(spark, documents, library):
     assert got == {r["doc_id"]: len(e.ids) for r, e in zip(rows, library.encode_batch([r["text"] for r in rows], add_special_tokens=False), strict=True)}
 
 
+def test_other_vocabularies_are_refused(tmp_path):
+    """Settings that the operators do not follow are errors, not other results."""
+    import json
+
+    from timeweave.llm import bpe
+
+    with open(JSON, encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check(spec)
+    changes = [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}, {"model": spec["model"] | {"ignore_merges": True}}]
+    for change in changes:
+        with pytest.raises(ValueError):
+            bpe.check(spec | change)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec | changes[0]), encoding="utf-8")
+    for of in (bpe.load, op5_token_records.LibraryEncoder):
+        with pytest.raises(ValueError):
+            of(str(path))
+
+
 def test_op1_survives_a_full_transducer(library):
     own = op1_token_counts.CountingTransducer(op1_token_counts.bpe.load(JSON))
     before, op1_token_counts.MAX_STATES = op1_token_counts.MAX_STATES, 50

@@ -63,6 +63,16 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def check(spec: dict) -> None:
+    """Raises where a vocabulary of the tokenizers library asks for what the operators do not do."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    asks = [name for name in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if model.get(name)]
+    flags = [t["content"] for t in spec["added_tokens"] if any(t.get(f) for f in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if spec.get("normalizer") or not plain or model.get("type", "BPE") != "BPE" or asks or flags:
+        raise ValueError(f"not a plain byte-level vocabulary: normalizer {spec.get('normalizer')}, pre-tokenizer {before}, model {asks}, added tokens {flags}")
+
+
 def load(path: str) -> MergeTable:
     """A merge table from a ``.json`` of the tokenizers library, or a ``.tiktoken`` of ranks."""
     if path.endswith(".tiktoken"):
@@ -71,6 +81,7 @@ def load(path: str) -> MergeTable:
         return MergeTable(ids, None, {})
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    check(spec)
     letters = byte_letters()
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     to_bytes = lambda s: bytes(letters[c] for c in s)

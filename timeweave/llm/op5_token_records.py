@@ -25,6 +25,7 @@ text are not read, and may have any names.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -38,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timeweave.llm.bpe import check
 from timeweave.llm.common import Memo, Store, by_batch, held
 from timeweave.llm.op1_token_counts import split_special
 from timeweave.llm.pieces import cut
@@ -73,6 +75,8 @@ class LibraryEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            check(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
         self.special = {t.content: self.pack([i]) for i, t in self.tokenizer.get_added_tokens_decoder().items()}

@@ -140,10 +140,10 @@ def fold_chunks(rows: list[tuple], target: float, longest: float, overlap: float
 
 def chunk(segments: DataFrame, target: float, longest: float, overlap: float, stretch: int = SEGMENTS) -> DataFrame:
     """Chunks of speech: ``video_id, position, start_s, end_s, text, first, last`` (of the segments)``,
-    speakers``. Segments may have a ``speaker_id``."""
+    speakers``. Segments may have a ``speaker_id``; their positions count from 0."""
     speaker = F.col("speaker_id") if "speaker_id" in segments.columns else F.lit(None).cast("string")
     rows = segments.where(strip(F.col("text")) != "").select("video_id", F.floor(F.col("position") / stretch).alias("stretch"), F.col("position").cast("long"), "start_s", "end_s", strip(F.col("text")).alias("text"), speaker.cast("string").alias("speaker"), ends_sentence(F.col("text")).alias("ends"))
-    both = rows.withColumn("ahead", F.lit(False)).unionByName(rows.withColumns({"ahead": F.lit(True), "stretch": F.col("stretch") - 1}))
+    both = rows.withColumn("ahead", F.lit(False)).unionByName(rows.where("stretch > 0").withColumns({"ahead": F.lit(True), "stretch": F.col("stretch") - 1}))
     store = Store(segments.sparkSession, "chunks")
     shape = f"video_id long, stretch long, entry long, exit long, met long, short boolean, items array<{_CHUNK}>"
     order = ["video_id", "stretch", "position", "start_s", "end_s", "text", "speaker", "ends", "ahead", "begins", "entry"]

@@ -101,6 +101,60 @@ def test_blocks_are_bounded(stored):
     assert max(r["n"] for r in sizes) > 100 and max(r["largest"] for r in sizes) <= 4 * 8
 
 
+def test_word_search_keeps_no_table_of_queries_and_shards(spark, texts, stored, monkeypatch):
+    """What a search writes has a row a unit or a hit, however many shards there are."""
+    kept, plain = {}, lexical.Store.keep
+
+    def seen(self, df, name):
+        kept[name] = (out := plain(self, df, name)).count()
+        return out
+
+    monkeypatch.setattr(lexical.Store, "keep", seen)
+    rows = spark.createDataFrame([(i, "dogs quick fox") for i in range(40)], "query_id long, text string")
+    assert lexical.search(rows, None, 5, stored).count() == 200
+    assert max(kept.values()) <= 200 and stored.docs.select("shard").distinct().count() > 20
+
+
+def test_shards_that_hold_nothing_better_are_not_scored(texts, stored):
+    asked = lexical.Asked([(1, 0, 0, False, 0, "dog"), (1, 0, 1, False, 0, "quick"), (2, 0, 0, False, 0, "unknown")])
+    task = lexical.Search(asked, 5, 2)
+    for batch in stored.rows.orderBy("words", "shard", ascending=False).toArrow().to_batches():
+        task.add(batch)
+    got = [task.best.settle().id[task.best.query == n].tolist() for n in range(2)]
+    assert got == [[i for i, _, _ in plain_search([[(["dogs"], False), (["quick"], False)]], texts, 5)], []]
+    assert task.scored < stored.docs.select("shard").distinct().count() / 2
+
+
+@pytest.mark.parametrize("queries", [1, 3])
+def test_word_search_in_passes_and_scopes(spark, texts, stored, monkeypatch, queries):
+    """Queries in several blocks, each in its own videos, among some of the chunks."""
+    monkeypatch.setattr(lexical, "QUERIES", queries)
+    chunks = spark.createDataFrame([(i, i % 4) for i in texts if i % 5], "chunk_id long, video_id long")
+    scopes = [None, [1, 3], [], [2], [0, 9]]
+    rows = spark.createDataFrame([(n, '"quick fox" red', v) for n, v in enumerate(scopes)], "query_id long, text string, video_ids array<long>")
+    got = {}
+    for r in lexical.search(rows, chunks, 7, stored).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], r["pass"], round(r["score"] * 10)))
+    for n, own in enumerate(scopes):
+        seen = {i: t for i, t in texts.items() if i % 5 and (own is None or i % 4 in own)}
+        assert got.get(n, []) == plain_search(QUERIES['"quick fox" red'], seen, 7)
+
+
+def test_best_waits_and_settles():
+    draw = np.random.default_rng(2)
+    far = draw.integers(0, 50, (6, 4000)).astype(float)
+    far[5] = np.inf
+    own = search.Best(6, 9, most=100, first=1)
+    for at in range(0, 4000, 250):
+        own.add(far[:, at : at + 250], np.arange(at, at + 250))
+        assert own.waiting <= 100
+    own.add(far[:2, :0], np.arange(0), np.array([3, 4]))
+    own.settle()
+    for q in range(6):
+        order = sorted((d, i) for i, d in enumerate(far[q]) if d < np.inf)[:9]
+        assert list(zip(own.distance[own.query == q], own.id[own.query == q], strict=True)) == order
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.1"])
 def test_coded_search_finds_nine_tenths_with_a_quarter_of_the_vectors(spark, folder, tmp_path):
     """Recall of the ten nearest against the exact search, over the whole query set."""

@@ -12,9 +12,11 @@ def hamming(a: Column, b: Column) -> Column:
 
 def dhash(pixels: Column) -> Column:
     """From nine columns by eight rows of grey values, row by row: a bit for each pixel brighter
-    than its left neighbour, the first the highest."""
-    bit = lambda i: F.when(F.get(pixels, F.floor(i / 8) * 9 + i % 8 + 1) > F.get(pixels, F.floor(i / 8) * 9 + i % 8), F.expr("1L")).otherwise(F.expr("0L"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.expr("0L"), lambda h, i: F.shiftleft(h, 1).bitwiseOR(bit(i)))
+    than its left neighbour, the first the highest. The array is bound once, not found anew for each bit."""
+    left = F.array(*[F.lit(9 * row + column) for row in range(8) for column in range(8)])
+    bit = lambda p, i: F.when(F.get(p, i + 1) > F.get(p, i), F.expr("1L")).otherwise(F.expr("0L"))
+    of = lambda p: F.aggregate(left, F.expr("0L"), lambda h, i: F.shiftleft(h, 1).bitwiseOR(bit(p, i)))
+    return F.get(F.transform(F.array(pixels), of), 0)
 
 
 def hex16(bits: Column) -> Column:

@@ -55,9 +55,9 @@ def x6(spark, folder):
 )
 def x7(spark, folder):
     """Grey values from the characters of each document's text, 72 a picture."""
-    each = Data(spark, folder).table("documents").where("length(text) >= 72").select("doc_id", "text", F.explode(F.expr("sequence(0L, length(text) div 72 - 1)")).alias("n"))
-    pixels = F.transform(F.sequence(F.lit(1), F.lit(72)), lambda i: F.ascii(F.col("part").substr(i, F.lit(1))))
-    own = each.select("doc_id", "n", F.expr("substring(text, int(n * 72 + 1), 72)").alias("part"))
+    whole = lambda c, pattern: F.regexp_extract_all(F.col(c), F.lit(pattern), F.lit(0))
+    own = Data(spark, folder).table("documents").select("doc_id", F.posexplode(whole("text", "(?s).{72}")).alias("n", "part")).withColumn("n", F.col("n").cast("long"))
+    pixels = F.transform(whole("part", "(?s)."), F.ascii)
     return own.select("doc_id", "n", bits.hex16(bits.dhash(pixels)).alias("phash"))
 
 

@@ -83,17 +83,24 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in self.ROWS.split(", ")]
-        self.waiting.appendList([tuple(x) for frame in rows for x in frame[names].itertuples(index=False, name=None)])
-        yield self._due(key, timerValues)
+        came = [tuple(x) for frame in rows for x in frame[names].itertuples(index=False, name=None)]
+        self.waiting.appendList(came)
+        earliest = min(came)[0]
+        if earliest < timerValues.getCurrentWatermarkInMs() / 1000:
+            yield from self._due(key, timerValues)
+        else:  # nothing new is due; what waited before has its own timer
+            self.handle.registerTimer(ceil(earliest * 1000) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._due(key, timerValues)
+        yield from self._due(key, timerValues)
 
-    def _due(self, key, timerValues) -> pd.DataFrame:
+    def _due(self, key, timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() / 1000
         rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
         due, later = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
-        state, out = tuple(self.kept.get()) if self.kept.exists() else None, []
+        if not rows:  # an earlier timer took them
+            return
+        state, out = tuple(self.kept.get()) if due and self.kept.exists() else None, []
         for row in due:
             state = self.step(key, state, row, out)
         if due:
@@ -103,7 +110,8 @@ class InOrder(StatefulProcessor):
                 self.waiting.put(later)
         if later:
             self.handle.registerTimer(ceil(later[0][0] * 1000) + 1)
-        return pd.DataFrame(out, columns=self.RESULTS)
+        if out:
+            yield pd.DataFrame(out, columns=self.RESULTS)
 
     def close(self) -> None:
         pass

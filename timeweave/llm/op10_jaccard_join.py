@@ -17,12 +17,14 @@ sets, yet loses no link:
    below that could link to one above) are keyed by single shingles. The boundary is that of the
    least cost, summed over all sets: a subset costs a row; a list entry a row too, and a share of
    the comparison of whole sets that it is likelier to bring about.
-4. *Stars.* In each bucket every set is compared with one of them, the pivot, not with all others.
-   The links found give components, and the pivot, which is done, leaves the bucket. Buckets whose
-   sets are still in different components get another pivot, while all pairs in them would be many
-   and for ``ROUNDS`` rounds at most; then only sets of one bucket that are in different components
-   are compared, if their sizes and parities of shingle counts allow a link. A group of near copies so costs a row a member and round. Links are looked
-   at as links between the components known so far, so that no round hands on more of them.
+4. *Stars.* Of buckets that hold the same sets one stays. In each bucket every set is compared with one
+   of them, the pivot, not with all others. The links found give components, and the pivot, which is
+   done, leaves the bucket. Buckets whose sets are still in different components get another pivot,
+   while all pairs in them would be many and pivots find links, for ``ROUNDS`` rounds at most; then only
+   sets of one bucket that are in different components are compared, if their sizes and parities of
+   shingle counts allow a link, and in the largest of the buckets that both name. A group of near copies
+   so costs a row a member and round. Links are looked at as links between the components known so far,
+   so that no round hands on more of them.
 5. Every comparison is of whole sets.
 
 Defined results: null or empty text, or text without words, has an empty set and links with
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 from timeweave.llm.common import Memo, Store, small_batches
 from timeweave.llm.components import components, follow
 
-SETS = "row long, doc_id long, text_hash long, n long, key binary, list array<long>, sketch array<long>"
+SETS = "row long, doc_id long, text_hash long, n long, key binary, list array<long>, sketch array<long>, wide array<long>"
 #: Sizes that the boundary is chosen from: 1, and from 8 to 512 by steps of a fifth.
 BOUNDARIES = [1, *sorted({round(8 * 1.189207**i) for i in range(25)})]
 #: Shingles that a set lists at least, if it has as many.
@@ -55,6 +57,10 @@ LISTED = 160
 COMPARED = 16
 #: Rounds of stars at most, and the pairs a row in the open buckets from which on another round is worth it.
 ROUNDS, FEW = 8, 8
+#: Buckets that a set names at most, its largest ones, for its pairs not to be compared in others as well.
+NAMED = 8
+#: Classes of hashes whose parities are kept of each set, and of those of ``LARGE`` shingles or more, which fill the few.
+CLASSES, WIDE, LARGE = 512, 4096, 512
 MAX_WORDS, MAX_SEEN = 100_000, 300_000
 
 
@@ -79,16 +85,19 @@ class Shingler:
         return np.unique(h ^ (h >> np.uint64(32)))
 
 
-def parities(found: np.ndarray) -> np.ndarray:
-    """For each of 512 classes of hashes, whether the set has an odd number: eight longs."""
-    odd = np.bincount((found & np.uint64(511)).astype(np.intp), minlength=512) & 1
+def parities(found: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """For each of so many classes of hashes, whether the set has an odd number: a bit each, as longs."""
+    odd = np.bincount((found & np.uint64(classes - 1)).astype(np.intp), minlength=classes) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def could_link(a: Column, b: Column, n: Column, num: int, den: int) -> Column:
+def could_link(a: Column, b: Column, n: Column, num: int, den: int, classes: int = CLASSES) -> Column:
     """False only for sets that differ in too many shingles, of which each changes one parity. ``n`` is
-    the sum of the sizes."""
-    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, 8)), F.bit_count(a[0].bitwiseXOR(b[0])))
+    the sum of the sizes. Null where a set has no such parities."""
+    if classes <= CLASSES:
+        differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, classes // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
+    else:  # so long a sum would be too large a method to be compiled
+        differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return differ * (den + num) <= n * (den - num)
 
 
@@ -122,7 +131,7 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_
         own, seen, row = Shingler(k), set(), TaskContext.get().partitionId() << 36
         for batch in batches:
             own.words.age()
-            rows, sizes, keys, lists, sketches = [], [], [], [], []
+            rows, sizes, keys, lists, sketches, wide = [], [], [], [], [], []
             for text in batch.column(2):
                 found = own.shingles(text.as_py())
                 n = len(found)
@@ -137,10 +146,11 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_
                 keys.append(key)
                 lists.append(found[: listed(n, num, den)].view(np.int64) if new else None)
                 sketches.append(parities(found) if new else None)
+                wide.append(parities(found, WIDE) if new and n >= LARGE else None)
                 row += 1
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            made = [pa.array(c, t) for c, t in zip((rows, sizes, keys, lists, sketches), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([made[0], batch.column(0), batch.column(1), *made[1:]], ["row", "doc_id", "text_hash", "n", "key", "list", "sketch"])
+            kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+            made = [pa.array(c, t) for c, t in zip((rows, sizes, keys, lists, sketches, wide), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([made[0], batch.column(0), batch.column(1), *made[1:]], ["row", "doc_id", "text_hash", "n", "key", "list", "sketch", "wide"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, SETS)
 
@@ -186,6 +196,21 @@ def keyed(entries: DataFrame, limit: int, num: int, den: int) -> DataFrame:
     return lists.unionByName(both.select(F.xxhash64(F.lit(2), "x", "y").alias("bucket"), "row", "n"))
 
 
+def distinct_buckets(placed: DataFrame) -> DataFrame:
+    """``placed`` without buckets of one row, or of the same rows as another: a passage that some sets
+    share has a bucket for each of its shingles."""
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "row")).alias(f"same_{i}") for i in range(2)]
+    of = placed.groupBy("bucket").agg(F.count("*").alias("size"), *same).where("size > 1")
+    kept = of.groupBy("size", "same_0", "same_1").agg(F.min("bucket").alias("bucket"))
+    return placed.join(kept.select("bucket"), "bucket", "left_semi")
+
+
+def named_buckets(placed: DataFrame) -> DataFrame:
+    """``placed`` with ``place``, which orders the buckets by size, and ``named``, the first of the row's."""
+    sized = placed.join(placed.groupBy("bucket").agg(F.struct((-F.count("*")).alias("size"), F.col("bucket").alias("b")).alias("place")), "bucket")
+    return sized.join(sized.groupBy("row").agg(F.slice(F.array_sort(F.collect_list("place")), 1, NAMED).alias("named")), "row")
+
+
 def fits(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
@@ -240,8 +265,7 @@ def _join(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: st
     buckets = store.keep(keyed(ranked, boundary(ranked, num, den), num, den), "buckets")
     store.drop("ranked")
 
-    members = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    placed = store.keep(buckets.join(members, "bucket", "left_semi").withColumn("root", F.col("row")), "placed-0")
+    placed = store.keep(distinct_buckets(buckets).withColumn("root", F.col("row")), "placed-0")
     store.drop("buckets")
     whole = store.keep(whole_sets(docs, sets, placed.select("row").distinct(), k, id_col, text_col), "whole")
 
@@ -261,16 +285,19 @@ def _join(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: st
         roots, links = store.keep(follow(roots, moved).unionByName(moved), f"roots-{n}"), links.limit(0)
         dealt = follow(dealt.select("bucket", "row", "n", "root"), moved)
         apart = dealt.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        placed = store.keep(dealt.join(apart, "bucket", "left_semi"), f"placed-{n + 1}")
-        store.only("sets", "whole", f"placed-{n + 1}", f"roots-{n}")
+        placed = store.keep(distinct_buckets(dealt.join(apart, "bucket", "left_semi")), f"placed-{n + 1}")
+        store.only("sets", "whole", f"found-{n}", f"placed-{n + 1}", f"roots-{n}")
         sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
-        if not sizes[0] or sizes[1] <= FEW * sizes[0]:
+        if not sizes[0] or sizes[1] <= FEW * sizes[0] or found.isEmpty():
             break
 
     # sets of one bucket that are still apart
-    open_ = store.keep(placed.join(sets.select("row", "sketch"), "row"), "open")
-    a, b = (open_.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "root", "sketch")]) for s in "ab")
-    near = fits(F.col("n_a"), F.col("n_b"), num, den) & could_link(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a") + F.col("n_b"), num, den)
+    open_ = store.keep(named_buckets(placed).join(sets.select("row", "sketch", "wide"), "row"), "open")
+    a, b = (open_.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "root", "place", "named", "sketch", "wide")]) for s in "ab")
+    near = fits(F.col("n_a"), F.col("n_b"), num, den)
+    for c, classes in (("sketch", CLASSES), ("wide", WIDE)):
+        near &= F.coalesce(could_link(F.col(f"{c}_a"), F.col(f"{c}_b"), F.col("n_a") + F.col("n_b"), num, den, classes), F.lit(True))
+    near &= ~F.exists(F.array_intersect("named_a", "named_b"), lambda x: x < F.col("place_a"))
     rest = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & near)
     rest = rest.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "root_a", "root_b").distinct()
     moved = components(store.keep(linked(rest, whole, num, den), "late"), store, "last")

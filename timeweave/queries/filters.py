@@ -149,4 +149,4 @@ def f14(spark, folder):
     joined AS (SELECT frame_id, string_agg(trim(text, ' \t\n\r\f\v'), chr(10) ORDER BY y1, x1, n) AS text FROM good GROUP BY frame_id) SELECT * FROM joined WHERE length(text) >= 8""",
 )
 def f15(spark, folder):
-    return f.frame_texts(Data(spark, folder).blocks())
+    return f.screen_texts(Data(spark, folder).screens())

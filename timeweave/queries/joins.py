@@ -100,8 +100,8 @@ def j7(spark, folder):
 @query("j8_frame_blocks", f"WITH {FRAMES}, {BLOCKS}, t AS (SELECT frame_id, string_agg(text, chr(10) ORDER BY y1, x1, n) AS text FROM blocks GROUP BY ALL) SELECT event_id, text FROM frames LEFT JOIN t ON frame_id = event_id")
 def j8(spark, folder):
     data = Data(spark, folder)
-    lines = data.blocks().groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("y1", "x1", "n", "text"))).alias("b"))
-    return data.frames().join(lines.withColumnRenamed("frame_id", "event_id"), "event_id", "left").select("event_id", F.array_join(F.col("b.text"), "\n").alias("text"))
+    lines = data.screens().select(F.col("frame_id").alias("event_id"), F.array_join("blocks.text", "\n").alias("text"))
+    return data.frames().join(lines, "event_id", "left").select("event_id", "text")
 
 
 @query("j10_collection_scope", f"WITH {VIDEOS}, {SEGMENTS} SELECT video_id, position FROM segments WHERE video_id IN (SELECT video_id FROM videos WHERE collection_id = 3)")

@@ -25,8 +25,8 @@ def x2(spark, folder):
     SELECT video_id, position, word, count(*) AS n FROM found WHERE length(word) > 2 AND word NOT IN ({STOP}) GROUP BY ALL""",
 )
 def x3(spark, folder):
-    each = Data(spark, folder).segments().select("video_id", "position", F.explode(text.topic_words(F.col("text"))).alias("word"))
-    return each.groupBy("video_id", "position", "word").agg(F.count("*").alias("n"))
+    each = Data(spark, folder).segments().groupBy("video_id", "position").agg(F.collect_list("text").alias("texts"))
+    return text.counted(each.select("video_id", "position", F.flatten(F.transform("texts", text.topic_words)).alias("words")), "words")
 
 
 @query("x4_titlecase", f"WITH {BLOCKS} SELECT frame_id, n, CASE WHEN text[1] = 'ß' THEN 'SS' ELSE upper(text[1]) END || text[2:] AS title FROM blocks WHERE text <> ''")

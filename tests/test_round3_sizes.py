@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from timeweave.functions.text import counted
 from timeweave.operators import filters, folds
-from timeweave.plans import factors
+from timeweave.plans import approximate, factors, search
 from timeweave.queries import load
 from timeweave.queries.base import Data
 from timeweave.queries.joins import parents
@@ -80,3 +80,24 @@ def test_fitted_embedder_reads_texts_once_and_remembers_words(spark):
     encode(["word3"])
     assert encode.counts is known and len(known.columns) == 3
     assert pickle.loads(pickle.dumps(encode)).counts is None
+
+
+def test_candidates_are_compared_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Nothing is joined but the few hits, and what is found is the nearest of the best by codes."""
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 8)))], "chunk_id long, embedding array<float>")
+    index = approximate.write_index(rows, f"file://{tmp_path}/index")
+    asked = rows.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    handed = []
+    near = approximate.near
+
+    def counting(*args):
+        handed.append(near(*args))
+        return handed[-1]
+
+    monkeypatch.setattr(approximate, "near", counting)
+    found = approximate.search(asked, index, 5, ranked=200).collect()
+    assert handed[0].count() <= 12 * (5 + approximate.SLACK) and len(found) == 12 * 5
+    whole = approximate.search(asked, index, 5, probed=1.0, ranked=600).select("query_id", "chunk_id", "rank")
+    exact = search.nearest(asked, rows, 5).select("query_id", "chunk_id", "rank")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, exact.collect()))

@@ -251,3 +251,18 @@ def test_op13_many_groups(spark):
     """More groups than the arity: the upper tree has levels of its own."""
     rows = spark.createDataFrame([(i, "s", f"l{i % 70:02}", i, f"Text {i}") for i in range(300)], "doc_id long, source string, lang string, n_chars long, text string")
     assert Counter(tuple(r) for r in op13_merkle_manifest.digests(rows).collect()) == Counter(plain_manifest(rows.collect()))
+
+
+def test_few_links_are_contracted_without_star_steps(spark):
+    import random
+
+    links = [(i, i + 1) for i in range(0, 400) if i % 40 != 39] + [(-5, 3), (7, 7)]
+    random.Random(5).shuffle(links)
+    want = {i: i // 40 * 40 for i in range(400) if i % 40} | {i: -5 for i in range(40)} | {400: 400}
+    want = {k: v for k, v in want.items() if k != v}
+    for held, steps in ((100_000, 2), (7, None)):  # the second: many at a time in no task, so star steps go on
+        store, made = Store(spark, "few"), []
+        store.keep = lambda df, name, made=made, store=store: (made.append(name), Store.keep(store, df, name))[1]
+        frame = spark.createDataFrame(links, "a long, b long").repartition(3)
+        assert {r["node"]: r["root"] for r in components(frame, store, "few", held).collect()} == want
+        assert steps is None or len(made) == steps

@@ -57,6 +57,8 @@ LISTED = 160
 COMPARED = 16
 #: Rounds of stars at most, and the pairs a row in the open buckets from which on another round is worth it.
 ROUNDS, FEW = 8, 8
+#: Comparisons with pivots for each link found from which on another round is not worth it.
+RARE = 50
 #: Buckets that a set names at most, its largest ones, for its pairs not to be compared in others as well.
 NAMED = 8
 #: Classes of hashes whose parities are kept of each set, and of those of ``LARGE`` shingles or more, which fill the few.
@@ -211,6 +213,20 @@ def named_buckets(placed: DataFrame) -> DataFrame:
     return sized.join(sized.groupBy("row").agg(F.slice(F.array_sort(F.collect_list("place")), 1, NAMED).alias("named")), "row")
 
 
+def apart(placed: DataFrame) -> DataFrame:
+    """``bucket, size`` of the buckets whose sets are still in different components."""
+    return placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket", "size")
+
+
+def pivoted(placed: DataFrame, n: int) -> DataFrame:
+    """The sets of open buckets, but for each bucket's pivot of this round, with it. Counted, compared and
+    joined where one exchange has dealt them."""
+    placed = placed.repartition("bucket")
+    pivot = F.min(F.struct(F.xxhash64(F.lit(n), "row").alias("order"), "row", "n", "root")).alias("pivot")
+    of = placed.groupBy("bucket").agg(pivot, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return placed.join(of.select("bucket", "pivot"), "bucket").where("row <> pivot.row")
+
+
 def fits(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
@@ -276,20 +292,21 @@ def _join(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: st
     roots = spark.createDataFrame([], "node long, root long")
 
     for n in range(ROUNDS):
-        pivot = F.min(F.struct(F.xxhash64(F.lit(n), "row").alias("order"), "row", "n", "root")).alias("pivot")
-        dealt = placed.join(placed.groupBy("bucket").agg(pivot), "bucket").where("row <> pivot.row")
+        dealt = store.keep(pivoted(placed, n), f"dealt-{n}")
         tried = dealt.where((F.col("root") != F.col("pivot.root")) & fits(F.col("n"), F.col("pivot.n"), num, den))
         tried = tried.select(F.col("pivot.row").alias("a"), F.col("row").alias("b"), F.col("pivot.root").alias("root_a"), F.col("root").alias("root_b")).distinct()
+        tried = store.keep(tried, f"tried-{n}")
         found = store.keep(linked(tried, whole, num, den), f"found-{n}")
         moved = components(links.unionByName(found), store, f"star-{n}")
         roots, links = store.keep(follow(roots, moved).unionByName(moved), f"roots-{n}"), links.limit(0)
-        dealt = follow(dealt.select("bucket", "row", "n", "root"), moved)
-        apart = dealt.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        placed = store.keep(distinct_buckets(dealt.join(apart, "bucket", "left_semi")), f"placed-{n + 1}")
-        store.only("sets", "whole", f"found-{n}", f"placed-{n + 1}", f"roots-{n}")
-        sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
-        if not sizes[0] or sizes[1] <= FEW * sizes[0] or found.isEmpty():
+        placed = store.keep(follow(dealt.select("bucket", "row", "n", "root"), moved), f"placed-{n + 1}")
+        pairs, size = F.col("size") * (F.col("size") - 1) / 2, F.col("size")
+        sizes = apart(placed).agg(F.sum(size), F.sum(pairs)).first()
+        enough = not sizes[0] or sizes[1] <= FEW * sizes[0] or found.count() * RARE < tried.count()
+        store.only("sets", "whole", f"placed-{n + 1}", f"roots-{n}")
+        if enough:
             break
+    placed = store.keep(distinct_buckets(placed.join(apart(placed).select("bucket"), "bucket", "left_semi")), "placed")
 
     # sets of one bucket that are still apart
     open_ = store.keep(named_buckets(placed).join(sets.select("row", "sketch", "wide"), "row"), "open")

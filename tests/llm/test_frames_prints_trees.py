@@ -266,3 +266,14 @@ def test_few_links_are_contracted_without_star_steps(spark):
         frame = spark.createDataFrame(links, "a long, b long").repartition(3)
         assert {r["node"]: r["root"] for r in components(frame, store, "few", held).collect()} == want
         assert steps is None or len(made) == steps
+
+
+def test_unknown_pieces_go_to_the_librarys_model_alone():
+    import public_tokenizers
+    from timeweave.llm.op5_token_records import LibraryEncoder
+
+    own = LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", " a  b\n\n", "don't 12345 é中文\U0001f600 \0\x7f", "x" * 5000, "́‍'ll '"]
+    want = [own.pack([*own.tokenizer.encode(t, add_special_tokens=False).ids, 2]) for t in texts]
+    own.tokenizer = None
+    assert own.encode(texts, 2) == want

@@ -30,6 +30,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.bpe import check
+from timeweave.llm.bpe import byte_letters, check
 from timeweave.llm.common import Memo, Store, by_batch, held
 from timeweave.llm.op1_token_counts import split_special
 from timeweave.llm.pieces import cut
@@ -69,7 +70,7 @@ def unframe(record: bytes) -> bytes:
 
 class LibraryEncoder:
     """Ids by the tokenizers library. It merges within pieces, so each distinct piece goes to the
-    library once and its ids are kept, up to a bound."""
+    library's model once, as the letters that stand for its bytes, and its ids are kept, up to a bound."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -78,12 +79,19 @@ class LibraryEncoder:
         with open(path, encoding="utf-8") as f:
             check(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
+        self.kind, self.dtype = ("H", "<u2") if self.tokenizer.get_vocab_size(True) <= 1 << 16 else ("I", "<u4")
+        self.model = self.tokenizer.model
+        self.model = self.tokenizer.model
         self.special = {t.content: self.pack([i]) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.packed = Memo(lambda piece: self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids), MAX_PIECES)
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.packed = Memo(self.encode_piece, MAX_PIECES)
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.kind, ids).tobytes()
+
+    def encode_piece(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return self.pack([t.id for t in self.model.tokenize(letters)])
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         self.packed.age()

@@ -277,3 +277,22 @@ def test_unknown_pieces_go_to_the_librarys_model_alone():
     want = [own.pack([*own.tokenizer.encode(t, add_special_tokens=False).ids, 2]) for t in texts]
     own.tokenizer = None
     assert own.encode(texts, 2) == want
+
+
+def test_pieces_that_come_again_are_encoded_once():
+    import public_tokenizers
+    from timeweave.llm.op8_bpe_codec import Codec
+
+    own = Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    made, own.packed.make = [], lambda piece: made.append(piece) or b""
+    for _ in range(2):
+        for at in range(0, 150_000, 500):
+            own.encode("".join(f" {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(at, at + 500)))
+    assert len(made) == len(set(made)) == 150_000
+
+
+def test_merges_of_the_same_bytes_in_two_ways():
+    from timeweave.llm.bpe import MergeTable
+
+    table = MergeTable({t: i for i, t in enumerate([b"a", b"b", b"c", b"ab", b"bc", b"abc", b"aa"])}, None, {})
+    assert table.merge(b"abcbcab") == [b"abc", b"bc", b"ab"] and table.merge(b"aaaaa") == [b"aa", b"aa", b"a"]

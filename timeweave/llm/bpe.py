@@ -13,7 +13,9 @@ import base64
 import json
 
 #: Pairs of tokens whose compatibility is remembered.
-MAX_PAIRS = 200_000
+MAX_PAIRS = 300_000
+#: The rank of a pair that does not merge.
+NONE = float("inf")
 
 
 class MergeTable:
@@ -29,20 +31,20 @@ class MergeTable:
     def merge(self, data: bytes) -> list[bytes]:
         """The tokens of one piece, by the definition. For short pieces and as a reference."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(((r, i) for i in range(len(parts) - 1) if (r := self.rank(parts[i], parts[i + 1])) is not None), default=None)
-            if best is None:
-                break
-            left, right = parts[best[1]], parts[best[1] + 1]
-            merged, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == left and parts[i + 1] == right:
-                    merged.append(left + right)
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
+        of = lambda i: NONE if (r := self.rank(parts[i], parts[i + 1])) is None else r
+        ranks = [of(i) for i in range(len(parts) - 1)]
+        while ranks and (best := min(ranks)) != NONE:
+            i = ranks.index(best)
+            left, right = parts[i], parts[i + 1]
+            while i < len(ranks):
+                if ranks[i] == best and parts[i] == left and parts[i + 1] == right:
+                    parts[i : i + 2] = [left + right]
+                    del ranks[i]
+                    if i:
+                        ranks[i - 1] = of(i - 1)
+                    if i < len(ranks):
+                        ranks[i] = of(i)
+                i += 1
         return parts
 
     def compatible(self, left: bytes, right: bytes) -> bool:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from timeweave.llm import bpe
 from timeweave.llm.common import Memo, by_batch, held
 
-MAX_PIECES = 60_000
+MAX_PIECES = 200_000
 
 
 class Codec:

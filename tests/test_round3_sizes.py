@@ -101,3 +101,37 @@ def test_candidates_are_compared_where_they_are_read(spark, tmp_path, monkeypatc
     whole = approximate.search(asked, index, 5, probed=1.0, ranked=600).select("query_id", "chunk_id", "rank")
     exact = search.nearest(asked, rows, 5).select("query_id", "chunk_id", "rank")
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_a_group_of_videos_shares_its_state():
+    import pandas as pd
+    from timeweave.streaming.streams import FrameSelector
+
+    class Rows(list):
+        exists, get = (lambda self: bool(self)), (lambda self: iter(list(self)))
+        appendList, put = list.extend, (lambda self, rows: self.__setitem__(slice(None), rows))
+
+    class Handle:
+        def __init__(self):
+            self.lists, self.timers = {}, []
+
+        def getListState(self, name, _):
+            return self.lists.setdefault(name, Rows())
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Now:
+        def __init__(self, s):
+            self.getCurrentWatermarkInMs = lambda: s * 1000
+
+    for group, (a, b) in ((3, (1, 2)), (-1, (None, None))):
+        own, handle = FrameSelector(threshold=1), Handle()
+        own.init(handle)
+        rows = pd.DataFrame({"video_id": [b, a, a], "time_s": [10.0, 20.0, 5.0], "phash": [0, 1, 0]})
+        assert list(own.handleInputRows((group,), iter([rows]), Now(0))) == [] and handle.timers == [5001]
+        (first,) = own.handleExpiredTimer((group,), Now(15), None)
+        (then,) = own.handleExpiredTimer((group,), Now(30), None)
+        got = [tuple(None if pd.isna(x) else x for x in r) for f in (first, then) for r in f.itertuples(index=False)]
+        assert got == ([(1, 5.0, 0, 0), (2, 10.0, 0, 0), (1, 20.0, 1, 1)] if a else [(None, 5.0, 0, 0), (None, 20.0, 1, 1)])
+        assert len(handle.lists["kept"]) == (2 if a else 1)

@@ -64,10 +64,15 @@ def stream_sessions(events: DataFrame, gap: str = "20 seconds", late: str = "10
     )
 
 
+#: Groups of videos whose rows wait together: each call of the state then serves many videos.
+GROUPS = 1024
+
+
 class InOrder(StatefulProcessor):
-    """Holds a video's rows back until the watermark has passed them, and then takes them in order: rows
-    may come in any order within the time that is allowed. The state is the rows that wait, and what
-    ``step`` returns for the next ones. Rows are (time_s, ...); a timer wakes a video whose rows wait."""
+    """Holds the rows of a group of videos back until the watermark has passed them, and then takes each
+    video's in order: rows may come in any order within the time that is allowed. The state is the rows that
+    wait, and what ``step`` returns for a video's next ones. Rows are (time_s, ...), after their video in the
+    state; a timer wakes a group whose rows wait. Videos without an id have a group of their own."""
 
     #: Columns of rows, of the state that ``step`` keeps, and of the results.
     ROWS: str
@@ -76,42 +81,42 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting, self.kept = handle.getListState("waiting", self.ROWS), handle.getValueState("kept", self.STATE)
+        self.waiting, self.kept = (handle.getListState(name, f"video_id long, {columns}") for name, columns in (("waiting", self.ROWS), ("kept", self.STATE)))
 
-    def step(self, key, state: tuple | None, row: tuple, out: list) -> tuple:
+    def step(self, video, state: tuple | None, row: tuple, out: list) -> tuple:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in self.ROWS.split(", ")]
-        came = [tuple(x) for frame in rows for x in frame[names].itertuples(index=False, name=None)]
+        names = ["video_id", *(c.split()[0] for c in self.ROWS.split(", "))]
+        came = [(None if key[0] < 0 else int(x[0]), *x[1:]) for frame in rows for x in frame[names].itertuples(index=False, name=None)]
         self.waiting.appendList(came)
-        earliest = min(came)[0]
+        earliest = min(x[1] for x in came)
         if earliest < timerValues.getCurrentWatermarkInMs() / 1000:
-            yield from self._due(key, timerValues)
+            yield from self._due(timerValues)
         else:  # nothing new is due; what waited before has its own timer
             self.handle.registerTimer(ceil(earliest * 1000) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._due(key, timerValues)
+        yield from self._due(timerValues)
 
-    def _due(self, key, timerValues) -> Iterator[pd.DataFrame]:
+    def _due(self, timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() / 1000
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        due, later = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[1:]) if self.waiting.exists() else []
+        due, later = [r for r in rows if r[1] < now], [r for r in rows if r[1] >= now]
         if not rows:  # an earlier timer took them
             return
-        state, out = tuple(self.kept.get()) if due and self.kept.exists() else None, []
-        for row in due:
-            state = self.step(key, state, row, out)
+        states, out = {r[0]: tuple(r[1:]) for r in self.kept.get()} if due and self.kept.exists() else {}, []
+        for video, *row in due:
+            states[video] = self.step(video, states.get(video), tuple(row), out)
         if due:
-            self.kept.update(state)
+            self.kept.put([(video, *state) for video, state in states.items()])
             self.waiting.clear()
             if later:
                 self.waiting.put(later)
         if later:
-            self.handle.registerTimer(ceil(later[0][0] * 1000) + 1)
+            self.handle.registerTimer(ceil(later[0][1] * 1000) + 1)
         if out:
-            yield pd.DataFrame(out, columns=self.RESULTS)
+            yield pd.DataFrame(out, columns=self.RESULTS).astype({"video_id": "Int64"})
 
     def close(self) -> None:
         pass
@@ -126,13 +131,13 @@ class FrameSelector(InOrder):
     def __init__(self, least_s: float = 4.0, most_s: float = 90.0, threshold: int = 10):
         self.least_s, self.most_s, self.threshold = least_s, most_s, threshold
 
-    def step(self, key, state, row, out):
+    def step(self, video, state, row, out):
         change = 0
         if state is not None:
             change = ((int(row[1]) ^ int(state[1])) & (1 << 64) - 1).bit_count()
             if row[0] - state[0] < self.least_s or (change < self.threshold and row[0] - state[0] < self.most_s):
                 return state
-        out.append((key[0], float(row[0]), int(row[1]), change))
+        out.append((video, float(row[0]), int(row[1]), change))
         return float(row[0]), int(row[1])
 
 
@@ -145,15 +150,16 @@ class SilenceFinder(InOrder):
     def __init__(self, least_s: float = 20.0):
         self.least_s = least_s
 
-    def step(self, key, state, row, out):
+    def step(self, video, state, row, out):
         if state is not None and row[0] - state[0] >= self.least_s:
-            out.append((key[0], float(state[0]), float(row[0])))
+            out.append((video, float(state[0]), float(row[0])))
         return (float(row[2]),)
 
 
 def _in_order(rows: DataFrame, late: str, processor: InOrder, schema: str) -> DataFrame:
     timed = rows.withColumn("ts", F.timestamp_micros((F.col("time_s") * 1_000_000).cast("long"))).withWatermark("ts", late)
-    return timed.groupBy("video_id").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    group = F.when(F.col("video_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("video_id"), F.lit(GROUPS)).cast("int"))
+    return timed.withColumn("group", group).groupBy("group").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def stream_frames(samples: DataFrame, late: str = "10 minutes", **options) -> DataFrame:

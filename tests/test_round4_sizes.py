@@ -5,7 +5,10 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
+from timeweave.plans import answer as an
+from timeweave.plans import search
 from timeweave.plans.index import index_timeline
+from timeweave.queries import load, retrieval
 from timeweave.queries.base import Data
 from timeweave.sources import files
 from timeweave.sources.scratch import CLEANUP, Store
@@ -39,3 +42,34 @@ def test_replaced_rows_are_not_written_beside_the_table_first(spark, tmp_path, m
         files.replace_keys(spark, touched.where("id % 2 = 0"), touched, f"file://{tmp_path}/table", buckets=4)
     assert kept == ["keys", "keys"]
     assert files.read_keyed(spark, f"file://{tmp_path}/table").count() == 50
+
+
+def test_evidence_goes_to_its_questions_once_and_without_what_is_not_shown(spark, monkeypatch):
+    """Against the same hits with all their texts."""
+    monkeypatch.setattr(retrieval, "COPIES", 1)  # more copies of a passage than one
+    data = Data(spark, SF)
+    hits, items, texts = retrieval.evidence(data)
+    assert not {"text", "parent_text", "quote"} & {*hits.columns, *items.columns}
+    near = retrieval.around(data, hits).select("hit_id", "on_screen", "topic_title")
+    full = hits.join(near, "hit_id", "left").join(retrieval.plain_chunks(data).select("chunk_id", "text"), "chunk_id").join(retrieval.passages(data), ["video_id", "parent_id"], "left")
+    asked = retrieval.asked(data)
+    own = an.answer(hits, asked, items=items, texts=texts)
+    assert sorted(map(str, own.collect())) == sorted(map(str, an.answer(full, asked).collect()))
+    windows = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+    assert windows(an.prompts(texts(items), asked)) == windows(asked)  # texts are not sorted to see how many videos there are
+
+
+def test_a_text_is_split_once_for_all_queries_paired_with_it(spark):
+    texts = ["", None, "One two; two THREE", "no such thing", "\u0130stanbul \u212a 3"]
+    asked = ["", "two three four", "three", None, "i k 3 stanbul", "zero " + "two " * 50]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    pairs = queries.crossJoin(chunks.select("chunk_id")).select("query_id", "chunk_id", (F.col("query_id") * 10 + F.col("chunk_id")).alias("fused_rank"))
+    made = search.scored_pairs(pairs, queries, chunks)
+    plain = pairs.join(queries.withColumnRenamed("text", "question"), "query_id").join(chunks, "chunk_id").select(*pairs.columns, search.rerank_score(F.col("question"), F.col("text")).alias("rerank_score"))
+    assert made.columns == plain.columns and sorted(map(str, made.collect())) == sorted(map(str, plain.collect()))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Aggregate [chunk_id")  # texts meet the pairs of a chunk as one row
+    data = Data(spark, SF)
+    for name in ("m3_rerank", "w20_fused_rank"):
+        assert "MapInArrow" in load().QUERIES[name](spark, data.folder)._jdf.queryExecution().optimizedPlan().toString()

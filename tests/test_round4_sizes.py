@@ -102,3 +102,23 @@ def test_words_are_counted_by_distinct_words_and_stored_by_shards(spark, tmp_pat
         assert {t: [next(own) for _ in range(n)] for t, n in zip(rows[i]["terms"], rows[i]["counts"], strict=True)} == {t: [p for p, w in enumerate(words) if w == t] for t in words if t}
     for numbers in ([], [0, 255], [256], [65536, 1], [1 << 33]):
         assert lexical.unpack(lexical.pack(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_long_documents_are_searched_first_and_counts_marked_once(spark, tmp_path, monkeypatch):
+    texts = {i: " ".join(["dog", "quick", "fox"][i % 3 :] * (1 + i % 40)) for i in range(400)}
+    index = lexical.write_postings(spark.createDataFrame(list(texts.items()), "chunk_id long, text string"), f"file://{tmp_path}/index", block=10, folders=1)
+    asked = lexical.Asked([(q, 0, n, False, 0, t) for q in range(6) for n, t in enumerate(["dog", "quick", "fox"][q % 3 :])])
+    calls, plain = [], lexical.marked
+    monkeypatch.setattr(lexical, "marked", lambda counts: calls.append(1) or plain(counts))
+    monkeypatch.setattr(lexical, "SCORED", 1)
+
+    def searched(rows):
+        task = lexical.Search(asked, 5, 60)
+        for batch in rows.toArrow().to_batches():
+            task.add_packed(batch)
+        best = task.best.settle()
+        return task.scored, list(zip(best.query.tolist(), best.id.tolist(), best.distance.tolist(), strict=True))
+
+    shards = index.packed.count()
+    (few, first), (many, last) = (searched(index.packed.orderBy(order)) for order in (F.desc("longest"), F.asc("longest")))
+    assert first == last and few < many / 2 and len(calls) <= 2 * shards < few + many
